@@ -120,11 +120,11 @@ def routing_choice_distribution(spark: SparkSession, d: str) -> DataFrame:
     return profile.distribution(dv.gold_corpus(spark, d), "routing_choice")
 
 
-def _rounded(df: DataFrame) -> DataFrame:
-    """Six digits of the figures that depend on the order of summing."""
+def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles to some digits: their last bits depend on the order of summing."""
     return df.select(
         *[
-            F.round(c, 6).alias(c) if t == "double" else F.col(c)
+            F.round(c, digits).alias(c) if t == "double" else F.col(c)
             for c, t in df.dtypes
         ]
     )

@@ -72,7 +72,7 @@ def leaderboard(spark: SparkSession, d: str) -> DataFrame:
 
 
 def model_summary(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(rs.model_summary(dv.normalised(spark, d)).drop("p95_latency_ms"))
+    return _rounded(rs.model_summary(dv.normalised(spark, d)).drop("p95_latency_ms"), 12)
 
 
 # ------------------------------------------------------------------ streams
@@ -116,7 +116,7 @@ def stream_window_energy(spark: SparkSession, d: str) -> DataFrame:
     routed = online.join_registry(routing.with_choice(routing.with_tiers(ruled, tiers)), models)
     metered = routing.account(routed, routing.en.energy_kwh(F.col("size_gb")))
     totals = online.run_totals_to_table(online.window_energy(metered), "windows")
-    return _rounded(totals.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm")))
+    return _rounded(totals.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm")), 12)
 
 
 def stream_response_match(spark: SparkSession, d: str) -> DataFrame:
@@ -216,9 +216,9 @@ QUERIES = {
     ),
     "model_summary": (
         model_summary,
-        """select model, count(*) as requests, round(avg((error is null)::int), 6) as success_rate,
- round(avg(coalesce(error = 'Model did not provide confidence score in expected format', false)::int), 6) as parse_failure_rate,
- round(avg(latency_ms), 6) as mean_latency_ms, round(sum(energy_kwh), 6) as energy_kwh, round(sum(co2_kg), 6) as co2_kg
+        """select model, count(*) as requests, round(avg((error is null)::int), 12) as success_rate,
+ round(avg(coalesce(error = 'Model did not provide confidence score in expected format', false)::int), 12) as parse_failure_rate,
+ round(avg(latency_ms), 12) as mean_latency_ms, round(sum(energy_kwh), 12) as energy_kwh, round(sum(co2_kg), 12) as co2_kg
  from normalised group by model""",
     ),
     "stream_scores": (
@@ -234,7 +234,16 @@ QUERIES = {
     "stream_window_energy": (
         stream_window_energy,
         """select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') as window_start, complexity, count(*) as prompts,
- round(sum(energy_kwh), 6) as energy_kwh, round(sum(co2_kg), 6) as co2_kg from event_routed group by 1, 2""",
+ round(sum(energy_kwh), 12) as energy_kwh, round(sum(co2_kg), 12) as co2_kg from event_routed group by 1, 2""",
+    ),
+    # A timeout is known once the watermark (a minute behind the last request) has passed the
+    # longest timeout, so requests from the end of the stream are still open.
+    "stream_response_match": (
+        stream_response_match,
+        """select event_id as prompt_id, 'tinyllama:latest' as model,
+ case when event_id % 3 <> 0 then 'Sentiment: POSITIVE' || chr(10) || 'Confidence: 85' end as raw_response,
+ case when event_id % 3 = 0 then 'Request timeout' end as error,
+ case when event_id % 3 <> 0 then 20000::double end as latency_ms from events
+ where event_id % 3 <> 0 or ts + interval 180 seconds < (select max(ts) - interval 60 seconds from events)""",
     ),
-    "stream_response_match": (stream_response_match, None),
 }

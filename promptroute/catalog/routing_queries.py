@@ -14,7 +14,7 @@ from promptroute.functions.energy import energy_report
 from promptroute.plans.corpus_build import KEY
 from promptroute.plans.route_workload import route_workload, workload_energy
 from promptroute.plans.train_model import train_and_evaluate
-from promptroute.session import new_path
+from promptroute.session import materialise, new_path
 from promptroute.sources.sinks import write_json
 
 OVERRIDES = {"small": "qwen2:1.5b", "large": "zephyr:latest"}
@@ -45,7 +45,7 @@ def quality_verdict(spark: SparkSession, d: str) -> DataFrame:
 def evaluation_file(spark: SparkSession, d: str) -> DataFrame:
     """The report written as JSON and read back, one row per class."""
     path = new_path(spark, "evaluation")
-    report = evaluation.evaluation_report(_cells(spark, d))
+    report = evaluation.evaluation_report(materialise(_cells(spark, d), "cells"))
     write_json(report, path)
     back = spark.read.schema(report.schema).json(path)
     return _rounded(back.select("n", "accuracy", F.inline("classification_report")))
@@ -173,7 +173,8 @@ def strategy_totals(spark: SparkSession, d: str) -> DataFrame:
     totals = routing.strategy_totals(
         _ruled(spark, d), routing.tier_table(spark), routing.model_registry(spark)
     )
-    return _rounded(totals)
+    pct = F.round("energy_saved_pct", 6).alias("energy_saved_pct")
+    return _rounded(totals.select(*[c for c in totals.columns if c != "energy_saved_pct"], pct), energy.DIGITS)
 
 
 def available_models(spark: SparkSession, d: str) -> DataFrame:
@@ -203,7 +204,9 @@ def energy_by_prompt(spark: SparkSession, d: str) -> DataFrame:
 def energy_against_any_baseline(spark: SparkSession, d: str) -> DataFrame:
     """Each prompt's model against the biggest model that answered it without error."""
     answered = dv.normalised(spark, d).filter("error is null")
-    sizes = routing.with_size(answered, routing.model_registry(spark), "model")
+    sizes = routing.with_size(
+        answered.select("prompt_id", "model"), routing.model_registry(spark), "model"
+    )
     biggest = sizes.groupBy("prompt_id").agg(F.max("size_gb").alias("base_gb"))
     chosen = routing.with_size(
         _routed(spark, d).select("prompt_id", "routed_model"), routing.model_registry(spark)
@@ -270,10 +273,10 @@ _ENERGY = """size_gb * 5e-5 as energy_kwh, size_gb * 5e-5 * 0.475::double as co2
  greatest(0::double, 4.7::double * 5e-5 - size_gb * 5e-5) as energy_saved_kwh,
  greatest(0::double, (4.7::double * 5e-5 - size_gb * 5e-5) / (4.7::double * 5e-5) * 100) as energy_saved_pct,
  greatest(0, least(100, round_even(100 * (1 - size_gb * 5e-5 / (4.7::double * 5e-5)), 0)))::int as green_score"""
-_FIGURES = f"""count(*) as prompts, count(energy_kwh) as served, round(sum(energy_kwh), 9) as energy_kwh,
- round(avg(energy_kwh), 9) as mean_kwh, round(sum(energy_kwh) * 0.475::double, 9) as co2_kg,
- round(count(energy_kwh) * {_BASE} - sum(energy_kwh), 9) as saved_kwh,
- round((count(energy_kwh) * {_BASE} - sum(energy_kwh)) / (count(energy_kwh) * {_BASE}) * 100, 6) as saved_pct"""
+_FIGURES = f"""count(*) as prompts, count(energy_kwh) as served, round(sum(energy_kwh), 12) as energy_kwh,
+ round(avg(energy_kwh), 12) as mean_kwh, round(sum(energy_kwh) * 0.475::double, 12) as co2_kg,
+ round(count(energy_kwh) * {_BASE} - sum(energy_kwh), 12) + 0.0::double as saved_kwh,
+ round((count(energy_kwh) * {_BASE} - sum(energy_kwh)) / (count(energy_kwh) * {_BASE}) * 100, 6) + 0.0::double as saved_pct"""
 _RULE_EVENTS = "(select unnest(string_split(nullif(fired_rules, ''), ','))::int as rule from ruled)"
 _CLASS_FIGURES = """(select label, coalesce(hits / nullif(claimed, 0), 0) as precision,
  coalesce(hits / nullif(support, 0), 0) as recall, support from
@@ -379,8 +382,8 @@ QUERIES = {
     ),
     "strategy_totals": (
         strategy_totals,
-        f"""select strategy, count(*) as prompts, round(sum(energy_kwh), 6) as energy_kwh, round(sum(energy_kwh) * 0.475::double, 6) as co2_kg,
- round(sum(energy_saved_kwh), 6) as energy_saved_kwh,
+        f"""select strategy, count(*) as prompts, round(sum(energy_kwh), 12) as energy_kwh, round(sum(energy_kwh) * 0.475::double, 12) as co2_kg,
+ round(sum(energy_saved_kwh), 12) as energy_saved_kwh,
  round(greatest(0, (count(*) * {_BASE} - sum(energy_kwh)) / (count(*) * {_BASE}) * 100), 6) as energy_saved_pct from
  (select strategy, {_ENERGY} from
   (select routed_model, unnest(['smart', 'always_small', 'always_large']) as strategy from routed) r
@@ -432,8 +435,8 @@ QUERIES = {
     ),
     "daily_energy_rollup": (
         daily_energy_rollup,
-        f"""select *, round(energy_kwh * 365, 9) as kwh_per_year, round(saved_kwh * 365, 9) as saved_kwh_per_year,
- round(co2_kg * 365, 9) as co2_kg_per_year from
+        f"""select *, round(energy_kwh * 365, 12) as kwh_per_year, round(saved_kwh * 365, 12) as saved_kwh_per_year,
+ round(co2_kg * 365, 12) as co2_kg_per_year from
  (select strftime(ts, '%Y-%m-%d') as day, {_FIGURES} from event_routed group by 1)""",
     ),
 }

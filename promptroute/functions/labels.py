@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from promptroute.functions import text as tx
 from promptroute.settings import LABELS, LARGE, MAIN, MATH_SOURCE, MEDIUM, SMALL, Lexicon
 
+LONG_TOKENS = 300
+
 
 def gold_label(choice: Column, score: Column) -> Column:
     """Class of a human routing choice; an unknown score counts as high."""
@@ -19,27 +21,28 @@ def gold_label(choice: Column, score: Column) -> Column:
     )
 
 
-def math_label(text: Column, lowered: Column, lex: Lexicon = MAIN) -> Column:
+def reasoning_cue(text: Column, lowered: Column, lex: Lexicon = MAIN) -> Column:
+    """Does the prompt ask for reasoning?  Not looked up in long prompts, which are large anyway."""
+    return (tx.token_count(text) <= LONG_TOKENS) & tx.has_multi_step(lowered, lex)
+
+
+def math_label(text: Column, reasoning: Column, lex: Lexicon = MAIN) -> Column:
     short = tx.token_count(text) < 40
     if lex.math_reads_reasoning:
-        short = short & ~tx.has_multi_step(lowered, lex)
+        short = short & ~reasoning
     return F.when(short, MEDIUM).otherwise(LARGE)
 
 
-def chat_label(text: Column, lowered: Column, lex: Lexicon = MAIN) -> Column:
+def chat_label(text: Column, lowered: Column, reasoning: Column, lex: Lexicon = MAIN) -> Column:
     """Label of a chat prompt.  The first branch that holds decides.
 
     Cheap length tests stand first in every conjunction: ``And`` stops at the first
     false operand, so long prompts skip the word lists of the short-prompt branches.
     """
     tokens = tx.token_count(text)
-    demanding = (
-        tx.has_code_blocks(text, lex)
-        | tx.has_multi_step(lowered, lex)
-        | tx.has_math(text, lowered, lex)
-    )
+    demanding = reasoning | tx.has_code_blocks(text, lex) | tx.has_math(text, lowered, lex)
     trivial = (tokens < 30) & ~(demanding | tx.has_code(lowered, lex))
-    long = tokens > 300
+    long = tokens > LONG_TOKENS
     if lex.many_questions is not None:
         long = long | (tx.question_count(text) >= lex.many_questions)
     return (
@@ -51,10 +54,10 @@ def chat_label(text: Column, lowered: Column, lex: Lexicon = MAIN) -> Column:
 
 
 def heuristic_label(
-    text: Column, lowered: Column, source: Column, lex: Lexicon = MAIN
+    text: Column, lowered: Column, reasoning: Column, source: Column, lex: Lexicon = MAIN
 ) -> Column:
-    return F.when(source == MATH_SOURCE, math_label(text, lowered, lex)).otherwise(
-        chat_label(text, lowered, lex)
+    return F.when(source == MATH_SOURCE, math_label(text, reasoning, lex)).otherwise(
+        chat_label(text, lowered, reasoning, lex)
     )
 
 

@@ -23,6 +23,15 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, f"^{WHITESPACE}+|{WHITESPACE}+$", "")
 
 
+def present(text: Column) -> Column:
+    """``text`` with NULL as the empty string.
+
+    Word lists are looked up in a column that cannot be NULL: the generated code then has no
+    NULL checks between the words, and the loop stays small enough for the JIT compiler.
+    """
+    return F.coalesce(text, F.lit(""))
+
+
 def word_count(text: Column) -> Column:
     """Number of whitespace-separated words."""
     pieces = F.size(F.split(text, f"{WHITESPACE}+"))

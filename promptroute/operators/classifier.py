@@ -19,7 +19,7 @@ from promptroute.session import materialise
 from promptroute.settings import LABELS
 
 MAX_TOKENS = 256
-HASH_FEATURES = 1 << 16
+HASH_FEATURES = 1 << 14
 NUMERIC = (
     "token_count",
     "char_count",

@@ -25,11 +25,17 @@ from promptroute.settings import (
 CORPUS_COLUMNS = ("prompt", "source_dataset", "complexity_label")
 
 
+def _with_text(df: DataFrame, prompt: str = "prompt") -> DataFrame:
+    """``df`` with the prompt raw and lower-cased, computed once for all word lists."""
+    text = tx.present(F.col(prompt))
+    return df.select("*", text.alias("_text"), F.lower(text).alias("_lowered"))
+
+
 def heuristic_features(df: DataFrame, lex: Lexicon = MAIN, prompt: str = "prompt") -> DataFrame:
     """``df`` with the eight features the labeller looks at."""
-    text, lowered = F.col(prompt), F.col("_lowered")
+    text, lowered = F.col("_text"), F.col("_lowered")
     return (
-        df.withColumn("_lowered", F.lower(text))
+        _with_text(df, prompt)
         .select(
             *df.columns,
             tx.token_count(text).alias("token_count"),
@@ -49,9 +55,9 @@ def rule_features(df: DataFrame, prompt: str = "prompt") -> DataFrame:
 
     ``apply_rules`` does not use this: it computes a feature only where a rule needs it.
     """
-    text, lowered = F.col(prompt), F.col("_lowered")
+    text, lowered = F.col("_text"), F.col("_lowered")
     return (
-        df.withColumn("_lowered", F.lower(text))
+        _with_text(df, prompt)
         .select(
             *df.columns,
             tx.word_count(text).alias("word_count"),
@@ -74,11 +80,13 @@ def label_gold(df: DataFrame) -> DataFrame:
 
 def label_corpus(df: DataFrame, lex: Lexicon = MAIN) -> DataFrame:
     """``df`` with the heuristic label of each prompt; one narrow pass over the text."""
-    label = lb.heuristic_label(F.col("prompt"), F.col("_lowered"), F.col("source_dataset"), lex)
+    text, lowered, reasoning = F.col("_text"), F.col("_lowered"), F.col("_reasoning")
+    label = lb.heuristic_label(text, lowered, reasoning, F.col("source_dataset"), lex)
     return (
-        df.withColumn("_lowered", F.lower("prompt"))
+        _with_text(df)
+        .withColumn("_reasoning", lb.reasoning_cue(text, lowered, lex))
         .withColumn("complexity_label", label)
-        .drop("_lowered")
+        .drop("_text", "_lowered", "_reasoning")
     )
 
 

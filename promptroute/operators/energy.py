@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from promptroute.functions import energy as en
 from promptroute.settings import BASELINE_KWH, BASELINE_MODEL
 
 DAYS_PER_YEAR = 365
-# Sums of kWh are rounded to this many digits: their last bits depend on the summing order.
-DIGITS = 9
+# Sums are rounded to this many digits: their last bits depend on the summing order.
+DIGITS = 12
 
 
 def with_bands(routed: DataFrame) -> DataFrame:
@@ -51,8 +51,11 @@ def _figures() -> list:
         F.round(energy, DIGITS).alias("energy_kwh"),
         F.round(energy / F.nullif(served, F.lit(0)), DIGITS).alias("mean_kwh"),
         F.round(en.co2_kg(energy), DIGITS).alias("co2_kg"),
-        F.round(base - energy, DIGITS).alias("saved_kwh"),
-        F.round((base - energy) / F.nullif(base, F.lit(0.0)) * 100, 6).alias("saved_pct"),
+        # + 0.0 turns a rounded -0.0 into 0.0
+        (F.round(base - energy, DIGITS) + F.lit(0.0)).alias("saved_kwh"),
+        (F.round((base - energy) / F.nullif(base, F.lit(0.0)) * 100, 6) + F.lit(0.0)).alias(
+            "saved_pct"
+        ),
     ]
 
 
@@ -68,10 +71,9 @@ def workload_rollup(routed: DataFrame) -> DataFrame:
     """Class mix and energy per class, per source and in all.
 
     ``level`` is class, source or total.  Prompts are counted per class and source first;
-    the grouping sets run over those few rows.
+    the grouping sets run over those few rows, of which the total is the largest.
     """
     counts = _grouped(routed, "complexity", "source_dataset")
-    total = counts.agg(F.sum("_n")).scalar()
     sets = [[F.col("complexity")], [F.col("source_dataset")], []]
     return (
         counts.groupingSets(sets, F.col("complexity"), F.col("source_dataset"))
@@ -86,7 +88,9 @@ def workload_rollup(routed: DataFrame) -> DataFrame:
             .otherwise("total")
             .alias("level"),
             F.coalesce("complexity", "source_dataset").alias("item"),
-            F.round(F.col("prompts") * 100 / total, 6).alias("mix_pct"),
+            F.round(F.col("prompts") * 100 / F.max("prompts").over(Window.partitionBy()), 6).alias(
+                "mix_pct"
+            ),
             "prompts",
             "served",
             "energy_kwh",

@@ -107,7 +107,10 @@ def split_report(df: DataFrame, label: str = TRUE) -> DataFrame:
 
 
 def evaluation_report(cells: DataFrame) -> DataFrame:
-    """Everything as one row of nested columns, ready to be written as JSON."""
+    """Everything as one row of nested columns, ready to be written as JSON.
+
+    Reads the nine cells several times: pass a written table, not a plan that counts anew.
+    """
     matrix = cells.agg(
         F.array_sort(F.collect_list(F.struct("true_label", "predicted_label", "n"))).alias(
             "confusion_matrix"

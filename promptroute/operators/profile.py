@@ -55,7 +55,8 @@ def describe_numeric(df: DataFrame, value: Column, by: Sequence[str] = ()) -> Da
         placed = counted.join(counted.groupBy(*by).agg(frame), by)
     else:
         placed = counted.withColumn("_frame", counted.agg(frame).scalar())
-    below = F.size(F.filter("_frame.edges", lambda edge: edge < F.col("v")))
+    # Never NULL, or the join on it below would put a NULL test on every row of ``df``.
+    below = F.coalesce(F.size(F.filter("_frame.edges", lambda edge: edge < F.col("v"))), F.lit(0))
     placed = placed.select(
         *by,
         "v",
@@ -82,15 +83,14 @@ def describe_numeric(df: DataFrame, value: Column, by: Sequence[str] = ()) -> Da
     quartiles, named = [], []
     for q in QUARTILES:
         at = F.lit(q) * (F.col("_count") - 1)
-        low, high, part = f"_low{q}", f"_high{q}", f"_part{q}"
+        name = f"p{int(q * 100)}"
+        low, high, part = f"_low_{name}", f"_high_{name}", f"_part_{name}"
         quartiles += [
             value_at(F.floor(at)).alias(low),
             value_at(F.ceil(at)).alias(high),
             F.max(at - F.floor(at)).alias(part),
         ]
-        named.append(
-            (F.col(low) + (F.col(high) - F.col(low)) * F.col(part)).alias(f"p{int(q * 100)}")
-        )
+        named.append((F.col(low) + (F.col(high) - F.col(low)) * F.col(part)).alias(name))
     spread = F.sum(F.col("n") * (F.col("v") - F.col("_mean")) * (F.col("v") - F.col("_mean")))
     return (
         ranked.groupBy(*by)

@@ -163,8 +163,8 @@ def model_summary(responses: DataFrame) -> DataFrame:
         F.count("*").alias("requests"),
         F.avg(F.col("error").isNull().cast("int")).alias("success_rate"),
         F.avg(F.coalesce(unparsed, F.lit(False)).cast("int")).alias("parse_failure_rate"),
-        F.round(F.avg("latency_ms"), 6).alias("mean_latency_ms"),
+        F.avg("latency_ms").alias("mean_latency_ms"),
         F.percentile_approx("latency_ms", 0.95).alias("p95_latency_ms"),
-        F.round(F.sum("energy_kwh"), 9).alias("energy_kwh"),
-        F.round(F.sum("co2_kg"), 9).alias("co2_kg"),
+        F.sum("energy_kwh").alias("energy_kwh"),
+        F.sum("co2_kg").alias("co2_kg"),
     )

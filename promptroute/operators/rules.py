@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from promptroute.functions import rules as rl
-from promptroute.functions.text import word_count
+from promptroute.functions.text import present, word_count
 
 RULES = ("proof", "length", "depth", "steps", "code", "academic")
 
@@ -21,9 +21,8 @@ def apply_rules(df: DataFrame, keep_outcomes: bool = False) -> DataFrame:
     predicted, probs = F.col("predicted"), F.col("all_probs")
     words, lowered = F.col("_words"), F.col("_lowered")
     columns = [c for c in df.columns if c != "confidence"]
-    staged = df.select(
-        "*", F.lower("prompt").alias("_lowered"), word_count(F.col("prompt")).alias("_words")
-    )
+    text = present(F.col("prompt"))
+    staged = df.select("*", F.lower(text).alias("_lowered"), word_count(text).alias("_words"))
     first = rl.needed_features(lowered, words, predicted, probs)
     staged = staged.select("*", *[c.alias(f"_{n}") for n, c in first.items()])
     second = rl.needed_code_features(lowered, words, F.col("_code_hit"))
