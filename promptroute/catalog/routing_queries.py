@@ -178,9 +178,11 @@ def strategy_totals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def available_models(spark: SparkSession, d: str) -> DataFrame:
-    tiered = routing.with_tiers(_ruled(spark, d), routing.tier_table(spark))
     up = routing.model_registry(spark).filter(F.col("model_id").isin(*AVAILABLE))
-    return routing.pick_available(tiered, up).select("prompt_id", "complexity", "available_model")
+    tiers = routing.pick_available(routing.tier_table(spark), up)
+    return routing.with_tiers(_ruled(spark, d), tiers).select(
+        "prompt_id", "complexity", "available_model"
+    )
 
 
 def candidate_models(spark: SparkSession, d: str) -> DataFrame:

@@ -13,14 +13,14 @@ from operator import add, or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from promptroute.settings import MAIN, WHITESPACE, Lexicon
+from promptroute.settings import MAIN, WHITESPACE, WHITESPACE_CHARS, Lexicon
 
 _INDENTED_LINE = r"\n" + WHITESPACE + "{4}"
 
 
 def strip(text: Column) -> Column:
     """``text`` without leading and trailing whitespace of any kind."""
-    return F.regexp_replace(text, f"^{WHITESPACE}+|{WHITESPACE}+$", "")
+    return F.btrim(text, F.lit(WHITESPACE_CHARS))
 
 
 def present(text: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from promptroute.functions import labels as lb
 from promptroute.functions import text as tx
+from promptroute.operators.once import with_computed_once
 from promptroute.settings import (
     ACADEMIC_WORDS,
     CODE_WORDS,
@@ -28,7 +29,7 @@ CORPUS_COLUMNS = ("prompt", "source_dataset", "complexity_label")
 def _with_text(df: DataFrame, prompt: str = "prompt") -> DataFrame:
     """``df`` with the prompt raw and lower-cased, computed once for all word lists."""
     text = tx.present(F.col(prompt))
-    return df.select("*", text.alias("_text"), F.lower(text).alias("_lowered"))
+    return with_computed_once(df, {"_text": text, "_lowered": F.lower(text)})
 
 
 def heuristic_features(df: DataFrame, lex: Lexicon = MAIN, prompt: str = "prompt") -> DataFrame:
@@ -82,12 +83,11 @@ def label_corpus(df: DataFrame, lex: Lexicon = MAIN) -> DataFrame:
     """``df`` with the heuristic label of each prompt; one narrow pass over the text."""
     text, lowered, reasoning = F.col("_text"), F.col("_lowered"), F.col("_reasoning")
     label = lb.heuristic_label(text, lowered, reasoning, F.col("source_dataset"), lex)
-    return (
-        _with_text(df)
-        .withColumn("_reasoning", lb.reasoning_cue(text, lowered, lex))
-        .withColumn("complexity_label", label)
-        .drop("_text", "_lowered", "_reasoning")
-    )
+    prompt = tx.present(F.col("prompt"))
+    staged = df.select("*", prompt.alias("_text"), F.lower(prompt).alias("_lowered"))
+    staged = staged.withColumn("_reasoning", lb.reasoning_cue(text, lowered, lex))
+    labelled = with_computed_once(staged, {"complexity_label": label})
+    return labelled.drop("_text", "_lowered", "_reasoning")
 
 
 def combine(*corpora: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:

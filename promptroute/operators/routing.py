@@ -54,11 +54,13 @@ def registry_usage(routed: DataFrame, models: DataFrame) -> DataFrame:
 def with_tiers(df: DataFrame, tiers: DataFrame, label: str = "complexity") -> DataFrame:
     """``df`` with the ``recommended`` and ``fallback`` models of its class.
 
-    An unknown class gets those of the medium class.
+    An unknown class gets those of the medium class.  A left join: an inner join would test the
+    class for NULL first, and the optimizer would move that test, with all the rules spelled
+    out in it, down to the scan.
     """
     known = F.when(F.col(label).isin(*LABELS), F.col(label)).otherwise(DEFAULT_TIER)
     lookup = tiers.withColumnRenamed("complexity", "_tier")
-    return df.withColumn("_tier", known).join(lookup, "_tier").drop("_tier")
+    return df.withColumn("_tier", known).join(lookup, "_tier", "left").drop("_tier")
 
 
 def with_size(df: DataFrame, models: DataFrame, model: str = "routed_model") -> DataFrame:
@@ -283,23 +285,20 @@ def _candidates(k: int | None) -> Column:
     return F.concat(listed("recommended", "primary"), listed("fallback", "fallback"))
 
 
-def pick_available(
-    df: DataFrame, available: DataFrame, key: str = "prompt_id", model: str = "model_id"
-) -> DataFrame:
-    """``df`` with ``available_model``: the first recommended, else fallback, model that is up.
+def pick_available(tiers: DataFrame, available: DataFrame, model: str = "model_id") -> DataFrame:
+    """The tier table with ``available_model``: the first recommended, else fallback, that is up.
 
-    Availability is resolved once per distinct pair of lists, not per prompt; the result is
-    as small as the tier table.
+    Availability is settled here, on the few tiers; prompts then get it through ``with_tiers``.
     """
-    lists = df.select("recommended", "fallback").distinct()
-    order = F.concat("recommended", "fallback")
     up = (
-        lists.select("*", F.posexplode(order).alias("_pos", "_model"))
-        .join(available.select(F.col(model).alias("_model")).distinct(), "_model", "left_semi")
-        .groupBy("recommended", "fallback")
+        tiers.select(
+            "complexity", F.posexplode(F.concat("recommended", "fallback")).alias("_pos", "_model")
+        )
+        .join(available.select(F.col(model).alias("_model")), "_model", "left_semi")
+        .groupBy("complexity")
         .agg(F.min_by("_model", "_pos").alias("available_model"))
     )
-    return df.join(up, ["recommended", "fallback"], "left")
+    return tiers.join(up, "complexity", "left")
 
 
 def candidates(routed: DataFrame, models: DataFrame, k: int = 3) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from promptroute.functions import rules as rl
 from promptroute.functions.text import present, word_count
+from promptroute.operators.once import with_computed_once
 
 RULES = ("proof", "length", "depth", "steps", "code", "academic")
 
@@ -37,9 +38,7 @@ def apply_rules(df: DataFrame, keep_outcomes: bool = False) -> DataFrame:
         ),
         "academic": rl.academic_rule(predicted, words, F.col("_academic_hit")),
     }
-    staged = staged.select(
-        *columns, "confidence", *[outcomes[n].alias(f"rule_{n}") for n in RULES]
-    )
+    staged = with_computed_once(staged, {f"rule_{n}": outcomes[n] for n in RULES})
     fired = [F.col(f"rule_{n}") for n in RULES]
     override = F.coalesce(*fired).isNotNull()
     return staged.select(
@@ -58,11 +57,16 @@ def transition_counts(ruled: DataFrame) -> DataFrame:
 
 
 def fire_counts(ruled: DataFrame) -> DataFrame:
-    """How often each rule fired."""
+    """How often each rule fired.
+
+    Grouped before unfolding: the explode sees one row per combination of rules.
+    """
     return (
-        ruled.select(F.explode("fired_rules").alias("rule"))
+        ruled.groupBy("fired_rules")
+        .agg(F.count("*").alias("_n"))
+        .select(F.explode("fired_rules").alias("rule"), "_n")
         .groupBy("rule")
-        .agg(F.count("*").alias("n"))
+        .agg(F.sum("_n").alias("n"))
     )
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from promptroute.functions.labels import stratum
+from promptroute.functions.text import present
 from promptroute.session import materialise
 from promptroute.settings import (
     BALANCE_FACTOR,
@@ -35,8 +36,8 @@ Quotas = Callable[[DataFrame], DataFrame]
 
 
 def hash_order(key: Column, seed: int = SEED) -> Column:
-    """Position of a row in the fixed random order, as 32 hexadecimal digits."""
-    return F.md5(F.concat(F.lit(f"{seed}|"), key.cast("string")))
+    """Position of a row in the fixed random order, as 32 hexadecimal digits (never NULL)."""
+    return F.md5(F.concat(F.lit(f"{seed}|"), present(key.cast("string"))))
 
 
 def cutoffs(
@@ -50,7 +51,10 @@ def cutoffs(
     narrow = df.select(
         *strata, F.col(key).alias("_key"), hash_order(F.col(key), seed).alias("_hash")
     ).withColumn("_prefix", F.substring("_hash", 1, PREFIX_DIGITS))
-    histogram = narrow.groupBy(*strata, "_prefix").agg(F.count("*").alias("_n"))
+    # Written: at most 4096 rows per stratum, read three times below.
+    histogram = materialise(
+        narrow.groupBy(*strata, "_prefix").agg(F.count("*").alias("_n")), "histogram"
+    )
     totals = quotas(histogram.groupBy(*strata).agg(F.sum("_n").alias("total")))
     running = F.sum("_n").over(Window.partitionBy(*strata).orderBy("_prefix"))
     hit = (
@@ -76,15 +80,18 @@ def cutoffs(
 def mark_within(
     df: DataFrame, key: str, strata: Sequence[str], cuts: DataFrame, seed: int = SEED
 ) -> DataFrame:
-    """``df`` with a boolean ``within``: is the row inside its stratum's quota?"""
+    """``df`` with a boolean ``within``: is the row inside its stratum's quota?
+
+    A row without a stratum has none, and stays in ``df``.
+    """
     position = F.struct(hash_order(F.col(key), seed).alias("h"), F.col(key).alias("k"))
     cut = F.struct(F.col("cut_hash").alias("h"), F.col("cut_key").alias("k"))
     inside = (F.col("quota") >= F.col("total")) | (
         F.col("cut_hash").isNotNull() & (position <= cut)
     )
     return (
-        df.join(cuts, list(strata))
-        .withColumn("within", inside)
+        df.join(cuts, list(strata), "left")
+        .withColumn("within", F.coalesce(inside, F.lit(False)))
         .drop("total", "quota", "cut_hash", "cut_key")
     )
 
