@@ -26,6 +26,12 @@ def reasoning_cue(text: Column, lowered: Column, lex: Lexicon = MAIN) -> Column:
     return (tx.token_count(text) <= LONG_TOKENS) & tx.has_multi_step(lowered, lex)
 
 
+def is_demanding(text: Column, lowered: Column, reasoning: Column, lex: Lexicon = MAIN) -> Column:
+    """Reasoning, code blocks or mathematics; likewise not looked up in long prompts."""
+    signs = reasoning | tx.has_code_blocks(text, lex) | tx.has_math(text, lowered, lex)
+    return (tx.token_count(text) <= LONG_TOKENS) & signs
+
+
 def math_label(text: Column, reasoning: Column, lex: Lexicon = MAIN) -> Column:
     short = tx.token_count(text) < 40
     if lex.math_reads_reasoning:
@@ -33,14 +39,13 @@ def math_label(text: Column, reasoning: Column, lex: Lexicon = MAIN) -> Column:
     return F.when(short, MEDIUM).otherwise(LARGE)
 
 
-def chat_label(text: Column, lowered: Column, reasoning: Column, lex: Lexicon = MAIN) -> Column:
+def chat_label(text: Column, lowered: Column, demanding: Column, lex: Lexicon = MAIN) -> Column:
     """Label of a chat prompt.  The first branch that holds decides.
 
     Cheap length tests stand first in every conjunction: ``And`` stops at the first
     false operand, so long prompts skip the word lists of the short-prompt branches.
     """
     tokens = tx.token_count(text)
-    demanding = reasoning | tx.has_code_blocks(text, lex) | tx.has_math(text, lowered, lex)
     trivial = (tokens < 30) & ~(demanding | tx.has_code(lowered, lex))
     long = tokens > LONG_TOKENS
     if lex.many_questions is not None:
@@ -54,10 +59,15 @@ def chat_label(text: Column, lowered: Column, reasoning: Column, lex: Lexicon =
 
 
 def heuristic_label(
-    text: Column, lowered: Column, reasoning: Column, source: Column, lex: Lexicon = MAIN
+    text: Column,
+    lowered: Column,
+    source: Column,
+    reasoning: Column,
+    demanding: Column,
+    lex: Lexicon = MAIN,
 ) -> Column:
     return F.when(source == MATH_SOURCE, math_label(text, reasoning, lex)).otherwise(
-        chat_label(text, lowered, reasoning, lex)
+        chat_label(text, lowered, demanding, lex)
     )
 
 

@@ -15,6 +15,7 @@ from promptroute.settings import (
     CODE_WORDS,
     DEPTH_WORDS,
     MAIN,
+    MATH_SOURCE,
     PROOF_WORDS,
     REQUIREMENT_WORDS,
     SIMPLE_STARTS,
@@ -81,13 +82,16 @@ def label_gold(df: DataFrame) -> DataFrame:
 
 def label_corpus(df: DataFrame, lex: Lexicon = MAIN) -> DataFrame:
     """``df`` with the heuristic label of each prompt; one narrow pass over the text."""
-    text, lowered, reasoning = F.col("_text"), F.col("_lowered"), F.col("_reasoning")
-    label = lb.heuristic_label(text, lowered, reasoning, F.col("source_dataset"), lex)
+    text, lowered, source = F.col("_text"), F.col("_lowered"), F.col("source_dataset")
+    reasoning, demanding = F.col("_reasoning"), F.col("_demanding")
     prompt = tx.present(F.col("prompt"))
     staged = df.select("*", prompt.alias("_text"), F.lower(prompt).alias("_lowered"))
-    staged = staged.withColumn("_reasoning", lb.reasoning_cue(text, lowered, lex))
+    staged = staged.withColumn("_reasoning", lb.reasoning_cue(text, lowered, lex)).withColumn(
+        "_demanding", lb.is_demanding(text, lowered, reasoning, lex) & ~source.eqNullSafe(MATH_SOURCE)
+    )
+    label = lb.heuristic_label(text, lowered, source, reasoning, demanding, lex)
     labelled = with_computed_once(staged, {"complexity_label": label})
-    return labelled.drop("_text", "_lowered", "_reasoning")
+    return labelled.drop("_text", "_lowered", "_reasoning", "_demanding")
 
 
 def combine(*corpora: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:

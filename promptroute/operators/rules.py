@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from promptroute.functions import rules as rl
 from promptroute.functions.text import present, word_count
 from promptroute.operators.once import with_computed_once
+from promptroute.settings import LARGE
 
 RULES = ("proof", "length", "depth", "steps", "code", "academic")
 
@@ -22,8 +23,13 @@ def apply_rules(df: DataFrame, keep_outcomes: bool = False) -> DataFrame:
     predicted, probs = F.col("predicted"), F.col("all_probs")
     words, lowered = F.col("_words"), F.col("_lowered")
     columns = [c for c in df.columns if c != "confidence"]
-    text = present(F.col("prompt"))
-    staged = df.select("*", F.lower(text).alias("_lowered"), word_count(text).alias("_words"))
+    # A prompt predicted large is left as it is: its text is not even looked at.
+    text, final = present(F.col("prompt")), predicted.eqNullSafe(LARGE)
+    staged = df.select(
+        "*",
+        F.when(final, "").otherwise(F.lower(text)).alias("_lowered"),
+        F.when(final, 0).otherwise(word_count(text)).alias("_words"),
+    )
     first = rl.needed_features(lowered, words, predicted, probs)
     staged = staged.select("*", *[c.alias(f"_{n}") for n, c in first.items()])
     second = rl.needed_code_features(lowered, words, F.col("_code_hit"))

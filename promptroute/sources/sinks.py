@@ -7,8 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 
 CSV_COLUMNS = ("prompt", "source_dataset", "complexity_label", "llm_judge_label")
-# Prompts hold line breaks and quotes: quote every field and double inner quotes.
-CSV_OPTIONS = {"header": "true", "quoteAll": "true", "escape": '"', "multiLine": "true"}
+# Prompts hold line breaks, quotes and outer blanks: quote every field, double inner quotes and
+# keep blanks, which Spark's CSV writer trims by default.
+CSV_OPTIONS = {
+    "header": "true",
+    "quoteAll": "true",
+    "escape": '"',
+    "multiLine": "true",
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
+}
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
