@@ -82,10 +82,9 @@ def _event_stream(spark: SparkSession, d: str) -> DataFrame:
     return dv.event_predictions(online.read_stream(spark, folder, schema, pattern))
 
 
-def _routed_stream(spark: SparkSession, d: str) -> DataFrame:
-    return online.score_stream(
-        _event_stream(spark, d), routing.tier_table(spark), routing.model_registry(spark)
-    )
+def _routed_stream(spark: SparkSession, d: str, *keep: str) -> DataFrame:
+    tiers, models = routing.tier_table(spark), routing.model_registry(spark)
+    return online.score_stream(_event_stream(spark, d), tiers, models, keep=keep)
 
 
 def stream_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -110,12 +109,7 @@ def stream_registry_join(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_window_energy(spark: SparkSession, d: str) -> DataFrame:
-    timed = _event_stream(spark, d)
-    ruled = routing.apply_rules(timed)
-    tiers, models = routing.tier_table(spark), routing.model_registry(spark)
-    routed = online.join_registry(routing.with_choice(routing.with_tiers(ruled, tiers)), models)
-    metered = routing.account(routed, routing.en.energy_kwh(F.col("size_gb")))
-    totals = online.run_totals_to_table(online.window_energy(metered), "windows")
+    totals = online.run_totals_to_table(online.window_energy(_routed_stream(spark, d, "ts")), "windows")
     return _rounded(totals.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm")), 12)
 
 

@@ -9,6 +9,7 @@ from promptroute.catalog import derived as dv
 from promptroute.catalog import sql as q
 from promptroute.catalog.corpus_queries import _rounded
 from promptroute.operators import classifier, energy, evaluation, routing, rules
+from promptroute.operators.corpus import label_corpus
 from promptroute.operators.sampling import stratified_split
 from promptroute.functions.energy import energy_report
 from promptroute.plans.corpus_build import KEY
@@ -55,13 +56,20 @@ def split_report(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.split_report(stratified_split(dv.corpus(spark, d), KEY))
 
 
+def _labelled_workload(spark: SparkSession, d: str) -> DataFrame:
+    """The whole workload under the main labeller, written once."""
+    return materialise(label_corpus(dv.workload(spark, d)).drop("n"), "labeled")
+
+
 def classifier_scores(spark: SparkSession, d: str) -> DataFrame:
-    rows = dv.corpus(spark, d)
-    return classifier.score(rows, classifier.train(rows)).drop("prompt", "all_probs")
+    rows = _labelled_workload(spark, d)
+    scored = classifier.score(rows, classifier.train(rows, "prompt_id"))
+    return scored.drop("prompt", "all_probs")
 
 
 def classifier_evaluation(spark: SparkSession, d: str) -> DataFrame:
-    return train_and_evaluate(dv.corpus(spark, d))[1].select("n", "accuracy", "f1_macro", "f1_weighted")
+    report = train_and_evaluate(_labelled_workload(spark, d), "prompt_id")[1]
+    return report.select("n", "accuracy", "f1_macro", "f1_weighted")
 
 
 # ------------------------------------------------------------------ rules
@@ -152,7 +160,7 @@ def _record(spark: SparkSession, d: str, strict: bool) -> DataFrame:
         responses=dv.normalised(spark, d),
         strict_reference=strict,
     )
-    return routed.drop("all_probs", "fired_rules", "source_dataset", "classification_latency_ms")
+    return routed.drop("all_probs", "fired_rules", "classification_latency_ms")
 
 
 def routed_records(spark: SparkSession, d: str) -> DataFrame:
@@ -232,8 +240,7 @@ def workload_energy_rollup(spark: SparkSession, d: str) -> DataFrame:
 
 def daily_energy_rollup(spark: SparkSession, d: str) -> DataFrame:
     events = dv.event_predictions(dv.table(spark, d, "events"))
-    routed = route_workload(events).join(events.select("prompt_id", "ts"), "prompt_id")
-    return energy.daily_rollup(routed).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+    return energy.daily_rollup(route_workload(events, keep=["ts"])).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
 # ------------------------------------------------------------------ SQL

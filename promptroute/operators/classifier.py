@@ -64,12 +64,14 @@ def train(
     candidates: Sequence[float] = REGULARISATION,
     max_iter: int = 20,
     features: int = HASH_FEATURES,
+    aggregation_depth: int = 2,
 ) -> PipelineModel:
     """Fit on the training part of ``df`` and keep the candidate with the best macro F1 on the rest.
 
     ``df`` needs ``prompt``, ``source_dataset`` and ``complexity_label``; it is split here unless
     it has a ``split`` column.  The feature vectors are written once to the work folder and read
-    by every fit.  Gradients are summed as a tree, so the driver sees a few partial sums.
+    by every fit.  Gradients are summed as a tree of ``aggregation_depth``, so the driver sees a
+    few partial sums; a cluster with thousands of tasks wants a depth of 3.
     """
     if "split" not in df.columns:
         df = stratified_split(df, key)
@@ -83,7 +85,10 @@ def train(
     best = None
     for strength in candidates:
         fitted = LogisticRegression(
-            family="multinomial", regParam=strength, maxIter=max_iter, aggregationDepth=3
+            family="multinomial",
+            regParam=strength,
+            maxIter=max_iter,
+            aggregationDepth=aggregation_depth,
         ).fit(training)
         quality = macro_f1(with_prediction(fitted.transform(rest)))
         if best is None or quality > best[0]:

@@ -104,8 +104,9 @@ def workload_rollup(routed: DataFrame) -> DataFrame:
 
 def daily_rollup(routed: DataFrame, ts: str = "ts") -> DataFrame:
     """Energy per day, and what a year of such days would come to."""
-    per_day = _grouped(routed, F.date_trunc("day", F.col(ts)).alias("day"))
-    figures = per_day.groupBy("day").agg(*_figures())
+    figures = _grouped(routed, F.date_trunc("day", F.col(ts)).alias("day")).groupBy("day").agg(
+        *_figures()
+    )
     return figures.select(
         "*",
         F.round(F.col("energy_kwh") * DAYS_PER_YEAR, DIGITS).alias("kwh_per_year"),

@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from promptroute.operators.sampling import LABEL, SOURCE
+from promptroute.session import materialise
 
 
 def corpus_metadata(
     full: DataFrame, final: DataFrame, eval_set: DataFrame, judged: bool
 ) -> DataFrame:
     """One row: sizes, distribution maps and flags.  The final corpus is read once."""
-    cells = final.groupBy(SOURCE, LABEL).agg(F.count("*").alias("_n"))
+    # Written: a row per source and class, read three times below.
+    cells = materialise(final.groupBy(SOURCE, LABEL).agg(F.count("*").alias("_n")), "cells")
 
     def mix(col: str) -> DataFrame:
         counts = cells.filter(F.col(col).isNotNull()).groupBy(col).agg(F.sum("_n").alias("n"))

@@ -182,7 +182,8 @@ def preview(
     """``k`` rows, or ``k`` of each value of ``by``, with the prompt cut to ``width``."""
     shown = truncated(F.col(prompt), width)
     if by is None:
-        return df.orderBy(key).limit(k).withColumn(prompt, shown)
+        # Cut first: the rows that travel to the final sort are short.
+        return df.withColumn(prompt, shown).orderBy(key).limit(k)
     quota = F.least(F.col("total"), F.lit(k).cast("long"))
     picks = keep_within(df, key, [by], lambda t: t.withColumn("quota", quota), seed)
     order = Window.partitionBy(by).orderBy(hash_order(F.col(key), seed), key)

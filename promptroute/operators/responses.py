@@ -74,28 +74,34 @@ def normalise_responses(responses: DataFrame, models: DataFrame) -> DataFrame:
 
 
 def side_by_side(responses: DataFrame, panels: Sequence[str]) -> DataFrame:
-    """One row per prompt, with response and latency of each panel's model in columns."""
-    panel = F.lit(None).cast("int")
-    for i, model in reversed(list(enumerate(panels, 1))):
-        panel = F.when(F.col("model") == model, i).otherwise(panel)
-    shown = responses.filter(F.col("model").isin(*panels)).withColumn("_panel", panel)
-    return (
-        shown.groupBy("prompt_id")
-        .pivot("_panel", list(range(1, len(panels) + 1)))
+    """One row per prompt, with response and latency of each panel's model in columns.
+
+    One shuffle, on the prompt, of the panels' models alone.
+    """
+    shown = F.struct(
+        F.when(F.col("error").isNull(), "success").otherwise("error").alias("status"),
+        F.coalesce("error", "raw_response").alias("text"),
+        "latency_ms",
+    )
+    wide = (
+        responses.filter(F.col("model").isin(*panels))
+        .groupBy("prompt_id")
         .agg(
-            F.first("model").alias("model"),
-            F.first(F.when(F.col("error").isNull(), "success").otherwise("error")).alias("status"),
-            F.first(F.coalesce("error", "raw_response")).alias("text"),
-            F.first("latency_ms").alias("latency_ms"),
-        )
-        .withColumnsRenamed(
-            {
-                f"{i}_{c}": f"{c}_{i}"
-                for i in range(1, len(panels) + 1)
-                for c in ("model", "status", "text", "latency_ms")
-            }
+            *[
+                F.max(F.when(F.col("model") == model, shown)).alias(f"_{i}")
+                for i, model in enumerate(panels, 1)
+            ]
         )
     )
+    columns = [
+        column
+        for i, model in enumerate(panels, 1)
+        for column in (
+            F.lit(model).alias(f"model_{i}"),
+            *[F.col(f"_{i}.{c}").alias(f"{c}_{i}") for c in ("status", "text", "latency_ms")],
+        )
+    ]
+    return wide.select("prompt_id", *columns)
 
 
 def compare_pair(responses: DataFrame, small: str, large: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -122,6 +122,7 @@ def route_and_account(
     responses: DataFrame | None = None,
     recommend_only: bool = False,
     strict_reference: bool = False,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """The whole pass from predictions to routed records.
 
@@ -129,6 +130,7 @@ def route_and_account(
     narrow: one stage with lookups in two small tables.  With ``responses`` (normalised, one
     row per prompt and model) the answer of the chosen model is attached.  A failed or
     missing answer has no savings; ``strict_reference`` counts its energy as 0 instead.
+    ``keep`` names further columns of ``df`` to pass on.
     """
     chosen = with_size(with_choice(with_tiers(apply_rules(df), tiers), overrides), models)
     chosen = chosen.withColumn(
@@ -145,6 +147,7 @@ def route_and_account(
             "routed_model",
             "reasoning",
             F.lit(False).alias("auto_route"),
+            *keep,
         )
     none = F.lit(None)
     if responses is None:
@@ -196,7 +199,7 @@ def route_and_account(
         "all_probs",
         "rule_override",
         "fired_rules",
-        *[c for c in ("source_dataset",) if c in df.columns],
+        *keep,
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from promptroute.settings import LABELS, SMALL
@@ -21,8 +21,8 @@ def validation_table(predictions: DataFrame, comparisons: DataFrame) -> DataFram
 def validation_report(table: DataFrame) -> DataFrame:
     """Long report ``(metric, item, value)``; a metric that does not apply is left out.
 
-    One pass: the rows are reduced to one row of aggregates per predicted class, and the
-    report is unfolded from those.
+    One pass: the table is reduced to one row per predicted class, and the report is unfolded
+    from those few rows, the overall figures from the first of them.
     """
     tested = F.col("equivalent_quality").isNotNull()
     per_class = table.groupBy("predicted").agg(
@@ -33,36 +33,32 @@ def validation_report(table: DataFrame) -> DataFrame:
         F.avg(F.when(tested, F.col("energy_saved_pct"))).alias("saved_pct"),
         F.avg("confidence").alias("confidence"),
     )
-    small = F.col("predicted") == SMALL
-    known = F.col("predicted").isin(*LABELS)
+    classes = Window.partitionBy()
+    per_class = per_class.select(
+        "*",
+        F.sum("n").over(classes).alias("all"),
+        F.sum("right").over(classes).alias("all_right"),
+        (F.row_number().over(classes.orderBy("predicted")) == 1).alias("first"),
+    )
 
-    def line(metric: str, value, item=None):
+    def line(metric: str, value: Column, item: Column | None = None) -> Column:
         return F.struct(
             F.lit(metric).alias("metric"),
             (F.lit(None).cast("string") if item is None else item).alias("item"),
             value.cast("double").alias("value"),
         )
 
-    overall = per_class.agg(F.sum("n").alias("n"), F.sum("right").alias("right")).select(
-        F.inline(
-            F.array(
-                line("total_prompts", F.col("n")),
-                line("classifier_accuracy", F.col("right") / F.nullif(F.col("n"), F.lit(0))),
-            )
-        )
-    )
-    compared = small & (F.col("tested") > 0)
+    first, known = F.col("first"), F.col("predicted").isin(*LABELS)
+    compared = (F.col("predicted") == SMALL) & (F.col("tested") > 0)
     rate = F.col("equivalent") / F.nullif(F.col("tested"), F.lit(0))
-    by_class = per_class.select(
-        F.inline(
-            F.array(
-                line("count", F.when(known, F.col("n")), F.col("predicted")),
-                line("avg_confidence", F.when(known, F.col("confidence")), F.col("predicted")),
-                line("total_routed", F.when(compared, F.col("n"))),
-                line("total_tested", F.when(compared, F.col("tested"))),
-                line("equivalent_quality_rate", F.when(compared, rate)),
-                line("avg_energy_saved_pct", F.when(compared, F.col("saved_pct"))),
-            )
-        )
+    lines = F.array(
+        line("total_prompts", F.when(first, F.col("all"))),
+        line("classifier_accuracy", F.when(first, F.col("all_right") / F.col("all"))),
+        line("count", F.when(known, F.col("n")), F.col("predicted")),
+        line("avg_confidence", F.when(known, F.col("confidence")), F.col("predicted")),
+        line("total_routed", F.when(compared, F.col("n"))),
+        line("total_tested", F.when(compared, F.col("tested"))),
+        line("equivalent_quality_rate", F.when(compared, rate)),
+        line("avg_energy_saved_pct", F.when(compared, F.col("saved_pct"))),
     )
-    return overall.unionByName(by_class).filter(F.col("value").isNotNull())
+    return per_class.select(F.inline(lines)).filter(F.col("value").isNotNull())

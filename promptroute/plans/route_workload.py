@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 
@@ -10,12 +10,18 @@ from promptroute.operators.energy import workload_rollup
 from promptroute.operators.routing import model_registry, route_and_account, tier_table
 
 
-def route_workload(predictions: DataFrame, overrides: Mapping[str, str] | None = None) -> DataFrame:
+def route_workload(
+    predictions: DataFrame,
+    overrides: Mapping[str, str] | None = None,
+    keep: Sequence[str] = (),
+) -> DataFrame:
     """Routed record of every prompt, with the default tiers and models.  Narrow."""
     spark = predictions.sparkSession
-    return route_and_account(predictions, tier_table(spark), model_registry(spark), overrides)
+    return route_and_account(
+        predictions, tier_table(spark), model_registry(spark), overrides, keep=keep
+    )
 
 
 def workload_energy(predictions: DataFrame) -> DataFrame:
     """Class mix, energy and savings per class, source and in all.  One small shuffle."""
-    return workload_rollup(route_workload(predictions))
+    return workload_rollup(route_workload(predictions, keep=["source_dataset"]))

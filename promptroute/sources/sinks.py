@@ -19,8 +19,16 @@ CSV_OPTIONS = {
 }
 
 
-def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    """Overwrite ``path``; partition columns let later scans prune by source or class."""
+def write_parquet(
+    df: DataFrame, path: str, partition_by: Sequence[str] = (), compact: bool = False
+) -> None:
+    """Overwrite ``path``; partition columns let later scans prune by source or class.
+
+    Every task writes a file per partition value it holds.  ``compact`` shuffles the rows to
+    few files of even size instead, splitting a value that holds much of the table.
+    """
+    if compact:
+        df = df.hint("rebalance", *partition_by)
     writer = df.write.mode("overwrite")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,12 +35,13 @@ def score_stream(
     tiers: DataFrame,
     models: DataFrame,
     overrides: Mapping[str, str] | None = None,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """Rules, routing and accounting of a stream of predictions.
 
     The batch code itself: it is stateless, and its tables of tiers and models are static.
     """
-    return route_and_account(predictions, tiers, models, overrides)
+    return route_and_account(predictions, tiers, models, overrides, keep=keep)
 
 
 def join_registry(routed: DataFrame, models: DataFrame, model: str = "routed_model") -> DataFrame:
