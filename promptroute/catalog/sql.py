@@ -24,7 +24,11 @@ def listing(values) -> str:
     return "[" + ", ".join(text(v) for v in values) + "]"
 
 
-WS = st.WHITESPACE
+# What Python counts as whitespace, for RE2.
+WS = (
+    r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+)
 WORDS = f"len(regexp_extract_all(prompt, '[^{WS[1:]}+'))::int"
 
 

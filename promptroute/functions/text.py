@@ -13,9 +13,12 @@ from operator import add, or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from promptroute.settings import MAIN, WHITESPACE, WHITESPACE_CHARS, Lexicon
+from promptroute.settings import MAIN, WHITESPACE_CHARS, Lexicon
 
-_INDENTED_LINE = r"\n" + WHITESPACE + "{4}"
+# The same characters as a Java pattern.  Far faster than a class that lists them: (?U) makes \s
+# one test of the character's category; only the four separators \x1c-\x1f are not in it.
+WHITESPACE = r"(?U)[\s\x1c-\x1f]"
+_INDENTED_LINE = r"(?U)\n[\s\x1c-\x1f]{4}"
 
 
 def strip(text: Column) -> Column:

@@ -18,13 +18,8 @@ MATH_SOURCE = "gsm8k"
 GOLD_SOURCE = "supralabs"
 
 # ---------------------------------------------------------------- text
-# Characters Python's str.split()/str.strip() treat as whitespace: as a string, and as a regex
-# class that java.util.regex and RE2 read alike.
+# Characters Python's str.split() and str.strip() treat as whitespace.
 WHITESPACE_CHARS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
-WHITESPACE = (
-    r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-)
 
 
 # ---------------------------------------------------------------- labeller lexicons
