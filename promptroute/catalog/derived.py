@@ -13,6 +13,7 @@ from urllib.parse import urlparse
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from promptroute.functions.text import literal
 from promptroute.operators.responses import normalise_responses
 from promptroute.operators.routing import model_registry
 from promptroute.plans.corpus_build import KEY, label_and_combine
@@ -54,8 +55,18 @@ UNLISTED_MODEL = "unlisted:1b"
 EVENT_LABELS = {"click": "small", "signup": "small", "view": "medium", "error": "medium", "purchase": "large"}
 
 
+# Schemas of the given tables: with them a scan starts without a job that reads file footers.
+GIVEN = {
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+    "benchmark": "item_id bigint, text string",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(GIVEN[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,7 +76,8 @@ def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def pick(values: tuple[str, ...], index: Column) -> Column:
     """The ``index``-th (from 0) of some constants: a lookup in the plan, not a join."""
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
+    constants = F.expr(f"array({', '.join(map(literal, values))})")
+    return F.element_at(constants, (index + 1).cast("int"))
 
 
 def div(number: Column, by: int) -> Column:
@@ -94,21 +106,13 @@ def workload(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _with_prediction(df: DataFrame, label: Column) -> DataFrame:
     """Given label and confidence; the other two classes share the rest of the probability."""
-    rest = (1 - F.col("confidence")) / 2
-    probs = F.create_map(
-        *[
-            x
-            for name in LABELS
-            for x in (
-                F.lit(name),
-                F.when(F.col("predicted") == name, F.col("confidence")).otherwise(rest),
-            )
-        ]
+    shares = ", ".join(
+        f"'{name}', if(predicted = '{name}', confidence, (1 - confidence) / 2)" for name in LABELS
     )
     return (
         df.withColumn("predicted", label)
         .withColumn("confidence", (F.col("n") % 49) / 100 + F.lit(0.5))
-        .withColumn("all_probs", probs)
+        .withColumn("all_probs", F.expr(f"map({shares})"))
     )
 
 

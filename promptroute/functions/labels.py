@@ -21,35 +21,38 @@ def gold_label(choice: Column, score: Column) -> Column:
     )
 
 
-def reasoning_cue(text: Column, lowered: Column, lex: Lexicon = MAIN) -> Column:
-    """Does the prompt ask for reasoning?  Not looked up in long prompts, which are large anyway."""
-    return (tx.token_count(text) <= LONG_TOKENS) & tx.has_multi_step(lowered, lex)
+def reasoning_cue(text: str, lowered: str, lex: Lexicon = MAIN) -> Column:
+    """Does the prompt ask for reasoning?  Not looked up in long prompts, which are large anyway.
+
+    ``text`` and ``lowered`` are the names of columns, here and below.
+    """
+    return (tx.token_count(F.col(text)) <= LONG_TOKENS) & tx.has_multi_step(lowered, lex)
 
 
-def is_demanding(text: Column, lowered: Column, reasoning: Column, lex: Lexicon = MAIN) -> Column:
+def is_demanding(text: str, lowered: str, reasoning: Column, lex: Lexicon = MAIN) -> Column:
     """Reasoning, code blocks or mathematics; likewise not looked up in long prompts."""
-    signs = reasoning | tx.has_code_blocks(text, lex) | tx.has_math(text, lowered, lex)
-    return (tx.token_count(text) <= LONG_TOKENS) & signs
+    signs = reasoning | tx.has_code_blocks(F.col(text), lex) | tx.has_math(text, lowered, lex)
+    return (tx.token_count(F.col(text)) <= LONG_TOKENS) & signs
 
 
-def math_label(text: Column, reasoning: Column, lex: Lexicon = MAIN) -> Column:
-    short = tx.token_count(text) < 40
+def math_label(text: str, reasoning: Column, lex: Lexicon = MAIN) -> Column:
+    short = tx.token_count(F.col(text)) < 40
     if lex.math_reads_reasoning:
         short = short & ~reasoning
     return F.when(short, MEDIUM).otherwise(LARGE)
 
 
-def chat_label(text: Column, lowered: Column, demanding: Column, lex: Lexicon = MAIN) -> Column:
+def chat_label(text: str, lowered: str, demanding: Column, lex: Lexicon = MAIN) -> Column:
     """Label of a chat prompt.  The first branch that holds decides.
 
     Cheap length tests stand first in every conjunction: ``And`` stops at the first
     false operand, so long prompts skip the word lists of the short-prompt branches.
     """
-    tokens = tx.token_count(text)
+    tokens = tx.token_count(F.col(text))
     trivial = (tokens < 30) & ~(demanding | tx.has_code(lowered, lex))
     long = tokens > LONG_TOKENS
     if lex.many_questions is not None:
-        long = long | (tx.question_count(text) >= lex.many_questions)
+        long = long | (tx.question_count(F.col(text)) >= lex.many_questions)
     return (
         F.when((tokens < 50) & tx.is_simple(text, lowered, lex), SMALL)
         .when(trivial, SMALL)
@@ -59,8 +62,8 @@ def chat_label(text: Column, lowered: Column, demanding: Column, lex: Lexicon =
 
 
 def heuristic_label(
-    text: Column,
-    lowered: Column,
+    text: str,
+    lowered: str,
     source: Column,
     reasoning: Column,
     demanding: Column,

@@ -26,7 +26,7 @@ from promptroute.settings import (
 )
 
 
-def needed_features(lowered: Column, words: Column, predicted: Column, probs: Column) -> dict:
+def needed_features(lowered: str, words: Column, predicted: Column, probs: Column) -> dict:
     """Word-list features, each computed only on rows where a rule can use it.
 
     No rule touches a prompt predicted large, so those rows skip every word list; length
@@ -46,7 +46,7 @@ def needed_features(lowered: Column, words: Column, predicted: Column, probs: Co
     }
 
 
-def needed_code_features(lowered: Column, words: Column, code_hit: Column) -> dict:
+def needed_code_features(lowered: str, words: Column, code_hit: Column) -> dict:
     """Features that matter only for prompts that ask for code."""
     return {
         "tech_count": F.when(code_hit, count_hits(lowered, TECHNICAL_WORDS)),

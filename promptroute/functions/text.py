@@ -7,8 +7,6 @@ per row, and no higher-order function, which would end the codegen span.
 from __future__ import annotations
 
 from collections.abc import Iterable
-from functools import reduce
-from operator import add, or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -43,24 +41,35 @@ def word_count(text: Column) -> Column:
     return F.when(text == "", 0).otherwise(pieces - opens - closes)
 
 
+def literal(value: str) -> str:
+    """``value`` as a SQL string literal; raw, so that backslashes need no escape."""
+    quoted = value.replace("'", "''")
+    return f"r'{quoted}'" if "\\" in value else f"'{quoted}'"
+
+
 def _without_implied(words: Iterable[str]) -> list[str]:
     """Drop words that contain another word of the list: for an any-test they add nothing."""
     words = list(dict.fromkeys(words))
     return [w for w in words if not any(o != w and o in w for o in words)]
 
 
-def any_hit(text: Column, words: Iterable[str]) -> Column:
+# The lookups of a word list are written as one SQL expression over ``text``, a column name or
+# itself an expression: one call to the JVM instead of several per word.
+
+
+def any_hit(text: str, words: Iterable[str]) -> Column:
     """True if any word occurs anywhere in ``text`` (substring, not word, matching)."""
-    return reduce(or_, [text.contains(w) for w in _without_implied(words)], F.lit(False))
+    lookups = [f"contains({text}, {literal(w)})" for w in _without_implied(words)]
+    return F.expr(" OR ".join(lookups) or "false")
 
 
-def count_hits(text: Column, words: Iterable[str]) -> Column:
+def count_hits(text: str, words: Iterable[str]) -> Column:
     """How many distinct words of the list occur in ``text``."""
-    return reduce(add, [text.contains(w).cast("int") for w in words], F.lit(0))
+    return F.expr(" + ".join(f"CAST(contains({text}, {literal(w)}) AS INT)" for w in words) or "0")
 
 
-def starts_with_any(text: Column, words: Iterable[str]) -> Column:
-    return reduce(or_, [text.startswith(w) for w in words], F.lit(False))
+def starts_with_any(text: str, words: Iterable[str]) -> Column:
+    return F.expr(" OR ".join(f"startswith({text}, {literal(w)})" for w in words) or "false")
 
 
 def char_count(text: Column) -> Column:
@@ -81,22 +90,22 @@ def has_code_blocks(text: Column, lex: Lexicon = MAIN) -> Column:
     return fenced | text.rlike(_INDENTED_LINE) if lex.indented_code else fenced
 
 
-def has_multi_step(lowered: Column, lex: Lexicon = MAIN) -> Column:
+def has_multi_step(lowered: str, lex: Lexicon = MAIN) -> Column:
     return any_hit(lowered, lex.reasoning)
 
 
-def has_math(text: Column, lowered: Column, lex: Lexicon = MAIN) -> Column:
+def has_math(text: str, lowered: str, lex: Lexicon = MAIN) -> Column:
     """Symbols are looked up in the raw text, words in the lower-cased text."""
     return any_hit(text, lex.symbols) | any_hit(lowered, lex.math_words)
 
 
-def has_code(lowered: Column, lex: Lexicon = MAIN) -> Column:
+def has_code(lowered: str, lex: Lexicon = MAIN) -> Column:
     return any_hit(lowered, lex.code)
 
 
-def is_simple(text: Column, lowered: Column, lex: Lexicon = MAIN) -> Column:
+def is_simple(text: str, lowered: str, lex: Lexicon = MAIN) -> Column:
     """A lookup phrase within the first 50 characters (of a short prompt)."""
-    phrase = any_hit(F.substring(lowered, 1, 50), lex.simple)
+    phrase = any_hit(f"substring({lowered}, 1, 50)", lex.simple)
     if lex.simple_max_chars is None:
         return phrase
     return (F.length(text) < lex.simple_max_chars) & phrase

@@ -35,7 +35,7 @@ def _with_text(df: DataFrame, prompt: str = "prompt") -> DataFrame:
 
 def heuristic_features(df: DataFrame, lex: Lexicon = MAIN, prompt: str = "prompt") -> DataFrame:
     """``df`` with the eight features the labeller looks at."""
-    text, lowered = F.col("_text"), F.col("_lowered")
+    text, raw, lowered = F.col("_text"), "_text", "_lowered"
     return (
         _with_text(df, prompt)
         .select(
@@ -45,9 +45,9 @@ def heuristic_features(df: DataFrame, lex: Lexicon = MAIN, prompt: str = "prompt
             tx.has_code_blocks(text, lex).alias("has_code_blocks"),
             tx.question_count(text).alias("question_count"),
             tx.has_multi_step(lowered, lex).alias("has_multi_step"),
-            tx.has_math(text, lowered, lex).alias("has_math"),
+            tx.has_math(raw, lowered, lex).alias("has_math"),
             tx.has_code(lowered, lex).alias("has_code"),
-            tx.is_simple(text, lowered, lex).alias("is_simple"),
+            tx.is_simple(raw, lowered, lex).alias("is_simple"),
         )
     )
 
@@ -57,7 +57,7 @@ def rule_features(df: DataFrame, prompt: str = "prompt") -> DataFrame:
 
     ``apply_rules`` does not use this: it computes a feature only where a rule needs it.
     """
-    text, lowered = F.col("_text"), F.col("_lowered")
+    text, lowered = F.col("_text"), "_lowered"
     return (
         _with_text(df, prompt)
         .select(
@@ -82,7 +82,7 @@ def label_gold(df: DataFrame) -> DataFrame:
 
 def label_corpus(df: DataFrame, lex: Lexicon = MAIN) -> DataFrame:
     """``df`` with the heuristic label of each prompt; one narrow pass over the text."""
-    text, lowered, source = F.col("_text"), F.col("_lowered"), F.col("source_dataset")
+    text, lowered, source = "_text", "_lowered", F.col("source_dataset")
     reasoning, demanding = F.col("_reasoning"), F.col("_demanding")
     prompt = tx.present(F.col("prompt"))
     staged = df.select("*", prompt.alias("_text"), F.lower(prompt).alias("_lowered"))

@@ -21,7 +21,7 @@ def apply_rules(df: DataFrame, keep_outcomes: bool = False) -> DataFrame:
     stage.  They are separate so that each feature is computed once per row.
     """
     predicted, probs = F.col("predicted"), F.col("all_probs")
-    words, lowered = F.col("_words"), F.col("_lowered")
+    words = F.col("_words")
     columns = [c for c in df.columns if c != "confidence"]
     # A prompt predicted large is left as it is: its text is not even looked at.
     text, final = present(F.col("prompt")), predicted.eqNullSafe(LARGE)
@@ -30,10 +30,10 @@ def apply_rules(df: DataFrame, keep_outcomes: bool = False) -> DataFrame:
         F.when(final, "").otherwise(F.lower(text)).alias("_lowered"),
         F.when(final, 0).otherwise(word_count(text)).alias("_words"),
     )
-    first = rl.needed_features(lowered, words, predicted, probs)
-    staged = staged.select("*", *[c.alias(f"_{n}") for n, c in first.items()])
-    second = rl.needed_code_features(lowered, words, F.col("_code_hit"))
-    staged = staged.select("*", *[c.alias(f"_{n}") for n, c in second.items()]).drop("_lowered")
+    first = rl.needed_features("_lowered", words, predicted, probs)
+    staged = staged.withColumns({f"_{n}": c for n, c in first.items()})
+    second = rl.needed_code_features("_lowered", words, F.col("_code_hit"))
+    staged = staged.withColumns({f"_{n}": c for n, c in second.items()})
     outcomes = {
         "proof": rl.proof_rule(predicted, words, F.col("_proof_hit")),
         "length": rl.length_rule(predicted, words),
