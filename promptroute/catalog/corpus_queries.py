@@ -60,7 +60,7 @@ def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def corpus_metadata(spark: SparkSession, d: str) -> DataFrame:
-    full = materialise(dv.corpus(spark, d), "labeled")
+    full = _keys(spark, d)
     final = sampling.balance(full, KEY)
     sample = sampling.judge_sample(final, KEY, JUDGE_SIZE)
     return metadata.metadata_lines(metadata.corpus_metadata(full, final, sample, False))
@@ -172,16 +172,22 @@ def class_imbalance(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ sampling
+def _keys(spark: SparkSession, d: str) -> DataFrame:
+    """Keys, sources and labels of the corpus.  Written, since sampling reads them several times
+    and would otherwise label every text anew each time."""
+    return materialise(dv.corpus(spark, d).drop("prompt"), "keys")
+
+
 def balanced_corpus(spark: SparkSession, d: str) -> DataFrame:
-    return sampling.balance(dv.corpus(spark, d), KEY).drop("prompt")
+    return sampling.balance(_keys(spark, d), KEY)
 
 
 def judge_sample(spark: SparkSession, d: str) -> DataFrame:
-    return sampling.judge_sample(dv.corpus(spark, d), KEY, JUDGE_SIZE).drop("prompt")
+    return sampling.judge_sample(_keys(spark, d), KEY, JUDGE_SIZE)
 
 
 def stratified_split(spark: SparkSession, d: str) -> DataFrame:
-    return sampling.stratified_split(dv.corpus(spark, d), KEY).drop("prompt")
+    return sampling.stratified_split(_keys(spark, d), KEY)
 
 
 def hashed_split(spark: SparkSession, d: str) -> DataFrame:
@@ -189,7 +195,7 @@ def hashed_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sample_per_class(spark: SparkSession, d: str) -> DataFrame:
-    return sampling.sample_per_class(dv.corpus(spark, d), KEY, PER_CLASS).drop("prompt")
+    return sampling.sample_per_class(_keys(spark, d), KEY, PER_CLASS)
 
 
 # ------------------------------------------------------------------ judge
@@ -197,24 +203,23 @@ def judge_requests(spark: SparkSession, d: str) -> DataFrame:
     return judge.judge_requests(dv.corpus(spark, d), KEY)
 
 
-def _verdicts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    rows = dv.corpus(spark, d)
-    return rows, judge.parse_verdicts(dv.judge_replies(rows), KEY)
+def _verdicts(rows: DataFrame) -> DataFrame:
+    return judge.parse_verdicts(dv.judge_replies(rows), KEY)
 
 
 def judge_verdicts(spark: SparkSession, d: str) -> DataFrame:
-    return _verdicts(spark, d)[1]
+    return _verdicts(dv.corpus(spark, d))
 
 
 def judged_sample(spark: SparkSession, d: str) -> DataFrame:
-    rows, verdicts = _verdicts(spark, d)
+    rows = _keys(spark, d)
     sample = sampling.judge_sample(rows, KEY, JUDGE_SIZE)
-    return judge.attach_verdicts(sample, KEY, verdicts).drop("prompt")
+    return judge.attach_verdicts(sample, KEY, _verdicts(rows))
 
 
 def judge_agreement(spark: SparkSession, d: str) -> DataFrame:
-    rows, verdicts = _verdicts(spark, d)
-    return _rounded(judge.agreement(judge.attach_verdicts(rows, KEY, verdicts)))
+    rows = _keys(spark, d)
+    return _rounded(judge.agreement(judge.attach_verdicts(rows, KEY, _verdicts(rows))))
 
 
 # ------------------------------------------------------------------ SQL

@@ -170,16 +170,21 @@ def chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chat_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nested chat records; the language of a conversation is that of the document with its id."""
+    """Nested chat records of the opening and the closing turn of each conversation.
+
+    Its language is that of the document with its id.  A record holds two turns however long the
+    conversation is.
+    """
     turn = F.struct("turn", "role", F.col("text").alias("content"))
     talks = (
         chat_turns(spark, sf_dir)
         .groupBy("conv_id")
-        .agg(F.array_sort(F.collect_list(turn)).alias("_turns"))
+        .agg(F.min(turn).alias("_opening"), F.max(turn).alias("_closing"))
         .select(
             "conv_id",
-            F.transform(
-                "_turns", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))
+            F.array(
+                F.struct("_opening.role", "_opening.content"),
+                F.struct("_closing.role", "_closing.content"),
             ).alias("conversation"),
         )
     )

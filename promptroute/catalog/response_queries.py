@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from promptroute.catalog import derived as dv
 from promptroute.catalog import sql as q
 from promptroute.catalog.corpus_queries import _rounded
-from promptroute.functions.replies import parse_reply
 from promptroute.functions.wording import SENTIMENT_TEMPLATE
 from promptroute.operators import responses as rs
 from promptroute.operators import routing
@@ -32,9 +31,7 @@ def request_texts(spark: SparkSession, d: str) -> DataFrame:
 
 def parsed_replies(spark: SparkSession, d: str) -> DataFrame:
     replies = dv.responses(spark, d).filter("error is null")
-    return replies.select("prompt_id", "model", parse_reply(F.col("raw_response")).alias("r")).select(
-        "prompt_id", "model", "r.*"
-    )
+    return rs.parse_replies(replies).select("prompt_id", "model", "label", "confidence", "ok")
 
 
 def normalised_responses(spark: SparkSession, d: str) -> DataFrame:

@@ -53,7 +53,7 @@ def evaluation_file(spark: SparkSession, d: str) -> DataFrame:
 
 
 def split_report(spark: SparkSession, d: str) -> DataFrame:
-    return evaluation.split_report(stratified_split(dv.corpus(spark, d), KEY))
+    return evaluation.split_report(stratified_split(dv.corpus(spark, d).drop("prompt"), KEY))
 
 
 def _labelled_workload(spark: SparkSession, d: str) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from promptroute.functions.text import strip
 from promptroute.settings import LARGE, MEDIUM, SMALL
 
 # Where a reply states its confidence, in order of precedence.
@@ -32,18 +31,33 @@ def _as_share(value: Column) -> Column:
     return F.when(value > 1, value / 100).otherwise(value)
 
 
-def reply_confidence(reply: Column) -> Column:
-    """Confidence stated in a reply, or NULL.
+def stated_number(reply: Column) -> Column:
+    """The number after the word confidence."""
+    return _number(F.lower(reply), STATED_CONFIDENCE)
+
+
+def percentage(reply: Column) -> Column:
+    """The first number before a percent sign."""
+    return _number(reply, PERCENTAGE)
+
+
+def bare_number(reply: Column) -> Column:
+    """The first number that stands alone."""
+    return _number(reply, BARE_NUMBER)
+
+
+def confidence_of(stated: Column, percent: Column, bare: Column) -> Column:
+    """Confidence from the numbers found, or NULL.
 
-    An explicit statement counts first, then a percentage, then the first bare number
-    if it lies between 0 and 100.
+    An explicit statement counts first, then a percentage, then a bare number if it lies between
+    0 and 100.
     """
-    bare = _number(reply, BARE_NUMBER)
-    return F.coalesce(
-        _as_share(_number(F.lower(reply), STATED_CONFIDENCE)),
-        _number(reply, PERCENTAGE) / 100,
-        F.when(bare.between(0, 100), _as_share(bare)),
-    )
+    plausible = F.when(bare.between(0, 100), _as_share(bare))
+    return F.coalesce(_as_share(stated), percent / 100, plausible)
+
+
+def reply_confidence(reply: Column) -> Column:
+    return confidence_of(stated_number(reply), percentage(reply), bare_number(reply))
 
 
 def reply_sentiment(reply: Column) -> Column:
@@ -55,22 +69,18 @@ def reply_sentiment(reply: Column) -> Column:
     )
 
 
-def parse_reply(reply: Column) -> Column:
-    """Struct (label, confidence, ok); a reply that lacks either part is not ok."""
-    label, confidence = reply_sentiment(reply), reply_confidence(reply)
+def verdict_of(label: Column, confidence: Column) -> dict[str, Column]:
+    """``label``, ``confidence`` and ``ok``; a reply that lacks either part is not ok."""
     ok = label.isNotNull() & confidence.isNotNull()
     clamped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), confidence))
-    return F.struct(
-        F.when(ok, label).otherwise("NEUTRAL").alias("label"),
-        F.when(ok, clamped).otherwise(0.0).alias("confidence"),
-        ok.alias("ok"),
-    )
+    return {
+        "label": F.when(ok, label).otherwise("NEUTRAL"),
+        "confidence": F.when(ok, clamped).otherwise(0.0),
+        "ok": ok,
+    }
 
 
-__all__ = [
-    "parse_reply",
-    "parse_verdict",
-    "reply_confidence",
-    "reply_sentiment",
-    "strip",
-]
+def parse_reply(reply: Column) -> Column:
+    """Struct (label, confidence, ok) of a reply."""
+    parts = verdict_of(reply_sentiment(reply), reply_confidence(reply))
+    return F.struct(*[c.alias(name) for name, c in parts.items()])

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from promptroute.functions import energy as en
-from promptroute.functions.replies import parse_reply
+from promptroute.functions import replies as rp
 from promptroute.functions.text import strip
 from promptroute.functions.wording import SENTIMENT_TEMPLATE, sentiment_text
+from promptroute.operators.once import with_computed_once
+from promptroute.session import materialise
 from promptroute.settings import (
     DEFAULT_TIMEOUT_S,
     ERROR_FORMAT,
@@ -37,6 +39,28 @@ def with_request_text(
     return requests.withColumn("request", sentiment_text(F.col(prompt), template))
 
 
+def parse_replies(replies: DataFrame, reply: str = "raw_response") -> DataFrame:
+    """``replies`` with ``label``, ``confidence`` and ``ok``.
+
+    Gives what ``parse_reply`` gives, in steps: each pattern is searched once, a later pattern
+    only if the earlier ones are not found, and nothing again by later filters.
+    """
+    text, stated, percent, bare = (F.col(c) for c in (reply, "_stated", "_percent", "_bare"))
+    found = (
+        replies.withColumn("_stated", rp.stated_number(text))
+        .withColumn("_percent", F.when(stated.isNull(), rp.percentage(text)))
+        .withColumn("_bare", F.when(F.coalesce(stated, percent).isNull(), rp.bare_number(text)))
+    )
+    parts = {
+        "_label": rp.reply_sentiment(text),
+        "_confidence": rp.confidence_of(stated, percent, bare),
+    }
+    once = with_computed_once(found, parts)
+    kept = [c for c in replies.columns if c not in ("label", "confidence", "ok")]
+    verdict = rp.verdict_of(F.col("_label"), F.col("_confidence"))
+    return once.select(*kept, *[c.alias(name) for name, c in verdict.items()])
+
+
 def normalise_responses(responses: DataFrame, models: DataFrame) -> DataFrame:
     """Logged replies to one uniform row each.
 
@@ -45,31 +69,27 @@ def normalise_responses(responses: DataFrame, models: DataFrame) -> DataFrame:
     error text.
     """
     info = models.select(F.col("model_id").alias("model"), "name", "size_gb")
-    joined = responses.join(info, "model", "left")
     text = strip(F.coalesce(F.col("raw_response"), F.lit("")))
-    parsed = joined.withColumn("raw_response", F.when(F.col("error").isNull(), text)).withColumn(
-        "_reply", parse_reply(F.col("raw_response"))
-    )
+    readable = responses.withColumn("raw_response", F.when(F.col("error").isNull(), text))
+    parsed = parse_replies(readable).join(info, "model", "left")
+    registered, failure = F.col("name").isNotNull(), F.col("error")
     unknown = F.concat(F.lit("Model "), F.col("model"), F.lit(" not found"))
-    registered = F.col("name").isNotNull()
-    error = (
-        F.when(~registered, unknown)
-        .when(F.col("error").isNotNull(), F.col("error"))
-        .when(~F.col("_reply.ok"), F.lit(ERROR_FORMAT))
+    error = F.when(~registered, unknown).otherwise(
+        F.coalesce(failure, F.when(~F.col("ok"), ERROR_FORMAT))
     )
-    ok = F.col("_error").isNull()
-    energy = F.when(ok, en.energy_kwh(F.col("size_gb"))).otherwise(0.0)
-    return parsed.withColumn("_error", error).select(
+    served = registered & failure.isNull() & F.col("ok")
+    energy = F.when(served, en.energy_kwh(F.col("size_gb"))).otherwise(0.0)
+    return parsed.select(
         "prompt_id",
         "model",
         F.when(registered, F.col("name")).otherwise("Unknown").alias("model_name"),
-        F.when(ok, F.col("_reply.label")).otherwise("ERROR").alias("label"),
-        F.when(ok, F.col("_reply.confidence")).otherwise(0.0).alias("confidence"),
+        F.when(served, F.col("label")).otherwise("ERROR").alias("label"),
+        F.when(served, F.col("confidence")).otherwise(0.0).alias("confidence"),
         F.when(registered, F.coalesce("latency_ms", F.lit(0.0))).otherwise(0.0).alias("latency_ms"),
         energy.alias("energy_kwh"),
         en.co2_kg(energy).alias("co2_kg"),
         F.when(registered, F.col("raw_response")).alias("raw_response"),
-        F.col("_error").alias("error"),
+        error.alias("error"),
     )
 
 
@@ -144,21 +164,30 @@ LEADERBOARD_WEIGHTS = {"confidence": 0.4, "energy_kwh": 0.3, "latency_ms": 0.2,
 def leaderboard(responses: DataFrame) -> DataFrame:
     """The best model of each prompt by weighted confidence, energy, speed and carbon.
 
-    Cost figures count by their distance from the worst model of the same prompt.  The two
-    windows share one shuffle, on the prompt: a group is as large as the model fleet.
+    Cost figures count by their distance from the worst model of the same prompt.  A window over
+    the prompt would put all its rows into one task, however many there are.  So the few columns
+    needed are written, the worst figures found by a combined aggregate, and joined back: a join
+    of two written tables, in which a hot prompt is split at run time.
     """
-    same_prompt = Window.partitionBy("prompt_id")
+    costs = ("energy_kwh", "latency_ms", "co2_kg")
+    good = materialise(
+        responses.filter(F.col("error").isNull()).select(
+            "prompt_id", "model", "label", "confidence", *costs
+        ),
+        "good",
+    )
+    worst = materialise(
+        good.groupBy("prompt_id").agg(*[F.max(c).alias(f"_{c}") for c in costs]), "worst"
+    )
     score = F.col("confidence") * LEADERBOARD_WEIGHTS["confidence"]
-    for cost in ("energy_kwh", "latency_ms", "co2_kg"):
-        worst = F.max(cost).over(same_prompt)
-        merit = F.when(worst > 0, 1 - F.col(cost) / F.nullif(worst, F.lit(0.0))).otherwise(1.0)
-        score = score + merit * LEADERBOARD_WEIGHTS[cost]
-    scored = responses.filter(F.col("error").isNull()).withColumn("score", F.round(score * 100, 6))
-    best = same_prompt.orderBy(F.col("score").desc(), "model")
-    return (
-        scored.withColumn("_rank", F.row_number().over(best))
-        .filter(F.col("_rank") == 1)
-        .select("prompt_id", "model", "label", "confidence", "score")
+    for cost in costs:
+        most = F.col(f"_{cost}")
+        share = F.col(cost) / F.nullif(most, F.lit(0.0))
+        score = score + F.when(most > 0, 1 - share).otherwise(1.0) * LEADERBOARD_WEIGHTS[cost]
+    ranked = F.struct((-F.round(score * 100, 6)).alias("loss"), "model", "label", "confidence")
+    best = good.join(worst, "prompt_id").groupBy("prompt_id").agg(F.min(ranked).alias("best"))
+    return best.select(
+        "prompt_id", "best.model", "best.label", "best.confidence", (-F.col("best.loss")).alias("score")
     )
 
 

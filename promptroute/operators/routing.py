@@ -17,7 +17,6 @@ from promptroute.settings import (
     BASELINE_MODEL,
     BASELINE_SIZE_GB,
     DEFAULT_TIER,
-    DEFAULT_TIMEOUT_S,
     ENERGY_PER_GB_KWH,
     LABELS,
     MODELS,

@@ -10,7 +10,7 @@ from promptroute.functions.text import strip, truncated
 from promptroute.functions.wording import judge_text, percent
 from promptroute.operators import routing
 from promptroute.operators.energy import with_bands
-from promptroute.operators.responses import normalise_responses
+from promptroute.operators.responses import normalise_responses, parse_replies
 
 REPLIES = [
     ("Sentiment: POSITIVE\nConfidence: 85", "POSITIVE", 0.85, True),
@@ -36,6 +36,9 @@ def test_replies(spark):
     df = spark.createDataFrame([(i, r[0]) for i, r in enumerate(REPLIES)], "id long, t string")
     out = df.select("id", parse_reply(F.col("t")).alias("r")).orderBy("id").select("r.*").collect()
     assert [tuple(r) for r in out] == [r[1:] for r in REPLIES]
+    staged = parse_replies(df.withColumn("label", F.lit("old")), "t").orderBy("id")
+    assert staged.columns == ["id", "t", "label", "confidence", "ok"]
+    assert [tuple(r)[2:] for r in staged.collect()] == [r[1:] for r in REPLIES]
 
 
 def test_verdicts(spark):
