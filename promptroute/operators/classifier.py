@@ -6,7 +6,16 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, SQLTransformer, VectorAssembler
+from pyspark.ml.feature import (
+    IDF,
+    Bucketizer,
+    HashingTF,
+    Interaction,
+    OneHotEncoder,
+    RegexTokenizer,
+    SQLTransformer,
+    VectorAssembler,
+)
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +23,7 @@ from pyspark.sql import functions as F
 from promptroute.functions.labels import id_label
 from promptroute.operators.corpus import encode_labels, heuristic_features
 from promptroute.operators.evaluation import confusion, metrics
+from promptroute.operators.once import with_computed_once
 from promptroute.operators.sampling import stratified_split
 from promptroute.session import materialise
 from promptroute.settings import LABELS
@@ -30,11 +40,17 @@ NUMERIC = (
     "has_code",
     "is_simple",
 )
-REGULARISATION = (0.001, 0.01, 0.1)
+FLAGS = ("has_code_blocks", "has_multi_step", "has_math", "has_code", "is_simple")
+# Edges of the length bands, in estimated tokens: a linear model cannot bend at a length otherwise.
+LENGTH_BANDS = (0, 5, 10, 20, 30, 40, 50, 75, 100, 150, 200, 300, 500, 1000, float("inf"))
+REGULARISATION = (0.001, 0.003, 0.01)
+# Half L1: most hashed words say nothing about the class and should weigh nothing.
+ELASTIC_NET = 0.5
 
 
 def feature_pipeline(max_tokens: int = MAX_TOKENS, features: int = HASH_FEATURES) -> Pipeline:
-    """Lower-cased words (the first ``max_tokens``) as hashed TF-IDF, plus the text features."""
+    """Lower-cased words (the first ``max_tokens``) as hashed TF-IDF, plus the text features, the
+    length band, and each yes/no feature within each band."""
     return Pipeline(
         stages=[
             RegexTokenizer(
@@ -45,7 +61,13 @@ def feature_pipeline(max_tokens: int = MAX_TOKENS, features: int = HASH_FEATURES
             ),
             HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=features),
             IDF(inputCol="_tf", outputCol="_tfidf", minDocFreq=2),
-            VectorAssembler(inputCols=["_tfidf", *NUMERIC], outputCol="features"),
+            Bucketizer(inputCol="token_count", outputCol="_band", splits=list(LENGTH_BANDS)),
+            OneHotEncoder(inputCol="_band", outputCol="_bands", handleInvalid="keep"),
+            VectorAssembler(inputCols=list(FLAGS), outputCol="_flags"),
+            Interaction(inputCols=["_bands", "_flags"], outputCol="_banded_flags"),
+            VectorAssembler(
+                inputCols=["_tfidf", "_bands", "_banded_flags", *NUMERIC], outputCol="features"
+            ),
         ]
     )
 
@@ -62,7 +84,7 @@ def train(
     df: DataFrame,
     key: str = "row_key",
     candidates: Sequence[float] = REGULARISATION,
-    max_iter: int = 20,
+    max_iter: int = 25,
     features: int = HASH_FEATURES,
     aggregation_depth: int = 2,
 ) -> PipelineModel:
@@ -87,6 +109,7 @@ def train(
         fitted = LogisticRegression(
             family="multinomial",
             regParam=strength,
+            elasticNetParam=ELASTIC_NET,
             maxIter=max_iter,
             aggregationDepth=aggregation_depth,
         ).fit(training)
@@ -99,14 +122,15 @@ def train(
 def with_prediction(transformed: DataFrame) -> DataFrame:
     """Model output to ``predicted``, ``confidence`` and ``all_probs``."""
     probs = F.col("_probs")
+    outputs = {"_probs": vector_to_array("probability"), "_class": F.col("prediction").cast("int")}
     return (
-        transformed.withColumn("_probs", vector_to_array("probability"))
-        .withColumn("predicted", id_label(F.col("prediction").cast("int")))
+        with_computed_once(transformed, outputs)
+        .withColumn("predicted", id_label(F.col("_class")))
         .withColumn("confidence", F.array_max(probs))
         .withColumn(
             "all_probs", F.map_from_arrays(F.array(*[F.lit(name) for name in LABELS]), probs)
         )
-        .drop("_probs")
+        .drop("_probs", "_class")
     )
 
 
