@@ -79,13 +79,15 @@ def _event_stream(spark: SparkSession, d: str) -> DataFrame:
     return dv.event_predictions(online.read_stream(spark, folder, schema, pattern))
 
 
-def _routed_stream(spark: SparkSession, d: str, *keep: str) -> DataFrame:
+def _routed_stream(spark: SparkSession, d: str, every_rule: bool = False, keep=()) -> DataFrame:
     tiers, models = routing.tier_table(spark), routing.model_registry(spark)
-    return online.score_stream(_event_stream(spark, d), tiers, models, keep=keep)
+    return online.score_stream(
+        _event_stream(spark, d), tiers, models, every_rule=every_rule, keep=keep
+    )
 
 
 def stream_scores(spark: SparkSession, d: str) -> DataFrame:
-    scored = online.run_to_table(_routed_stream(spark, d).drop("all_probs"), "scores")
+    scored = online.run_to_table(_routed_stream(spark, d, every_rule=True).drop("all_probs"), "scores")
     return scored.select(
         "prompt_id",
         "complexity",
@@ -106,7 +108,7 @@ def stream_registry_join(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_window_energy(spark: SparkSession, d: str) -> DataFrame:
-    totals = online.run_totals_to_table(online.window_energy(_routed_stream(spark, d, "ts")), "windows")
+    totals = online.run_totals_to_table(online.window_energy(_routed_stream(spark, d, keep=["ts"])), "windows")
     return _rounded(totals.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm")), 12)
 
 

@@ -74,11 +74,16 @@ def classifier_evaluation(spark: SparkSession, d: str) -> DataFrame:
 
 # ------------------------------------------------------------------ rules
 def _ruled(spark: SparkSession, d: str) -> DataFrame:
+    """Labels after the rules, without the record of the rules that fired."""
+    return rules.apply_rules(dv.predictions(spark, d), every_rule=False)
+
+
+def _audited(spark: SparkSession, d: str) -> DataFrame:
     return rules.apply_rules(dv.predictions(spark, d), keep_outcomes=True)
 
 
 def rule_layer(spark: SparkSession, d: str) -> DataFrame:
-    return _ruled(spark, d).select(
+    return _audited(spark, d).select(
         "prompt_id",
         "predicted",
         *[f"rule_{n}" for n in rules.RULES],
@@ -90,7 +95,7 @@ def rule_layer(spark: SparkSession, d: str) -> DataFrame:
 
 
 def override_audit(spark: SparkSession, d: str) -> DataFrame:
-    return rules.override_audit(_ruled(spark, d))
+    return rules.override_audit(_audited(spark, d))
 
 
 def label_transitions(spark: SparkSession, d: str) -> DataFrame:
@@ -98,12 +103,12 @@ def label_transitions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rule_fire_counts(spark: SparkSession, d: str) -> DataFrame:
-    return rules.fire_counts(_ruled(spark, d))
+    return rules.fire_counts(_audited(spark, d))
 
 
 # ------------------------------------------------------------------ routing
 def _routed(spark: SparkSession, d: str) -> DataFrame:
-    return route_workload(dv.predictions(spark, d))
+    return route_workload(dv.predictions(spark, d), every_rule=False)
 
 
 def registry_usage(spark: SparkSession, d: str) -> DataFrame:
@@ -138,7 +143,7 @@ def tier_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chosen_models(spark: SparkSession, d: str) -> DataFrame:
-    return route_workload(dv.predictions(spark, d), OVERRIDES).select(
+    return route_workload(dv.predictions(spark, d), OVERRIDES, every_rule=False).select(
         "prompt_id", "complexity", "routed_model", "model_name", "energy_kwh", "green_score"
     )
 
@@ -240,7 +245,7 @@ def workload_energy_rollup(spark: SparkSession, d: str) -> DataFrame:
 
 def daily_energy_rollup(spark: SparkSession, d: str) -> DataFrame:
     events = dv.event_predictions(dv.table(spark, d, "events"))
-    return energy.daily_rollup(route_workload(events, keep=["ts"])).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+    return energy.daily_rollup(route_workload(events, every_rule=False, keep=["ts"])).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
 # ------------------------------------------------------------------ SQL

@@ -26,18 +26,30 @@ from promptroute.settings import (
 )
 
 
-def needed_features(lowered: str, words: Column, predicted: Column, probs: Column) -> dict:
+def needed_features(
+    lowered: str, words: Column, predicted: Column, probs: Column, every_rule: bool = True
+) -> dict:
     """Word-list features, each computed only on rows where a rule can use it.
 
     No rule touches a prompt predicted large, so those rows skip every word list; length
     and label tests stand before the word lists for the same reason.
+
+    Without ``every_rule`` only rules that can still decide are looked at.  A medium prompt of
+    more than 120 words becomes large by its length, whatever else fires; for a small one of more
+    than 100 words the length rule outweighs the proof rule and agrees with the depth rule, and
+    from 80 words on it outweighs the proof rule.
     """
     small, medium = predicted == SMALL, predicted == MEDIUM
+    small_proof = small_depth = small
     open_to_raise = ~predicted.eqNullSafe(LARGE)
+    if not every_rule:
+        small_proof, small_depth = small & (words <= 80), small & (words <= 100)
+        medium = medium & (words <= 120)
+        open_to_raise = small | (open_to_raise & (words <= 120))
     medium_share = F.coalesce(F.try_element_at(probs, F.lit(MEDIUM)), F.lit(0.0))
     return {
-        "proof_hit": (small | (medium & (words > 20))) & any_hit(lowered, PROOF_WORDS),
-        "depth_count": F.when(small | medium, count_hits(lowered, DEPTH_WORDS)),
+        "proof_hit": (small_proof | (medium & (words > 20))) & any_hit(lowered, PROOF_WORDS),
+        "depth_count": F.when(small_depth | medium, count_hits(lowered, DEPTH_WORDS)),
         "step_count": F.when(
             small & (words > 30) & (medium_share > 0.1), count_hits(lowered, STEP_WORDS)
         ),

@@ -33,14 +33,6 @@ def present(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
-def word_count(text: Column) -> Column:
-    """Number of whitespace-separated words."""
-    pieces = F.size(F.split(text, f"{WHITESPACE}+"))
-    opens = F.substring(text, 1, 1).rlike(WHITESPACE).cast("int")
-    closes = F.substring(text, -1, 1).rlike(WHITESPACE).cast("int")
-    return F.when(text == "", 0).otherwise(pieces - opens - closes)
-
-
 def literal(value: str) -> str:
     """``value`` as a SQL string literal; raw, so that backslashes need no escape."""
     quoted = value.replace("'", "''")
@@ -53,7 +45,7 @@ def _without_implied(words: Iterable[str]) -> list[str]:
     return [w for w in words if not any(o != w and o in w for o in words)]
 
 
-# The lookups of a word list are written as one SQL expression over ``text``, a column name or
+# The lookups of word lists and separators are written as one SQL expression over ``text``, a column name or
 # itself an expression: one call to the JVM instead of several per word.
 
 
@@ -72,6 +64,23 @@ def starts_with_any(text: str, words: Iterable[str]) -> Column:
     return F.expr(" OR ".join(f"startswith({text}, {literal(w)})" for w in words) or "false")
 
 
+def word_count(text: str, exact_to: int | None = None) -> Column:
+    """Number of whitespace-separated words.
+
+    With ``exact_to`` counting ends soon after that many words: the result is exact up to it, and
+    some larger number for every longer text, so a comparison with any number up to it comes out
+    the same.
+    """
+    # Three pieces more than words: the rest of the text, and an empty piece at either end.
+    limit = -1 if exact_to is None else exact_to + 4
+    column = F.expr(text)
+    pieces = F.size(F.split(column, f"{WHITESPACE}+", limit))
+    opens = F.substring(column, 1, 1).rlike(WHITESPACE).cast("int")
+    # Taking the last character would walk through the whole text.
+    closes = F.expr(" OR ".join(f"endswith({text}, {literal(c)})" for c in WHITESPACE_CHARS))
+    return F.when(column == "", 0).otherwise(pieces - opens - closes.cast("int"))
+
+
 def char_count(text: Column) -> Column:
     return F.length(text)
 

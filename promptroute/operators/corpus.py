@@ -62,7 +62,7 @@ def rule_features(df: DataFrame, prompt: str = "prompt") -> DataFrame:
         _with_text(df, prompt)
         .select(
             *df.columns,
-            tx.word_count(text).alias("word_count"),
+            tx.word_count("_text").alias("word_count"),
             tx.any_hit(lowered, PROOF_WORDS).alias("proof_hit"),
             tx.count_hits(lowered, DEPTH_WORDS).alias("depth_count"),
             tx.count_hits(lowered, STEP_WORDS).alias("step_count"),

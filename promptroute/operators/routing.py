@@ -121,6 +121,7 @@ def route_and_account(
     responses: DataFrame | None = None,
     recommend_only: bool = False,
     strict_reference: bool = False,
+    every_rule: bool = True,
     keep: Sequence[str] = (),
 ) -> DataFrame:
     """The whole pass from predictions to routed records.
@@ -129,9 +130,11 @@ def route_and_account(
     narrow: one stage with lookups in two small tables.  With ``responses`` (normalised, one
     row per prompt and model) the answer of the chosen model is attached.  A failed or
     missing answer has no savings; ``strict_reference`` counts its energy as 0 instead.
+    Without ``every_rule`` the record does not say which rules fired, and routing is faster.
     ``keep`` names further columns of ``df`` to pass on.
     """
-    chosen = with_size(with_choice(with_tiers(apply_rules(df), tiers), overrides), models)
+    ruled = apply_rules(df, every_rule=every_rule and not recommend_only)
+    chosen = with_size(with_choice(with_tiers(ruled, tiers), overrides), models)
     chosen = chosen.withColumn(
         "reasoning",
         explain_choice(
@@ -197,7 +200,7 @@ def route_and_account(
         "reasoning",
         "all_probs",
         "rule_override",
-        "fired_rules",
+        *(["fired_rules"] if every_rule else []),
         *keep,
     )
 

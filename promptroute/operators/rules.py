@@ -13,24 +13,29 @@ from promptroute.settings import LARGE
 RULES = ("proof", "length", "depth", "steps", "code", "academic")
 
 
-def apply_rules(df: DataFrame, keep_outcomes: bool = False) -> DataFrame:
+def apply_rules(
+    df: DataFrame, every_rule: bool = True, keep_outcomes: bool = False
+) -> DataFrame:
     """``(prompt, predicted, confidence, all_probs)`` plus the label after the rules.
 
     Adds ``complexity``, ``rule_override``, ``fired_rules`` and the capped ``confidence``;
-    with ``keep_outcomes`` also the outcome of each rule.  Narrow: a few projections in one
+    with ``keep_outcomes`` also the outcome of each rule.  Without ``every_rule`` the label is the
+    same, but rules that could not change it are not looked at, which saves most lookups in long
+    prompts; which rules fired is then not known, and not given.  Narrow: a few projections in one
     stage.  They are separate so that each feature is computed once per row.
     """
     predicted, probs = F.col("predicted"), F.col("all_probs")
     words = F.col("_words")
     columns = [c for c in df.columns if c != "confidence"]
     # A prompt predicted large is left as it is: its text is not even looked at.
-    text, final = present(F.col("prompt")), predicted.eqNullSafe(LARGE)
-    staged = df.select(
+    final, text = predicted.eqNullSafe(LARGE), F.col("_text")
+    staged = df.select("*", present(F.col("prompt")).alias("_text"))
+    staged = staged.select(
         "*",
         F.when(final, "").otherwise(F.lower(text)).alias("_lowered"),
-        F.when(final, 0).otherwise(word_count(text)).alias("_words"),
+        F.when(final, 0).otherwise(word_count("_text", exact_to=120)).alias("_words"),
     )
-    first = rl.needed_features("_lowered", words, predicted, probs)
+    first = rl.needed_features("_lowered", words, predicted, probs, every_rule)
     staged = staged.withColumns({f"_{n}": c for n, c in first.items()})
     second = rl.needed_code_features("_lowered", words, F.col("_code_hit"))
     staged = staged.withColumns({f"_{n}": c for n, c in second.items()})
@@ -52,7 +57,7 @@ def apply_rules(df: DataFrame, keep_outcomes: bool = False) -> DataFrame:
         rl.capped_confidence(F.col("confidence"), override).alias("confidence"),
         rl.last_fired(fired, predicted).alias("complexity"),
         override.alias("rule_override"),
-        rl.fired_rules(fired).alias("fired_rules"),
+        *([rl.fired_rules(fired).alias("fired_rules")] if every_rule else []),
         *([f"rule_{n}" for n in RULES] if keep_outcomes else []),
     )
 

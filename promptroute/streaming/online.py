@@ -35,13 +35,16 @@ def score_stream(
     tiers: DataFrame,
     models: DataFrame,
     overrides: Mapping[str, str] | None = None,
+    every_rule: bool = True,
     keep: Sequence[str] = (),
 ) -> DataFrame:
     """Rules, routing and accounting of a stream of predictions.
 
     The batch code itself: it is stateless, and its tables of tiers and models are static.
     """
-    return route_and_account(predictions, tiers, models, overrides, keep=keep)
+    return route_and_account(
+        predictions, tiers, models, overrides, every_rule=every_rule, keep=keep
+    )
 
 
 def join_registry(routed: DataFrame, models: DataFrame, model: str = "routed_model") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from promptroute import settings as st
 from promptroute.functions import energy as en
 from promptroute.functions.replies import parse_reply, parse_verdict
-from promptroute.functions.text import strip, truncated
+from promptroute.functions.text import strip, truncated, word_count
 from promptroute.functions.wording import judge_text, percent
 from promptroute.operators import routing
 from promptroute.operators.energy import with_bands
@@ -123,3 +123,18 @@ def test_failed_responses(spark):
     assert [r.error for r in out] == [None, st.ERROR_FORMAT, "Request timeout", "Model nobody:1b not found"]
     assert [r.energy_kwh > 0 for r in out] == [True, False, False, False]
     assert out[1].raw_response == "positive" and out[3].latency_ms == 0
+
+
+def test_word_count_is_exact_up_to_the_bound(spark):
+    texts = [
+        edge + " ".join(["w"] * n) + tail
+        for n in list(range(0, 12)) + [119, 120, 121, 122, 123, 124, 125, 130, 500]
+        for edge in ("", " ", "\n\n")
+        for tail in ("", " ", "\t ")
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string").orderBy("id")
+    for bound in (3, 120):
+        got = [r[0] for r in df.select(word_count("t", exact_to=bound)).collect()]
+        for count, text in zip(got, texts):
+            words = len(text.split())
+            assert count == words if words <= bound else count > bound

@@ -78,6 +78,10 @@ def test_rules_match_plain_python(spark, random_prompts):
     expected = [model.rules(p, lab, probs) for p, lab, _, probs in rows]
     assert [(r.complexity, list(r.fired_rules)) for r in out] == expected
     assert {i for _, fired in expected for i in fired} == {1, 2, 3, 4, 5, 6}
+    quick = apply_rules(frame(spark, rows), every_rule=False).orderBy("id").collect()
+    same = ("complexity", "confidence", "rule_override")
+    assert [[r[c] for c in same] for r in quick] == [[r[c] for c in same] for r in out]
+    assert "fired_rules" not in quick[0]
     for row in out:
         assert st.LABELS.index(row.complexity) >= st.LABELS.index(row.predicted)
         assert row.rule_override == (row.complexity != row.predicted) == bool(row.fired_rules)
