@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from promptroute.functions.text import strip
+from promptroute.operators.once import with_computed_once
 from promptroute.operators.sampling import first_by_hash
 from promptroute.settings import CHAT_SOURCE, GOLD_SOURCE, MATH_SOURCE, SEED
 
@@ -53,11 +54,12 @@ def chat_prompts(
     """
     if lang is not None:
         df = df.filter(F.col("language") == lang)
-    opening = F.try_element_at("conversation", F.lit(1))
+    opening = F.get("conversation", F.lit(0))
     usable = _usable_chat(opening["role"], opening["content"], min_len, max_len)
     kept = (
-        df.select(key, usable.alias("prompt"))
+        with_computed_once(df.select(key, "conversation"), {"prompt": usable})
         .filter(F.col("prompt").isNotNull())
+        .select(key, "prompt")
         .withColumn("source_dataset", F.lit(CHAT_SOURCE))
     )
     return _limited(kept, key, limit, seed)

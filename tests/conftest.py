@@ -18,6 +18,9 @@ def spark():
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        # A plan whose code cannot be compiled fails here instead of running slowly.
+        .config("spark.sql.codegen.fallback", "false")
+        .config("spark.sql.codegen.factoryMode", "CODEGEN_ONLY")
         .config("spark.driver.memory", "4g")
         .getOrCreate()
     )
