@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from promptroute.operators.classifier import score
 from promptroute.operators.responses import compare_pair
 from promptroute.operators.rules import apply_rules
-from promptroute.operators.validation import validation_table
+from promptroute.operators.sampling import sample_per_class
+from promptroute.operators.validation import validation_report, validation_table
+from promptroute.session import materialise
 from promptroute.settings import BASELINE_MODEL, SMALLEST_MODEL
+from promptroute.sources.sinks import write_csv, write_json
+
+SAMPLE_PER_CLASS = 20
 
 
 def validate_routing(
@@ -25,8 +32,33 @@ def validate_routing(
     """
     rows = predictions
     if use_rules:
-        rows = apply_rules(rows).withColumn("predicted", F.col("complexity"))
+        rows = apply_rules(rows, every_rule=False).withColumn("predicted", F.col("complexity"))
     labelled = rows.select(
         "prompt_id", F.col("complexity_label").alias("true_label"), "predicted", "confidence"
     )
     return validation_table(labelled, compare_pair(responses, small, large))
+
+
+def validate_sample(
+    corpus: DataFrame,
+    model: PipelineModel,
+    responses: DataFrame,
+    k: int = SAMPLE_PER_CLASS,
+    small: str = SMALLEST_MODEL,
+    large: str = BASELINE_MODEL,
+) -> DataFrame:
+    """Validation table of ``k`` labelled prompts of each class, scored by the classifier.
+
+    ``corpus`` is a labelled corpus with a ``prompt_id``.
+    """
+    scored = score(sample_per_class(corpus, "prompt_id", k), model)
+    return validate_routing(scored, responses, small, large)
+
+
+def publish(table: DataFrame, folder: str) -> DataFrame:
+    """Write the validation table as CSV and its report as JSON; returns the report."""
+    table = materialise(table, "validation")
+    report = validation_report(table)
+    write_csv(table, f"{folder}/results", columns=None)
+    write_json(report, f"{folder}/report")
+    return report

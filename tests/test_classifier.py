@@ -2,9 +2,13 @@
 
 import pytest
 
-from promptroute.operators import classifier
+from pyspark.sql import functions as F
+
+from promptroute.operators import classifier, routing
 from promptroute.operators.evaluation import confusion, metrics
+from promptroute.operators.responses import normalise_responses
 from promptroute.plans.train_model import train_and_evaluate
+from promptroute.plans.validate_routing import publish, validate_sample
 
 WORDS = {"small": "capital colour name", "medium": "summary email outline", "large": "theorem kernel compiler"}
 
@@ -35,6 +39,26 @@ def test_train_score_save(spark, corpus, tmp_path):
     assert again.select(*columns).exceptAll(scored.select(*columns)).count() == 0
     assert metrics(confusion(again)).first() == metrics(confusion(scored)).first()
 
+    numbered = corpus.withColumn("prompt_id", F.substring("row_key", 2, 9).cast("long"))
+    asked = numbered.select(
+        "prompt_id", F.explode(F.array(F.lit("tinyllama:latest"), F.lit("qwen2.5:7b"))).alias("model")
+    )
+    logged = asked.select(
+        "*",
+        F.lit("positive, confidence 80").alias("raw_response"),
+        F.lit(9.0).alias("latency_ms"),
+        F.when(F.col("prompt_id") % 2 == 0, "Request timeout").alias("error"),
+    )
+    responses = normalise_responses(logged, routing.model_registry(spark))
+    table = validate_sample(numbered, model, responses, k=5)
+    assert table.count() == 15
+    compared = table.filter("equivalent_quality is not null")
+    assert compared.count() == table.filter("predicted = 'small'").count() > 0
+    lines = {(r.metric, r.item): r.value for r in publish(table, str(tmp_path / "v")).collect()}
+    assert lines[("total_prompts", None)] == 15
+    assert spark.read.json(str(tmp_path / "v" / "report")).count() == len(lines)
+    assert spark.read.option("header", True).csv(str(tmp_path / "v" / "results")).count() == 15
+
 
 def test_only_the_first_tokens_count(spark, corpus):
     fitted = classifier.feature_pipeline(max_tokens=2).fit(classifier.with_text_features(corpus))
