@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptroute.llm import bpe, chat, decontaminate, urls
-from promptroute.llm.frames import table
+from promptroute.llm import bpe, chat, decontaminate, rules, urls
+from promptroute.llm.frames import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -97,9 +97,20 @@ select page_id, host, path, rule, case when rule in ('net/', 'example.com/de/')
  when {' or '.join(map(_like, BLOCKED_GLOBS))} then 'block' else 'allow' end as verdict from ruled"""
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of every document, and whether it is kept."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where("quality = 1").where(remainder("doc_id", 3) != 1)
+    ratio = rules.fit_ratio(docs, labels)
+    judged = rules.with_verdict(rules.with_counts(docs), ratio)
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return judged.select("doc_id", *counts, "base_failed", "kept", "log_ratio")
+
+
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op3_bpe": (op3_bpe, None),
     "op4_chat": (op4_chat, None),
     "op6_decontaminate": (op6_decontaminate, None),
     "op9_url_filter": (op9_url_filter, URL_SQL),
+    "op10_quality_rules": (op10_quality_rules, None),
 }
