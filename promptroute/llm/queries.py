@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptroute.llm import bpe, chat, decontaminate, rules, urls
+from promptroute.llm import bpe, chat, decontaminate, html_text, rules, urls
 from promptroute.llm.frames import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,13 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest_windows(chat.format_chats(turns.union(planted)))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every whole page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = html_text.extract(pages, html_text.fit_weights(pages))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that stand in a benchmark window."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -110,6 +117,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op3_bpe": (op3_bpe, None),
     "op4_chat": (op4_chat, None),
+    "op5_html_text": (op5_html_text, None),
     "op6_decontaminate": (op6_decontaminate, None),
     "op9_url_filter": (op9_url_filter, URL_SQL),
     "op10_quality_rules": (op10_quality_rules, None),
