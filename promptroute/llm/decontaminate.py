@@ -18,7 +18,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from promptroute.llm.frames import field, map_columns, texts
+from promptroute.llm.frames import field, map_columns, share, texts
 from promptroute.session import materialise
 
 WINDOW = 10
@@ -189,10 +189,10 @@ def find_contamination(
 
 
 def _pass(df: DataFrame, automaton: Automaton, text: str, fields: list, first: bool) -> DataFrame:
-    shared = df.sparkSession.sparkContext.broadcast(automaton)
+    shared = share(df.sparkSession, automaton)
 
     def make() -> Callable:
-        scan = shared.value.hits
+        scan = shared().hits
 
         def judge(batch):
             columns: list[list] = [[], [], [], []]

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,6 +65,12 @@ def _arrow(kind: T.DataType) -> pa.DataType:
     return to_arrow_type(kind)
 
 
+def share(spark: SparkSession, value: object) -> Callable[[], object]:
+    """A function that gives ``value`` in a task: sent once to each executor, its classes by value."""
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(sent.value)
+
+
 def texts(batch: pa.RecordBatch, name: str) -> list[str]:
     """A text column as Python strings; null is the empty text."""
     return ["" if x is None else x for x in batch.column(name).to_pylist()]

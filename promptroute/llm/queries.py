@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptroute.llm import bpe, chat, decontaminate, html_text, rules, urls
+from promptroute.llm import bpe, chat, decontaminate, html_text, quality, rules, urls
 from promptroute.llm.frames import remainder, table
+from promptroute.session import materialise
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +20,16 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrated quality of every document; a third of the documents is held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    described = materialise(quality.with_statistics(docs).drop("text"), "statistics")
+    labels = table(spark, sf_dir, "labels").where(remainder("doc_id", 3) != 1)
+    model = quality.fit(quality.labelled_statistics(described, labels, "doc_id", "quality"))
+    scored = quality.score(described, model)
+    return scored.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and round trip of every whole document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -115,6 +126,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, tuple[Query, str | None]] = {
+    "op1_quality": (op1_quality, None),
     "op3_bpe": (op3_bpe, None),
     "op4_chat": (op4_chat, None),
     "op5_html_text": (op5_html_text, None),
