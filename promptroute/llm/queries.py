@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptroute.llm import bpe, chat, decontaminate, html_text, quality, rules, urls
+from promptroute.llm import bpe, chat, decontaminate, html_text, minhash, quality, rules, urls
 from promptroute.llm.frames import remainder, table
 from promptroute.session import materialise
 
@@ -76,6 +76,12 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document."""
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "class_id", "class_size")
+
+
 SITE_RULES = [
     urls.SiteRule("net", "/", urls.BLOCK),
     urls.SiteRule("example.net", "/en/", urls.ALLOW),
@@ -131,6 +137,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op4_chat": (op4_chat, None),
     "op5_html_text": (op5_html_text, None),
     "op6_decontaminate": (op6_decontaminate, None),
+    "op8_near_duplicates": (op8_near_duplicates, None),
     "op9_url_filter": (op9_url_filter, URL_SQL),
     "op10_quality_rules": (op10_quality_rules, None),
 }
