@@ -98,8 +98,9 @@ def test_null_ids_repeated_rows_and_no_rows(spark, tmp_path):
     rows = [(None, "a b"), (7, "a b"), (7, "a b"), (None, "x y"), (3, None)]
     frame(spark, rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     out = op8_near_duplicates(spark, str(tmp_path)).collect()
-    found = sorted((-1 if r.doc_id is None else r.doc_id, r.class_id, r.class_size) for r in out)
-    assert found == [(-1, 7, 3), (-1, None, 1), (3, 3, 1), (7, 7, 3), (7, 7, 3)]
+    plain = lambda x: -1 if x is None else x
+    found = sorted((plain(r.doc_id), plain(r.class_id), r.class_size) for r in out)
+    assert found == [(-1, -1, 1), (-1, 7, 3), (3, 3, 1), (7, 7, 3), (7, 7, 3)]
     assert minhash.near_duplicates(spark.read.parquet(f"{tmp_path}/documents.parquet").limit(0)).count() == 0
 
 
