@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptroute.llm import bpe, chat, decontaminate, html_text, minhash, quality, rules, urls
+from promptroute.llm import bpe, chat, decontaminate, html_text, minhash, quality, repeats, rules, urls
 from promptroute.llm.frames import remainder, table
 from promptroute.session import materialise
 
@@ -30,6 +30,13 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
+def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the bytes of repeated 400-byte strings."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = repeats.cut(docs, repeats.repeated_spans(docs))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and round trip of every whole document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -133,6 +140,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_quality": (op1_quality, None),
+    "op2_repeats": (op2_repeats, None),
     "op3_bpe": (op3_bpe, None),
     "op4_chat": (op4_chat, None),
     "op5_html_text": (op5_html_text, None),
