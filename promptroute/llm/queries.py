@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptroute.llm import bpe, chat, decontaminate, html_text, minhash, quality, repeats, rules, urls
+from promptroute.llm import bpe, chat, decontaminate, html_text, language_model, minhash, quality, repeats, rules, urls
 from promptroute.llm.frames import remainder, table
 from promptroute.session import materialise
 
@@ -83,6 +83,12 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document; a seventh of the documents is held out."""
+    docs = table(spark, sf_dir, "documents")
+    return language_model.score(docs, remainder("doc_id", 7) == 2)
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class of every document."""
     found = minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -145,6 +151,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op4_chat": (op4_chat, None),
     "op5_html_text": (op5_html_text, None),
     "op6_decontaminate": (op6_decontaminate, None),
+    "op7_language_model": (op7_language_model, None),
     "op8_near_duplicates": (op8_near_duplicates, None),
     "op9_url_filter": (op9_url_filter, URL_SQL),
     "op10_quality_rules": (op10_quality_rules, None),
