@@ -148,10 +148,10 @@ def content_key(hashes: np.ndarray, counts: np.ndarray) -> bytes:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each row of ``docs``: ``key``, ``text_hash`` (xxhash64 of the text), ``class_id`` and ``class_size``.
+    """A row for each row of ``docs``: ``key``, ``text_hash`` (xxhash64 of the text), ``class_key``, ``class_id`` and ``class_size``.
 
     Rows are of one class if links join them: shingle multisets of a weighted Jaccard similarity of ``SIMILARITY``
-    or more.  ``class_id`` is the smallest ``key`` of the class.
+    or more.  ``class_id`` is the smallest ``key`` of the class, ``class_key`` names it even if no member has one.
     """
     rows = materialise(_sketches(docs, key, text), "sketches")
     members = materialise(
@@ -167,7 +167,25 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     ).select("id", "text_hash", F.coalesce("root", "text_key").alias("root"))
     classed = materialise(classed, "classed")
     classes = classed.groupBy("root").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"))
-    return classed.join(classes, "root").select(F.col("id").alias(key), "text_hash", "class_id", "class_size")
+    return classed.join(classes, "root").select(
+        F.col("id").alias(key), "text_hash", F.col("root").alias("class_key"), "class_id", "class_size"
+    )
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of ``docs`` for each class of near duplicates, as it is: the one with the smallest ``key``.
+
+    Of rows that are equal in key and text, any one stays.
+    """
+    found = near_duplicates(docs, key, text)
+    first = found.groupBy("class_key").agg(F.min(F.struct(key, "text_hash")).alias("one"))
+    stays = first.select(
+        F.xxhash64(f"one.{key}", "one.text_hash").alias("_row"), F.col("one.text_hash").alias("_hash")
+    )
+    hashed = docs.withColumn("_hash", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    hashed = hashed.withColumn("_row", F.xxhash64(F.col(key), F.col("_hash")))
+    kept = hashed.join(stays, ["_row", "_hash"], "left_semi").dropDuplicates(["_row", "_hash"])
+    return kept.select(*docs.columns)
 
 
 def _buckets(members: DataFrame) -> DataFrame:

@@ -219,16 +219,24 @@ def isotonic(x: np.ndarray, n: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray
     return ends, np.array([levels[0] * 0.5, *levels, (1 + levels[-1]) / 2])
 
 
-def score(df: DataFrame, classifier: Classifier, statistics: str = "statistics") -> DataFrame:
-    """``df`` with ``score`` (0 to 1) and ``predicted`` (1 from a score of 0.5 on)."""
+def score(
+    df: DataFrame, classifier: Classifier, statistics: str = "statistics", prefix: str = ""
+) -> DataFrame:
+    """``df`` with ``score`` (0 to 1) and ``predicted`` (1 from a score of 0.5 on), named after ``prefix``."""
     shared = share(df.sparkSession, classifier)
 
     def make():
         model = shared()
         return lambda batch: [pa.array(model(_rows(batch, statistics)))]
 
-    scored = map_columns(df, [field("score", "double")], make)
-    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    scored = map_columns(df, [field(prefix + "score", "double")], make)
+    return scored.withColumn(prefix + "predicted", (F.col(prefix + "score") >= 0.5).cast("int"))
+
+
+def keep_good(docs: DataFrame, classifier: Classifier, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are predicted good, as they are."""
+    described = with_statistics(docs, text, "_statistics")
+    return score(described, classifier, "_statistics", "_").where("_predicted = 1").select(*docs.columns)
 
 
 def labelled_statistics(described: DataFrame, labels: DataFrame, key: str, label: str) -> DataFrame:

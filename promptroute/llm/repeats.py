@@ -301,6 +301,29 @@ def cut(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text: str = "tex
     return map_columns(both, fields, make).drop("_key", "_row", "_spans")
 
 
+def remove(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` without the characters of repeated strings; a character of which a part is repeated stays."""
+    known = repeated_spans(docs, key, text).select(F.col("row").alias("_row"), F.col("spans").alias("_spans"))
+    both = docs.withColumn("_key", row_key(key, text)).join(known, F.col("_key") == F.col("_row"), "left")
+
+    def make():
+        def shorten(batch):
+            out = []
+            for value, spans in zip(batch.column(text).to_pylist(), batch.column("_spans").to_pylist()):
+                if spans:
+                    raw, left, at = value.encode("utf-8", "surrogatepass"), [], 0
+                    for start, stop in whole_characters(raw, [(s["start"], s["stop"]) for s in spans]):
+                        left.append(raw[at:start])
+                        at = stop
+                    value = b"".join([*left, raw[at:]]).decode("utf-8", "surrogatepass")
+                out.append(value)
+            return [out]
+
+        return shorten
+
+    return map_columns(both, [field(text, "string")], make).select(*docs.columns)
+
+
 def whole_characters(raw: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The spans without characters that they hold only a part of."""
     out = []
