@@ -2,8 +2,8 @@
 
 Texts of one multiset of shingles are one node, whatever their number.  Nodes that agree in a band of their
 signatures share a bucket.  In a bucket, every node is first checked against a hub, which joins copies to their original
-without looking at all pairs.  What is still apart in a bucket is then compared by signature, block by block, and
-likely pairs are checked on their texts.  A link is only ever made by the exact similarity of two whole texts.
+without looking at all pairs.  What is still apart in a bucket is then compared block by block, by signature and,
+where that makes it likely, on the texts.  A link is only ever made by the exact similarity of two whole texts.
 
 A null text is an empty text; empty texts are alike and like no other text.  A text of fewer than five words has one
 shingle.  A null id is kept, and a class has the null id only if no member has another.  Repeated rows stay rows
@@ -189,15 +189,15 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
 
 def _buckets(members: DataFrame) -> DataFrame:
-    """``bucket`` and ``node`` of all buckets with several texts; buckets of the same texts are taken once."""
+    """``bucket``, ``band`` and ``node`` of all buckets with several texts; of buckets of the same texts the first."""
     rows = members.select(
         F.col("text_key").alias("node"), F.posexplode("bands").alias("band", "value")
-    ).select("node", F.xxhash64("band", "value").alias("bucket"))
-    several = rows.groupBy("bucket").agg(
+    ).select("node", "band", F.xxhash64("band", "value").alias("bucket"))
+    several = rows.groupBy("bucket", "band").agg(
         F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.xxhash64("node") % 1_000_003).alias("s")
     ).where("n > 1")
-    once = several.groupBy("n", "x", "s").agg(F.min("bucket").alias("bucket")).select("bucket")
-    return materialise(rows.join(once, "bucket"), "buckets")
+    once = several.groupBy("n", "x", "s").agg(F.min(F.struct("band", "bucket"))["bucket"].alias("bucket"))
+    return materialise(rows.join(once.select("bucket"), "bucket"), "buckets")
 
 
 def _roots(docs: DataFrame, key: str, text: str, members: DataFrame, buckets: DataFrame) -> DataFrame:
@@ -216,8 +216,7 @@ def _roots(docs: DataFrame, key: str, text: str, members: DataFrame, buckets: Da
         found = materialise(_verified(_likely(pairs, nodes), contents), "links")
         links = found if links is None else materialise(links.union(found), "links")
         roots = components(links) if not links.isEmpty() else None
-    rest = _rest_pairs(buckets, nodes, roots)
-    found = materialise(_verified(rest.distinct(), contents), "links")
+    found = materialise(_rest_links(buckets, nodes, contents, roots), "links")
     if not found.isEmpty():
         roots = components(found if links is None else links.union(found))
     if roots is None:
@@ -298,44 +297,66 @@ def _verified(pairs: DataFrame, contents: DataFrame) -> DataFrame:
     return judged.where(F.col("similarity") >= SIMILARITY).select("a", "b")
 
 
-def _rest_pairs(buckets: DataFrame, nodes: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """Likely pairs of texts that share a bucket but no class yet.
+def _rest_links(
+    buckets: DataFrame, nodes: DataFrame, contents: DataFrame, roots: DataFrame | None
+) -> DataFrame:
+    """Links between texts that share a bucket but no class yet.
 
-    Of a bucket, the texts outside its largest class are compared with all its texts, signature by signature, block
-    by block; only likely pairs leave a task.
+    Of a bucket, the texts outside its largest class are compared with all its texts, block by block: by
+    signature first, and on the texts where they are likely to be similar.  A pair is looked at in the first band that it
+    shares.  A text needs one link to a class, so no more than that leave a task.
     """
-    rows = buckets.withColumn("root", F.col("node")) if roots is None else buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = buckets
+    if roots is not None:
+        rows = rows.join(roots, "node", "left")
+    root = F.col("node") if roots is None else F.coalesce("root", "node")
+    rows = rows.withColumn("root", root)
     classes = rows.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     mixed = classes.groupBy("bucket").agg(
         F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("classes"),
         F.sum("n").alias("size"), F.max("n").alias("most"),
-    ).where("classes > 1").withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn(
-        "queries", F.ceil((F.col("size") - F.col("most")) / BLOCK))
-    rows = rows.join(mixed, "bucket").join(nodes.select("node", "bands"), "node")
-    place = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    ).where("classes > 1").select(
+        "bucket", "main", F.ceil(F.col("size") / BLOCK).alias("blocks"),
+        F.ceil((F.col("size") - F.col("most")) / BLOCK).alias("queries"))
+    held = nodes.select("node", "bands").join(contents, "node")
+    rows = rows.join(mixed, "bucket").join(held, "node")
+    shown = ["bucket", "band", "node", "root", "bands", "text"]
     everyone = rows.select(
-        "bucket", "node", "root", "bands", place.alias("j"), F.explode(F.sequence(F.lit(0), F.col("queries") - 1)).alias("i"),
-        F.lit(False).alias("asks"))
+        *shown, F.pmod(F.xxhash64("node"), F.col("blocks")).alias("j"),
+        F.explode(F.sequence(F.lit(0), F.col("queries") - 1)).alias("i"), F.lit(False).alias("asks"))
     asking = rows.where(F.col("root") != F.col("main")).select(
-        "bucket", "node", "root", "bands", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"),
+        *shown, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"),
         F.pmod(F.xxhash64("node", F.lit(1)), F.col("queries")).alias("i"), F.lit(True).alias("asks"))
-    cells = everyone.unionByName(asking)
     kinds = arrow_schema("a binary, b binary")
 
     def compare(cell: pa.Table) -> pa.Table:
         cell = cell.combine_chunks()
-        asks = cell.column("asks").to_numpy()
-        bands = np.stack(cell.column("bands").to_numpy()).view(np.uint16)
-        node = np.array(cell.column("node").to_pylist(), object)
-        _, root = np.unique(np.array([r.hex() for r in cell.column("root").to_pylist()]), return_inverse=True)
-        all_at = np.flatnonzero(~asks)
-        a, b = [], []
-        for q in np.flatnonzero(asks):
-            other = all_at[root[all_at] != root[q]]
-            agreed = (bands[other] == bands[q]).sum(axis=1)
-            for k in other[agreed >= LIKELY * COMPONENTS]:
-                a.append(min(node[q], node[k]))
-                b.append(max(node[q], node[k]))
+        asks, band = cell.column("asks").to_numpy(), cell.column("band")[0].as_py()
+        bands = np.stack(cell.column("bands").to_numpy())
+        parts = bands.view(np.uint16)
+        node, text = cell.column("node").to_pylist(), cell.column("text")
+        numbers = {r: k for k, r in enumerate(set(cell.column("root").to_pylist()))}
+        root = np.array([numbers[r] for r in cell.column("root").to_pylist()])
+        known: dict[bytes, tuple] = {}
+
+        def of(k: int) -> tuple:
+            if node[k] not in known:
+                known[node[k]] = shingles(text[k].as_py())
+            return known[node[k]]
+
+        everyone, a, b = np.flatnonzero(~asks), [], []
+        for q in np.flatnonzero(asks).tolist():
+            other = everyone[root[everyone] != root[q]]
+            other = other[(bands[other] == bands[q]).argmax(axis=1) == band]
+            agreed = (parts[other] == parts[q]).sum(axis=1)
+            likely = np.flatnonzero(agreed >= LIKELY * COMPONENTS)
+            met: set[int] = set()
+            for k in other[likely[np.argsort(-agreed[likely], kind="stable")]].tolist():
+                if root[k] not in met and similarity(of(q), of(k)) >= SIMILARITY:
+                    met.add(root[k])
+                    a.append(node[q])
+                    b.append(node[k])
         return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary())], schema=kinds)
 
+    cells = everyone.unionByName(asking)
     return cells.groupBy("bucket", "i", "j").applyInArrow(compare, "a binary, b binary")
