@@ -159,15 +159,15 @@ def count_kinds(page: str) -> Counter:
 def fit_weights(pages: DataFrame, column: str = "html") -> dict[str, float]:
     """Scores of words by holder (``w:``) and of tags by kind (``t:``), from labelled pages.
 
-    Labelled are the pages that mark an article; the first ``LABELLED_PAGES`` in hash order count.
+    Labelled are the pages that mark an article; the first ``LABELLED_PAGES`` in hash order count, with
+    all their copies.
     """
-    labelled = (
-        pages.where(F.col(column).rlike("(?i)<article[ >]"))
-        .select(F.col(column).alias("page"), F.xxhash64(column).alias("h"))
-        .orderBy("h")
-        .limit(LABELLED_PAGES)
-        .select("page")
+    marked = pages.where(F.col(column).rlike("(?i)<article[ >]")).select(
+        F.col(column).alias("page"), F.xxhash64(column).alias("h")
     )
+    # Only hashes are sorted; the pages stay where they are.
+    last = marked.select("h").distinct().orderBy("h").limit(LABELLED_PAGES).agg(F.max("h")).first()[0]
+    labelled = marked.where(F.col("h") <= last).select("page") if last is not None else marked.select("page").limit(0)
     kinds = arrow_schema("kind string, inside boolean, n long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
