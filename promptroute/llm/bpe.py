@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding with a given vocabulary.
 
 Texts are cut into words by the vocabulary's pattern.  A short word is merged on contiguous
-arrays: its part boundaries, the part ids and the ranks of adjacent parts.  The lowest rank is
-searched, a boundary deleted, and the two neighbouring ranks refreshed, until no pair can merge.  Words
+arrays: the parts between its boundaries, as ids, and the ranks of adjacent parts.  The lowest rank is
+searched, the boundary there deleted, and the two neighbouring ranks refreshed, until no pair can merge.  Words
 beyond ``SHORT`` bytes, for which repeated search is quadratic, are merged with a heap over the
 same pairs and ranks, with the same result.
 
@@ -27,7 +27,7 @@ from promptroute.llm.frames import field, map_columns, texts
 #: Longest word in bytes that is merged by repeated search.
 SHORT = 96
 #: Words whose ids a task remembers.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 #: How the vocabulary cuts a text into words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -52,52 +52,50 @@ class Vocabulary:
         ids = spec["model"]["vocab"]
         self.tokens: dict[int, bytes] = {i: raw(t) for t, i in ids.items()}
         self.byte_ids = [ids[c] for c, _ in sorted(letters.items(), key=lambda x: x[1])]
-        self.pairs: dict[tuple[int, int], tuple[int, int]] = {}
+        #: Rank of a pair of ids, which are packed into one number, and the id made at each rank.
+        self.pairs: dict[int, int] = {}
+        self.made: list[int] = []
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.pairs.setdefault((ids[a], ids[b]), (rank, ids[a + b]))
+            self.pairs.setdefault(ids[a] << 32 | ids[b], rank)
+            self.made.append(ids[a + b])
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.tokens |= {i: t.encode() for t, i in self.special.items()}
 
     def merge_short(self, word: bytes) -> list[int]:
-        pairs, none = self.pairs, (len(self.pairs), -1)
-        bounds = list(range(len(word) + 1))
+        rank_of, none = self.pairs.get, len(self.made)
         parts = [self.byte_ids[b] for b in word]
-        ranks = [pairs.get(p, none) for p in zip(parts, parts[1:])]
-        while ranks:
-            least = min(ranks)
-            if least is none:
-                break
+        ranks = [rank_of(a << 32 | b, none) for a, b in zip(parts, parts[1:])]
+        while ranks and (least := min(ranks)) < none:
             at = ranks.index(least)
-            del bounds[at + 1]
-            parts[at : at + 2] = [least[1]]
-            del ranks[at]
+            parts[at] = made = self.made[least]
+            del parts[at + 1], ranks[at]
             if at < len(ranks):
-                ranks[at] = pairs.get((parts[at], parts[at + 1]), none)
+                ranks[at] = rank_of(made << 32 | parts[at + 1], none)
             if at:
-                ranks[at - 1] = pairs.get((parts[at - 1], parts[at]), none)
+                ranks[at - 1] = rank_of(parts[at - 1] << 32 | made, none)
         return parts
 
     def merge_long(self, word: bytes) -> list[int]:
         pairs, n = self.pairs, len(word)
         parts: list[int | None] = [self.byte_ids[b] for b in word]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap: list[tuple[int, int, int, int, int]] = []
+        heap: list[tuple[int, int, int, int]] = []
 
         def offer(i: int) -> None:
             j = after[i]
-            if j < n and (found := pairs.get((parts[i], parts[j]))):
-                heap.append((found[0], i, parts[i], parts[j], found[1]))
+            if j < n and (rank := pairs.get(parts[i] << 32 | parts[j])) is not None:
+                heap.append((rank, i, parts[i], parts[j]))
 
         for i in range(n - 1):
             offer(i)
         heapq.heapify(heap)
         while heap:
-            _, i, a, b, made = heapq.heappop(heap)
+            rank, i, a, b = heapq.heappop(heap)
             j = after[i] if parts[i] is not None else n
             if j >= n or parts[i] != a or parts[j] != b:
                 continue  # one of the two has merged with another since
-            parts[i], parts[j] = made, None
+            parts[i], parts[j] = self.made[rank], None
             after[i] = after[j]
             if after[i] < n:
                 before[after[i]] = i
