@@ -13,6 +13,8 @@ plain filter against a table with one row per stratum.  Quotas are met exactly.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,16 +57,7 @@ def cutoffs(
     histogram = materialise(
         narrow.groupBy(*strata, "_prefix").agg(F.count("*").alias("_n")), "histogram"
     )
-    totals = quotas(histogram.groupBy(*strata).agg(F.sum("_n").alias("total")))
-    running = F.sum("_n").over(Window.partitionBy(*strata).orderBy("_prefix"))
-    hit = (
-        histogram.withColumn("_upto", running)
-        .join(totals.select(*strata, "quota"), list(strata))
-        .filter((F.col("_upto") >= F.col("quota")) & (F.col("_upto") - F.col("_n") < F.col("quota")))
-        .select(*strata, "_prefix", (F.col("quota") - F.col("_upto") + F.col("_n")).alias("_rest"))
-    )
-    # One row per stratum; written, so that the join below knows how small it is.
-    bounds = materialise(totals.join(hit, list(strata), "left"), "bounds")
+    bounds = quota_bounds(histogram, strata, quotas)
     within = Window.partitionBy(*strata).orderBy("_hash", "_key")
     last = (
         narrow.join(bounds.filter("quota < total").select(*strata, "_prefix", "_rest"), [*strata, "_prefix"])
@@ -72,9 +65,20 @@ def cutoffs(
         .filter(F.col("_rank") == F.col("_rest"))
         .select(*strata, F.col("_hash").alias("cut_hash"), F.col("_key").alias("cut_key"))
     )
-    return materialise(
-        bounds.select(*strata, "total", "quota").join(last, list(strata), "left"), "cutoffs"
+    return bounds.select(*strata, "total", "quota").join(last, list(strata), "left")
+
+
+def quota_bounds(histogram: DataFrame, strata: Sequence[str], quotas: Quotas) -> DataFrame:
+    """Per stratum: ``total``, ``quota``, the prefix the quota falls into and how many rows of it count."""
+    totals = quotas(histogram.groupBy(*strata).agg(F.sum("_n").alias("total")))
+    running = F.sum("_n").over(Window.partitionBy(*strata).orderBy("_prefix"))
+    hit = (
+        histogram.withColumn("_upto", running)
+        .join(totals.select(*strata, "quota"), list(strata))
+        .filter((F.col("_upto") >= F.col("quota")) & (F.col("_upto") - F.col("_n") < F.col("quota")))
+        .select(*strata, "_prefix", (F.col("quota") - F.col("_upto") + F.col("_n")).alias("_rest"))
     )
+    return totals.join(hit, list(strata), "left")
 
 
 def mark_within(
@@ -82,17 +86,19 @@ def mark_within(
 ) -> DataFrame:
     """``df`` with a boolean ``within``: is the row inside its stratum's quota?
 
-    A row without a stratum has none, and stays in ``df``.
+    Rows whose stratum is NULL are a stratum as well; they are within a quota that takes all of them.
     """
     position = F.struct(hash_order(F.col(key), seed).alias("h"), F.col(key).alias("k"))
     cut = F.struct(F.col("cut_hash").alias("h"), F.col("cut_key").alias("k"))
     inside = (F.col("quota") >= F.col("total")) | (
         F.col("cut_hash").isNotNull() & (position <= cut)
     )
+    own = cuts.select(*[F.col(c).alias(f"_{c}_of_cut") for c in strata], "total", "quota", "cut_hash", "cut_key")
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}_of_cut")) for c in strata])
     return (
-        df.join(cuts, list(strata), "left")
+        df.join(own, same, "left")
         .withColumn("within", F.coalesce(inside, F.lit(False)))
-        .drop("total", "quota", "cut_hash", "cut_key")
+        .drop("total", "quota", "cut_hash", "cut_key", *[f"_{c}_of_cut" for c in strata])
     )
 
 
@@ -124,19 +130,20 @@ def balance(
 ) -> DataFrame:
     """Cut large classes to ``factor`` times the smallest, if the classes are far apart.
 
-    Left as it is if the largest class is less than ``ratio`` times the smallest.
+    Left as it is if the largest class is less than ``ratio`` times the smallest.  Rows without a
+    label are no class: they count for nothing, and stay only where nothing is cut.
     """
     if method != "undersample":
         return df
     everything = Window.partitionBy()
 
     def quotas(totals: DataFrame) -> DataFrame:
-        most, least = F.max("total").over(everything), F.min("total").over(everything)
+        size = F.when(F.col(LABEL).isNotNull(), F.col("total"))
+        most, least = F.max(size).over(everything), F.min(size).over(everything)
         target = F.least(F.floor(least * F.lit(factor)), most)
-        even = most / least < F.lit(ratio)
-        return totals.withColumn(
-            "quota", F.when(even, F.col("total")).otherwise(F.least(F.col("total"), target))
-        )
+        even = F.coalesce(most / least < F.lit(ratio), F.lit(True))
+        cut = F.when(F.col(LABEL).isNull(), 0).otherwise(F.least(F.col("total"), target))
+        return totals.withColumn("quota", F.when(even, F.col("total")).otherwise(cut))
 
     return keep_within(df, key, [LABEL], quotas, seed).select(*df.columns)
 
@@ -157,10 +164,9 @@ def judge_sample(
             "quota", F.least(F.col("total"), F.greatest(F.lit(1).cast("long"), share))
         )
 
-    known = df.filter(F.col(LABEL).isin(*LABELS))
+    known = df.filter(F.col(LABEL).isin(*LABELS) & F.col(SOURCE).isNotNull())
     picked = keep_within(known, key, [SOURCE, LABEL], quotas, seed)
-    order = [hash_order(F.col(key), seed), F.col(key)]
-    return picked.orderBy(*order).limit(size).select(*df.columns)
+    return first_by_hash(picked, key, size, seed).select(*df.columns)
 
 
 def stratified_split(
@@ -207,7 +213,8 @@ def stratified_split(
         )
 
     keyed = df.withColumn("_stratum", stratum(F.col(LABEL), F.col(SOURCE)))
-    cuts = cutoffs(keyed, key, ["_stratum"], quotas, seed)
+    # Rows without a label or source belong to no stratum: they are training rows, and no share is taken of them.
+    cuts = cutoffs(keyed.where(F.col("_stratum").isNotNull()), key, ["_stratum"], quotas, seed)
     return (
         mark_within(keyed, key, ["_stratum"], cuts, seed)
         .withColumn("split", F.when(F.col("within"), "val").otherwise("train"))

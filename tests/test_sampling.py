@@ -124,17 +124,17 @@ def test_same_sample_in_any_partitioning(skewed):
 def test_no_class_is_ranked_whole(skewed, monkeypatch):
     """Only rows with the prefix the quota falls into are ranked."""
     df, _ = skewed
-    plans = []
-    real = sp.materialise
+    made = {}
 
-    def spy(frame, name):
-        plans.append((name, frame))
-        return real(frame, name)
+    def spied(name):
+        real = getattr(sp, name)
+        monkeypatch.setattr(sp, name, lambda *args: made.setdefault(name, real(*args)))
 
-    monkeypatch.setattr(sp, "materialise", spy)
+    spied("quota_bounds")
+    spied("cutoffs")
     sp.sample_per_class(df, "row_key", 500).count()
-    cut = dict(plans)["cutoffs"]
-    ranked = dict(plans)["bounds"].filter("_prefix is not null")
+    cut = made["cutoffs"]
+    ranked = made["quota_bounds"].filter("_prefix is not null")
     share = df.withColumn("_prefix", F.substring(sp.hash_order(F.col("row_key")), 1, 3)).join(
         ranked, ["complexity_label", "_prefix"], "left_semi"
     )
@@ -146,3 +146,21 @@ def test_rows_without_label_are_not_lost_by_the_split(spark):
     df, rows = corpus(spark, {("a", "large"): 50, ("a", "small"): 50})
     extra = spark.createDataFrame([("x", "p", None, None)], df.schema)
     assert sp.stratified_split(df.unionByName(extra), "row_key").count() == len(rows) + 1
+
+
+def test_rows_without_a_label_are_no_class(spark):
+    def labelled(counts):
+        rows = [(f"{label}{i}", "p", "a", label) for label, n in counts.items() for i in range(n)]
+        return spark.createDataFrame(
+            rows, "row_key string, prompt string, source_dataset string, complexity_label string"
+        )
+
+    assert sp.balance(labelled({"small": 3, "large": 3, None: 1}), "row_key").count() == 7
+    cut = sp.balance(labelled({"small": 10, "large": 100, None: 1}), "row_key")
+    kept = Counter(r.complexity_label for r in cut.collect())
+    assert kept["small"] == 10 and 10 <= kept["large"] < 100 and None not in kept
+    split = sp.stratified_split(labelled({"small": 10, "large": 10, None: 30}), "row_key", 0.2)
+    parts = Counter((r.complexity_label, r.split) for r in split.collect())
+    assert parts == {
+        ("small", "val"): 2, ("small", "train"): 8, ("large", "val"): 2, ("large", "train"): 8, (None, "train"): 30
+    }
