@@ -13,6 +13,7 @@ from promptroute.operators import responses as rs
 from promptroute.operators import routing
 from promptroute.operators.validation import validation_report as report_of
 from promptroute.plans.validate_routing import validate_routing
+from promptroute.session import new_path
 from promptroute.settings import BASELINE_MODEL, SMALLEST_MODEL
 from promptroute.streaming import online
 
@@ -86,8 +87,13 @@ def _routed_stream(spark: SparkSession, d: str, every_rule: bool = False, keep=(
     )
 
 
+def _run(stream: DataFrame) -> DataFrame:
+    spark = stream.sparkSession
+    return online.run_to_table(stream, new_path(spark, "stream"), new_path(spark, "progress"))
+
+
 def stream_scores(spark: SparkSession, d: str) -> DataFrame:
-    scored = online.run_to_table(_routed_stream(spark, d, every_rule=True).drop("all_probs"), "scores")
+    scored = _run(_routed_stream(spark, d, every_rule=True).drop("all_probs"))
     return scored.select(
         "prompt_id",
         "complexity",
@@ -104,38 +110,47 @@ def stream_scores(spark: SparkSession, d: str) -> DataFrame:
 def stream_registry_join(spark: SparkSession, d: str) -> DataFrame:
     routed = _routed_stream(spark, d).select("prompt_id", "routed_model")
     sized = online.join_registry(routed, routing.model_registry(spark))
-    return online.run_to_table(sized, "sized")
+    return _run(sized)
 
 
 def stream_window_energy(spark: SparkSession, d: str) -> DataFrame:
-    totals = online.run_totals_to_table(online.window_energy(_routed_stream(spark, d, keep=["ts"])), "windows")
+    windows = online.window_energy(_routed_stream(spark, d, keep=["ts"]))
+    totals = online.run_totals_to_table(windows, new_path(spark, "windows"), new_path(spark, "progress"))
     return _rounded(totals.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm")), 12)
 
 
-def stream_response_match(spark: SparkSession, d: str) -> DataFrame:
-    """Events as requests to the small model; every third response comes after the timeout."""
-    folder, pattern = dv.stream_folder(d, "events")
-    events = online.read_stream(spark, folder, dv.table(spark, d, "events").schema, pattern)
-    answers = online.read_stream(spark, folder, dv.table(spark, d, "events").schema, pattern)
-    at = F.col("ts").cast("timestamp")
-    requests = events.select(
+def _asked(events: DataFrame) -> DataFrame:
+    return events.select(
         F.col("event_id").alias("prompt_id"),
         F.lit(SMALLEST_MODEL).alias("model"),
-        F.lit(30).alias("timeout_s"),
-        at.alias("request_ts"),
-    )
-    delay = F.when(F.col("event_id") % 3 == 0, F.expr("INTERVAL 40 SECONDS")).otherwise(
-        F.expr("INTERVAL 20 SECONDS")
+        (F.col("event_id") % 4 * 10 + 10).cast("int").alias("timeout_s"),
+        F.col("ts").cast("timestamp").alias("request_ts"),
     )
-    responses = answers.select(
-        F.col("event_id").alias("prompt_id"),
+
+
+def _answered(events: DataFrame) -> DataFrame:
+    """Answers 5 to 45 seconds later, of which every seventh is an error, with the event's content."""
+    n = F.col("event_id")
+    failed = n % 7 == 0
+    delay = F.make_dt_interval(secs=(n % 5 * 10 + 5).cast("decimal(18,6)"))
+    return events.select(
+        n.alias("prompt_id"),
         F.lit(SMALLEST_MODEL).alias("model"),
-        (at + delay).alias("response_ts"),
-        F.lit("Sentiment: POSITIVE\nConfidence: 85").alias("raw_response"),
-        F.lit(None).cast("string").alias("error"),
+        (F.col("ts").cast("timestamp") + delay).alias("response_ts"),
+        F.when(~failed, F.concat_ws(" ", "event_type", "props")).alias("raw_response"),
+        F.when(failed, "Connection refused").alias("error"),
     )
-    matched = online.match_responses(requests, responses)
-    return online.run_to_table(matched, "matched").drop("request_ts", "response_ts")
+
+
+def stream_response_match(spark: SparkSession, d: str) -> DataFrame:
+    """Events as requests to the small model, whose answers come in time, late, or as errors."""
+    folder, pattern = dv.stream_folder(d, "events")
+    given = dv.table(spark, d, "events")
+    longest = online.longest_timeout(routing.model_registry(spark))
+    asked, answered = (online.read_stream(spark, folder, given.schema, pattern) for _ in range(2))
+    matched = _run(online.match_responses(_asked(asked), _answered(answered), longest))
+    settled = online.settle_matches(matched, _asked(given), longest)
+    return settled.drop("request_ts", "response_ts")
 
 
 # ------------------------------------------------------------------ SQL
@@ -229,14 +244,12 @@ QUERIES = {
         """select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') as window_start, complexity, count(*) as prompts,
  round(sum(energy_kwh), 12) as energy_kwh, round(sum(co2_kg), 12) as co2_kg from event_routed group by 1, 2""",
     ),
-    # A timeout is known once the watermark (a minute behind the last request) has passed the
-    # longest timeout, so requests from the end of the stream are still open.
     "stream_response_match": (
         stream_response_match,
         """select event_id as prompt_id, 'tinyllama:latest' as model,
- case when event_id % 3 <> 0 then 'Sentiment: POSITIVE' || chr(10) || 'Confidence: 85' end as raw_response,
- case when event_id % 3 = 0 then 'Request timeout' end as error,
- case when event_id % 3 <> 0 then 20000::double end as latency_ms from events
- where event_id % 3 <> 0 or ts + interval 180 seconds < (select max(ts) - interval 60 seconds from events)""",
+ case when answered and event_id % 7 <> 0 then concat_ws(' ', event_type, props) end as raw_response,
+ case when not answered then 'Request timeout' when event_id % 7 = 0 then 'Connection refused' end as error,
+ case when answered then (event_id % 5 * 10 + 5) * 1000::double end as latency_ms
+ from (select *, event_id % 5 * 10 + 5 <= event_id % 4 * 10 + 10 as answered from events)""",
     ),
 }

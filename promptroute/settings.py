@@ -187,5 +187,6 @@ VALIDATION_FRACTION = 0.2
 # ---------------------------------------------------------------- response errors
 # Error texts of failed requests.
 ERROR_TIMEOUT = "Request timeout"
+ERROR_UNBOUNDED = "Timeout above the longest of the registry"
 ERROR_FORMAT = "Model did not provide confidence score in expected format"
 MIN_RESPONSE_CHARS = 10

@@ -10,10 +10,9 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
 from promptroute.operators.routing import route_and_account, with_size
-from promptroute.session import new_path
-from promptroute.settings import ERROR_TIMEOUT, MODELS
+from promptroute.settings import ERROR_TIMEOUT, ERROR_UNBOUNDED
 
-LONGEST_TIMEOUT_S = max(timeout for _, _, _, timeout in MODELS)
+REQUEST = ("prompt_id", "model", "request_ts")
 
 
 def read_stream(
@@ -57,8 +56,8 @@ def window_energy(
 ) -> DataFrame:
     """Prompts and energy per class and tumbling window of event time.
 
-    State is one sum per open window and class; rows later than ``delay`` are dropped once
-    their window is closed.
+    State is one sum per open window and class: in update and append mode a window leaves it once the
+    watermark has passed its end, and later rows for it are dropped.
     """
     return (
         routed.withWatermark(ts, delay)
@@ -72,65 +71,106 @@ def window_energy(
     )
 
 
-def match_responses(requests: DataFrame, responses: DataFrame, delay: str = "1 minute") -> DataFrame:
-    """Requests with the response that came within the model's timeout.
+def longest_timeout(models: DataFrame) -> int:
+    """The longest timeout of a registry, in whole seconds: what bounds the state of a match."""
+    return models.agg(F.ceil(F.max("timeout_s")).cast("int")).first()[0]
+
+
+def match_responses(
+    requests: DataFrame, responses: DataFrame, longest_timeout_s: int, delay: str = "1 minute"
+) -> DataFrame:
+    """Requests with the response that came within their own timeout.
 
     ``requests``: (prompt_id, model, timeout_s, request_ts);
     ``responses``: (prompt_id, model, response_ts, raw_response, error).
     A request left unanswered comes out with the timeout error once the watermark has passed
-    its deadline.  The longest timeout bounds the state of the join; the request's own timeout
-    decides the match.
+    its deadline.  ``longest_timeout_s``, that of the registry in use, bounds the state of the join;
+    the request's own timeout decides the match.  A request with a longer one is not
+    cut short: it comes out with an error of its own.
+    A request that is answered twice comes out twice; ``settle_matches`` keeps the first answer.
     """
     asked = requests.withWatermark("request_ts", delay).alias("q")
     answered = responses.withWatermark("response_ts", delay).alias("a")
+    bounded = F.col("timeout_s") <= longest_timeout_s
     deadline = F.col("request_ts") + F.make_dt_interval(secs=F.col("timeout_s").cast("decimal(18,6)"))
     matched = asked.join(
         answered,
         (F.col("q.prompt_id") == F.col("a.prompt_id"))
         & (F.col("q.model") == F.col("a.model"))
         & (F.col("response_ts") >= F.col("request_ts"))
-        & (F.col("response_ts") <= F.col("request_ts") + F.expr(f"INTERVAL {LONGEST_TIMEOUT_S} SECONDS"))
-        & (F.col("response_ts") <= deadline),
+        & (F.col("response_ts") <= F.col("request_ts") + F.expr(f"INTERVAL {longest_timeout_s} SECONDS"))
+        & (F.col("response_ts") <= deadline)
+        & bounded,
         "left_outer",
     )
     unanswered = F.col("response_ts").isNull()
+    missing = F.when(bounded, ERROR_TIMEOUT).otherwise(ERROR_UNBOUNDED)
     return matched.select(
         F.col("q.prompt_id").alias("prompt_id"),
         F.col("q.model").alias("model"),
         "request_ts",
         "response_ts",
         F.when(~unanswered, F.col("raw_response")).alias("raw_response"),
-        F.when(unanswered, ERROR_TIMEOUT).otherwise(F.col("error")).alias("error"),
+        F.when(unanswered, missing).otherwise(F.col("error")).alias("error"),
         (
             (F.unix_micros("response_ts") - F.unix_micros("request_ts")) / 1000
         ).alias("latency_ms"),
     )
 
 
-def _checkpointed(writer: DataStreamWriter, spark: SparkSession) -> DataStreamWriter:
-    return writer.option("checkpointLocation", new_path(spark, "stream")).trigger(availableNow=True)
+def settle_matches(matched: DataFrame, requests: DataFrame, longest_timeout_s: int) -> DataFrame:
+    """The table of a finished match: one row for every request.
 
+    The first response counts.  Requests still open when the input ended stay unanswered; a stream holds
+    them back until its watermark passes their deadline.  Both tables are batch tables.
+    """
+    rest = [c for c in matched.columns if c not in REQUEST]
+    first = matched.groupBy(*REQUEST).agg(
+        F.min(F.struct(F.col("response_ts").isNull(), *rest)).alias("_first")
+    ).select(*REQUEST, F.lit(True).alias("_settled"), *[F.col(f"_first.{c}") for c in rest])
+    asked = requests.groupBy(*REQUEST).agg(F.max("timeout_s").alias("_timeout"))
+    missing = F.when(F.col("_timeout") <= longest_timeout_s, ERROR_TIMEOUT).otherwise(ERROR_UNBOUNDED)
+    error = F.when(F.col("_settled"), F.col("error")).otherwise(missing)
+    return asked.join(first, list(REQUEST), "left").withColumn("error", error).select(*matched.columns)
 
-def run_to_table(stream: DataFrame, name: str) -> DataFrame:
+
+def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """Run an append stream over all input there is, into Parquet, and return that table.
 
-    Progress is kept in the work folder, so a restarted query goes on where it stopped.
+    ``path`` and ``checkpoint`` belong together and to the caller: a query started again with
+    both goes on where the last one stopped, and adds to the same table.
     """
-    spark = stream.sparkSession
-    path = new_path(spark, name)
-    query = _checkpointed(stream.writeStream.format("parquet").outputMode("append"), spark)
-    query.start(path).awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
+    writer = stream.writeStream.format("parquet").outputMode("append")
+    _all_there_is(writer, checkpoint).start(path).awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
 
+def run_totals_to_table(
+    stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str] = ("window_start", "complexity")
+) -> DataFrame:
+    """The same for totals by ``keys``: a batch writes the totals it has changed, the latest count.
 
-def run_totals_to_table(stream: DataFrame, name: str) -> DataFrame:
-    """The same for an aggregate in complete mode: every batch replaces the table."""
-    spark = stream.sparkSession
-    path = new_path(spark, name)
+    A batch has a folder of its own, named after its number.  One that is run again
+    replaces that folder, so nothing is counted twice, and no reader sees half of it as the latest.
+    """
+
+    def upsert(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    _all_there_is(stream.writeStream.outputMode("update").foreachBatch(upsert), checkpoint).start().awaitTermination()
+    return latest_totals(stream.sparkSession, path, stream.schema, keys)
+
+
+def latest_totals(
+    spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str] = ("window_start", "complexity")
+) -> DataFrame:
+    """The totals as of the last batch in ``path``."""
+    numbered = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+    rest = [f.name for f in schema.fields if f.name not in keys]
+    rows = spark.read.schema(numbered).parquet(path)
+    last = rows.groupBy(*keys).agg(F.max(F.struct("batch", *rest)).alias("_last"))
+    return last.select(*keys, *[F.col(f"_last.{c}") for c in rest]).select(*schema.names)
 
-    def replace(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
 
-    query = _checkpointed(stream.writeStream.outputMode("complete").foreachBatch(replace), spark)
-    query.start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
+def _all_there_is(writer: DataStreamWriter, checkpoint: str) -> DataStreamWriter:
+    return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True)

@@ -15,6 +15,10 @@ def files(spark, df, path, n=3):
     return online.read_stream(spark, path, df.schema, files_per_batch=1)
 
 
+def run(stream, tmp_path, name="out"):
+    return online.run_to_table(stream, f"{tmp_path}/{name}", f"{tmp_path}/{name}-progress")
+
+
 def test_stream_equals_batch_over_several_batches(spark, sf_dir, tmp_path):
     events = dv.table(spark, sf_dir, "events")
     stream = files(spark, events, str(tmp_path / "events"))
@@ -22,7 +26,7 @@ def test_stream_equals_batch_over_several_batches(spark, sf_dir, tmp_path):
         dv.event_predictions(stream), routing.tier_table(spark), routing.model_registry(spark)
     )
     columns = ["prompt_id", "complexity", "routed_model", "energy_kwh", "green_score"]
-    got = online.run_to_table(scored.select(*columns), "scored")
+    got = run(scored.select(*columns), tmp_path)
     want = route_workload(dv.event_predictions(events)).select(*columns)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
@@ -31,28 +35,71 @@ def test_window_totals_over_several_batches(spark, tmp_path):
     rows = [(T0 + dt.timedelta(minutes=m), "small", 1.0, 0.5) for m in (0, 30, 59, 61, 119, 125)]
     df = spark.createDataFrame(rows, "ts timestamp, complexity string, energy_kwh double, co2_kg double")
     stream = files(spark, df.coalesce(1), str(tmp_path / "m"), n=1)
-    out = online.run_totals_to_table(online.window_energy(stream), "totals")
+    out = online.run_totals_to_table(online.window_energy(stream), f"{tmp_path}/t", f"{tmp_path}/p")
     assert sorted((r.prompts, r.energy_kwh) for r in out.collect()) == [(1, 1.0), (2, 2.0), (3, 3.0)]
 
 
-def test_requests_time_out(spark, tmp_path):
-    def at(s):
-        return T0 + dt.timedelta(seconds=s)
+def at(seconds):
+    return T0 + dt.timedelta(seconds=seconds)
+
+
+ASKED = "prompt_id long, model string, timeout_s int, request_ts timestamp"
+ANSWERED = "prompt_id long, model string, response_ts timestamp, raw_response string, error string"
+
 
-    requests = [(1, "a", 30, at(0)), (2, "a", 30, at(1)), (3, "a", 60, at(2)), (9, "a", 30, at(9000))]
+def test_requests_time_out_and_every_one_is_settled(spark, tmp_path):
+    requests = [
+        (1, "a", 30, at(0)), (2, "a", 30, at(1)), (3, "a", 60, at(2)), (4, "a", 600, at(3)),
+        (5, "a", 900, at(4)), (9, "a", 30, at(9000)), (10, "a", 30, at(9001)),
+    ]
     responses = [
-        (1, "a", at(20), "fine", None), (2, "a", at(40), "late", None), (3, "a", at(50), None, "boom"),
+        (1, "a", at(20), "fine", None), (1, "a", at(25), "again", None), (2, "a", at(40), "late", None),
+        (3, "a", at(50), None, "boom"), (4, "a", at(303), "slow", None), (5, "a", at(10), "quick", None),
         (9, "a", at(9001), "ok", None),
-    ]
-    asked = spark.createDataFrame(requests, "prompt_id long, model string, timeout_s int, request_ts timestamp")
-    answered = spark.createDataFrame(
-        responses, "prompt_id long, model string, response_ts timestamp, raw_response string, error string"
+    ]
+    asked, answered = spark.createDataFrame(requests, ASKED), spark.createDataFrame(responses, ANSWERED)
+    matched = run(
+        online.match_responses(
+            files(spark, asked, str(tmp_path / "q"), 1), files(spark, answered, str(tmp_path / "a"), 1), 600
+        ),
+        tmp_path,
     )
-    matched = online.match_responses(
-        files(spark, asked, str(tmp_path / "q"), 1), files(spark, answered, str(tmp_path / "a"), 1)
-    )
-    out = {r.prompt_id: r for r in online.run_to_table(matched, "matched").collect()}
+    rows = online.settle_matches(matched, asked, 600).collect()
+    out = {r.prompt_id: r for r in rows}
+    assert len(rows) == len(requests)
     assert out[1].raw_response == "fine" and out[1].latency_ms == 20000.0
     assert out[2].error == "Request timeout" and out[2].raw_response is None
     assert out[3].error == "boom" and out[3].response_ts is not None
-    assert set(out) == {1, 2, 3, 9}
+    assert out[4].raw_response == "slow" and out[4].error is None
+    assert out[5].error == "Timeout above the longest of the registry" and out[5].raw_response is None
+    assert out[9].raw_response == "ok" and out[10].error == "Request timeout"
+    batch = online.settle_matches(online.match_responses(asked, answered, 600), asked, 600)
+    assert sorted(map(str, batch.collect())) == sorted(map(str, rows))
+
+
+def test_a_restarted_stream_goes_on_in_the_same_table(spark, tmp_path):
+    folder, schema = str(tmp_path / "in"), "ts timestamp, complexity string, energy_kwh double, co2_kg double"
+    got = []
+    for start in (0, 10):
+        rows = [(at(60 * k), "small", 1.0, 0.5) for k in range(start, start + 10)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+        stream = online.read_stream(spark, folder, spark.read.parquet(folder).schema)
+        got.append(run(stream, tmp_path).count())
+        totals = online.run_totals_to_table(
+            online.window_energy(online.read_stream(spark, folder, spark.read.parquet(folder).schema)),
+            f"{tmp_path}/totals", f"{tmp_path}/totals-progress",
+        )
+        got.append([r.prompts for r in totals.collect()])
+    assert got == [10, [10], 20, [20]]
+
+
+def test_a_late_row_does_not_reopen_its_window(spark, tmp_path):
+    folder, schema = str(tmp_path / "in"), "ts timestamp, complexity string, energy_kwh double, co2_kg double"
+    for minutes in ((0, 30), (200,), (1,), (210,)):
+        rows = [(at(60 * m), "small", 1.0, 0.5) for m in minutes]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+        stream = online.read_stream(spark, folder, spark.read.parquet(folder).schema)
+        totals = online.run_totals_to_table(
+            online.window_energy(stream), f"{tmp_path}/totals", f"{tmp_path}/totals-progress"
+        )
+    assert sorted(r.prompts for r in totals.collect()) == [2, 2]
