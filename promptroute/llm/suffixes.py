@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+_BYTE_STEPS = np.uint64(1) << np.arange(8, 64, 8, dtype=np.uint64)
+
 
 def packed(text: np.ndarray) -> np.ndarray:
     """The eight bytes from every place on as one number; zeros follow the end."""
@@ -23,7 +25,7 @@ def suffix_ranks(words: np.ndarray) -> np.ndarray:
     stand as far behind as is sorted so far, which doubles that depth each time.
     """
     n = len(words)
-    order = np.argsort(words, kind="stable")
+    order = np.argsort(words)
     rank = np.empty(n, np.int64)
     _number(order, words[order], rank)
     sorted_to = 8
@@ -33,7 +35,7 @@ def suffix_ranks(words: np.ndarray) -> np.ndarray:
         # Of suffixes that end within the sorted depth the shorter comes first.
         second = np.where(behind < n, rank[np.minimum(behind, n - 1)], n - 1 - behind)
         # Places stay group by group, so a group's numbers are its own whatever the order within.
-        resorted = np.lexsort((second, group))
+        resorted = np.argsort(group * (2 * n) + (second + n))
         places, second, group = places[resorted], second[resorted], group[resorted]
         size_before = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1])
         counts = np.diff(np.concatenate([size_before, [len(group)]]))
@@ -73,29 +75,27 @@ def common_prefixes(
 
     ``before`` holds that other suffix's place for every place, or -1.  A run of places is gone through
     from left to right: the next place shares at least one byte less than the last did.  All runs
-    (from ``starts``, of ``counts`` places) advance together, eight bytes a step.
+    (from ``starts``, of ``counts`` places) advance side by side, each by eight bytes or to its next place.
     """
     n = len(words)
     out = np.zeros(n, np.int64)
-    length = np.zeros(len(starts), np.int64)
-    for step in range(int(counts.max(initial=0))):
-        runs = np.flatnonzero(counts > step)
-        here = starts[runs] + step
-        other = before[here]
-        known = np.where(other >= 0, length[runs], 0)
-        live = np.flatnonzero((other >= 0) & (known < most))
-        while len(live):
-            a, b = here[live] + known[live], other[live] + known[live]
-            inside = (a < n) & (b < n)
-            differ = np.where(inside, words[np.minimum(a, n - 1)] ^ words[np.minimum(b, n - 1)], np.uint64(1 << 63))
-            same = differ == 0
-            # Bytes that agree before the first that does not.
-            zeros = np.zeros(len(live), np.int64)
-            for k in range(1, 8):
-                zeros += (differ >> np.uint64(64 - 8 * k)) == 0
-            known[live] += np.where(same, 8, zeros)
-            live = live[same & (known[live] < most)]
-        known = np.minimum(known, np.minimum(most, n - np.maximum(here, other)))
-        out[here] = known
-        length[runs] = np.maximum(known - 1, 0)
+    at, end = starts[counts > 0].copy(), (starts + counts)[counts > 0]
+    known = np.zeros(len(at), np.int64)
+    while len(at):
+        other = before[at]
+        a, b = at + known, other + known
+        open_ = (other >= 0) & (known < most) & (a < n) & (b < n)
+        differ = words[np.minimum(a, n - 1)] ^ words[np.minimum(b, n - 1)]
+        same = open_ & (differ == 0)
+        # Bytes that agree before the first that does not.
+        known += np.where(same, 8, np.where(open_, 7 - np.searchsorted(_BYTE_STEPS, differ, "right"), 0))
+        done = np.flatnonzero(~same)
+        here, there = at[done], other[done]
+        found = np.minimum(known[done], np.minimum(most, n - np.maximum(here, there)))
+        out[here] = found = np.where(there >= 0, found, 0)
+        known[done] = np.maximum(found - 1, 0)
+        at[done] += 1
+        if (at == end).any():
+            more = at < end
+            at, end, known = at[more], end[more], known[more]
     return out
