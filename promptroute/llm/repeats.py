@@ -34,8 +34,8 @@ from promptroute.session import materialise
 LENGTH, ANCHOR = 400, 100
 #: Pieces that a shard holds, about.
 SHARD = 3_000
-#: Digests that a merging task holds, about.
-MERGED = 200_000
+#: Strings whose digests a merging task holds, at most.
+MERGED = 500_000
 _SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
 _SECOND_INVERSE = np.uint64(pow(int(_SECOND), -1, 1 << 64))
 
@@ -124,7 +124,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         "anchor", "content", F.lit(0).alias("start"), (F.col("one.stop") - F.col("one.start")).alias("stop")
     )
     parts = _shared_parts(docs, key, text, kinds)
-    covered = whole.unionByName(parts.select("anchor", "content", "start", "stop"))
+    covered = whole.unionByName(parts)
     found = covered.withColumnRenamed("start", "from").withColumnRenamed("stop", "to").join(
         seen, ["anchor", "content"]
     ).select("row", (F.col("start") + F.col("from")).alias("start"), (F.col("start") + F.col("to")).alias("stop"))
@@ -156,8 +156,11 @@ def _shared_parts(docs: DataFrame, key: str, text: str, kinds: DataFrame) -> Dat
     """Repeated stretches of the pieces whose anchor has several contents."""
     contents = kinds.groupBy("anchor").agg(F.count("*").alias("contents")).where("contents > 1")
     open_pieces = materialise(kinds.join(contents, "anchor"), "open")
-    n = open_pieces.count()
-    shards = max(1, n // SHARD)
+    size = open_pieces.agg(
+        F.count("*").alias("n"),
+        F.sum(F.when(F.col("contents") > SHARD, F.col("one.stop") - F.col("one.start"))).alias("dealt"),
+    ).first()
+    shards, tasks = max(1, size["n"] // SHARD), max(1, (size["dealt"] or 0) // MERGED)
     dealt = F.when(
         F.col("contents") > SHARD,
         F.xxhash64("anchor", F.pmod(F.xxhash64("content"), F.ceil(F.col("contents") / SHARD))),
@@ -185,21 +188,26 @@ def _shared_parts(docs: DataFrame, key: str, text: str, kinds: DataFrame) -> Dat
                 ]
             yield pa.RecordBatch.from_pylist(rows, schema=cut_kinds)
 
-    parts = "shard long, anchor long, content long, start int, stop int, digest binary, closed boolean"
+    parts = "anchor long, content long, start int, stop int, task int, digests binary, places binary"
     part_kinds = arrow_schema(parts)
 
     def search(shard: pa.Table) -> pa.Table:
-        return pa.Table.from_pylist(search_shard(shard.to_pylist()), schema=part_kinds)
+        return pa.Table.from_pylist(search_shard(shard.to_pylist(), tasks), schema=part_kinds)
 
     found = materialise(held.mapInArrow(slices, cut).groupBy("shard").applyInArrow(search, parts), "parts")
-    inside = found.where("digest is null")
-    return inside.unionByName(_across(found.where("digest is not null")))
+    return found.where("task is null").select("anchor", "content", "start", "stop").unionByName(
+        _across(found.where("task is not null"))
+    )
+
+
+#: Where a string stands: its piece, its first byte there, and whether its shard holds it twice already.
+PLACE = np.dtype([("anchor", "<i8"), ("content", "<i8"), ("start", "<i4"), ("closed", "?")])
 
 
-def search_shard(rows: list[dict]) -> list[dict]:
-    """Repeated stretches of a shard's pieces, and of dealt pieces the digest of every distinct string.
+def search_shard(rows: list[dict], tasks: int) -> list[dict]:
+    """Repeated stretches of a shard's pieces, and the sorted digests of all distinct strings of dealt ones.
 
-    ``closed`` marks digests of strings that are repeated within the shard already.
+    The digests are cut into ``tasks`` ranges; a range is one row, with the places of its strings beside it.
     """
     sizes = np.array([len(r["raw"]) for r in rows])
     line = np.frombuffer(b"".join(r["raw"] for r in rows), np.uint8)
@@ -224,19 +232,34 @@ def search_shard(rows: list[dict]) -> list[dict]:
     copies = np.array([r["n"] for r in rows])[owner]
     repeated = np.bincount(string, copies)[string] > 1
     out = [
-        {"shard": rows[p]["shard"], "anchor": rows[p]["anchor"], "content": rows[p]["content"], "start": a, "stop": b}
+        {"anchor": rows[p]["anchor"], "content": rows[p]["content"], "start": a, "stop": b}
         for p, a, b in _stretches(owner, offset, repeated)
     ]
     first = np.zeros(len(order), bool)
     first[order[new]] = True
-    for i in np.flatnonzero(first & np.array([r["dealt"] for r in rows])[owner]).tolist():
-        p, a = rows[owner[i]], int(offset[i])
-        digest = hashlib.blake2b(p["raw"][a : a + LENGTH], digest_size=16).digest()
-        out.append(
-            {"shard": p["shard"], "anchor": p["anchor"], "content": p["content"], "start": a, "stop": a + LENGTH,
-             "digest": digest, "closed": bool(repeated[i])}
-        )
-    return out
+    shown = np.flatnonzero(first & np.array([r["dealt"] for r in rows])[owner])
+    if not len(shown):
+        return out
+    digests = np.array(
+        [
+            hashlib.blake2b(rows[p]["raw"][a : a + LENGTH], digest_size=16).digest()
+            for p, a in zip(owner[shown].tolist(), offset[shown].tolist())
+        ],
+        "S16",
+    )
+    held = np.zeros(len(shown), PLACE)
+    for name in ("anchor", "content"):
+        held[name] = np.array([r[name] for r in rows])[owner[shown]]
+    held["start"], held["closed"] = offset[shown], repeated[shown]
+    by_digest = np.argsort(digests)
+    digests, held = digests[by_digest], held[by_digest]
+    high = np.frombuffer(digests.tobytes(), ">u4")[::4].astype(np.int64)
+    task = high * tasks >> 32
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(task)) + 1, [len(task)]])
+    return out + [
+        {"task": int(task[a]), "digests": digests[a:b].tobytes(), "places": held[a:b].tobytes()}
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())
+    ]
 
 
 def _stretches(owner: np.ndarray, offset: np.ndarray, repeated: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -252,27 +275,25 @@ def _stretches(owner: np.ndarray, offset: np.ndarray, repeated: np.ndarray) -> I
         yield int(owner[a]), int(offset[a]), int(offset[b]) + LENGTH
 
 
-def _across(digests: DataFrame) -> DataFrame:
-    """Strings that other shards hold as well: shards' sorted digests, searched in each other."""
-    tasks = max(1, digests.count() // MERGED)
-    kinds = digests.schema
+def _across(runs: DataFrame) -> DataFrame:
+    """Strings that other shards hold as well: the shards' sorted runs of a range, searched in each other."""
+    kinds = "anchor long, content long, start int, stop int"
+    found_kinds = arrow_schema(kinds)
 
     def merge(group: pa.Table) -> pa.Table:
-        digest = np.array(group.column("digest").to_pylist(), dtype="S16")
-        shard = group.column("shard").to_numpy()
-        met = np.zeros(len(digest), np.int64)
-        own = [np.flatnonzero(shard == s) for s in np.unique(shard)]
-        everything = np.sort(digest)
-        for at in own:
-            run = np.sort(digest[at])
-            for side, sign in (("right", 1), ("left", -1)):
-                met[at] += sign * np.searchsorted(everything, digest[at], side)
-                met[at] -= sign * np.searchsorted(run, digest[at], side)
-        return group.filter(pa.array(met > 0))
-
-    grouped = digests.withColumn("task", F.pmod(F.xxhash64("digest"), F.lit(tasks)))
-    out = grouped.groupBy("task").applyInArrow(merge, kinds.add("task", "long"))
-    return out.drop("task").where("not closed")
+        runs = [np.frombuffer(x, "S16") for x in group.column("digests").to_pylist()]
+        everything = np.sort(np.concatenate(runs))
+        met = []
+        for run, held in zip(runs, group.column("places").to_pylist()):
+            # A run holds a digest once, so a second one is of another shard.
+            copies = np.searchsorted(everything, run, "right") - np.searchsorted(everything, run, "left")
+            held = np.frombuffer(held, PLACE)
+            met.append(held[(copies > 1) & ~held["closed"]])
+        met = np.concatenate(met)
+        columns = [met["anchor"], met["content"], met["start"], met["start"] + LENGTH]
+        return pa.table([pa.array(c, k.type) for c, k in zip(columns, found_kinds)], schema=found_kinds)
+
+    return runs.select("task", "digests", "places").groupBy("task").applyInArrow(merge, kinds)
 
 
 def cut(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text: str = "text", to: str = "kept") -> DataFrame:
