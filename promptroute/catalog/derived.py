@@ -18,7 +18,7 @@ from promptroute.operators.responses import normalise_responses
 from promptroute.operators.routing import model_registry
 from promptroute.plans.corpus_build import KEY, label_and_combine
 from promptroute.settings import CHAT_SOURCE, GOLD_SOURCE, LABELS, MATH_SOURCE, MODELS
-from promptroute.sources.corpora import chat_prompts_from_turns, gold_prompts, qa_prompts, spread
+from promptroute.sources.corpora import chat_prompts_from_turns, gold_prompts, qa_prompts
 
 TEMPLATES = (
     "What is the capital of France?",
@@ -48,6 +48,10 @@ REPLIES = (
     "  Sentiment: NEUTRAL\nConfidence: 60  ",
     "negative",
     "no idea",
+    "positive confidence:\u00a0150 then 20",
+    "negative \u0668\u0665%",
+    "neutral \u00e985 40",
+    "positive confidence\u2003\uff19\uff15",
 )
 
 JUDGE_REPLIES = ("SMALL", " medium.", "LARGE", "That is Large", "SMALL or LARGE", "unsure")
@@ -69,11 +73,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(GIVEN[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of texts, which cost far more to work on than to read."""
-    return spread(table(spark, sf_dir, name))
-
-
 def pick(values: tuple[str, ...], index: Column) -> Column:
     """The ``index``-th (from 0) of some constants: a lookup in the plan, not a join."""
     constants = F.expr(f"array({', '.join(map(literal, values))})")
@@ -86,7 +85,7 @@ def div(number: Column, by: int) -> Column:
 
 def workload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every user turn and every document as a prompt: ``(prompt_id, n, prompt, source_dataset)``."""
-    turns = texts(spark, sf_dir, "conversations").filter("role = 'user'")
+    turns = table(spark, sf_dir, "conversations").filter("role = 'user'")
     n = F.col("n")
     opening = pick(TEMPLATES, n % len(TEMPLATES))
     chats = turns.select((F.col("conv_id") * 8 + F.col("turn")).alias("n"), "text").select(
@@ -95,7 +94,7 @@ def workload(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(opening, F.repeat(F.concat(F.lit(" "), "text"), (n % 7).cast("int"))).alias("prompt"),
         pick((CHAT_SOURCE, MATH_SOURCE), div(n, 8) % 2).alias("source_dataset"),
     )
-    documents = texts(spark, sf_dir, "documents").select(F.col("doc_id").alias("n"), "text").select(
+    documents = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("n"), "text").select(
         (n * 2 + 1).alias("prompt_id"),
         "n",
         F.concat(opening, F.lit(" "), F.col("text")).alias("prompt"),

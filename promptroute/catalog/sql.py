@@ -32,6 +32,18 @@ WS = (
 WORDS = f"len(regexp_extract_all(prompt, '[^{WS[1:]}+'))::int"
 
 
+# A number in any script, and a character that is no part of a word, for RE2.
+NUMBER = r"(\p{Nd}+\.?\p{Nd}*)"
+NO_WORD = r"[^\p{L}\p{N}_]"
+# The digits the replies use besides ASCII: Arabic-Indic and full-width.
+DIGITS = "\u0660\u0661\u0662\u0663\u0664\u0665\u0666\u0667\u0668\u0669" + "".join(map(chr, range(0xFF10, 0xFF1A)))
+
+
+def number(column: str, pattern: str) -> str:
+    found = f"nullif(regexp_extract({column}, '{pattern}', 1), '')"
+    return f"try_cast(translate({found}, '{DIGITS}', '{'0123456789' * 2}') as double)"
+
+
 def stripped(column: str) -> str:
     return f"regexp_replace({column}, '^{WS}+|{WS}+$', '', 'g')"
 
@@ -174,9 +186,9 @@ CTES: dict[str, str] = {
   case when c1 is not null then case when c1 > 1 then c1 / 100 else c1 end
        when c2 is not null then c2 / 100
        when c3 between 0 and 100 then case when c3 > 1 then c3 / 100 else c3 end end as conf
- from (select *, try_cast(nullif(regexp_extract(lower(reply), 'confidence[:\\s]+(\\d+\\.?\\d*)', 1), '') as double) as c1,
-  try_cast(nullif(regexp_extract(reply, '(\\d+\\.?\\d*)%', 1), '') as double) as c2,
-  try_cast(nullif(regexp_extract(reply, '\\b(\\d+\\.?\\d*)\\b', 1), '') as double) as c3
+ from (select *, {number("lower(reply)", "confidence[:" + WS[1:-1] + "]+" + NUMBER)} as c1,
+  {number("reply", NUMBER + "%")} as c2,
+  {number("reply", "(?:^|" + NO_WORD + ")" + NUMBER + "(?:$|" + NO_WORD + ")")} as c3
  from (select *, case when error is null then {stripped("coalesce(raw_response, '')")} end as reply from responses)))""",
     "normalised": """select prompt_id, p.model, coalesce(m.name, 'Unknown') as model_name,
  case when m.name is null or p.error is not null or not p.ok then 'ERROR' else out_label end as label,

@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from promptroute.settings import LARGE, MEDIUM, SMALL
 
-# Where a reply states its confidence, in order of precedence.
-STATED_CONFIDENCE = r"confidence[:\s]+(\d+\.?\d*)"
-PERCENTAGE = r"(\d+\.?\d*)%"
-BARE_NUMBER = r"\b(\d+\.?\d*)\b"
+# Where a reply states its confidence, in order of precedence.  Blanks, digits and word characters
+# are those of Unicode; a number stands alone if no letter, digit or underscore touches it.
+NUMBER = r"(\p{Nd}+\.?\p{Nd}*)"
+STATED_CONFIDENCE = rf"(?U)confidence[:\s\x1c-\x1f]+{NUMBER}"
+PERCENTAGE = f"{NUMBER}%"
+BARE_NUMBER = rf"(?<![\p{{L}}\p{{N}}_]){NUMBER}(?![\p{{L}}\p{{N}}_])"
+
+_DIGITS = [c for c in map(chr, range(128, sys.maxunicode + 1)) if unicodedata.category(c) == "Nd"]
+_FROM, _TO = "".join(_DIGITS), "".join(str(unicodedata.digit(c)) for c in _DIGITS)
 
 
 def parse_verdict(reply: Column) -> Column:
@@ -24,7 +32,8 @@ def parse_verdict(reply: Column) -> Column:
 
 
 def _number(text: Column, pattern: str) -> Column:
-    return F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")).try_cast("double")
+    found = F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
+    return F.translate(found, _FROM, _TO).try_cast("double")
 
 
 def _as_share(value: Column) -> Column:

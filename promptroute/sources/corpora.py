@@ -17,17 +17,6 @@ def read_corpus(spark: SparkSession, path: str, schema: T.StructType) -> DataFra
     return spark.read.schema(schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of a small input out to all task slots.
-
-    A table of few files and row groups is read by few tasks, whatever its text then costs to
-    work on.  Only a scan with less than half as many splits as there are slots is dealt out,
-    so a large table is never shuffled here.
-    """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots) if df.rdd.getNumPartitions() * 2 <= slots else df
-
-
 def _usable_chat(role: Column, content: Column, min_len: int, max_len: int) -> Column:
     """The stripped text of a user turn of fitting length, else NULL."""
     text = strip(content)

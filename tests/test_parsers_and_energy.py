@@ -1,11 +1,13 @@
 """Reply parsers, explanations and energy figures."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from promptroute import settings as st
 from promptroute.functions import energy as en
-from promptroute.functions.replies import parse_reply, parse_verdict
+from promptroute.functions.replies import bare_number, parse_reply, parse_verdict, percentage, stated_number
 from promptroute.functions.text import strip, truncated, word_count
 from promptroute.functions.wording import judge_text, percent
 from promptroute.operators import routing
@@ -41,6 +43,19 @@ def test_replies(spark):
     assert [tuple(r)[2:] for r in staged.collect()] == [r[1:] for r in REPLIES]
 
 
+def test_numbers_are_found_as_python_finds_them(spark):
+    patterns = [r"confidence[:\s]+(\d+\.?\d*)", r"(\d+\.?\d*)%", r"\b(\d+\.?\d*)\b"]
+    said = [
+        "confidence:\u00a0150 then 20", "negative \u0668\u0665%", "\u00e985 40", "a1 2_ _3 4", "85.x", "1.5a", "1.5.2", "x.5",
+        "confidence\u2003\uff19\uff15", "confidence \x1c7", "confidence\u200b7", "12\u0e51 3", "5\u00bd 6", "(7)", "8%9%", "",
+    ]
+    df = spark.createDataFrame(list(enumerate(said)), "id long, t string").orderBy("id")
+    found = df.select(*[f(F.col("t")) for f in (stated_number, percentage, bare_number)]).collect()
+    for text, row in zip(said, found):
+        want = [re.search(p, text) for p in patterns]
+        assert list(row) == [float(m[1]) if m else None for m in want], text
+
+
 def test_verdicts(spark):
     said = ["small", " Medium\n", "LARGE.", "large or small", "medium, not large", "?", None]
     df = spark.createDataFrame(list(enumerate(said)), "id long, t string").orderBy("id")
