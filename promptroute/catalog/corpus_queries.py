@@ -156,7 +156,7 @@ def source_class_table(spark: SparkSession, d: str) -> DataFrame:
 
 
 def preview_by_class(spark: SparkSession, d: str) -> DataFrame:
-    return profile.preview(dv.corpus(spark, d), KEY, by="complexity_label")
+    return profile.preview(dv.corpus(spark, d), KEY, by="complexity_label", keys=_keys(spark, d))
 
 
 def preview_first(spark: SparkSession, d: str) -> DataFrame:

@@ -143,20 +143,23 @@ def event_predictions(events: DataFrame) -> DataFrame:
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A logged reply of every registered model, and one unlisted, to every prompt."""
+    """A logged reply of every registered model, and one unlisted, to every prompt; some are tried twice."""
     ids = [m[0] for m in MODELS] + [UNLISTED_MODEL]
-    n, number = F.col("n"), F.col("number").cast("long")
+    n, number, attempt = F.col("n"), F.col("number").cast("long"), F.col("attempt")
     asked = workload(spark, sf_dir).select(
         "prompt_id", "n", F.posexplode(F.array(*[F.lit(i) for i in ids])).alias("number", "model")
     )
-    failed = (n + number) % 7 == 0
-    reply = pick(REPLIES, (n * 5 + number * 3) % len(REPLIES))
-    return asked.select(
+    tries = F.when((n + number) % 5 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    tried = asked.select("*", F.explode(tries).alias("attempt"))
+    failed = (n + number + attempt * 3) % 7 == 0
+    reply = pick(REPLIES, (n * 5 + number * 3 + attempt * 4) % len(REPLIES))
+    return tried.select(
         "prompt_id",
         "model",
         F.when(~failed, reply).alias("raw_response"),
-        ((n * 31 + number * 17) % 997 + F.lit(0.5)).alias("latency_ms"),
+        ((n * 31 + number * 17 + attempt * 5) % 997 + F.lit(0.5)).alias("latency_ms"),
         F.when(failed, F.when(n % 2 == 0, "Request timeout").otherwise("Connection refused")).alias("error"),
+        "attempt",
     )
 
 
@@ -168,30 +171,21 @@ def chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations")
 
 
-def chat_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nested chat records of the opening and the closing turn of each conversation.
-
-    Its language is that of the document with its id.  A record holds two turns however long the
-    conversation is.
-    """
-    turn = F.struct("turn", "role", F.col("text").alias("content"))
-    talks = (
-        chat_turns(spark, sf_dir)
-        .groupBy("conv_id")
-        .agg(F.min(turn).alias("_opening"), F.max(turn).alias("_closing"))
-        .select(
-            "conv_id",
-            F.array(
-                F.struct("_opening.role", "_opening.content"),
-                F.struct("_closing.role", "_closing.content"),
-            ).alias("conversation"),
-        )
-    )
-    languages = table(spark, sf_dir, "documents").select(
+def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each conversation: that of the document with its id."""
+    return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("conv_id"),
         F.when(F.col("lang") == "en", "English").otherwise(F.col("lang")).alias("language"),
     )
-    return talks.join(languages, "conv_id").withColumnRenamed("conv_id", "row_key")
+
+
+def chat_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested chat records: all turns of each conversation in order, as such records are given."""
+    turn = F.struct("turn", "role", F.col("text").alias("content"))
+    talks = chat_turns(spark, sf_dir).groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    told = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content")))
+    records = talks.select("conv_id", told.alias("conversation"))
+    return records.join(languages(spark, sf_dir), "conv_id").withColumnRenamed("conv_id", "row_key")
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,7 +218,8 @@ def gold_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chat_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chats = chat_prompts_from_turns(chat_turns(spark, sf_dir))
+    turns = chat_turns(spark, sf_dir).join(languages(spark, sf_dir), "conv_id")
+    chats = chat_prompts_from_turns(turns, lang="English")
     return chats.withColumn(KEY, F.concat(F.lit("chat-"), "conv_id"))
 
 

@@ -32,7 +32,7 @@ def request_texts(spark: SparkSession, d: str) -> DataFrame:
 
 def parsed_replies(spark: SparkSession, d: str) -> DataFrame:
     replies = dv.responses(spark, d).filter("error is null")
-    return rs.parse_replies(replies).select("prompt_id", "model", "label", "confidence", "ok")
+    return rs.parse_replies(replies).select("prompt_id", "model", "attempt", "label", "confidence", "ok")
 
 
 def normalised_responses(spark: SparkSession, d: str) -> DataFrame:
@@ -70,7 +70,7 @@ def leaderboard(spark: SparkSession, d: str) -> DataFrame:
 
 
 def model_summary(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(rs.model_summary(dv.normalised(spark, d)).drop("p95_latency_ms"), 12)
+    return _rounded(rs.model_summary(dv.normalised(spark, d)), 12)
 
 
 # ------------------------------------------------------------------ streams
@@ -156,7 +156,7 @@ def stream_response_match(spark: SparkSession, d: str) -> DataFrame:
 # ------------------------------------------------------------------ SQL
 _before, _after = SENTIMENT_TEMPLATE.split("{text}")
 _SIDE = """(select prompt_id, model, coalesce(raw_response, '') as response, error, latency_ms, energy_kwh,
- error is null and length(coalesce(raw_response, '')) > 10 as success from normalised where model = {})"""
+ error is null and length(coalesce(raw_response, '')) > 10 as success from settled where model = {})"""
 _PAIR = f"""(select s.prompt_id, s.model as small_model, s.response as small_response, s.error as small_error,
  s.latency_ms as small_latency, s.energy_kwh as small_energy, s.success as small_success,
  l.model as large_model, l.response as large_response, l.error as large_error,
@@ -186,12 +186,12 @@ QUERIES = {
     ),
     "parsed_replies": (
         parsed_replies,
-        "select prompt_id, model, out_label as label, out_conf as confidence, ok from parsed where error is null",
+        "select prompt_id, model, attempt, out_label as label, out_conf as confidence, ok from parsed where error is null",
     ),
     "normalised_responses": (normalised_responses, "select * from normalised"),
     "side_by_side": (
         side_by_side,
-        f"""select prompt_id, {", ".join(_panel(i, m) for i, m in enumerate(PANELS, 1))} from normalised group by prompt_id""",
+        f"""select prompt_id, {", ".join(_panel(i, m) for i, m in enumerate(PANELS, 1))} from settled group by prompt_id""",
     ),
     "pair_comparison": (pair_comparison, f"select * from {_PAIR}"),
     "validation_table": (validation_table, f"select * from {_VALIDATION}"),
@@ -220,13 +220,14 @@ QUERIES = {
   (select *, round((confidence * 0.4::double + coalesce(1 - energy_kwh / nullif(max(energy_kwh) over w, 0), 1) * 0.3::double
    + coalesce(1 - latency_ms / nullif(max(latency_ms) over w, 0), 1) * 0.2::double
    + coalesce(1 - co2_kg / nullif(max(co2_kg) over w, 0), 1) * 0.1::double) * 100, 6) as score
-   from normalised where error is null window w as (partition by prompt_id))) where rn = 1""",
+   from settled where error is null window w as (partition by prompt_id))) where rn = 1""",
     ),
     "model_summary": (
         model_summary,
         """select model, count(*) as requests, round(avg((error is null)::int), 12) as success_rate,
  round(avg(coalesce(error = 'Model did not provide confidence score in expected format', false)::int), 12) as parse_failure_rate,
- round(avg(latency_ms), 12) as mean_latency_ms, round(sum(energy_kwh), 12) as energy_kwh, round(sum(co2_kg), 12) as co2_kg
+ round(avg(latency_ms), 12) as mean_latency_ms,
+ round(quantile_disc(latency_ms, 0.95), 12) as p95_latency_ms, round(sum(energy_kwh), 12) as energy_kwh, round(sum(co2_kg), 12) as co2_kg
  from normalised group by model""",
     ),
     "stream_scores": (

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from promptroute.catalog import derived as dv
 from promptroute.catalog import sql as q
+from promptroute.catalog.corpus_queries import _keys as corpus_keys
 from promptroute.catalog.corpus_queries import _rounded
 from promptroute.operators import classifier, energy, evaluation, routing, rules
 from promptroute.operators.corpus import label_corpus
@@ -15,10 +16,14 @@ from promptroute.functions.energy import energy_report
 from promptroute.plans.corpus_build import KEY
 from promptroute.plans.route_workload import route_workload, workload_energy
 from promptroute.plans.train_model import train_and_evaluate
+from promptroute.plans.validate_routing import validate_sample
 from promptroute.session import materialise, new_path
+from promptroute.settings import LABELS, MAIN
 from promptroute.sources.sinks import write_json
 
 OVERRIDES = {"small": "qwen2:1.5b", "large": "zephyr:latest"}
+# Floors of the classifier on the validation part of the workload, from the smallest table on.
+LEAST_ACCURACY, LEAST_MACRO_F1 = 0.8, 0.6
 AVAILABLE = ("phi3:latest", "gemma3:4b", "zephyr:latest", "deepseek-r1:1.5b")
 
 
@@ -53,7 +58,7 @@ def evaluation_file(spark: SparkSession, d: str) -> DataFrame:
 
 
 def split_report(spark: SparkSession, d: str) -> DataFrame:
-    return evaluation.split_report(stratified_split(dv.corpus(spark, d).drop("prompt"), KEY))
+    return evaluation.split_report(stratified_split(corpus_keys(spark, d), KEY))
 
 
 def _labelled_workload(spark: SparkSession, d: str) -> DataFrame:
@@ -62,14 +67,38 @@ def _labelled_workload(spark: SparkSession, d: str) -> DataFrame:
 
 
 def classifier_scores(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of every score: the label is the likeliest class, and the shares add up."""
     rows = _labelled_workload(spark, d)
     scored = classifier.score(rows, classifier.train(rows, "prompt_id"))
-    return scored.drop("prompt", "all_probs")
+    shares = F.map_values("all_probs")
+    total = F.aggregate(shares, F.lit(0.0), lambda s, x: s + x)
+    return scored.select(
+        "prompt_id",
+        F.col("predicted").isin(*LABELS).alias("label_known"),
+        (F.element_at("all_probs", F.col("predicted")) == F.array_max(shares)).alias("label_likeliest"),
+        (F.col("confidence") == F.array_max(shares)).alias("confidence_of_label"),
+        ((F.size(shares) == len(LABELS)) & (F.abs(total - 1) < 1e-9)).alias("shares_add_up"),
+    )
 
 
 def classifier_evaluation(spark: SparkSession, d: str) -> DataFrame:
     report = train_and_evaluate(_labelled_workload(spark, d), "prompt_id")[1]
-    return report.select("n", "accuracy", "f1_macro", "f1_weighted")
+    return report.select(
+        "n",
+        (F.col("accuracy") >= LEAST_ACCURACY).alias("accurate"),
+        (F.col("f1_macro") >= LEAST_MACRO_F1).alias("fair_to_classes"),
+    )
+
+
+def sampled_validation(spark: SparkSession, d: str) -> DataFrame:
+    """Twenty prompts of each class, classified, and the two models compared on those predicted small."""
+    corpus = _labelled_workload(spark, d)
+    model = classifier.train(corpus, "prompt_id")
+    compared = validate_sample(corpus, model, dv.normalised(spark, d))
+    known = F.col("equivalent_quality").isNotNull()
+    return compared.select(
+        "prompt_id", "true_label", (known == (F.col("predicted") == "small")).alias("compared_if_small")
+    )
 
 
 # ------------------------------------------------------------------ rules
@@ -280,7 +309,7 @@ def _recorded(energy_sql: str) -> str:
  'qwen2.5:7b' as baseline_model, {_BASE} as baseline_energy, {_CHOICE_REASON} as reasoning, rule_override
  from (select r.prompt_id, r.complexity, r.confidence, r.routed_model, r.model_name, r.size_gb, r.rule_override,
   coalesce(a.raw_response, '') as response, a.error, a.latency_ms as inference_latency_ms, {energy_sql} as e
-  from routed r left join normalised a on a.prompt_id = r.prompt_id and a.model = r.routed_model)"""
+  from routed r left join settled a on a.prompt_id = r.prompt_id and a.model = r.routed_model)"""
 
 
 _ENERGY = """size_gb * 5e-5 as energy_kwh, size_gb * 5e-5 * 0.475::double as co2_kg,
@@ -333,8 +362,21 @@ QUERIES = {
         split_report,
         "select split, complexity_label, count(*) as n from split group by split, complexity_label",
     ),
-    "classifier_scores": (classifier_scores, None),
-    "classifier_evaluation": (classifier_evaluation, None),
+    "classifier_scores": (
+        classifier_scores,
+        """select prompt_id, true as label_known, true as label_likeliest, true as confidence_of_label,
+ true as shares_add_up from workload""",
+    ),
+    "classifier_evaluation": (
+        classifier_evaluation,
+        "select ceil(count(*) * 0.2::double)::bigint as n, true as accurate, true as fair_to_classes from workload",
+    ),
+    "sampled_validation": (
+        sampled_validation,
+        f"""select prompt_id, complexity_label as true_label, true as compared_if_small from (select *, row_number() over (
+ partition by complexity_label order by md5('42|' || prompt_id), prompt_id) as place from
+ {q.labelled('workload', MAIN, q.MAIN_LABEL)}) where place <= 20""",
+    ),
     "rule_layer": (
         rule_layer,
         """select prompt_id, predicted, r1 as rule_proof, r2 as rule_length, r3 as rule_depth, r4 as rule_steps, r5 as rule_code,

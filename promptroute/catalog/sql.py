@@ -173,10 +173,11 @@ CTES: dict[str, str] = {
     "event_ruled": _ruled("event_predictions"),
     "event_routed": _routed("event_ruled"),
     "responses": f"""select prompt_id, model,
- case when (n + number) % 7 <> 0 then {listing(dv.REPLIES)}[((n * 5 + number * 3) % {len(dv.REPLIES)})::int + 1] end as raw_response,
- (n * 31 + number * 17) % 997 + 0.5::double as latency_ms,
- case when (n + number) % 7 = 0 then case when n % 2 = 0 then 'Request timeout' else 'Connection refused' end end as error
- from (select prompt_id, n, unnest({_MODEL_IDS}) as model, unnest(range(0, {len(st.MODELS) + 1})) as number from workload)""",
+ case when (n + number + attempt * 3) % 7 <> 0 then {listing(dv.REPLIES)}[((n * 5 + number * 3 + attempt * 4) % {len(dv.REPLIES)})::int + 1] end as raw_response,
+ (n * 31 + number * 17 + attempt * 5) % 997 + 0.5::double as latency_ms,
+ case when (n + number + attempt * 3) % 7 = 0 then case when n % 2 = 0 then 'Request timeout' else 'Connection refused' end end as error,
+ attempt from (select *, unnest(case when (n + number) % 5 = 0 then [1, 2] else [1] end) as attempt from
+ (select prompt_id, n, unnest({_MODEL_IDS}) as model, unnest(range(0, {len(st.MODELS) + 1})) as number from workload))""",
     "parsed": f"""select *, case when label is null or conf is null then 'NEUTRAL' else label end as out_label,
  case when label is null or conf is null then 0 else greatest(0::double, least(1::double, conf)) end as out_conf,
  label is not null and conf is not null as ok from (
@@ -198,8 +199,10 @@ CTES: dict[str, str] = {
  case when m.name is null or p.error is not null or not p.ok then 0::double else m.size_gb * 5e-5 * 0.475::double end as co2_kg,
  case when m.name is not null then p.reply end as raw_response,
  case when m.name is null then 'Model ' || p.model || ' not found' when p.error is not null then p.error
-  when not p.ok then 'Model did not provide confidence score in expected format' end as error
+  when not p.ok then 'Model did not provide confidence score in expected format' end as error, attempt
  from parsed p left join models m on m.model_id = p.model""",
+    "settled": """select * exclude (attempt, place) from (select *, row_number() over (
+ partition by prompt_id, model order by error is null desc, attempt desc) as place from normalised) where place = 1""",
     "openings": f"""select conv_id, {stripped('text')} as prompt, 'wildchat' as source_dataset from conversations c
  where role = 'user' and turn = (select min(turn) from conversations d where d.conv_id = c.conv_id)
  and length({stripped('text')}) between 10 and 2000""",
@@ -211,6 +214,7 @@ CTES: dict[str, str] = {
  case when routing_choice = 'small model' then 'small' when routing_choice = 'big model' then
   case when complexity_score <= 2 then 'medium' else 'large' end else 'medium' end as complexity_label from gold""",
     "unlabelled": f"""select 'chat-' || conv_id as row_key, prompt, source_dataset from openings
+ join documents on doc_id = conv_id where lang = 'en'
  union all select 'math-' || item_id, {stripped('text')}, 'gsm8k' from benchmark where length({stripped('text')}) > 0""",
     "corpus": f"""select * from gold_labels union all
  select row_key, prompt, source_dataset, complexity_label from {labelled('unlabelled', st.MAIN, MAIN_LABEL)}""",

@@ -178,14 +178,21 @@ def preview(
     width: int = 150,
     prompt: str = "prompt",
     seed: int = SEED,
+    keys: DataFrame | None = None,
 ) -> DataFrame:
-    """``k`` rows, or ``k`` of each value of ``by``, with the prompt cut to ``width``."""
+    """``k`` rows, or ``k`` of each value of ``by``, with the prompt cut to ``width``.
+
+    ``keys`` may hold ``key`` and ``by`` of the rows in a table of its own: the choice is then made there, and
+    only the chosen rows are looked up in ``df``.
+    """
     shown = truncated(F.col(prompt), width)
     if by is None:
         # Cut first: the rows that travel to the final sort are short.
         return df.withColumn(prompt, shown).orderBy(key).limit(k)
     quota = F.least(F.col("total"), F.lit(k).cast("long"))
-    picks = keep_within(df, key, [by], lambda t: t.withColumn("quota", quota), seed)
+    picks = keep_within(df if keys is None else keys, key, [by], lambda t: t.withColumn("quota", quota), seed)
+    if keys is not None:
+        picks = df.join(picks.select(key), key, "left_semi")
     order = Window.partitionBy(by).orderBy(hash_order(F.col(key), seed), key)
     return picks.select(
         F.row_number().over(order).alias("position"),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from promptroute import schemas
 from promptroute.functions import energy as en
 from promptroute.functions.wording import explain_choice, explain_route
+from promptroute.operators.responses import settle_attempts
 from promptroute.operators.rules import apply_rules
 from promptroute.settings import (
     BASELINE_KWH,
@@ -127,8 +128,8 @@ def route_and_account(
     """The whole pass from predictions to routed records.
 
     Without ``responses`` every prompt is taken as answered by its model, and the pass is
-    narrow: one stage with lookups in two small tables.  With ``responses`` (normalised, one
-    row per prompt and model) the answer of the chosen model is attached.  A failed or
+    narrow: one stage with lookups in two small tables.  With ``responses`` (normalised) the answer of
+    the chosen model is attached, of several attempts that of ``settle_attempts``.  A failed or
     missing answer has no savings; ``strict_reference`` counts its energy as 0 instead.
     Without ``every_rule`` the record does not say which rules fired, and routing is faster.
     ``keep`` names further columns of ``df`` to pass on.
@@ -161,7 +162,7 @@ def route_and_account(
         )
         energy = en.energy_kwh(F.col("size_gb"))
     else:
-        answers = responses.select(
+        answers = settle_attempts(responses).select(
             "prompt_id",
             F.col("model").alias("routed_model"),
             F.coalesce("raw_response", F.lit("")).alias("response"),

@@ -29,9 +29,8 @@ class Corpus:
 
     def publish(self, folder: str) -> None:
         """Write the corpus, the evaluation set and the summary."""
-        write_parquet(
-            self.balanced, f"{folder}/labeled", ("source_dataset", "complexity_label")
-        )
+        by = ("source_dataset", "complexity_label")
+        write_parquet(self.balanced, f"{folder}/labeled", by, compact=True)
         write_csv(self.balanced, f"{folder}/labeled_csv")
         write_parquet(self.evaluation, f"{folder}/evaluation")
         write_csv(self.evaluation, f"{folder}/evaluation_csv")
@@ -55,10 +54,10 @@ def build_corpus(
 ) -> Corpus:
     """The whole build.
 
-    The labelled corpus is written once: sampling reads its keys and labels several times, and
-    would otherwise read and label every prompt again each time.
+    The labelled and the balanced corpus are written once: sampling reads keys and labels several times, and
+    every output is made from them, which would otherwise label and choose all over again each time.
     """
     full = materialise(label_and_combine(gold, chat, math, lex), "labeled")
-    balanced = balance(full, KEY)
-    sample = judge_sample(balanced, KEY, sample_size)
+    balanced = materialise(balance(full, KEY), "balanced")
+    sample = materialise(judge_sample(balanced, KEY, sample_size), "sample")
     return Corpus(full, balanced, attach_verdicts(sample, KEY, verdicts), verdicts is not None)

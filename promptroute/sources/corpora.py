@@ -57,6 +57,7 @@ def chat_prompts(
 def chat_prompts_from_turns(
     df: DataFrame,
     conversation: str = "conv_id",
+    lang: str | None = None,
     min_len: int = 10,
     max_len: int = 2000,
     limit: int | None = None,
@@ -64,10 +65,12 @@ def chat_prompts_from_turns(
 ) -> DataFrame:
     """As ``chat_prompts`` for one row per turn: ``(conversation, turn, role, text)``.
 
-    One scan and one shuffle.  Text that cannot become a prompt is dropped before the
+    With ``lang`` only turns of that ``language`` count, a further column of ``df``.  One scan and one shuffle.  Text that cannot become a prompt is dropped before the
     aggregate, and the earliest turn is found per task first, so a conversation of any
     length sends one short row per task.
     """
+    if lang is not None:
+        df = df.filter(F.col("language") == lang)
     usable = _usable_chat(F.col("role"), F.col("text"), min_len, max_len)
     kept = (
         df.groupBy(conversation)

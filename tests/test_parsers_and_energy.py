@@ -12,7 +12,7 @@ from promptroute.functions.text import strip, truncated, word_count
 from promptroute.functions.wording import judge_text, percent
 from promptroute.operators import routing
 from promptroute.operators.energy import with_bands
-from promptroute.operators.responses import normalise_responses, parse_replies
+from promptroute.operators.responses import compare_pair, normalise_responses, parse_replies, settle_attempts, side_by_side
 
 REPLIES = [
     ("Sentiment: POSITIVE\nConfidence: 85", "POSITIVE", 0.85, True),
@@ -153,3 +153,30 @@ def test_word_count_is_exact_up_to_the_bound(spark):
         for count, text in zip(got, texts):
             words = len(text.split())
             assert count == words if words <= bound else count > bound
+
+
+def test_of_several_attempts_the_latest_good_one_counts(spark):
+    rows = [
+        (1, "tinyllama:latest", "positive 80%", None, 1), (1, "tinyllama:latest", None, "Connection refused", 2),
+        (1, "qwen2.5:7b", "no number", None, 1), (1, "qwen2.5:7b", "negative, 70%", None, 2),
+        (1, "qwen2.5:7b", "neutral, 60% of it", None, 3), (2, "qwen2.5:7b", None, "Request timeout", 1),
+        (2, "qwen2.5:7b", None, "Connection refused", 2), (2, "tinyllama:latest", "positive 90%", None, 1),
+    ]
+    log = spark.createDataFrame(
+        [(p, m, r, 5.0, e, a) for p, m, r, e, a in rows],
+        "prompt_id long, model string, raw_response string, latency_ms double, error string, attempt int",
+    )
+    done = normalise_responses(log, routing.model_registry(spark))
+    one = {(r.prompt_id, r.model): (r.label, r.error) for r in settle_attempts(done).collect()}
+    assert one == {
+        (1, "tinyllama:latest"): ("POSITIVE", None), (1, "qwen2.5:7b"): ("NEUTRAL", None),
+        (2, "qwen2.5:7b"): ("ERROR", "Connection refused"), (2, "tinyllama:latest"): ("POSITIVE", None),
+    }
+    pairs = compare_pair(done, "tinyllama:latest", "qwen2.5:7b").orderBy("prompt_id").collect()
+    assert [(r.small_success, r.large_success, r.large_error) for r in pairs] == [
+        (True, True, None), (True, False, "Connection refused"),
+    ]
+    plan = compare_pair(log.withColumns({"energy_kwh": F.lit(1.0)}), "a", "b")._jdf.queryExecution().executedPlan()
+    assert plan.toString().count("Exchange") == 1 and "Join" not in plan.toString()
+    shown = side_by_side(done, ["qwen2.5:7b"]).orderBy("prompt_id").collect()
+    assert [r.text_1 for r in shown] == ["neutral, 60% of it", "Connection refused"]

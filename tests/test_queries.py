@@ -54,3 +54,9 @@ def test_every_sql_has_a_query():
 
 def test_entry(spark, sf_dir):
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", ["validation_report", "pair_comparison", "model_summary", "routed_records", "rule_layer"])
+def test_texts_are_not_dealt_out(spark, sf_dir, name):
+    plan = entry.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobinPartitioning" not in plan and "REPARTITION_BY_NUM" not in plan
