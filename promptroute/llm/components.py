@@ -15,23 +15,18 @@ def components(links: DataFrame) -> DataFrame:
     path of n links takes about log n rounds.  Labels are combined before they are shuffled.
     """
     both = materialise(
-        links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links"
+        links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links"
     )
-    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select(
-        "node", F.least("node", "m").alias("root")), "labels")
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
+    labels = materialise(labels.select("node", F.least("node", "m").alias("root")), "labels")
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(
-            F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        taken = labels.join(near, "node", "left").select(
-            "node", "root", F.least("root", F.coalesce("near", "root")).alias("new"))
-        taken = materialise(taken, "labels")
-        jump = taken.select(F.col("node").alias("new"), F.col("new").alias("next"))
-        short = materialise(
-            taken.join(jump, "new", "left").select(
-                "node", F.least("new", F.coalesce("next", "new")).alias("root"),
-                (F.least("new", F.coalesce("next", "new")) != F.col("root")).alias("changed")),
-            "labels",
+        told = both.join(labels.select(F.col("node").alias("b"), "root"), "b").select(
+            F.col("a").alias("node"), "root", F.lit(None).cast(links.schema["a"].dataType).alias("old")
         )
-        labels = short.select("node", "root")
-        if short.where("changed").isEmpty():
-            return labels
+        own = labels.select("node", "root", F.col("root").alias("old"))
+        taken = told.union(own).groupBy("node").agg(F.min("root").alias("new"), F.max("old").alias("old"))
+        jump = taken.select(F.col("node").alias("new"), F.col("new").alias("root"))
+        labels = materialise(taken.join(jump, "new").select("node", "root", (F.col("root") != F.col("old")).alias("changed")), "labels")
+        if labels.where("changed").isEmpty():
+            return labels.select("node", "root")
+        labels = labels.select("node", "root")

@@ -29,8 +29,8 @@ BANDS, ROWS = 28, 4
 COMPONENTS = BANDS * ROWS
 #: Share of agreeing components from which a pair is checked: four deviations below ``SIMILARITY``.
 LIKELY = 0.65
-#: Rounds of checks against hubs, and the nodes of a block in what is compared after them.
-HUB_ROUNDS, BLOCK = 2, 512
+#: Nodes of a block in what is compared after the hubs.
+BLOCK = 512
 
 
 def signatures(texts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -189,7 +189,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
 
 def _buckets(members: DataFrame) -> DataFrame:
-    """``bucket``, ``band`` and ``node`` of all buckets with several texts; of buckets of the same texts the first."""
+    """``bucket``, ``band``, ``n`` (texts) and ``node`` of all buckets with several; of those with the same texts the first."""
     rows = members.select(
         F.col("text_key").alias("node"), F.posexplode("bands").alias("band", "value")
     ).select("node", "band", F.xxhash64("band", "value").alias("bucket"))
@@ -197,31 +197,23 @@ def _buckets(members: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.xxhash64("node") % 1_000_003).alias("s")
     ).where("n > 1")
     once = several.groupBy("n", "x", "s").agg(F.min(F.struct("band", "bucket"))["bucket"].alias("bucket"))
-    return materialise(rows.join(once.select("bucket"), "bucket"), "buckets")
+    return materialise(rows.join(once.select("bucket", "n"), "bucket"), "buckets")
 
 
 def _roots(docs: DataFrame, key: str, text: str, members: DataFrame, buckets: DataFrame) -> DataFrame:
-    # Hubs first: texts that are in many and large buckets, as the original of many copies is.
-    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n"))
-    weight = buckets.join(sizes, "bucket").groupBy("node").agg(F.sum("n").alias("weight"))
+    """The smallest node of the class of every node that is linked to another."""
+    # Hubs are texts in many and large buckets, as the original of many copies is.
+    weight = buckets.groupBy("node").agg(F.sum("n").alias("weight"))
     nodes = materialise(
         weight.join(members, F.col("node") == F.col("text_key")).select("node", "weight", "first", "bands"), "nodes"
     )
     contents = materialise(_contents(docs, key, text, nodes), "contents")
-    ranked = buckets.join(nodes.select("node", "weight"), "node")
-    links, tried, roots = None, None, None
-    for _ in range(HUB_ROUNDS):
-        pairs = materialise(_hub_pairs(ranked, roots, tried), "pairs")
-        tried = pairs if tried is None else materialise(tried.union(pairs), "tried")
-        found = materialise(_verified(_likely(pairs, nodes), contents), "links")
-        links = found if links is None else materialise(links.union(found), "links")
-        roots = components(links) if not links.isEmpty() else None
+    links = materialise(_verified(_hub_pairs(buckets, nodes), contents), "links")
+    roots = None if links.isEmpty() else components(links)
     found = materialise(_rest_links(buckets, nodes, contents, roots), "links")
     if not found.isEmpty():
-        roots = components(found if links is None else links.union(found))
-    if roots is None:
-        roots = buckets.select("node", F.col("node").alias("root")).limit(0)
-    return roots
+        roots = components(links.union(found))
+    return buckets.select("node", F.col("node").alias("root")).limit(0) if roots is None else roots
 
 
 def _contents(docs: DataFrame, key: str, text: str, nodes: DataFrame) -> DataFrame:
@@ -232,44 +224,14 @@ def _contents(docs: DataFrame, key: str, text: str, nodes: DataFrame) -> DataFra
     return rows.join(wanted, same).select("node", F.col("_text").alias("text")).dropDuplicates(["node"])
 
 
-def _hub_pairs(ranked: DataFrame, roots: DataFrame | None, tried: DataFrame | None) -> DataFrame:
-    """Each text with the hub that it shares most buckets with; pairs already joined or tried are left out.
-
-    A bucket's hub is its weightiest text among those outside the bucket's largest class so far.
-    """
-    rows = ranked
-    if roots is not None:
-        rows = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        classes = rows.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-        largest = classes.groupBy("bucket").agg(
-            F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("classes")
-        ).where("classes > 1")
-        rows = rows.join(largest, "bucket")
-        open_rows = rows.where(F.col("root") != F.col("main"))
-    else:
-        open_rows = rows.withColumn("root", F.col("node"))
-        rows = open_rows
-    hubs = open_rows.groupBy("bucket").agg(F.max(F.struct("weight", "node", "root")).alias("hub"))
-    pairs = rows.join(hubs, "bucket").where(
-        (F.col("node") != F.col("hub.node")) & (F.col("root") != F.col("hub.root"))
-    ).groupBy(F.col("node").alias("a"), F.col("hub.node").alias("b")).agg(
-        F.count("*").alias("shared"), F.max("hub.weight").alias("weight"))
-    if tried is not None:
-        pairs = pairs.join(tried, ["a", "b"], "left_anti")
-    best = pairs.groupBy("a").agg(F.max(F.struct("shared", "weight", "b"))["b"].alias("b"))
-    return best
-
-
-def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs whose signatures agree in a share of ``LIKELY`` of the components or more."""
-    bands = nodes.select("node", "bands")
-    both = pairs.join(bands.select(F.col("node").alias("a"), F.col("bands").alias("x")), "a").join(
-        bands.select(F.col("node").alias("b"), F.col("bands").alias("y")), "b")
-    agreed = F.expr(
-        "aggregate(zip_with(x, y, (p, q) -> p ^ q), 0, (n, d) -> n"
-        + "".join(f" + if(shiftrightunsigned(d, {16 * k}) & 65535 = 0, 1, 0)" for k in range(ROWS)) + ")"
-    )
-    return both.where(agreed >= LIKELY * COMPONENTS).select("a", "b")
+def _hub_pairs(buckets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Each text with the hub that it shares most buckets with; a bucket's hub is its weightiest text."""
+    ranked = buckets.join(nodes.select("node", "weight"), "node")
+    hubs = ranked.groupBy("bucket").agg(F.max(F.struct("weight", "node")).alias("hub"))
+    pairs = buckets.join(hubs, "bucket").where(F.col("node") != F.col("hub.node"))
+    shared = pairs.groupBy(F.col("node").alias("a"), "hub").agg(F.count("*").alias("shared"))
+    best = shared.groupBy("a").agg(F.max(F.struct("shared", "hub")).alias("best"))
+    return best.select("a", F.col("best.hub.node").alias("b"))
 
 
 def _verified(pairs: DataFrame, contents: DataFrame) -> DataFrame:

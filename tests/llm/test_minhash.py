@@ -78,9 +78,11 @@ def test_a_signature_does_not_depend_on_its_neighbours():
     assert all((minhash.signatures([s])[0] == row).all() for s, row in zip(sets[::7], together[::7]))
 
 
-@pytest.mark.parametrize("rounds, block", [(2, 512), (0, 7)])
-def test_classes_equal_brute_force(spark, monkeypatch, rounds, block):
-    monkeypatch.setattr(minhash, "HUB_ROUNDS", rounds)
+@pytest.mark.parametrize("hubs, block", [(True, 512), (False, 7)])
+def test_classes_equal_brute_force(spark, monkeypatch, hubs, block):
+    if not hubs:
+        real = minhash._hub_pairs
+        monkeypatch.setattr(minhash, "_hub_pairs", lambda *args: real(*args).limit(0))
     monkeypatch.setattr(minhash, "BLOCK", block)
     texts = _texts()
     want = _brute(texts)
