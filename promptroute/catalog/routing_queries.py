@@ -61,14 +61,14 @@ def split_report(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.split_report(stratified_split(corpus_keys(spark, d), KEY))
 
 
-def _labelled_workload(spark: SparkSession, d: str) -> DataFrame:
+def labelled_workload(spark: SparkSession, d: str) -> DataFrame:
     """The whole workload under the main labeller, written once."""
     return materialise(label_corpus(dv.workload(spark, d)).drop("n"), "labeled")
 
 
 def classifier_scores(spark: SparkSession, d: str) -> DataFrame:
     """What must hold of every score: the label is the likeliest class, and the shares add up."""
-    rows = _labelled_workload(spark, d)
+    rows = labelled_workload(spark, d)
     scored = classifier.score(rows, classifier.train(rows, "prompt_id"))
     shares = F.map_values("all_probs")
     total = F.aggregate(shares, F.lit(0.0), lambda s, x: s + x)
@@ -82,7 +82,7 @@ def classifier_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def classifier_evaluation(spark: SparkSession, d: str) -> DataFrame:
-    report = train_and_evaluate(_labelled_workload(spark, d), "prompt_id")[1]
+    report = train_and_evaluate(labelled_workload(spark, d), "prompt_id")[1]
     return report.select(
         "n",
         (F.col("accuracy") >= LEAST_ACCURACY).alias("accurate"),
@@ -92,7 +92,7 @@ def classifier_evaluation(spark: SparkSession, d: str) -> DataFrame:
 
 def sampled_validation(spark: SparkSession, d: str) -> DataFrame:
     """Twenty prompts of each class, classified, and the two models compared on those predicted small."""
-    corpus = _labelled_workload(spark, d)
+    corpus = labelled_workload(spark, d)
     model = classifier.train(corpus, "prompt_id")
     compared = validate_sample(corpus, model, dv.normalised(spark, d))
     known = F.col("equivalent_quality").isNotNull()
