@@ -6,9 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from promptroute.functions import text as tx
-from promptroute.settings import LABELS, LARGE, MAIN, MATH_SOURCE, MEDIUM, SMALL, Lexicon
-
-LONG_TOKENS = 300
+from promptroute.settings import LABELS, LARGE, LONG_TOKENS, MAIN, MATH_SOURCE, MEDIUM, SMALL, Lexicon
 
 
 def gold_label(choice: Column, score: Column) -> Column:

@@ -16,6 +16,8 @@ from promptroute.settings import (
     CODE_WORDS,
     DEPTH_WORDS,
     LARGE,
+    LONG_FOR_ANY,
+    LONG_FOR_SMALL,
     MEDIUM,
     OVERRIDE_CONFIDENCE_CAP,
     PROOF_WORDS,
@@ -23,6 +25,7 @@ from promptroute.settings import (
     SMALL,
     STEP_WORDS,
     TECHNICAL_WORDS,
+    VERY_LONG_FOR_SMALL,
 )
 
 
@@ -35,17 +38,17 @@ def needed_features(
     and label tests stand before the word lists for the same reason.
 
     Without ``every_rule`` only rules that can still decide are looked at.  A medium prompt of
-    more than 120 words becomes large by its length, whatever else fires; for a small one of more
-    than 100 words the length rule outweighs the proof rule and agrees with the depth rule, and
-    from 80 words on it outweighs the proof rule.
+    more than ``LONG_FOR_ANY`` words becomes large by its length, whatever else fires; for a small
+    one of more than ``VERY_LONG_FOR_SMALL`` the length rule outweighs the proof rule and agrees
+    with the depth rule, and beyond ``LONG_FOR_SMALL`` it outweighs the proof rule.
     """
     small, medium = predicted == SMALL, predicted == MEDIUM
     small_proof = small_depth = small
     open_to_raise = ~predicted.eqNullSafe(LARGE)
     if not every_rule:
-        small_proof, small_depth = small & (words <= 80), small & (words <= 100)
-        medium = medium & (words <= 120)
-        open_to_raise = small | (open_to_raise & (words <= 120))
+        small_proof, small_depth = small & (words <= LONG_FOR_SMALL), small & (words <= VERY_LONG_FOR_SMALL)
+        medium = medium & (words <= LONG_FOR_ANY)
+        open_to_raise = small | (open_to_raise & (words <= LONG_FOR_ANY))
     medium_share = F.coalesce(F.try_element_at(probs, F.lit(MEDIUM)), F.lit(0.0))
     return {
         "proof_hit": (small_proof | (medium & (words > 20))) & any_hit(lowered, PROOF_WORDS),
@@ -74,9 +77,9 @@ def proof_rule(predicted: Column, words: Column, proof_hit: Column) -> Column:
 def length_rule(predicted: Column, words: Column) -> Column:
     small = predicted == SMALL
     return (
-        F.when((words > 120) & ~predicted.eqNullSafe(LARGE), LARGE)
-        .when((words > 100) & small, LARGE)
-        .when((words > 80) & small, MEDIUM)
+        F.when((words > LONG_FOR_ANY) & ~predicted.eqNullSafe(LARGE), LARGE)
+        .when((words > VERY_LONG_FOR_SMALL) & small, LARGE)
+        .when((words > LONG_FOR_SMALL) & small, MEDIUM)
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from promptroute.functions import rules as rl
 from promptroute.functions.text import present, word_count
 from promptroute.operators.once import with_computed_once
-from promptroute.settings import LARGE
+from promptroute.settings import LARGE, LONG_FOR_ANY
 
 RULES = ("proof", "length", "depth", "steps", "code", "academic")
 
@@ -33,7 +33,7 @@ def apply_rules(
     staged = staged.select(
         "*",
         F.when(final, "").otherwise(F.lower(text)).alias("_lowered"),
-        F.when(final, 0).otherwise(word_count("_text", exact_to=120)).alias("_words"),
+        F.when(final, 0).otherwise(word_count("_text", exact_to=LONG_FOR_ANY)).alias("_words"),
     )
     first = rl.needed_features("_lowered", words, predicted, probs, every_rule)
     staged = staged.withColumns({f"_{n}": c for n, c in first.items()})

@@ -139,6 +139,9 @@ ACADEMIC_WORDS = (
 SIMPLE_STARTS = ("what is ", "define ", "translate ", "what are ", "who is ", "when was ")
 
 OVERRIDE_CONFIDENCE_CAP = 0.85
+# Word counts above which a prompt is raised by its length alone: small to medium, small to large, any to large.
+LONG_FOR_SMALL, VERY_LONG_FOR_SMALL, LONG_FOR_ANY = 80, 100, 120
+LONG_TOKENS = 300  # estimated tokens above which the labellers call a prompt large
 
 # ---------------------------------------------------------------- model registry and tiers
 # Model id, display name, size in GB, timeout in seconds.
