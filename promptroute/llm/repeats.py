@@ -111,7 +111,8 @@ def _occurrences(docs: DataFrame, key: str, text: str) -> DataFrame:
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``row`` (``row_key`` of a row of ``docs``) and ``spans``, the maximal runs of repeated bytes, for rows with any."""
     every = _occurrences(docs, key, text)
-    several = every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # Written, so that the join reads two plain shuffles: a hot anchor's share of one can then be split.
+    several = materialise(every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "anchors").select("anchor")
     seen = materialise(every.join(several, "anchor", "left_semi"), "occurrences")
     kinds = materialise(
         seen.groupBy("anchor", "content").agg(
