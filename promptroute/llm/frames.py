@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Rows that a task works on together.
+ROWS = 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,15 +41,16 @@ def map_columns(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = make()
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            made = [
-                x if isinstance(x, pa.Array) else pa.array(x, kind)
-                for x, kind in zip(compute(batch), kinds)
-            ]
-            columns = [batch.column(i) for i in places] + made
-            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        for whole in batches:
+            # A few rows at a time: what Python holds of a batch of long texts stays small.
+            for low in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(low, ROWS)
+                made = [
+                    x if isinstance(x, pa.Array) else pa.array(x, kind)
+                    for x, kind in zip(compute(batch), kinds)
+                ]
+                columns = [batch.column(i) for i in places] + made
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return df.mapInArrow(run, schema)
 
