@@ -33,7 +33,7 @@ from promptroute.session import materialise
 
 LENGTH, ANCHOR = 400, 100
 #: Pieces that a shard holds, about.
-SHARD = 3_000
+SHARD = 1_500
 #: Strings whose digests a merging task holds, at most.
 MERGED = 500_000
 _SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
