@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 
@@ -63,6 +64,19 @@ def test_held_out_documents_and_strange_rows(spark):
     assert quality.score(odd.limit(0), model).count() == 0
 
 
+def test_packed_size_is_of_the_whole_text_at_every_length():
+    rng = random.Random(5)
+    junk = "".join(chr(rng.randint(33, 126)) for _ in range(16_384))
+    for n in (100, 8_192, 8_193, 65_537, 131_072):
+        # Junk at the eight places a sample would look at, one word over and over between them, and the reverse.
+        step = n // 8
+        mixed = "".join(junk[i : i + 1024] + "same " * max(0, (step - 1024) // 5) for i in range(0, 8_192, 1_024))
+        for text in (mixed[:n], ("same " * n)[:n], (junk * 9)[:n], ("same " * 1_000 + junk) * 4):
+            packed = quality.statistics(text)[quality.STATISTICS.index("packed_size")]
+            raw = text.encode()
+            assert packed == len(zlib.compress(raw, 1)) / len(raw)
+
+
 def test_without_two_classes_every_score_is_the_share(spark):
     texts, labels = _corpus(20)
     for known, share in (([], 0.5), ([(1, 1), (2, 1)], 1.0), ([(1, None), (99, 0)], 0.5)):
