@@ -1,14 +1,16 @@
 """Brown class-based bigram model: exchange clustering, class transitions and word emissions.
 
 The probability of a word is that of its class after the class before, times that of the word in its
-class.  Words that make up at least one ``FREQUENT``-th of all training tokens, of which there
-are ``FREQUENT`` at most, are put into ``CLASSES`` classes by exchange: a word moves to the class where the
-likelihood of the class bigrams is highest.  The others are in classes by their shape, and the end of a text is a class of its own.
+class.  Every word that stands ``LEAST`` times or more in training texts is put into one of ``CLASSES`` classes by
+exchange: a word moves to the class where the likelihood of the class bigrams is highest, until the likelihood no
+longer rises.  Rarer words are in classes by their shape, and the end of a text is a class of its own.
 Both factors are smoothed, and a small share of the add-one word frequencies is mixed in.
 
-Counts cover all training texts and grow with them; they stay in tables.  A text is scored next to the
-words of its block of neighbouring rows, which are looked up in the count table together, so no task needs
-the whole vocabulary.
+Counts cover all training texts and grow with them; they stay in tables, and so do the neighbours of every clustered
+word, from which tasks find its best class.  A text is turned into numbers next to the words of its block of
+neighbouring rows, which are looked up in the count table together, so no task needs the words of the whole
+vocabulary.  Of a clustered word tasks hold its class with its turn or its count, 2 or 9 bytes, and the driver some
+dozens of bytes (symbol, count, hash, rank, class), but no words: that much still grows with the vocabulary.
 
 A-Z count as lower case; words are runs of characters other than ASCII white space.  A null text is an empty
 text, which has the end as its only token.  Repeated rows count and are scored each.  Without
@@ -19,20 +21,24 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from promptroute.llm.frames import arrow_schema, share, texts
+from promptroute.llm.frames import ROWS, arrow_schema, share, texts
 from promptroute.session import materialise
 
-FREQUENT, CLASSES, ROUNDS = 20_000, 48, 6
+#: Occurrences from which a word is clustered, the classes, and the least rise of the log likelihood a token in two rounds.
+LEAST, CLASSES, RISE = 10, 48, 1e-4
 #: Rows of a block, and the entries a task counts before it passes them on.
 BLOCK_ROWS, HELD = 8192, 1_000_000
+#: Links of clustered words in a row of their table.
+LINKS = 1 << 18
 #: Smoothing: prior weight of class frequencies, of every word in its class, and the share of word frequencies.
 TRANSITION, EMISSION, MIXED = 20.0, 0.5, 0.05
 SHAPES = 8
@@ -110,68 +116,155 @@ def _block_words(rows: DataFrame) -> DataFrame:
     return rows.select("block", "text", "held_out").mapInArrow(run, schema)
 
 
-def _bigrams(rows: DataFrame, ids: dict[bytes, int]) -> DataFrame:
-    """Pairs of adjacent symbols of the training texts: frequent words, shapes and the end."""
-    schema = "a int, b int, n long"
+def numbered(counts: DataFrame) -> tuple[DataFrame, int]:
+    """``word``, ``n`` and ``symbol`` of all words, and how many are clustered: theirs are 0, 1, ..., others have -1."""
+    schema = "word binary, n long, part int, place int"
     kinds = arrow_schema(schema)
-    known = share(rows.sparkSession, ids)
-    first_shape, size = len(ids), len(ids) + SHAPES + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = known()
-        symbol = dict(frequent)
-        end = first_shape + SHAPES
+        part, found = TaskContext.get().partitionId(), 0
         for batch in batches:
-            line: list[int] = [end]
-            for value in texts(batch, "text"):
-                words = tokens(value)
-                if len(symbol) > HELD:
-                    symbol = dict(frequent)
-                symbol.update([(w, first_shape + shape(w)) for w in set(words) if w not in symbol])
-                line += map(symbol.__getitem__, words)
-                line.append(end)
-            at = np.array(line, np.int64)
-            pairs, n = np.unique(at[:-1] * size + at[1:], return_counts=True)
-            columns = [(pairs // size).astype(np.int32), (pairs % size).astype(np.int32), n.astype(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=kinds)
-
-    found = rows.where(~F.col("held_out")).select("text").mapInArrow(run, schema)
-    return found.groupBy("a", "b").agg(F.sum("n").alias("n"))
+            often = batch.column("n").to_numpy() >= LEAST
+            often &= np.array([w != END for w in batch.column("word").to_pylist()], bool)
+            place = np.where(often, found + np.cumsum(often) - 1, -1).astype(np.int32)
+            found += int(often.sum())
+            columns = [batch.column("word"), batch.column("n"), pa.array(np.full(len(place), part, np.int32)), pa.array(place)]
+            yield pa.RecordBatch.from_arrays(columns, schema=kinds)
+
+    placed = materialise(counts.select("word", "n").mapInArrow(run, schema), "counts")
+    sizes = sorted((r["part"], r["n"]) for r in placed.groupBy("part").agg(F.sum((F.col("place") >= 0).cast("int")).alias("n")).collect())
+    firsts = [(part, sum(n for _, n in sizes[:i])) for i, (part, _) in enumerate(sizes)]
+    first = counts.sparkSession.createDataFrame(firsts, "part int, first int")
+    symbol = F.when(F.col("place") < 0, -1).otherwise(F.col("first") + F.col("place")).alias("symbol")
+    return placed.join(first, "part").select("word", "n", symbol), sum(n for _, n in sizes)
+
+
+ENCODED = "id long, held_out boolean, codes array<int>"
+
+
+def encode(rows: DataFrame, of_blocks: DataFrame, words: DataFrame) -> DataFrame:
+    """Every text as codes of its words: the symbol, or -1, -2, ... by shape and count of a word that has none."""
+    lookups = of_blocks.where(F.col("word") != F.lit(END)).select("block", "word").distinct().join(words, "word")
+    n_blocks = of_blocks.agg(F.countDistinct("block")).first()[0]
+    nothing = {"word": F.lit(None).cast("binary"), "n": F.lit(None).cast("long"), "symbol": F.lit(None).cast("int")}
+    line = lookups.select("block", F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("text"),
+                          F.lit(None).cast("boolean").alias("held_out"), "word", "n", "symbol", F.lit(0).alias("kind"))
+    line = line.unionByName(rows.withColumns(nothing).withColumn("kind", F.lit(1)).withColumn("id", F.col("id").cast("long")))
+    line = line.repartition(max(1, n_blocks), "block").sortWithinPartitions("block", "kind")
+    kinds = arrow_schema(ENCODED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, block, made, held = {}, None, [], 0
+
+        def flush() -> pa.RecordBatch:
+            ids, out, lines = zip(*made)
+            ends = np.cumsum([0, *map(len, lines)]).astype(np.int32)
+            flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lines)), type=kinds.field("codes").type)
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.bool_()), flat], schema=kinds)
+
+        for batch in batches:
+            of, words = batch.column("block").to_pylist(), batch.column("kind").to_numpy() == 0
+            starts = np.flatnonzero(np.concatenate([[True], (np.diff(batch.column("block").to_numpy()) != 0) | (np.diff(words.astype(int)) != 0)]))
+            for low, high in zip(starts.tolist(), [*starts[1:].tolist(), batch.num_rows]):
+                part = batch.slice(low, high - low)
+                if block is None or of[low] != block:
+                    codes, block = {}, of[low]
+                if words[low]:
+                    told = zip(*(part.column(c).to_pylist() for c in ("word", "n", "symbol")))
+                    codes.update((w, s if s >= 0 else -1 - LEAST * shape(w) - n) for w, n, s in told)
+                    continue
+                for i, out, value in zip(part.column("id").to_pylist(), part.column("held_out").to_pylist(), texts(part, "text")):
+                    made.append((i, out, np.array([*map(codes.__getitem__, tokens(value))], np.int32)))
+                    held += len(made[-1][2])
+                    if len(made) >= ROWS or held >= HELD:
+                        yield flush()
+                        made, held = [], 0
+        if made:
+            yield flush()
+
+    found = line.select("block", "kind", "word", "n", "symbol", "id", "text", "held_out").mapInArrow(run, ENCODED)
+    return materialise(found, "encoded")
+
+
+def _lines(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of all texts of a batch, and where each text ends."""
+    column = batch.column("codes")
+    return column.flatten().to_numpy(), np.cumsum(column.value_lengths().to_numpy())
+
+
+def _links(encoded: DataFrame, size: int) -> DataFrame:
+    """Rows of about ``LINKS`` links in order: a symbol, twice a neighbour (one more where it stands before), how often.
+
+    Symbols of shapes and the end follow those of the words.  Only the first and the last symbol of a row may
+    have links in other rows, however many links a symbol has.
+    """
+    schema, packed = "own int, link long, n long", "own array<int>, link array<long>, n array<long>"
+    pair_kinds, kinds, n_symbols = arrow_schema(schema), arrow_schema(packed), size + SHAPES + 1
+    most = LINKS
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            found, n = np.unique(np.concatenate(held), return_counts=True)
+            a, b = found // n_symbols, found % n_symbols
+            for own, link in ((a, 2 * b), (b, 2 * a + 1)):
+                columns = [own.astype(np.int32), link, n.astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=pair_kinds)
+
+        for whole in batches:
+            for low in range(0, whole.num_rows, ROWS):
+                codes, ends = _lines(whole.slice(low, ROWS))
+                symbols = np.where(codes >= 0, codes, size + (-1 - codes.astype(np.int64)) // LEAST)
+                line = np.concatenate([[n_symbols - 1], np.insert(symbols, ends, n_symbols - 1)])
+                held.append(line[:-1] * n_symbols + line[1:])
+                if sum(map(len, held)) >= 2 * HELD:
+                    yield from flush()
+                    held.clear()
+        if held:
+            yield from flush()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def flush() -> pa.RecordBatch:
+            own, link, n = (np.concatenate([x.column(c).to_numpy() for x in held]) for c in ("own", "link", "n"))
+            new = np.flatnonzero(np.concatenate([[True], (np.diff(own) != 0) | (np.diff(link) != 0)]))
+            columns = own[new], link[new], np.add.reduceat(n, new)
+            return pa.RecordBatch.from_arrays([pa.array([c], k.type) for c, k in zip(columns, kinds)], schema=kinds)
+
+        for whole in batches:
+            for low in range(0, whole.num_rows, most):
+                held.append(whole.slice(low, most))
+                if sum(x.num_rows for x in held) >= most:
+                    yield flush()
+                    held.clear()
+        if held:
+            yield flush()
+
+    found = encoded.where(~F.col("held_out")).select("codes").mapInArrow(pairs, schema)
+    ranged = found.repartitionByRange("own", "link").sortWithinPartitions("own", "link")
+    return materialise(ranged.mapInArrow(pack, packed), "links")
 
 
 @dataclass(frozen=True)
 class Model:
-    """``classes``: of frequent words by id, then of the shapes and the end."""
+    """``classes`` by symbol: of clustered words, then of the shapes and the end.  Tasks do without ``words``."""
 
-    ids: dict[bytes, int]
+    words: DataFrame | None
     classes: np.ndarray
+    counts: np.ndarray
     log_transition: np.ndarray
     class_tokens: np.ndarray
     class_words: np.ndarray
     train_tokens: int
     train_words: int
 
-    def class_of(self, word: bytes) -> int:
-        if word == END:
-            return int(self.classes[-1])
-        i = self.ids.get(word)
-        return int(self.classes[len(self.ids) + shape(word) if i is None else i])
-
-
-def _class_counts(bigrams: DataFrame, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """How often each symbol is followed, and preceded, by each class: bounded by symbols times classes."""
-    spark, n = bigrams.sparkSession, int(classes.max()) + 1
-    of = spark.createDataFrame(
-        [(i, int(c)) for i, c in enumerate(classes)], "symbol int, class int"
-    )
-    out = []
-    for own, other in (("a", "b"), ("b", "a")):
-        counted = bigrams.join(of, F.col(other) == F.col("symbol")).groupBy(own, "class").agg(F.sum("n").alias("n"))
-        found = counted.toPandas()
-        table = np.zeros((len(classes), n))
-        table[found[own].to_numpy(), found["class"].to_numpy()] = found["n"].to_numpy()
-        out.append(table)
-    return out[0], out[1]
+    def classes_of(self, words: list[bytes]) -> list[int]:
+        """Classes of ``words``, from the table of all words."""
+        told = self.words.where((F.col("symbol") >= 0) & F.col("word").isin([bytearray(w) for w in words]))
+        known = {bytes(r["word"]): r["symbol"] for r in told.collect()}
+        return [int(self.classes[known.get(w, len(self.counts) + shape(w))]) for w in words]
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -183,82 +276,166 @@ def likelihood(matrix: np.ndarray) -> float:
     return float(_xlogx(matrix).sum() - _xlogx(matrix.sum(axis=1)).sum() - _xlogx(matrix.sum(axis=0)).sum())
 
 
+def best_classes(own: np.ndarray, r: np.ndarray, c: np.ndarray, matrix: np.ndarray, n_classes: int) -> np.ndarray:
+    """For words of the classes ``own``, followed by ``r`` and preceded by ``c``, where the likelihood gains most."""
+    rows, columns = matrix.sum(axis=1), matrix.sum(axis=0)
+    found = own.copy()
+    for low in range(0, len(own), 256):
+        part = slice(low, low + 256)
+        found[part] = _best_classes(own[part], r[part], c[part], matrix, rows, columns, n_classes)
+    return found
+
+
+def _best_classes(own, r, c, matrix, rows, columns, n_classes):
+    rt, ct = r.sum(axis=1), c.sum(axis=1)
+    leave = (_xlogx(np.maximum(matrix[own] - r, 0)) - _xlogx(matrix[own])).sum(axis=1)
+    leave += (_xlogx(np.maximum(matrix.T[own] - c, 0)) - _xlogx(matrix.T[own])).sum(axis=1)
+    leave -= _xlogx(rows[own] - rt) - _xlogx(rows[own]) + _xlogx(columns[own] - ct) - _xlogx(columns[own])
+    target = matrix[:n_classes][None]
+    enter = (_xlogx(target + r[:, None]) - _xlogx(target)).sum(axis=2)
+    target = matrix.T[:n_classes][None]
+    enter += (_xlogx(target + c[:, None]) - _xlogx(target)).sum(axis=2)
+    enter -= _xlogx(rows[:n_classes] + rt[:, None]) - _xlogx(rows[:n_classes])
+    enter -= _xlogx(columns[:n_classes] + ct[:, None]) - _xlogx(columns[:n_classes])
+    enter[np.arange(len(own)), own] = -leave
+    best = enter.argmax(axis=1)
+    return np.where(enter[np.arange(len(own)), best] + leave > 1e-9, best, own)
+
+
 def exchange(classes: np.ndarray, movable: int, n_classes: int, after: np.ndarray, before: np.ndarray, turn: int) -> np.ndarray:
-    """One round: every second word goes to the class where the likelihood gains most, the others staying.
+    """One round in memory: every second word goes to its best class, the others staying.
 
     ``after`` and ``before`` count the classes that follow and precede each symbol.
     """
     matrix = np.zeros((after.shape[1], after.shape[1]))
     np.add.at(matrix, classes, after)
-    rows, columns = matrix.sum(axis=1), matrix.sum(axis=0)
-    moved = classes.copy()
-    words = np.arange(turn % 2, movable, 2)
-    for low in range(0, len(words), 256):
-        w = words[low : low + 256]
-        own, r, c = classes[w], after[w], before[w]
-        rt, ct = r.sum(axis=1), c.sum(axis=1)
-        leave = (_xlogx(np.maximum(matrix[own] - r, 0)) - _xlogx(matrix[own])).sum(axis=1)
-        leave += (_xlogx(np.maximum(matrix.T[own] - c, 0)) - _xlogx(matrix.T[own])).sum(axis=1)
-        leave -= _xlogx(rows[own] - rt) - _xlogx(rows[own]) + _xlogx(columns[own] - ct) - _xlogx(columns[own])
-        target = matrix[:n_classes][None]
-        enter = (_xlogx(target + r[:, None]) - _xlogx(target)).sum(axis=2)
-        target = matrix.T[:n_classes][None]
-        enter += (_xlogx(target + c[:, None]) - _xlogx(target)).sum(axis=2)
-        enter -= _xlogx(rows[:n_classes] + rt[:, None]) - _xlogx(rows[:n_classes])
-        enter -= _xlogx(columns[:n_classes] + ct[:, None]) - _xlogx(columns[:n_classes])
-        enter[np.arange(len(w)), own] = -leave
-        best = enter.argmax(axis=1)
-        moved[w] = np.where(enter[np.arange(len(w)), best] + leave > 1e-9, best, own)
+    moved, words = classes.copy(), np.arange(turn % 2, movable, 2)
+    moved[words] = best_classes(classes[words], after[words], before[words], matrix, n_classes)
+    return moved
+
+
+def _arrays(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+    for i in range(batch.num_rows):
+        yield tuple(batch.column(c)[i].values.to_numpy() for c in ("own", "link", "n"))
+
+
+def _class_pairs(links: DataFrame, classes: np.ndarray) -> np.ndarray:
+    """Counts of class pairs: every task adds up its own."""
+    k, schema = int(classes.max()) + 1, "pair int, n long"
+    sent, kinds = share(links.sparkSession, classes), arrow_schema("pair int, n long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, sums = sent().astype(np.int64), np.zeros(k * k, np.int64)
+        for batch in batches:
+            for own, link, n in _arrays(batch):
+                after = link % 2 == 0
+                pair = of[own[after]] * k + of[link[after] // 2]
+                sums += np.bincount(pair, n[after], k * k).astype(np.int64)
+        seen = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(sums[seen])], schema=kinds)
+
+    matrix = np.zeros(k * k)
+    for r in links.mapInArrow(run, schema).groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        matrix[r["pair"]] = r["n"]
+    return matrix.reshape(k, k)
+
+
+def _moved(links: DataFrame, classes: np.ndarray, turns: np.ndarray, n_classes: int, matrix: np.ndarray, turn: int) -> np.ndarray:
+    """The classes after a round in which the words whose turn it is go to their best class, the others staying.
+
+    A task decides on the words it has all links of; the neighbours' classes of those at either end of a row of
+    links, two a row, are added up here.
+    """
+    k, movable = len(matrix), len(turns)
+    sent = share(links.sparkSession, (classes, turns, matrix))
+    schema = "own int, to int, counts array<long>"
+    kinds = arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes, turns, matrix = sent()
+        mine = np.concatenate([turns == turn % 2, np.zeros(len(classes) - len(turns), bool)])
+        for batch in batches:
+            for own, link, n in _arrays(batch):
+                edges = own[0], own[-1]
+                kept = mine[own]
+                words, at = np.unique(own[kept], return_inverse=True)
+                for low in range(0, len(words), 4096):
+                    some = words[low : low + 4096]
+                    first, last = np.searchsorted(at, [low, low + len(some)])
+                    place = (at[first:last] - low) * 2 * k + (link[kept][first:last] % 2) * k + classes[link[kept][first:last] // 2]
+                    counts = np.bincount(place, n[kept][first:last], len(some) * 2 * k).reshape(len(some), 2, k)
+                    best = best_classes(classes[some].astype(np.int64), counts[:, 0], counts[:, 1], matrix, n_classes)
+                    edge = np.isin(some, edges)
+                    out = np.flatnonzero(edge | (best != classes[some]))
+                    lists = [counts[i].astype(np.int64).ravel().tolist() if edge[i] else None for i in out]
+                    columns = [some[out], best[out].astype(np.int32), lists]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, kinds)], schema=kinds)
+
+    moved, shared = classes.copy(), {}
+    for r in links.mapInArrow(run, schema).toLocalIterator():
+        if r["counts"] is None:
+            moved[r["own"]] = r["to"]
+        else:
+            shared[r["own"]] = shared.get(r["own"], 0) + np.array(r["counts"], float).reshape(2, k)
+    if shared:
+        words, counts = np.array(list(shared)), np.array(list(shared.values()))
+        moved[words] = best_classes(classes[words].astype(np.int64), counts[:, 0], counts[:, 1], matrix, n_classes)
     return moved
 
 
-def cluster(bigrams: DataFrame, frequent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Class of every symbol, and the counts of class pairs."""
-    n_classes = min(CLASSES, max(1, frequent))
-    fixed = np.arange(SHAPES + 1) + n_classes
-    classes = np.concatenate([np.arange(frequent) % n_classes, fixed])
-    best: tuple[float, np.ndarray, np.ndarray] | None = None
-    for turn in range(ROUNDS + 1):
-        after, before = _class_counts(bigrams, classes)
-        matrix = np.zeros((after.shape[1], after.shape[1]))
-        np.add.at(matrix, classes, after)
-        value = likelihood(matrix)
-        if best is None or value > best[0]:
-            best = (value, classes, matrix)
-        if turn == ROUNDS:
-            break
-        classes = exchange(classes, frequent, n_classes, after, before, turn)
-    return best[1], best[2]
+def cluster(links: DataFrame, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Class of every symbol, and the counts of class pairs.  ``ranks`` of the words, the most frequent being 0."""
+    n_classes = min(CLASSES, max(1, len(ranks)))
+    classes = np.concatenate([ranks % n_classes, np.arange(SHAPES + 1) + n_classes]).astype(np.uint8)
+    turns = (ranks % 2).astype(np.uint8)
+    matrix = _class_pairs(links, classes)
+    best, value, turn, still = (classes, matrix), likelihood(matrix), 0, 0
+    # Both halves of the words have had a turn without a rise when it ends.
+    while still < 2 and len(ranks) > 1:
+        classes = _moved(links, classes, turns, n_classes, matrix, turn)
+        matrix = _class_pairs(links, classes)
+        now = likelihood(matrix)
+        still = 0 if now > value + RISE * matrix.sum() else still + 1
+        if now > value:
+            best, value = (classes, matrix), now
+        turn += 1
+    return best
 
 
 def fit(rows: DataFrame, counts: DataFrame) -> Model:
     """The model of the training texts in ``rows``, given all words with their training counts."""
-    sizes = counts.agg(F.sum("n").alias("n"), F.sum((F.col("n") > 0).cast("long")).alias("v")).first()
+    words, size = numbered(counts)
+    return learn(encode(rows, _block_words(rows), words), words, size)
+
+
+def learn(encoded: DataFrame, words: DataFrame, size: int) -> Model:
+    """The model of the encoded training texts, given all words with their counts and symbols."""
+    sizes = words.agg(F.sum("n").alias("n"), F.sum((F.col("n") > 0).cast("long")).alias("v")).first()
     n, v = sizes["n"] or 0, sizes["v"] or 0
-    often = counts.where((F.col("n") * FREQUENT >= n) & (F.col("n") > 0) & (F.col("word") != F.lit(END)))
-    words = sorted(((-r["n"], bytes(r["word"])) for r in often.collect()))
-    ids = {w: i for i, (_, w) in enumerate(words)}
-    classes, matrix = cluster(materialise(_bigrams(rows, ids), "bigrams"), len(ids))
-    known = share(rows.sparkSession, ids)
+    told = words.where("symbol >= 0").select("symbol", "n", F.xxhash64("word").alias("hash")).toPandas()
+    told = told.sort_values("symbol")
+    often = told["n"].to_numpy(np.int64)
+    ranks = np.empty(size, np.int64)
+    ranks[np.lexsort((told["hash"].to_numpy(np.int64), -often))] = np.arange(size)
+    classes, matrix = cluster(_links(encoded, size), ranks)
     kinds = arrow_schema("kind int, n long")
 
     def kind(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = known()
         for batch in batches:
-            words = batch.column("word").to_pylist()
-            found = [-1 if w in frequent or w == END else shape(w) for w in words]
+            found = [shape(w) for w in batch.column("word").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), batch.column("n")], schema=kinds)
 
-    shaped = counts.where("n > 0").select("word", "n").mapInArrow(kind, "kind int, n long")
+    rare = words.where((F.col("n") > 0) & (F.col("symbol") < 0) & (F.col("word") != F.lit(END)))
+    shaped = rare.select("word", "n").mapInArrow(kind, "kind int, n long")
     class_tokens, class_words = np.zeros(len(matrix)), np.zeros(len(matrix))
-    for r in shaped.where("kind >= 0").groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
-        at = classes[len(ids) + r["kind"]]
+    for r in shaped.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
+        at = classes[size + r["kind"]]
         class_tokens[at], class_words[at] = r["n"], r["v"]
-    np.add.at(class_tokens, classes[: len(ids)], [-m for m, _ in words])
-    np.add.at(class_words, classes[: len(ids)], 1)
+    np.add.at(class_tokens, classes[:size], often)
+    np.add.at(class_words, classes[:size], 1)
     into = matrix.sum(axis=0) + 1
     transition = (matrix + TRANSITION * into / into.sum()) / (matrix.sum(axis=1, keepdims=True) + TRANSITION)
-    return Model(ids, classes, np.log(transition), class_tokens, class_words, n, v)
+    return Model(words, classes, often, np.log(transition), class_tokens, class_words, n, v)
 
 
 SCORES = "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
@@ -271,40 +448,28 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
     """
     rows = blocks(docs, key, text, held_out)
     of_blocks = materialise(_block_words(rows), "words")
-    counts = materialise(of_blocks.groupBy("word").agg(F.sum("n").alias("n")), "counts")
-    model = fit(rows, counts)
-    spark = docs.sparkSession
-    sent = share(spark, model)
-    lookups = of_blocks.where(F.col("word") != F.lit(END)).select("block", "word").distinct().join(counts, "word")
-    n_blocks = of_blocks.agg(F.countDistinct("block")).first()[0]
-    nothing = {"word": F.lit(None).cast("binary"), "n": F.lit(None).cast("long")}
-    line = lookups.select("block", F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("text"),
-                          F.lit(None).cast("boolean").alias("held_out"), "word", "n", F.lit(0).alias("kind"))
-    line = line.unionByName(rows.withColumns(nothing).withColumn("kind", F.lit(1)).withColumn("id", F.col("id").cast("long")))
-    line = line.repartition(max(1, n_blocks), "block").sortWithinPartitions("block", "kind")
+    words, size = numbered(of_blocks.groupBy("word").agg(F.sum("n").alias("n")))
+    encoded = encode(rows, of_blocks, words)
+    model = learn(encoded, words, size)
+    sent = share(docs.sparkSession, replace(model, words=None))
     kinds = arrow_schema(SCORES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer, block, made = None, None, []
-        for batch in batches:
-            of, words = batch.column("block").to_pylist(), batch.column("kind").to_numpy() == 0
-            starts = np.flatnonzero(np.concatenate([[True], (np.diff(batch.column("block").to_numpy()) != 0) | (np.diff(words.astype(int)) != 0)]))
-            for low, high in zip(starts.tolist(), [*starts[1:].tolist(), batch.num_rows]):
-                part = batch.slice(low, high - low)
-                if scorer is None or of[low] != block:
-                    scorer, block = Scorer(sent()) if scorer is None else Scorer(scorer.model), of[low]
-                if words[low]:
-                    scorer.learn(part.column("word").to_pylist(), part.column("n").to_pylist())
-                    continue
-                for i, out, value in zip(part.column("id").to_pylist(), part.column("held_out").to_pylist(), texts(part, "text")):
-                    made.append((i, out, *scorer.score(value)))
-            if len(made) >= 1024:
-                yield _batch(made, kinds)
-                made = []
-        if made:
-            yield _batch(made, kinds)
-
-    found = line.select("block", "kind", "word", "n", "id", "text", "held_out").mapInArrow(run, SCORES)
+        known = sent()
+        for whole in batches:
+            for low in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(low, ROWS)
+                flat, ends = _lines(batch)
+                codes, at = np.unique(flat, return_inverse=True)
+                rare = -1 - codes[codes < 0]
+                often = codes[codes >= 0]
+                scorer = Scorer(known)
+                scorer.learn([], [*(rare % LEAST), *known.counts[often]], [*known.classes[size + rare // LEAST], *known.classes[often]])
+                scores = map(scorer.score, np.split(at, ends[:-1]))
+                ids = zip(batch.column("id").to_pylist(), batch.column("held_out").to_pylist())
+                yield _batch([(*key, *found) for key, found in zip(ids, scores)], kinds)
+
+    found = encoded.mapInArrow(run, SCORES)
     return found.select(
         F.col("id").alias(key), "held_out", "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"),
         "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"),
@@ -316,35 +481,34 @@ def _batch(rows: list[tuple], kinds: pa.Schema) -> pa.RecordBatch:
 
 
 class Scorer:
-    """Scores the texts of a block, whose words it has been told."""
+    """Scores texts whose words it has been told."""
 
     def __init__(self, model: Model) -> None:
         self.model = model
-        self.index: dict[bytes, int] = {}
         self.counts: list[int] = []
+        self.told: list[int] = []
         self.known = -1
 
-    def learn(self, words: list[bytes], counts: list[int]) -> None:
-        self.index.update(zip(words, range(len(self.index), len(self.index) + len(words))))
+    def learn(self, words: list[bytes], counts: list[int], classes: list[int] | None = None) -> None:
+        """Words' counts and classes; without ``classes``, on the driver, they are looked up by the ``words``."""
+        self.told += self.model.classes_of(words) if classes is None else classes
         self.counts += counts
 
     def _prepare(self) -> None:
         m = self.model
-        self.known = len(self.index)
-        words = [*self.index, END]
+        self.known = len(self.counts)
         self.n = n = np.array([*self.counts, m.train_tokens - m.class_tokens.sum()], float)
-        self.classes = np.array([m.class_of(w) for w in words])
+        self.classes = np.array([*self.told, m.classes[-1]], np.int64)
         top = m.class_tokens[self.classes] + EMISSION * (m.class_words[self.classes] + 1)
         self.emission = np.log((n + EMISSION) / np.maximum(top, n + EMISSION))
         self.emission[-1] = 0.0
         self.base = np.log10((n + 1) / (m.train_tokens + m.train_words + 1))
 
-    def score(self, text: str) -> tuple[int, int, float, float]:
-        """Tokens, known tokens, base score and score."""
-        if self.known != len(self.index):
+    def score(self, places: np.ndarray) -> tuple[int, int, float, float]:
+        """Tokens, known tokens, base score and score of a text, given the places of its words among those told."""
+        if self.known != len(self.counts):
             self._prepare()
-        end = len(self.index)
-        at = np.array([*map(self.index.__getitem__, tokens(text)), end])
+        at = np.append(places, self.known)
         classes = self.classes[at]
         before = np.concatenate([classes[-1:], classes[:-1]])
         model = self.model.log_transition[before, classes] + self.emission[at]

@@ -74,6 +74,23 @@ def test_probabilities_of_all_words_sum_to_one_at_most(spark):
         assert own <= 1 + 1e-9
 
 
+def test_every_word_of_ten_or_more_is_clustered_however_many_words_there_are(spark, monkeypatch):
+    # 25,000 words of ten each: none makes up a 20,000th of all tokens.  Those of each half follow one another.
+    monkeypatch.setattr(lm, "LINKS", 5_000)
+    rng = np.random.default_rng(4)
+    lists = []
+    for _ in range(10):
+        halves = [rng.permutation(12_500), rng.permutation(12_500) + 12_500]
+        lists.append([f"{'xy'[k % 2]}{halves[k % 2][k // 2]}" for k in range(25_000)])
+    model, counts = _fitted(spark, [*(" ".join(x) for x in lists), "rare " * 9])
+    assert len(model.counts) == counts.where("n >= 10 and word != X'0A'").count() == 25_000
+    matrix = np.exp(model.log_transition)
+    assert model.class_words[:-lm.SHAPES - 1].sum() == 25_000 and len(matrix) == lm.CLASSES + lm.SHAPES + 1
+    names = [f"x{i}".encode() for i in range(0, 12_500, 500)] + [f"y{i}".encode() for i in range(12_500, 25_000, 500)]
+    found = model.classes_of(names)
+    assert max(found) < lm.CLASSES and not set(found[:25]) & set(found[25:])
+
+
 def test_exchange_raises_the_likelihood():
     rng = np.random.default_rng(3)
     truth = np.arange(30) % 3
