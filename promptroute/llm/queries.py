@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptroute.llm import bpe, chat, decontaminate, html_text, language_model, minhash, quality, repeats, rules, urls
+from promptroute.llm import (
+    bpe, centroids, chat, decontaminate, html_text, language_model, minhash, quality, repeats, rules, urls, warc,
+)
 from promptroute.llm.frames import remainder, table
-from promptroute.session import materialise
+from promptroute.session import materialise, new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -144,6 +146,54 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *counts, "base_failed", "kept", "log_ratio")
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the archives of all pages hold, read back from them."""
+    path = new_path(spark, "archives")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    found = warc.read_archives(spark, path, payloads=False)
+    key, first = (F.col(c).cast("long") for c in ("key", "refers_to"))
+    return found.select(
+        key.alias("page_id"), "payload_bytes", "payload_digest", "record_type", first.alias("refers_to")
+    )
+
+
+WARC_SQL = f"""with records as (select page_id, strlen(coalesce(html, '')) as payload_bytes,
+ sha256(coalesce(html, '')) as payload_digest from pages),
+firsts as (select payload_digest, min(page_id) as first from records where payload_bytes >= {warc.SMALLEST} group by all)
+select page_id, payload_bytes, payload_digest, case when page_id is distinct from first and first is not null
+ then 'revisit' else 'response' end as record_type, case when page_id is distinct from first then first end as refers_to
+from records left join firsts using (payload_digest)"""
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of every vector after three rounds."""
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def _rounds_sql(rounds: int) -> str:
+    """Lloyd's rounds, one after the other: vectors and centroids as lists of whole numbers."""
+    told = [
+        """kept as (select row_number() over () as row, vec_id,
+ [cast(floor(64 * cast(x as double)) as hugeint) for x in embedding] as v from embeddings
+ where len(embedding) = 64 and len([x for x in embedding if x is not null and isfinite(x)]) = 64)""",
+        """c0 as (select row_number() over (order by h, v) - 1 as cluster, v as c from (select v,
+ sha256('1:' || coalesce(cast(vec_id as varchar), '')) as h from kept order by h, v limit 16))""",
+    ]
+    for i in range(rounds + 1):
+        told.append(f"""a{i} as (select row, min([d, cluster]) as best from (select row, cluster,
+ list_sum([(p[1] - p[2]) * (p[1] - p[2]) for p in list_zip(v, c)]) as d from kept, c{i}) group by row)""")
+        if i < rounds:
+            told.append(f"""s{i} as (select cluster, list(m order by place) as c from (select cluster, place,
+ (sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) as m from (select best[2] as cluster, unnest(v) as x,
+ generate_subscripts(v, 1) as place from a{i} join kept using (row)) group by cluster, place) group by cluster)""")
+            told.append(f"c{i + 1} as (select cluster, coalesce(s{i}.c, c{i}.c) as c from c{i} left join s{i} using (cluster))")
+    return f"""with {', '.join(told)},
+final as (select vec_id, cast(best[2] as int) as cluster, cast(best[1] as bigint) as distance from a{rounds} join kept using (row))
+select vec_id, final.cluster, distance, cast(sum(distance) over (partition by final.cluster) as bigint) as cluster_inertia,
+ cast(sum(distance) over () as bigint) as inertia, sha256(array_to_string(c, ',')) as centroid_sha256
+from final join c{rounds} on final.cluster = c{rounds}.cluster"""
+
+
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_quality": (op1_quality, None),
     "op2_repeats": (op2_repeats, None),
@@ -155,4 +205,6 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op8_near_duplicates": (op8_near_duplicates, None),
     "op9_url_filter": (op9_url_filter, URL_SQL),
     "op10_quality_rules": (op10_quality_rules, None),
+    "op11_warc": (op11_warc, WARC_SQL),
+    "op13_centroids": (op13_centroids, _rounds_sql(3)),
 }
