@@ -73,6 +73,17 @@ def share(spark: SparkSession, value: object) -> Callable[[], object]:
     return lambda: pickle.loads(sent.value)
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns that are only needed for a while: ``names``, with strokes where ``df`` has them already."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def texts(batch: pa.RecordBatch, name: str) -> list[str]:
     """A text column as Python strings; null is the empty text."""
     return ["" if x is None else x for x in batch.column(name).to_pylist()]

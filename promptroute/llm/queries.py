@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promptroute.llm import (
-    bpe, centroids, chat, decontaminate, html_text, language_model, minhash, quality, repeats, rules, urls, warc,
+    bpe, centroids, chat, decontaminate, html_text, language_model, minhash, quality, repair, repeats, rules, urls,
+    warc,
 )
 from promptroute.llm.frames import remainder, table
 from promptroute.session import materialise, new_path
@@ -36,7 +37,10 @@ def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without the bytes of repeated 400-byte strings."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = repeats.cut(docs, repeats.repeated_spans(docs))
-    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    digest = F.sha2("kept", 256).alias("kept_sha256")
+    # What a cut leaves of a character comes out as a replacement character in the text, as the digest has it in bytes.
+    left = F.make_valid_utf8(F.col("kept").cast("string")).alias("text")
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", digest, left)
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,6 +169,72 @@ select page_id, payload_bytes, payload_digest, case when page_id is distinct fro
 from records left join firsts using (payload_digest)"""
 
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, least cost and repair of every conversation after its rows were damaged."""
+    turns = table(spark, sf_dir, "conversations")
+    return repair.report(repair.damage(turns), turns)
+
+
+_CRC32 = """xor(list_reduce(list_concat([4294967295], [cast(ascii(c) as bigint) for c in string_split(name, '')]),
+ lambda acc, b: list_reduce(list_concat([xor(acc, b)], range(8)),
+  lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+_SPACE, _ENDED = r"[^\x20\x09-\x0D]", r"[.!?][\x20\x09-\x0D]*$"
+
+
+def _repair_sql() -> str:
+    """The search from the last turn to the first; a state is its cost, its audit and its lines."""
+
+    def made(cost: str, letter: str, state: str, line: str | None = None) -> str:
+        lines = f"{state}.t" if line is None else f"list_concat([{line}], {state}.t)"
+        return f"{{'c': {cost} + {state}.c, 'a': '{letter}' || {state}.a, 't': {lines}}}"
+
+    def least(*options: str) -> str:
+        return f"list_sort(list_filter([{', '.join(options)}], lambda o: o is not null))[1]"
+
+    names, kept = {2: "user", 3: "assistant"}, {0: {"s": 1, "u": 2}, 1: {"u": 2}, 2: {"a": 3}, 3: {"u": 2}}
+    to = {q: 3 if q == 2 else 2 for q in range(4)}
+    cut = "case when fault = 3 then 3 else 0 end"
+    plain = ", ".join(
+        least(
+            made("4", "D", f"s{q}"),
+            *(f"case when fault not in (1, 2) and role[1] = '{i}' then {made(cut, 'K', f's{n}', "role || ':' || text")} end"
+              for i, n in kept[q].items()),
+            f"case when fault not in (1, 2) then {made(f'3 + {cut}', 'R', f's{to[q]}', f"'{names[to[q]]}:' || text")} end",
+        ) + f" as n{q}"
+        for q in range(4)
+    )
+    once = ", ".join(least(f"n{q}", made("3", "I", f"n{to[q]}", f"'{names[to[q]]}:'")) + f" as o{q}" for q in range(4))
+    twice = ", ".join(least(f"n{q}", made("3", "I", f"o{to[q]}", f"'{names[to[q]]}:'")) + f" as s{q}" for q in range(4))
+    end = ", ".join(
+        f"{{'c': {3 * len(lines)}, 'a': '{'I' * len(lines)}', 't': cast([{', '.join(f"'{x}:'" for x in lines)}] as varchar[])}} as s{q}"
+        for q, lines in enumerate([[], ["user", "assistant"], ["assistant"], []])
+    )
+    return f"""with recursive named as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+ coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') as name from conversations),
+struck as (select *, {_CRC32} % 20 as kind from named),
+damaged as (select conv_id, turn, case when kind = 4 then 'user' else role end as role,
+ case kind when 1 then '' when 2 then translate(text, '.!?', '') else text end as text,
+ unnest(case when kind = 3 then [0, 1] else [0] end) as copy from struck where kind <> 0),
+placed as (select *, row_number() over (partition by conv_id order by turn nulls first, role, md5(text)) as i from damaged),
+seen as (select *, row_number() over (partition by conv_id, role, text order by i) > 1 as again from placed),
+turns as (select *, case when not regexp_matches(text, '{_SPACE}') then 1 when again then 2
+ when not regexp_matches(text, '{_ENDED}') then 3 else 0 end as fault,
+ coalesce(lag(role[1]) over (partition by conv_id order by i) || role[1] not in ('su', 'ua', 'au'), false) as illegal from seen),
+steps as (select conv_id, max(i) + 1 as i, {end} from turns group by conv_id
+ union all select conv_id, i, {twice} from (select *, {once} from (select conv_id, i, {plain} from
+ (select turns.conv_id, turns.i, role, text, fault, s0, s1, s2, s3 from steps join turns
+  on steps.conv_id is not distinct from turns.conv_id and turns.i = steps.i - 1)))),
+counts as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps,
+ count(*) filter (fault = 1) as blank, count(*) filter (fault = 2) as duplicate, count(*) filter (fault = 3) as truncated,
+ count(*) filter (illegal) as illegal from turns group by conv_id)
+select every.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate,
+ coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, cast(coalesce(s0.c, 0) as bigint) as cost,
+ coalesce(s0.a, '') as audit, sha256(coalesce(array_to_string(s0.t, chr(10)), '')) as repaired_sha256
+from (select distinct conv_id from conversations) as every
+left join counts on every.conv_id is not distinct from counts.conv_id
+left join steps on every.conv_id is not distinct from steps.conv_id and steps.i = 1"""
+
+
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cluster of every vector after three rounds."""
     return centroids.cluster(table(spark, sf_dir, "embeddings"))
@@ -206,5 +276,6 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op9_url_filter": (op9_url_filter, URL_SQL),
     "op10_quality_rules": (op10_quality_rules, None),
     "op11_warc": (op11_warc, WARC_SQL),
+    "op12_repair": (op12_repair, _repair_sql()),
     "op13_centroids": (op13_centroids, _rounds_sql(3)),
 }

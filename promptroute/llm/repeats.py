@@ -1,9 +1,9 @@
 """Repeated byte strings across documents by suffix arrays.
 
-A byte is repeated if a string of ``LENGTH`` bytes covers it that also starts anywhere else, in the
+A byte is repeated if a string of ``length`` bytes covers it that also starts anywhere else, in the
 same document or another.  Texts count as UTF-8, and strings never span documents.
 
-1. Every string of that length holds one anchor: of its runs of ``ANCHOR`` bytes the one with the lowest hash.
+1. Every string of that length holds one anchor: of its runs of ``anchor`` bytes the one with the lowest hash.
    Equal strings have equal anchors, so anchors that occur once rule out all their strings.  The
    strings of an anchor are next to each other and make up a piece of its document.
 2. Equal pieces of an anchor are taken together, with their number, before anything is gathered.
@@ -12,7 +12,7 @@ same document or another.  Texts count as UTF-8, and strings never span document
 4. Shards that hold parts of one anchor are merged: the sorted digests of their strings are looked
    up in each other by binary search.
 
-A null text is an empty text, and texts shorter than ``LENGTH`` have no repeats.  Repeated rows are
+A null text is an empty text, and texts shorter than ``length`` have no repeats.  Repeated rows are
 repeats of each other.  An empty table gives an empty one.  Extra columns are kept by ``cut``.
 """
 
@@ -26,11 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promptroute.llm.frames import arrow_schema, field, map_columns, texts
+from promptroute.llm.frames import arrow_schema, field, free, map_columns, texts
 from promptroute.llm.shingles import _BYTES, _INVERSE, _ODD, mix, powers
 from promptroute.llm.suffixes import common_prefixes, packed, suffix_ranks
 from promptroute.session import materialise
 
+#: Bytes of a string and of an anchor, unless given.
 LENGTH, ANCHOR = 400, 100
 #: Pieces that a shard holds, about.
 SHARD = 1_500
@@ -57,23 +58,23 @@ def _window_minima(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(right[:n], left[width - 1 : width - 1 + n])
 
 
-def pieces(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def pieces(raw: bytes, length: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Anchor hash, content hash, first byte and end of every piece of a text."""
-    if len(raw) < LENGTH:
+    if len(raw) < length:
         none = np.zeros(0, np.int64)
         return none, none, none, none
     line = np.frombuffer(raw, np.uint8)
     sums, inverse = _sums(line, _ODD), powers(_INVERSE, len(line))
-    n = len(line) - ANCHOR + 1
-    hashes = mix((sums[ANCHOR:] - sums[:n]) * inverse[:n])
+    n = len(line) - anchor + 1
+    hashes = mix((sums[anchor:] - sums[:n]) * inverse[:n])
     places = np.arange(n, dtype=np.uint64)
     low = np.uint64(0xFFFFFFFF)
     # Of equal hashes the rightmost counts: the later place has the lower key.
     keys = (hashes & ~low) | (low - places)
-    at = (low - (_window_minima(keys, LENGTH - ANCHOR + 1) & low)).astype(np.int64)
+    at = (low - (_window_minima(keys, length - anchor + 1) & low)).astype(np.int64)
     first = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1])
     last = np.concatenate([first[1:], [len(at)]]) - 1
-    anchors, stops = at[first], last + LENGTH
+    anchors, stops = at[first], last + length
     other = _sums(line, _SECOND)
     content = mix(
         (other[stops] - other[first]) * powers(_SECOND_INVERSE, len(line))[first]
@@ -89,14 +90,14 @@ def row_key(key: str, text: str):
     return F.xxhash64(F.col(key), F.col(text))
 
 
-def _occurrences(docs: DataFrame, key: str, text: str) -> DataFrame:
+def _occurrences(docs: DataFrame, key: str, text: str, length: int, anchor: int) -> DataFrame:
     kinds = arrow_schema(PIECES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held: list[list] = [[], [], [], [], []]
             for row, value in zip(batch.column("row").to_pylist(), texts(batch, "text")):
-                found = pieces(value.encode("utf-8", "surrogatepass"))
+                found = pieces(value.encode("utf-8", "surrogatepass"), length, anchor)
                 if len(found[0]):
                     held[0].append(np.full(len(found[0]), row, np.int64))
                     for column, x in zip(held[1:], found):
@@ -108,9 +109,11 @@ def _occurrences(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(row_key(key, text).alias("row"), F.col(text).alias("text")).mapInArrow(run, PIECES)
 
 
-def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def repeated_spans(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, anchor: int = ANCHOR
+) -> DataFrame:
     """``row`` (``row_key`` of a row of ``docs``) and ``spans``, the maximal runs of repeated bytes, for rows with any."""
-    every = _occurrences(docs, key, text)
+    every = _occurrences(docs, key, text, length, anchor)
     # Written, so that the join reads two plain shuffles: a hot anchor's share of one can then be split.
     several = materialise(every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "anchors").select("anchor")
     seen = materialise(every.join(several, "anchor", "left_semi"), "occurrences")
@@ -124,7 +127,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     whole = kinds.where("n > 1").select(
         "anchor", "content", F.lit(0).alias("start"), (F.col("one.stop") - F.col("one.start")).alias("stop")
     )
-    parts = _shared_parts(docs, key, text, kinds)
+    parts = _shared_parts(docs, key, text, kinds, length)
     covered = whole.unionByName(parts)
     found = covered.withColumnRenamed("start", "from").withColumnRenamed("stop", "to").join(
         seen, ["anchor", "content"]
@@ -153,7 +156,7 @@ def _merged(found: DataFrame) -> DataFrame:
     return map_columns(spans, [field("spans", "array<struct<start:int, stop:int>>")], make)
 
 
-def _shared_parts(docs: DataFrame, key: str, text: str, kinds: DataFrame) -> DataFrame:
+def _shared_parts(docs: DataFrame, key: str, text: str, kinds: DataFrame, length: int) -> DataFrame:
     """Repeated stretches of the pieces whose anchor has several contents."""
     contents = kinds.groupBy("anchor").agg(F.count("*").alias("contents")).where("contents > 1")
     open_pieces = materialise(kinds.join(contents, "anchor"), "open")
@@ -193,11 +196,11 @@ def _shared_parts(docs: DataFrame, key: str, text: str, kinds: DataFrame) -> Dat
     part_kinds = arrow_schema(parts)
 
     def search(shard: pa.Table) -> pa.Table:
-        return pa.Table.from_pylist(search_shard(shard.to_pylist(), tasks), schema=part_kinds)
+        return pa.Table.from_pylist(search_shard(shard.to_pylist(), tasks, length), schema=part_kinds)
 
     found = materialise(held.mapInArrow(slices, cut).groupBy("shard").applyInArrow(search, parts), "parts")
     return found.where("task is null").select("anchor", "content", "start", "stop").unionByName(
-        _across(found.where("task is not null"))
+        _across(found.where("task is not null"), length)
     )
 
 
@@ -205,7 +208,7 @@ def _shared_parts(docs: DataFrame, key: str, text: str, kinds: DataFrame) -> Dat
 PLACE = np.dtype([("anchor", "<i8"), ("content", "<i8"), ("start", "<i4"), ("closed", "?")])
 
 
-def search_shard(rows: list[dict], tasks: int) -> list[dict]:
+def search_shard(rows: list[dict], tasks: int, length: int = LENGTH) -> list[dict]:
     """Repeated stretches of a shard's pieces, and the sorted digests of all distinct strings of dealt ones.
 
     The digests are cut into ``tasks`` ranges; a range is one row, with the places of its strings beside it.
@@ -213,12 +216,12 @@ def search_shard(rows: list[dict], tasks: int) -> list[dict]:
     sizes = np.array([len(r["raw"]) for r in rows])
     line = np.frombuffer(b"".join(r["raw"] for r in rows), np.uint8)
     begins = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-    counts = sizes - LENGTH + 1  # strings of a piece
+    counts = sizes - length + 1  # strings of a piece
     words = packed(line)
     array = np.argsort(suffix_ranks(words))
     before = np.full(len(line), -1, np.int64)
     before[array[1:]] = array[:-1]
-    shared = common_prefixes(words, before, begins, sizes, LENGTH)[array]
+    shared = common_prefixes(words, before, begins, sizes, length)[array]
     owner = np.repeat(np.arange(len(rows)), counts)
     offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
     # Only strings within a piece count: between two of them the least of the prefixes holds.
@@ -226,7 +229,7 @@ def search_shard(rows: list[dict], tasks: int) -> list[dict]:
     number[begins[owner] + offset] = np.arange(len(owner))
     kept = np.flatnonzero(number[array] >= 0)
     order = number[array[kept]]
-    new = np.minimum.reduceat(shared[: kept[-1] + 1], np.concatenate([[0], kept[:-1] + 1])) < LENGTH
+    new = np.minimum.reduceat(shared[: kept[-1] + 1], np.concatenate([[0], kept[:-1] + 1])) < length
     new[0] = True
     string = np.empty(len(order), np.int64)
     string[order] = np.cumsum(new) - 1
@@ -234,7 +237,7 @@ def search_shard(rows: list[dict], tasks: int) -> list[dict]:
     repeated = np.bincount(string, copies)[string] > 1
     out = [
         {"anchor": rows[p]["anchor"], "content": rows[p]["content"], "start": a, "stop": b}
-        for p, a, b in _stretches(owner, offset, repeated)
+        for p, a, b in _stretches(owner, offset, repeated, length)
     ]
     first = np.zeros(len(order), bool)
     first[order[new]] = True
@@ -243,7 +246,7 @@ def search_shard(rows: list[dict], tasks: int) -> list[dict]:
         return out
     digests = np.array(
         [
-            hashlib.blake2b(rows[p]["raw"][a : a + LENGTH], digest_size=16).digest()
+            hashlib.blake2b(rows[p]["raw"][a : a + length], digest_size=16).digest()
             for p, a in zip(owner[shown].tolist(), offset[shown].tolist())
         ],
         "S16",
@@ -263,20 +266,20 @@ def search_shard(rows: list[dict], tasks: int) -> list[dict]:
     ]
 
 
-def _stretches(owner: np.ndarray, offset: np.ndarray, repeated: np.ndarray) -> Iterator[tuple[int, int, int]]:
+def _stretches(owner: np.ndarray, offset: np.ndarray, repeated: np.ndarray, length: int) -> Iterator[tuple[int, int, int]]:
     """Per piece, the runs of bytes that repeated strings cover."""
     at = np.flatnonzero(repeated)
     if not len(at):
         return
     apart = np.ones(len(at), bool)
-    apart[1:] = (np.diff(owner[at]) != 0) | (np.diff(offset[at]) > LENGTH)
+    apart[1:] = (np.diff(owner[at]) != 0) | (np.diff(offset[at]) > length)
     starts = np.flatnonzero(apart)
     stops = np.concatenate([starts[1:], [len(at)]]) - 1
     for a, b in zip(at[starts].tolist(), at[stops].tolist()):
-        yield int(owner[a]), int(offset[a]), int(offset[b]) + LENGTH
+        yield int(owner[a]), int(offset[a]), int(offset[b]) + length
 
 
-def _across(runs: DataFrame) -> DataFrame:
+def _across(runs: DataFrame, length: int) -> DataFrame:
     """Strings that other shards hold as well: the shards' sorted runs of a range, searched in each other."""
     kinds = "anchor long, content long, start int, stop int"
     found_kinds = arrow_schema(kinds)
@@ -291,7 +294,7 @@ def _across(runs: DataFrame) -> DataFrame:
             held = np.frombuffer(held, PLACE)
             met.append(held[(copies > 1) & ~held["closed"]])
         met = np.concatenate(met)
-        columns = [met["anchor"], met["content"], met["start"], met["start"] + LENGTH]
+        columns = [met["anchor"], met["content"], met["start"], met["start"] + length]
         return pa.table([pa.array(c, k.type) for c, k in zip(columns, found_kinds)], schema=found_kinds)
 
     return runs.select("task", "digests", "places").groupBy("task").applyInArrow(merge, kinds)
@@ -299,14 +302,13 @@ def _across(runs: DataFrame) -> DataFrame:
 
 def cut(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text: str = "text", to: str = "kept") -> DataFrame:
     """``docs`` with the bytes outside the spans in the binary column ``to``, ``n_bytes``, ``n_removed`` and ``n_spans``."""
-    known = spans.select(F.col("row").alias("_row"), F.col("spans").alias("_spans"))
-    both = docs.withColumn("_key", row_key(key, text)).join(known, F.col("_key") == F.col("_row"), "left")
+    both, found = _with_spans(docs, spans, key, text)
     fields = [field(to, "binary"), field("n_bytes", "long"), field("n_removed", "long"), field("n_spans", "long")]
 
     def make():
         def keep(batch):
             columns: list[list] = [[], [], [], []]
-            for value, spans in zip(texts(batch, text), batch.column("_spans").to_pylist()):
+            for value, spans in zip(texts(batch, text), batch.column(found).to_pylist()):
                 raw = value.encode("utf-8", "surrogatepass")
                 left, at = [], 0
                 for span in spans or ():
@@ -320,18 +322,26 @@ def cut(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text: str = "tex
 
         return keep
 
-    return map_columns(both, fields, make).drop("_key", "_row", "_spans")
+    return map_columns(both, fields, make).drop(found)
 
 
-def remove(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def _with_spans(docs: DataFrame, spans: DataFrame, key: str, text: str) -> tuple[DataFrame, str]:
+    """``docs`` with the spans of each row, and the name of that column."""
+    row, found = free(docs, "_row", "_spans")
+    known = spans.select(F.col("row").alias(row), F.col("spans").alias(found))
+    return docs.withColumn(row, row_key(key, text)).join(known, row, "left").drop(row), found
+
+
+def remove(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, anchor: int = ANCHOR
+) -> DataFrame:
     """``docs`` without the characters of repeated strings; a character of which a part is repeated stays."""
-    known = repeated_spans(docs, key, text).select(F.col("row").alias("_row"), F.col("spans").alias("_spans"))
-    both = docs.withColumn("_key", row_key(key, text)).join(known, F.col("_key") == F.col("_row"), "left")
+    both, found = _with_spans(docs, repeated_spans(docs, key, text, length, anchor), key, text)
 
     def make():
         def shorten(batch):
             out = []
-            for value, spans in zip(batch.column(text).to_pylist(), batch.column("_spans").to_pylist()):
+            for value, spans in zip(batch.column(text).to_pylist(), batch.column(found).to_pylist()):
                 if spans:
                     raw, left, at = value.encode("utf-8", "surrogatepass"), [], 0
                     for start, stop in whole_characters(raw, [(s["start"], s["stop"]) for s in spans]):
