@@ -252,13 +252,17 @@ def remove_contamination(
 
     All columns of ``df`` are kept as they are but the text of rows that had a hit.
     """
-    found = find_contamination(df, items, text, prefix="_cut_")
-    few = hit_count("_cut_hit_words") <= F.lit(most_covered) * F.col("_cut_n_words")
+    made, prefix = ("n_words", "hit_words", "items", "hit_chars"), "_cut_"
+    while any((prefix + name).lower() in map(str.lower, df.columns) for name in made):
+        prefix += "_"
+    found = find_contamination(df, items, text, prefix=prefix)
+    few = hit_count(prefix + "hit_words") <= F.lit(most_covered) * F.col(prefix + "n_words")
+    hits = prefix + "hit_chars"
     cut = F.expr(
-        f"""array_join(transform(sequence(0, size(_cut_hit_chars)), i -> substring({text},
-            if(i = 0, 1, _cut_hit_chars[greatest(i - 1, 0)].stop + 1),
-            if(i = size(_cut_hit_chars), length({text}), _cut_hit_chars[least(i, size(_cut_hit_chars) - 1)].start)
-             - if(i = 0, 0, _cut_hit_chars[greatest(i - 1, 0)].stop))), '')"""
+        f"""array_join(transform(sequence(0, size({hits})), i -> substring(`{text}`,
+            if(i = 0, 1, {hits}[greatest(i - 1, 0)].stop + 1),
+            if(i = size({hits}), length(`{text}`), {hits}[least(i, size({hits}) - 1)].start)
+             - if(i = 0, 0, {hits}[greatest(i - 1, 0)].stop))), '')"""
     )
-    changed = F.when(F.size("_cut_hit_chars") > 0, cut).otherwise(F.col(text))
+    changed = F.when(F.size(hits) > 0, cut).otherwise(F.col(text))
     return found.where(few).withColumn(text, changed).select(*df.columns)

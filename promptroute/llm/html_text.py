@@ -40,8 +40,7 @@ _INLINE = frozenset(
 )
 _RAW = frozenset("script style textarea title noscript template iframe xmp".split())
 _NEVER = frozenset(
-    "nav menu footer aside form button select dialog head header svg object audio video canvas map "
-    "figcaption".split()
+    "nav menu footer aside form button select dialog head header svg object audio video canvas map".split()
 ) | _RAW
 _NEVER_NAMED = frozenset(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent "
@@ -49,15 +48,18 @@ _NEVER_NAMED = frozenset(
     "notices pagination popup promo promoted recommended related replies respond share sharing "
     "sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
 )
+#: First parts of names that say something of the page and not of the element: has-sidebar, no-comments.
+_STATES = frozenset("has have no not with without hide hidden show shows is are can".split())
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 _CLOSED_BY_BLOCK = frozenset(("p", "li", "dt", "dd", "option", "tr", "td", "th"))
 
 _PIECE = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
+    # A quote that nothing closes is a character of its tag, which ends at the next bracket all the same.
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)(?:>|\Z)",
     re.DOTALL,
 )
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
-_SPLIT_NAMES = re.compile(r"[^a-z]+")
+_PARTS = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 
 
 class Piece(NamedTuple):
@@ -75,10 +77,26 @@ def _never(name: str, attributes: str, in_article: bool) -> bool:
         return not (name == "header" and in_article)
     if not attributes or name in ("body", "html", "main", ARTICLE):
         return False
-    words = {
-        w for m in _NAMES.findall(attributes) for w in _SPLIT_NAMES.split("".join(m).lower()) if w
-    }
-    return not words.isdisjoint(_NEVER_NAMED)
+    return any(_named(n) for m in _NAMES.findall(attributes) for n in "".join(m).split())
+
+
+def _named(name: str) -> bool:
+    """Whether a class, id or role is of what is never content: by the last part of the name, that says what it is."""
+    parts = [p.lower() for p in _PARTS.split(name) if p]
+    return bool(parts) and parts[-1] in _NEVER_NAMED and (len(parts) == 1 or parts[0] not in _STATES)
+
+
+def _whole_page(page: str, name: str, at: int) -> bool:
+    """Whether the element ``name`` that begins at ``at`` holds a main heading and most of the page."""
+    heading = page.find("<h1", at)
+    if heading < 0 or 2 * at > len(page):
+        return False
+    depth = 1
+    for tag in re.compile(rf"<(/?){re.escape(name)}(?=[\s/>])", re.IGNORECASE).finditer(page, at):
+        depth += -1 if tag[1] else 1
+        if not depth:
+            return heading < tag.start() and 2 * (tag.start() - at) > len(page)
+    return False
 
 
 def pieces(page: str) -> Iterator[Piece]:
@@ -139,6 +157,7 @@ def pieces(page: str) -> Iterator[Piece]:
             continue
         # An element that is never closed is not taken to hold the rest of the page.
         out = closes[name] > 0 and _never(name, tag[3], inside > 0)
+        out = out and (name in _NEVER or skipped > 0 or not _whole_page(page, name, at))
         stack.append((name, out))
         skipped += out
         inside += name == ARTICLE

@@ -2,19 +2,22 @@
 
 The probability of a word is that of its class after the class before, times that of the word in its
 class.  Every word that stands ``LEAST`` times or more in training texts is put into one of ``CLASSES`` classes by
-exchange: a word moves to the class where the likelihood of the class bigrams is highest, until the likelihood no
-longer rises.  Rarer words are in classes by their shape, and the end of a text is a class of its own.
+exchange: a word moves to the class where the likelihood of the class bigrams is highest.  The ``FREQUENT`` most
+frequent words do so round by round, until the likelihood no longer rises; these rounds read a table of their
+neighbours only, whose size has a bound.  Then all others go to their best class, in ``PLACINGS`` passes over the texts.
+Rarer words are in classes by their shape, and the end of a text is a class of its own.
 Both factors are smoothed, and a small share of the add-one word frequencies is mixed in.
 
-Counts cover all training texts and grow with them; they stay in tables, and so do the neighbours of every clustered
-word, from which tasks find its best class.  A text is turned into numbers next to the words of its block of
+Counts cover all training texts and grow with them; they stay in tables, and so do the neighbours of the words that are
+placed.  A text is turned into numbers next to the words of its block of
 neighbouring rows, which are looked up in the count table together, so no task needs the words of the whole
-vocabulary.  Of a clustered word tasks hold its class with its turn or its count, 2 or 9 bytes, and the driver some
-dozens of bytes (symbol, count, hash, rank, class), but no words: that much still grows with the vocabulary.
+vocabulary.  Of a clustered word tasks hold its class with a mark or its count, 3 or 9 bytes, and the driver some
+dozens of bytes (symbol, count, class), but no words: that much still grows with the vocabulary.
 
 A-Z count as lower case; words are runs of characters other than ASCII white space.  A null text is an empty
 text, which has the end as its only token.  Repeated rows count and are scored each.  Without
-training texts every word is unknown.  An empty table gives an empty one; extra columns are not looked at.
+training texts every word is unknown.  A key may be of any type and null.  An empty table gives an empty one; extra
+columns are not looked at.
 """
 
 from __future__ import annotations
@@ -29,12 +32,16 @@ from pyspark import TaskContext
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from promptroute.llm.frames import ROWS, arrow_schema, share, texts
 from promptroute.session import materialise
 
 #: Occurrences from which a word is clustered, the classes, and the least rise of the log likelihood a token in two rounds.
 LEAST, CLASSES, RISE = 10, 48, 1e-4
+#: Words that exchange round by round, and passes in which the others go to their best class.
+FREQUENT, PLACINGS = 4096, 2
 #: Rows of a block, and the entries a task counts before it passes them on.
 BLOCK_ROWS, HELD = 8192, 1_000_000
 #: Links of clustered words in a row of their table.
@@ -139,19 +146,24 @@ def numbered(counts: DataFrame) -> tuple[DataFrame, int]:
     return placed.join(first, "part").select("word", "n", symbol), sum(n for _, n in sizes)
 
 
-ENCODED = "id long, held_out boolean, codes array<int>"
+ENCODED = "held_out boolean, codes array<int>"
+
+
+def _keyed(rows: DataFrame, rest: str) -> tuple[T.StructType, pa.Schema]:
+    """The columns ``rest`` after an ``id`` like that of ``rows``."""
+    schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), *T._parse_datatype_string(rest).fields])
+    return schema, to_arrow_schema(schema)
 
 
 def encode(rows: DataFrame, of_blocks: DataFrame, words: DataFrame) -> DataFrame:
     """Every text as codes of its words: the symbol, or -1, -2, ... by shape and count of a word that has none."""
     lookups = of_blocks.where(F.col("word") != F.lit(END)).select("block", "word").distinct().join(words, "word")
-    n_blocks = of_blocks.agg(F.countDistinct("block")).first()[0]
     nothing = {"word": F.lit(None).cast("binary"), "n": F.lit(None).cast("long"), "symbol": F.lit(None).cast("int")}
-    line = lookups.select("block", F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("text"),
+    schema, kinds = _keyed(rows, ENCODED)
+    line = lookups.select("block", F.lit(None).cast(schema["id"].dataType).alias("id"), F.lit(None).cast("string").alias("text"),
                           F.lit(None).cast("boolean").alias("held_out"), "word", "n", "symbol", F.lit(0).alias("kind"))
-    line = line.unionByName(rows.withColumns(nothing).withColumn("kind", F.lit(1)).withColumn("id", F.col("id").cast("long")))
-    line = line.repartition(max(1, n_blocks), "block").sortWithinPartitions("block", "kind")
-    kinds = arrow_schema(ENCODED)
+    line = line.unionByName(rows.withColumns(nothing).withColumn("kind", F.lit(1)))
+    line = line.repartition("block").sortWithinPartitions("block", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, block, made, held = {}, None, [], 0
@@ -160,7 +172,7 @@ def encode(rows: DataFrame, of_blocks: DataFrame, words: DataFrame) -> DataFrame
             ids, out, lines = zip(*made)
             ends = np.cumsum([0, *map(len, lines)]).astype(np.int32)
             flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lines)), type=kinds.field("codes").type)
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.bool_()), flat], schema=kinds)
+            return pa.RecordBatch.from_arrays([pa.array(ids, kinds.field("id").type), pa.array(out, pa.bool_()), flat], schema=kinds)
 
         for batch in batches:
             of, words = batch.column("block").to_pylist(), batch.column("kind").to_numpy() == 0
@@ -182,7 +194,7 @@ def encode(rows: DataFrame, of_blocks: DataFrame, words: DataFrame) -> DataFrame
         if made:
             yield flush()
 
-    found = line.select("block", "kind", "word", "n", "symbol", "id", "text", "held_out").mapInArrow(run, ENCODED)
+    found = line.select("block", "kind", "word", "n", "symbol", "id", "text", "held_out").mapInArrow(run, schema)
     return materialise(found, "encoded")
 
 
@@ -192,18 +204,29 @@ def _lines(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(), np.cumsum(column.value_lengths().to_numpy())
 
 
-def _links(encoded: DataFrame, size: int) -> DataFrame:
-    """Rows of about ``LINKS`` links in order: a symbol, twice a neighbour (one more where it stands before), how often.
+def _neighbouring(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols that follow each other in the texts of a batch: those of words, then of shapes, then the end."""
+    codes, ends = _lines(batch)
+    symbols = np.where(codes >= 0, codes, size + (-1 - codes.astype(np.int64)) // LEAST)
+    line = np.concatenate([[size + SHAPES], np.insert(symbols, ends, size + SHAPES)])
+    return line[:-1], line[1:]
+
 
-    Symbols of shapes and the end follow those of the words.  Only the first and the last symbol of a row may
-    have links in other rows, however many links a symbol has.
+def _links(encoded: DataFrame, top: np.ndarray, size: int) -> DataFrame:
+    """Rows of about ``LINKS`` links in order: a word, twice a neighbour (one more where it stands before), how often.
+
+    Words are known by their place in ``top``; the shapes, the end and the rest of the words follow them.  Only the first and the
+    last of a row may have links in other rows, however many links a word has.
     """
     schema, packed = "own int, link long, n long", "own array<int>, link array<long>, n array<long>"
-    pair_kinds, kinds, n_symbols = arrow_schema(schema), arrow_schema(packed), size + SHAPES + 1
-    most = LINKS
+    pair_kinds, kinds, n_symbols = arrow_schema(schema), arrow_schema(packed), len(top) + SHAPES + 2
+    most, sent = LINKS, share(encoded.sparkSession, top)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        places = np.full(size + SHAPES + 1, n_symbols - 1, np.int64)
+        places[sent()] = np.arange(n_symbols - SHAPES - 2)
+        places[size:] = np.arange(n_symbols - SHAPES - 2, n_symbols - 1)
 
         def flush() -> Iterator[pa.RecordBatch]:
             found, n = np.unique(np.concatenate(held), return_counts=True)
@@ -214,10 +237,8 @@ def _links(encoded: DataFrame, size: int) -> DataFrame:
 
         for whole in batches:
             for low in range(0, whole.num_rows, ROWS):
-                codes, ends = _lines(whole.slice(low, ROWS))
-                symbols = np.where(codes >= 0, codes, size + (-1 - codes.astype(np.int64)) // LEAST)
-                line = np.concatenate([[n_symbols - 1], np.insert(symbols, ends, n_symbols - 1)])
-                held.append(line[:-1] * n_symbols + line[1:])
+                a, b = _neighbouring(whole.slice(low, ROWS), size)
+                held.append(places[a] * n_symbols + places[b])
                 if sum(map(len, held)) >= 2 * HELD:
                     yield from flush()
                     held.clear()
@@ -302,18 +323,6 @@ def _best_classes(own, r, c, matrix, rows, columns, n_classes):
     return np.where(enter[np.arange(len(own)), best] + leave > 1e-9, best, own)
 
 
-def exchange(classes: np.ndarray, movable: int, n_classes: int, after: np.ndarray, before: np.ndarray, turn: int) -> np.ndarray:
-    """One round in memory: every second word goes to its best class, the others staying.
-
-    ``after`` and ``before`` count the classes that follow and precede each symbol.
-    """
-    matrix = np.zeros((after.shape[1], after.shape[1]))
-    np.add.at(matrix, classes, after)
-    moved, words = classes.copy(), np.arange(turn % 2, movable, 2)
-    moved[words] = best_classes(classes[words], after[words], before[words], matrix, n_classes)
-    return moved
-
-
 def _arrays(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
     for i in range(batch.num_rows):
         yield tuple(batch.column(c)[i].values.to_numpy() for c in ("own", "link", "n"))
@@ -384,9 +393,9 @@ def _moved(links: DataFrame, classes: np.ndarray, turns: np.ndarray, n_classes:
 
 
 def cluster(links: DataFrame, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Class of every symbol, and the counts of class pairs.  ``ranks`` of the words, the most frequent being 0."""
+    """Class of every symbol of ``links``, and the counts of class pairs.  ``ranks`` of the words, the most frequent being 0."""
     n_classes = min(CLASSES, max(1, len(ranks)))
-    classes = np.concatenate([ranks % n_classes, np.arange(SHAPES + 1) + n_classes]).astype(np.uint8)
+    classes = np.concatenate([ranks % n_classes, np.arange(SHAPES + 2) + n_classes]).astype(np.uint8)
     turns = (ranks % 2).astype(np.uint8)
     matrix = _class_pairs(links, classes)
     best, value, turn, still = (classes, matrix), likelihood(matrix), 0, 0
@@ -402,6 +411,128 @@ def cluster(links: DataFrame, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return best
 
 
+def _class_neighbours(encoded: DataFrame, classes: np.ndarray, fixed: np.ndarray | None, size: int, k: int) -> DataFrame:
+    """How often a class stands next to a word: ``own`` word, ``place`` (the class, ``k`` more where it stands before), ``n``.
+
+    Of all words but the ``fixed`` ones, or of none without these.  Rows of the word -1 count pairs of classes, ``k`` times the first.
+    """
+    schema = "own int, place int, n long"
+    kinds, sent = arrow_schema(schema), share(encoded.sparkSession, (classes, fixed))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, still = sent()
+        moves = np.zeros(len(of), bool)
+        if still is not None:
+            moves[:size] = True
+            moves[still] = False
+        pairs, held = np.zeros(k * k, np.int64), []
+
+        def rows(own: np.ndarray, place: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip((own, place, n), kinds)], schema=kinds)
+
+        def flush() -> pa.RecordBatch:
+            found, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            return rows((found // (2 * k)).astype(np.int32), (found % (2 * k)).astype(np.int32), n)
+
+        for whole in batches:
+            for low in range(0, whole.num_rows, ROWS):
+                a, b = _neighbouring(whole.slice(low, ROWS), size)
+                before, after = of[a].astype(np.int64), of[b].astype(np.int64)
+                pairs += np.bincount(before * k + after, minlength=k * k)
+                held += [a[moves[a]] * 2 * k + after[moves[a]], b[moves[b]] * 2 * k + k + before[moves[b]]]
+                if sum(map(len, held)) >= 2 * HELD:
+                    yield flush()
+        if sum(map(len, held)):
+            yield flush()
+        seen = np.flatnonzero(pairs)
+        yield rows(np.full(len(seen), -1, np.int32), seen.astype(np.int32), pairs[seen])
+
+    return encoded.where(~F.col("held_out")).select("codes").mapInArrow(run, schema)
+
+
+def sparse_best_classes(
+    own: np.ndarray, starts: np.ndarray, place: np.ndarray, n: np.ndarray, matrix: np.ndarray, n_classes: int
+) -> np.ndarray:
+    """``best_classes`` from the neighbours that there are: ``n`` of each ``place``, a word's from its start on.
+
+    A word whose class is none of the first ``n_classes`` goes to the best of these in any case.
+    """
+    k, rows, columns = len(matrix), matrix.sum(axis=1), matrix.sum(axis=0)
+    both = np.hstack([matrix, matrix.T])
+    follows = place < k
+    r = np.add.reduceat(np.where(follows, n, 0), starts).astype(float)
+    c = np.add.reduceat(np.where(follows, 0, n), starts).astype(float)
+    target = both[:n_classes, place].T
+    enter = np.add.reduceat(_xlogx(target + n[:, None]) - _xlogx(target), starts, axis=0)
+    enter -= _xlogx(rows[:n_classes] + r[:, None]) - _xlogx(rows[:n_classes])
+    enter -= _xlogx(columns[:n_classes] + c[:, None]) - _xlogx(columns[:n_classes])
+    here = both[np.repeat(own, np.diff([*starts, len(n)])), place]
+    leave = np.add.reduceat(_xlogx(np.maximum(here - n, 0)) - _xlogx(here), starts)
+    leave -= _xlogx(rows[own] - r) - _xlogx(rows[own]) + _xlogx(columns[own] - c) - _xlogx(columns[own])
+    settled = np.flatnonzero(own < n_classes)
+    enter[settled, own[settled]] = -leave[settled]
+    best = enter.argmax(axis=1)
+    return np.where((own >= n_classes) | (enter[np.arange(len(own)), best] + leave > 1e-9), best, own)
+
+
+def _placed(neighbours: DataFrame, classes: np.ndarray, matrix: np.ndarray, n_classes: int) -> np.ndarray:
+    """The classes after all words of ``neighbours`` have gone to their best class."""
+    schema = "own int, to int"
+    kinds, k, sent = arrow_schema(schema), len(matrix), share(neighbours.sparkSession, (classes, matrix))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes, matrix = sent()
+
+        def decide(own: np.ndarray, place: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            # What several tasks counted of a word and place is added up.
+            key, at = np.unique(own.astype(np.int64) * 2 * k + place, return_inverse=True)
+            n, own, place = np.bincount(at, n), key // (2 * k), key % (2 * k)
+            starts = np.flatnonzero(np.concatenate([[True], np.diff(own) != 0]))
+            words = own[starts]
+            best = sparse_best_classes(classes[words].astype(np.int64), starts, place, n, matrix, n_classes)
+            columns = [words.astype(np.int32), best.astype(np.int32)]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=kinds)
+
+        held: list[np.ndarray] = [np.zeros(0, np.int64)] * 3
+        for whole in batches:
+            for low in range(0, whole.num_rows, 1 << 15):
+                part = whole.slice(low, 1 << 15)
+                held = [np.concatenate([x, part.column(c).to_numpy()]) for x, c in zip(held, ("own", "place", "n"))]
+                # The last word's rows may go on in the next batch.
+                cut = int(np.searchsorted(held[0], held[0][-1]))
+                if cut:
+                    yield decide(*(x[:cut] for x in held))
+                    held = [x[cut:] for x in held]
+        if len(held[0]):
+            yield decide(*held)
+
+    moved = classes.copy()
+    ordered = neighbours.where("own >= 0").repartition("own").sortWithinPartitions("own")
+    found = ordered.mapInArrow(run, schema).toPandas()
+    moved[found["own"].to_numpy(np.int64)] = found["to"].to_numpy()
+    return moved
+
+
+def _place_all(encoded: DataFrame, classes: np.ndarray, top: np.ndarray, size: int, n_classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of all symbols, and the counts of class pairs, once words in none of the first classes have one."""
+    k, best = n_classes + SHAPES + 2, None
+    for turn in range(PLACINGS + 1):
+        last = turn == PLACINGS
+        found = _class_neighbours(encoded, classes, None if last else top, size, k)
+        found = found if last else materialise(found, "neighbours")
+        matrix = np.zeros(k * k)
+        for r in found.where("own = -1").groupBy("place").agg(F.sum("n").alias("n")).collect():
+            matrix[r["place"]] = r["n"]
+        matrix = matrix.reshape(k, k)
+        value = likelihood(matrix)
+        if turn and (best is None or value > best[0]):
+            best = value, classes, matrix
+        if not last:
+            classes = _placed(found, classes, matrix, n_classes)
+    return best[1:]
+
+
 def fit(rows: DataFrame, counts: DataFrame) -> Model:
     """The model of the training texts in ``rows``, given all words with their training counts."""
     words, size = numbered(counts)
@@ -412,12 +543,17 @@ def learn(encoded: DataFrame, words: DataFrame, size: int) -> Model:
     """The model of the encoded training texts, given all words with their counts and symbols."""
     sizes = words.agg(F.sum("n").alias("n"), F.sum((F.col("n") > 0).cast("long")).alias("v")).first()
     n, v = sizes["n"] or 0, sizes["v"] or 0
-    told = words.where("symbol >= 0").select("symbol", "n", F.xxhash64("word").alias("hash")).toPandas()
-    told = told.sort_values("symbol")
-    often = told["n"].to_numpy(np.int64)
-    ranks = np.empty(size, np.int64)
-    ranks[np.lexsort((told["hash"].to_numpy(np.int64), -often))] = np.arange(size)
-    classes, matrix = cluster(_links(encoded, size), ranks)
+    often = words.where("symbol >= 0").select("symbol", "n").toPandas().sort_values("symbol")["n"].to_numpy(np.int64)
+    ranked = words.where("symbol >= 0").orderBy(F.desc("n"), F.xxhash64("word"), "word").limit(FREQUENT)
+    top = np.array([r["symbol"] for r in ranked.select("symbol").collect()], np.int64)
+    found, matrix = cluster(_links(encoded, top, size), np.arange(len(top)))
+    # Until they are placed, the rest of the words are in the last class.
+    n_classes = len(matrix) - SHAPES - 2
+    classes = np.full(size + SHAPES + 1, len(matrix) - 1, np.uint8)
+    classes[top], classes[size:] = found[: len(top)], np.arange(n_classes, len(matrix) - 1)
+    if size > len(top):
+        classes, matrix = _place_all(encoded, classes, top, size, n_classes)
+    matrix = matrix[:-1, :-1]
     kinds = arrow_schema("kind int, n long")
 
     def kind(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -438,7 +574,7 @@ def learn(encoded: DataFrame, words: DataFrame, size: int) -> Model:
     return Model(words, classes, often, np.log(transition), class_tokens, class_words, n, v)
 
 
-SCORES = "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+SCORES = "held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
 def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -452,7 +588,7 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
     encoded = encode(rows, of_blocks, words)
     model = learn(encoded, words, size)
     sent = share(docs.sparkSession, replace(model, words=None))
-    kinds = arrow_schema(SCORES)
+    schema, kinds = _keyed(encoded, SCORES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent()
@@ -469,7 +605,7 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
                 ids = zip(batch.column("id").to_pylist(), batch.column("held_out").to_pylist())
                 yield _batch([(*key, *found) for key, found in zip(ids, scores)], kinds)
 
-    found = encoded.mapInArrow(run, SCORES)
+    found = encoded.mapInArrow(run, schema)
     return found.select(
         F.col("id").alias(key), "held_out", "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"),
         "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"),

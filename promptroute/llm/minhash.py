@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from promptroute.llm.components import components
-from promptroute.llm.frames import arrow_schema, field, map_columns, texts
+from promptroute.llm.frames import arrow_schema, field, free, map_columns, texts
 from promptroute.llm.shingles import mix, shingles
 from promptroute.session import materialise
 
@@ -27,8 +27,9 @@ SIMILARITY = 0.8
 #: Bands of a signature and components of a band.  A pair at 0.8 is in no common bucket once in 2.5 million.
 BANDS, ROWS = 28, 4
 COMPONENTS = BANDS * ROWS
-#: Share of agreeing components from which a pair is checked: four deviations below ``SIMILARITY``.
-LIKELY = 0.65
+#: Share of agreeing components from which a pair is checked, over five deviations below ``SIMILARITY``: of pairs at 0.8
+#: fewer have less than share no band.
+LIKELY = 0.58
 #: Nodes of a block in what is compared after the hubs.
 BLOCK = 512
 
@@ -179,12 +180,11 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """
     found = near_duplicates(docs, key, text)
     first = found.groupBy("class_key").agg(F.min(F.struct(key, "text_hash")).alias("one"))
-    stays = first.select(
-        F.xxhash64(f"one.{key}", "one.text_hash").alias("_row"), F.col("one.text_hash").alias("_hash")
-    )
-    hashed = docs.withColumn("_hash", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    hashed = hashed.withColumn("_row", F.xxhash64(F.col(key), F.col("_hash")))
-    kept = hashed.join(stays, ["_row", "_hash"], "left_semi").dropDuplicates(["_row", "_hash"])
+    row, hash_ = free(docs, "_row", "_hash")
+    stays = first.select(F.xxhash64(f"one.{key}", "one.text_hash").alias(row), F.col("one.text_hash").alias(hash_))
+    hashed = docs.withColumn(hash_, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    hashed = hashed.withColumn(row, F.xxhash64(F.col(key), F.col(hash_)))
+    kept = hashed.join(stays, [row, hash_], "left_semi").dropDuplicates([row, hash_])
     return kept.select(*docs.columns)
 
 

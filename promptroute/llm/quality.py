@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promptroute.llm.frames import arrow_schema, field, map_columns, share, texts
+from promptroute.llm.frames import arrow_schema, field, free, map_columns, share, texts
 
 STATISTICS = (
     "log_bytes", "log_words", "word_length", "blank_share", "upper_share", "digit_share",
@@ -244,11 +244,16 @@ def score(
 
 def keep_good(docs: DataFrame, classifier: Classifier, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that are predicted good, as they are."""
-    described = with_statistics(docs, text, "_statistics")
-    return score(described, classifier, "_statistics", "_").where("_predicted = 1").select(*docs.columns)
+    (statistics,) = free(docs, "_statistics")
+    prefix = "_"
+    while free(docs, prefix + "score", prefix + "predicted") != [prefix + "score", prefix + "predicted"]:
+        prefix += "_"
+    described = with_statistics(docs, text, statistics)
+    return score(described, classifier, statistics, prefix).where(F.col(prefix + "predicted") == 1).select(*docs.columns)
 
 
 def labelled_statistics(described: DataFrame, labels: DataFrame, key: str, label: str) -> DataFrame:
     """Statistics and label of the rows of ``described`` that ``labels`` has."""
-    known = labels.select(F.col(key).alias("_key"), F.col(label).alias("label"))
-    return described.join(known, F.col(key) == F.col("_key")).select("statistics", "label")
+    rows = described.select(F.col(key).alias("key"), "statistics")
+    known = labels.select(F.col(key).alias("key"), F.col(label).alias("label"))
+    return rows.join(known, "key").select("statistics", "label")

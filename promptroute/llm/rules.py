@@ -16,6 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from promptroute.llm.frames import free
 from promptroute.operators.once import with_computed_once
 
 #: Buckets of hashed n-grams.
@@ -24,8 +25,8 @@ BUCKETS = 8192
 TRUSTED_ROWS = 10_000
 #: Least mean log ratio of a document that is kept.
 THRESHOLD = -0.045
-#: N-grams spread as in the corpus that are added to the target's: few trusted rows say little.
-PRIOR = 100_000
+#: N-grams spread as in the corpus that are added to the target's, as a share of these: a bucket without any says little.
+PRIOR = 0.25
 #: Consecutive words of a repeat, and the base rules' limits.
 REPEAT_WORDS = 8
 LEAST_WORDS = 20
@@ -49,28 +50,31 @@ def buckets(words: Column) -> Column:
     return F.concat(single, F.slice(pairs, 1, F.greatest(F.size(words) - 1, F.lit(0))))
 
 
-def with_counts(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
+def with_counts(df: DataFrame, text: str = "text", split: str = "_words") -> DataFrame:
+    """``df`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed.
+
+    The words are in the column ``split``, for ``with_verdict``.
+    """
+    hashed, windowed, ranked, placed, lined = free(df, "_hashes", "_windows", "_sorted", "_places", "_lines")
     value = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(value, "\n"), lambda x: x.rlike(r"[^ \x09-\x0D]"))
-    words = F.col("_words")
-    hashes = F.col("_hashes")
+    words, hashes, windows = F.col(split), F.col(hashed), F.col(windowed)
 
     def window_hash(i: Column) -> Column:
         return F.xxhash64(*[F.get(hashes, i + k) for k in range(REPEAT_WORDS)])
 
     starts = F.sequence(F.lit(0), F.size(words) - REPEAT_WORDS)
     long_enough = F.size(words) >= REPEAT_WORDS
-    repeated = F.size(F.array_distinct("_windows")) < F.size("_windows")
-    sorted_windows = F.array_sort(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    pairs = F.col("_sorted")
+    repeated = F.size(F.array_distinct(windows)) < F.size(windows)
+    sorted_windows = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    pairs = F.col(ranked)
 
     def has_twin(x: Column, i: Column) -> Column:
         before, after = F.get(pairs, i - 1)["h"], F.get(pairs, i + 1)["h"]
         return F.coalesce(before == x["h"], F.lit(False)) | F.coalesce(after == x["h"], F.lit(False))
 
     places = F.array_sort(F.transform(F.filter(pairs, has_twin), lambda x: x["i"]))
-    starts_of = F.col("_places")
+    starts_of = F.col(placed)
     covered = F.aggregate(
         F.transform(
             starts_of,
@@ -80,19 +84,19 @@ def with_counts(df: DataFrame, text: str = "text") -> DataFrame:
         lambda total, n: total + n,
     )
     made = (
-        df.withColumn("_words", split_words(F.col(text)))
-        .withColumn("_hashes", F.transform(words, lambda w: F.xxhash64(w)))
-        .withColumn("_windows", F.when(long_enough, F.transform(starts, window_hash)))
-        .withColumn("_sorted", F.when(repeated, sorted_windows))
-        .withColumn("_places", F.when(pairs.isNotNull(), places))
-        .withColumn("_lines", lines)
+        df.withColumn(split, split_words(F.col(text)))
+        .withColumn(hashed, F.transform(words, lambda w: F.xxhash64(w)))
+        .withColumn(windowed, F.when(long_enough, F.transform(starts, window_hash)))
+        .withColumn(ranked, F.when(repeated, sorted_windows))
+        .withColumn(placed, F.when(pairs.isNotNull(), places))
+        .withColumn(lined, lines)
     )
     none = F.lit(0).cast("long")
     counts = {
         "n_words": F.size(words).cast("long"),
         "word_chars": F.aggregate(words, none, lambda n, w: n + F.length(w)),
         "n_symbols": F.regexp_count(value, F.lit(_SYMBOLS)).cast("long"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
+        "n_dup_lines": (F.size(lined) - F.size(F.array_distinct(lined))).cast("long"),
         "n_repeat_words": F.when(starts_of.isNotNull(), covered).otherwise(none),
     }
     # A later filter on a count is not to spell the whole derivation out again.
@@ -100,16 +104,14 @@ def with_counts(df: DataFrame, text: str = "text") -> DataFrame:
     failed = (F.col("n_words") < LEAST_WORDS) | (
         100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words")
     )
-    return counted.withColumn("base_failed", failed).drop(
-        "_hashes", "_windows", "_sorted", "_places", "_lines"
-    )
+    return counted.withColumn("base_failed", failed).drop(hashed, windowed, ranked, placed, lined)
 
 
 def fit_ratio(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "text") -> list[float]:
     """Log ratio of trusted to corpus probability per bucket.
 
-    Corpus counts are raised by one; ``PRIOR`` n-grams of the corpus' distribution are added to the
-    target's.  ``trusted`` holds ``key`` of the trusted rows; the first ``TRUSTED_ROWS`` in hash order are used, and
+    Corpus counts are raised by one; n-grams of the corpus' distribution are added to the target's, ``PRIOR`` times
+    as many as these are.  Without any the ratio is 0.  ``trusted`` holds ``key`` of the trusted rows; the first ``TRUSTED_ROWS`` in hash order are used, and
     sent to all tasks.  The corpus counts cover every row.  ``BUCKETS`` rows reach the driver.
     """
     chosen = (
@@ -132,16 +134,18 @@ def fit_ratio(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: st
         target[row["bucket"]] += row["t"]
         corpus[row["bucket"]] += row["n"]
     corpus /= corpus.sum()
-    target = (target + PRIOR * corpus) / (target.sum() + PRIOR)
+    prior = PRIOR * target.sum() or 1.0
+    target = (target + prior * corpus) / (target.sum() + prior)
     return np.log(target / corpus).tolist()
 
 
-def with_verdict(counted: DataFrame, ratio: list[float]) -> DataFrame:
-    """``counted`` (of ``with_counts``) with ``log_ratio`` and ``kept``."""
+def with_verdict(counted: DataFrame, ratio: list[float], split: str = "_words") -> DataFrame:
+    """``counted`` (of ``with_counts``) with ``log_ratio`` and ``kept``, without the words."""
     table = F.lit(np.array(ratio))
-    grams = F.col("_buckets")
+    (hashed,) = free(counted, "_buckets")
+    grams = F.col(hashed)
     total = F.aggregate(grams, F.lit(0.0), lambda s, b: s + F.get(table, b))
-    bucketed = counted.withColumn("_buckets", buckets(F.col("_words")))
+    bucketed = counted.withColumn(hashed, buckets(F.col(split)))
     judged = with_computed_once(bucketed, {"log_ratio": total / F.greatest(F.size(grams), F.lit(1))})
     kept = ~F.col("base_failed") & (F.col("log_ratio") >= THRESHOLD)
-    return judged.withColumn("kept", kept).drop("_buckets", "_words")
+    return judged.withColumn("kept", kept).drop(hashed, split)

@@ -7,7 +7,9 @@ several 64-bit words.  A set bit says that its rule has matched up to there; per
 URL, all rules advance by one shift and one mask (Shift-And), for all URLs of a batch together.
 
 A null URL or one without ``://`` has an empty host and path.  Empty tables give empty results,
-repeated rows equal results, and long URLs are matched whole: a batch is dealt with in groups of similar length.
+repeated rows equal results, and long URLs are matched whole: some thousand characters of a batch's URLs are laid out
+at a time, URLs that have ended drop out, and what is left of a few very long ones is matched one by one, the masks
+being whole numbers of any size.
 """
 
 from __future__ import annotations
@@ -21,8 +23,8 @@ from pyspark.sql import functions as F
 from promptroute.llm.frames import field, map_columns, texts
 
 ALLOW, BLOCK = "allow", "block"
-#: URLs that are matched together.
-GROUP = 2048
+#: Characters of URLs that are laid out together, and the number of URLs from which that is worth it.
+CHARS, FEW = 2048, 8
 
 
 @dataclass(frozen=True)
@@ -76,28 +78,39 @@ class GlobAutomaton:
             mask[b // 64] |= np.uint64(1) << np.uint64(b % 64)
         return mask
 
-    def _match_group(self, texts: list[bytes]) -> np.ndarray:
-        lengths = np.array([len(t) for t in texts])
-        width = int(lengths.max(initial=0))
-        grid = np.zeros((width, len(texts)), np.uint8)
-        for i, t in enumerate(texts):
-            grid[: len(t), i] = np.frombuffer(t, np.uint8)
-        one, top = np.uint64(1), np.uint64(63)
-        state = np.tile(self.start, (len(texts), 1))
-        for k in range(width):
-            shifted = state << one
-            shifted[:, 1:] |= state[:, :-1] >> top
-            following = (shifted & self.advance[grid[k]]) | (state & self.loops)
-            state = np.where((k < lengths)[:, None], following, state)
-        return (state[:, self.ends // 64] >> (self.ends % 64).astype(np.uint64)) & one == one
+    def _finish(self, state: np.ndarray, text: memoryview) -> np.ndarray:
+        """The state after the rest of one text."""
+        advance = [int.from_bytes(row.astype("<u8").tobytes(), "little") for row in self.advance]
+        loops = int.from_bytes(self.loops.astype("<u8").tobytes(), "little")
+        now = int.from_bytes(state.astype("<u8").tobytes(), "little")
+        for char in text:
+            now = (now << 1) & advance[char] | now & loops
+        return np.frombuffer(now.to_bytes(8 * self.words, "little"), "<u8")
 
     def match(self, texts: list[bytes]) -> np.ndarray:
         """One row per text, one column per glob."""
+        lengths = np.array([len(t) for t in texts], np.int64)
+        order = np.argsort(-lengths, kind="stable")
+        one, top = np.uint64(1), np.uint64(63)
+        state = np.tile(self.start, (len(texts), 1))  # in order: those that go on are the first ones
+        ending = -lengths[order]
+        low, going = 0, int(np.searchsorted(ending, 0))
+        while going >= FEW:
+            parts = [np.frombuffer(texts[i], np.uint8)[low : low + CHARS] for i in order[:going]]
+            grid = np.zeros((len(parts[0]), going), np.uint8)
+            for i, part in enumerate(parts):
+                grid[: len(part), i] = part
+            for k in range(len(grid)):
+                n = int(np.searchsorted(ending, -(low + k)))
+                shifted = state[:n] << one
+                shifted[:, 1:] |= state[:n, :-1] >> top
+                state[:n] = (shifted & self.advance[grid[k, :n]]) | (state[:n] & self.loops)
+            low += CHARS
+            going = int(np.searchsorted(ending, -low))
+        for i in range(going):
+            state[i] = self._finish(state[i], memoryview(texts[order[i]])[low:])
         found = np.zeros((len(texts), len(self.ends)), bool)
-        order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
-        for low in range(0, len(order), GROUP):
-            group = order[low : low + GROUP]
-            found[group] = self._match_group([texts[i] for i in group])
+        found[order] = (state[:, self.ends // 64] >> (self.ends % 64).astype(np.uint64)) & one == one
         return found
 
 

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from promptroute.llm import language_model as lm
@@ -91,28 +92,142 @@ def test_every_word_of_ten_or_more_is_clustered_however_many_words_there_are(spa
     assert max(found) < lm.CLASSES and not set(found[:25]) & set(found[25:])
 
 
-def test_exchange_raises_the_likelihood():
+def _plain(texts, classes, k):
+    """Counts of class pairs, and of the classes next to every word, as they are in the texts."""
+    matrix, after, before = np.zeros((k, k)), {}, {}
+    for line in (["\n", *_words(t)] for t in texts):
+        for x, y in zip(line, line[1:]):
+            matrix[classes[x], classes[y]] += 1
+            after.setdefault(x, Counter())[classes[y]] += 1
+            before.setdefault(y, Counter())[classes[x]] += 1
+    return matrix, after, before
+
+
+def _plain_gains(word, classes, matrix, after, before, n_classes):
+    """What the likelihood gains if a word goes to each class, its own first taken out: rows, columns and sums."""
+    f = lambda x: x * math.log(x) if x > 0 else 0.0
+    gains = []
+    for to in range(n_classes):
+        gain = 0.0
+        if to != classes[word]:
+            for of, sign in ((to, 1), (classes[word], -1)):
+                for counts, line in ((after[word], matrix[of]), (before[word], matrix[:, of])):
+                    gain += sum(f(line[j] + sign * n) - f(line[j]) for j, n in counts.items())
+                    gain -= f(line.sum() + sign * sum(counts.values())) - f(line.sum())
+        gains.append(gain)
+    return gains
+
+
+def _clustered_texts(seed):
+    rng = random.Random(seed)
+    return [" ".join(f"{'ab'[k % 2]}{rng.randint(0, 11)}" for k in range(rng.randint(5, 90))) for _ in range(90)] + ["odd 1 #x " * 3]
+
+
+def test_a_round_of_moves_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(lm, "LINKS", 40)
+    texts, n = _clustered_texts(1), 5
+    rows = lm.blocks(documents(spark, texts), "doc_id", "text", F.lit(False))
+    of_blocks = lm._block_words(rows)
+    words, size = lm.numbered(of_blocks.groupBy("word").agg(F.sum("n").alias("n")))
+    encoded = lm.encode(rows, of_blocks, words)
+    symbols = {bytes(r.word).decode(): r.symbol for r in words.collect() if r.symbol >= 0}
+    assert size == len(symbols) == 24
+    top = np.arange(size)
+    fixed = np.arange(lm.SHAPES + 2) + n
+    classes = np.concatenate([top % n, fixed]).astype(np.uint8)
+    of = lambda w: symbols.get(w, size + (lm.SHAPES if w == "\n" else lm.shape(w.encode())))
+    named = {w: int(classes[of(w)]) for t in texts for w in ["\n", *_words(t)]}
+    k = n + lm.SHAPES + 2
+    matrix, after, before = _plain(texts, named, k)
+    links = lm._links(encoded, top, size)
+    assert links.count() > 3 and np.array_equal(lm._class_pairs(links, classes), matrix)
+    moved = lm._moved(links, classes, (top % 2).astype(np.uint8), n, matrix, 0)
+    changed = 0
+    for word, s in symbols.items():
+        if s % 2:
+            assert moved[s] == classes[s]
+            continue
+        gains = _plain_gains(word, named, matrix, after, before, n)
+        assert gains[moved[s]] >= max(gains) - 1e-6 and (moved[s] == classes[s] or gains[moved[s]] > 0)
+        changed += moved[s] != classes[s]
+    assert changed
+    # The others of a table of which some words are frequent: all at once, from no class and from one.
+    for start in (np.where(top < 8, top % n, k - 1), top % n):
+        classes = np.concatenate([start, fixed]).astype(np.uint8)
+        named = {w: int(classes[of(w)]) for t in texts for w in ["\n", *_words(t)]}
+        matrix, after, before = _plain(texts, named, k)
+        found = lm._class_neighbours(encoded, classes, top[:8], size, k)
+        pairs = {r.place: r.n for r in found.where("own = -1").groupBy("place").agg(F.sum("n").alias("n")).collect()}
+        assert all(pairs.get(i, 0) == x for i, x in enumerate(matrix.ravel()))
+        placed = lm._placed(found, classes, matrix, n)
+        for word, s in symbols.items():
+            gains = _plain_gains(word, named, matrix, after, before, n)
+            if s < 8:
+                assert placed[s] == classes[s]
+            elif classes[s] == k - 1:
+                assert placed[s] < n and gains[placed[s]] >= max(gains) - 1e-6
+            else:
+                assert gains[placed[s]] >= max(gains) - 1e-6
+
+
+def test_sparse_choice_equals_the_dense_one():
     rng = np.random.default_rng(3)
-    truth = np.arange(30) % 3
-    bigrams = rng.poisson(np.where((truth[:, None] + 1) % 3 == truth[None], 20, 1)).astype(float)
-    classes = rng.integers(0, 3, 30)
-
-    def counts(classes):
-        sums = np.zeros((30, 3))
-        before = np.zeros((30, 3))
-        for c in range(3):
-            sums[:, c] = bigrams[:, classes == c].sum(axis=1)
-            before[:, c] = bigrams[classes == c].sum(axis=0)
-        matrix = np.zeros((3, 3))
-        np.add.at(matrix, classes, sums)
-        return sums, before, lm.likelihood(matrix)
-
-    first = counts(classes)[2]
-    for turn in range(10):
-        after, before, _ = counts(classes)
-        classes = lm.exchange(classes, 30, 3, after, before, turn)
-    assert counts(classes)[2] > first
-    assert len({(truth[i], classes[i]) for i in range(30)}) == 3
+    k, n_classes, n = 12, 7, 400
+    counts = rng.poisson(0.4, (n, 2, k))
+    counts[:, 0, 0] += 1
+    own = rng.integers(0, n_classes, n)
+    matrix = rng.poisson(3, (k, k)).astype(float)
+    np.add.at(matrix, own, counts[:, 0])
+    np.add.at(matrix.T, own, counts[:, 1])
+    word, place = np.nonzero(counts.reshape(n, 2 * k))
+    starts = np.searchsorted(word, np.arange(n))
+    sparse = lm.sparse_best_classes(own, starts, place, counts.reshape(n, 2 * k)[word, place].astype(float), matrix, n_classes)
+    dense = lm.best_classes(own, counts[:, 0].astype(float), counts[:, 1].astype(float), matrix, n_classes)
+    assert np.array_equal(sparse, dense) and (sparse != own).any()
+
+
+@pytest.mark.parametrize("frequent", [5, 1000])
+def test_scores_equal_brute_force_and_classes_raise_the_likelihood(spark, monkeypatch, frequent):
+    monkeypatch.setattr(lm, "FREQUENT", frequent)
+    texts = _clustered_texts(2)
+    held = [i % 6 == 5 for i in range(len(texts))]
+    fits = []
+    monkeypatch.setattr(lm, "learn", lambda *a, learn=lm.learn: fits.append(learn(*a)) or fits[-1])
+    out = by_id(lm.score(documents(spark, texts), F.col("doc_id") % 6 == 5))
+    (model,) = fits
+    counts = Counter(w for t, h in zip(texts, held) if not h for w in _words(t))
+    names = sorted({w for t in texts for w in _words(t)} - {"\n"})
+    classes = dict(zip(names, model.classes_of([w.encode() for w in names]))) | {"\n": int(model.classes[-1])}
+    k = len(model.log_transition)
+    assert model.counts.sum() == sum(n for w, n in counts.items() if n >= 10 and w != "\n")
+    matrix = _plain([t for t, h in zip(texts, held) if not h], classes, k)[0]
+    plain = {w: i % min(lm.CLASSES, len(model.counts)) if counts[w] >= 10 and w != "\n" else classes[w] for i, w in enumerate(names)}
+    first = _plain([t for t, h in zip(texts, held) if not h], plain | {"\n": classes["\n"]}, k)[0]
+    assert lm.likelihood(matrix) > lm.likelihood(first)
+    into = matrix.sum(axis=0) + 1
+    n, v = sum(counts.values()), len(counts)
+    tokens, kinds = Counter(), Counter()
+    for w, c in counts.items():
+        tokens[classes[w]] += c
+        kinds[classes[w]] += 1
+    for i, text in enumerate(texts):
+        total, before = 0.0, classes["\n"]
+        for w in _words(text):
+            c = classes[w]
+            p = (matrix[before, c] + lm.TRANSITION * into[c] / into.sum()) / (matrix[before].sum() + lm.TRANSITION)
+            if w != "\n":
+                top = tokens[c] + lm.EMISSION * (kinds[c] + 1)
+                p *= (counts[w] + lm.EMISSION) / max(top, counts[w] + lm.EMISSION)
+            total += math.log10((1 - lm.MIXED) * p + lm.MIXED * (counts[w] + 1) / (n + v + 1))
+            before = c
+        assert math.isclose(out[i].score, total, rel_tol=1e-9)
+
+
+def test_text_keys(spark):
+    df = frame(spark, [("a", "x y", 1), (None, None, 2)], "doc_id string, text string, id int")
+    out = lm.score(df, F.lit(False))
+    assert out.schema["doc_id"].dataType.simpleString() == "string"
+    assert {r.doc_id: r.n_tokens for r in out.collect()} == {"a": 3, None: 1}
 
 
 def test_no_training_texts_repeated_rows_and_no_rows(spark):
