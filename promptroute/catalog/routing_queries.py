@@ -9,7 +9,9 @@ from promptroute.catalog import derived as dv
 from promptroute.catalog import sql as q
 from promptroute.catalog.corpus_queries import _keys as corpus_keys
 from promptroute.catalog.corpus_queries import _rounded
-from promptroute.operators import classifier, energy, evaluation, routing, rules
+from promptroute.catalog.response_queries import _PAIR as PAIRS
+from promptroute.catalog.training_sql import trained
+from promptroute.operators import energy, evaluation, passes, routing, rules
 from promptroute.operators.corpus import label_corpus
 from promptroute.operators.sampling import stratified_split
 from promptroute.functions.energy import energy_report
@@ -18,12 +20,10 @@ from promptroute.plans.route_workload import route_workload, workload_energy
 from promptroute.plans.train_model import train_and_evaluate
 from promptroute.plans.validate_routing import validate_sample
 from promptroute.session import materialise, new_path
-from promptroute.settings import LABELS, MAIN
+from promptroute.settings import LABELS
 from promptroute.sources.sinks import write_json
 
 OVERRIDES = {"small": "qwen2:1.5b", "large": "zephyr:latest"}
-# Floors of the classifier on the validation part of the workload, from the smallest table on.
-LEAST_ACCURACY, LEAST_MACRO_F1 = 0.8, 0.6
 AVAILABLE = ("phi3:latest", "gemma3:4b", "zephyr:latest", "deepseek-r1:1.5b")
 
 
@@ -66,38 +66,39 @@ def labelled_workload(spark: SparkSession, d: str) -> DataFrame:
     return materialise(label_corpus(dv.workload(spark, d)).drop("n"), "labeled")
 
 
-def classifier_scores(spark: SparkSession, d: str) -> DataFrame:
-    """What must hold of every score: the label is the likeliest class, and the shares add up."""
+def _trained(spark: SparkSession, d: str) -> tuple[DataFrame, passes.LinearModel]:
+    """The labelled workload, and the classifier trained on it."""
     rows = labelled_workload(spark, d)
-    scored = classifier.score(rows, classifier.train(rows, "prompt_id"))
-    shares = F.map_values("all_probs")
-    total = F.aggregate(shares, F.lit(0.0), lambda s, x: s + x)
-    return scored.select(
-        "prompt_id",
-        F.col("predicted").isin(*LABELS).alias("label_known"),
-        (F.element_at("all_probs", F.col("predicted")) == F.array_max(shares)).alias("label_likeliest"),
-        (F.col("confidence") == F.array_max(shares)).alias("confidence_of_label"),
-        ((F.size(shares) == len(LABELS)) & (F.abs(total - 1) < 1e-9)).alias("shares_add_up"),
-    )
+    return rows, passes.train(rows, "prompt_id")
+
+
+def training_passes(spark: SparkSession, d: str) -> DataFrame:
+    """What every pass of the training reached, and which is kept."""
+    figures = passes.pass_figures(spark, _trained(spark, d)[1])
+    return figures.select("pass", *(F.round(c, 6).alias(c) for c in figures.columns[1:-1]), "best")
+
+
+def classifier_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Label, confidence and the share of every class, of every prompt."""
+    rows, model = _trained(spark, d)
+    scored = passes.score(rows, model)
+    shares = [F.round(F.col("all_probs")[name], 6).alias(f"share_{name}") for name in LABELS]
+    return scored.select("prompt_id", "predicted", F.round("confidence", 6).alias("confidence"), *shares)
 
 
 def classifier_evaluation(spark: SparkSession, d: str) -> DataFrame:
+    """Figures of the kept weights on the validation prompts, a row for every class."""
     report = train_and_evaluate(labelled_workload(spark, d), "prompt_id")[1]
-    return report.select(
-        "n",
-        (F.col("accuracy") >= LEAST_ACCURACY).alias("accurate"),
-        (F.col("f1_macro") >= LEAST_MACRO_F1).alias("fair_to_classes"),
-    )
+    return _rounded(report.select("n", "accuracy", "f1_macro", "f1_weighted", F.inline("classification_report")))
 
 
 def sampled_validation(spark: SparkSession, d: str) -> DataFrame:
     """Twenty prompts of each class, classified, and the two models compared on those predicted small."""
-    corpus = labelled_workload(spark, d)
-    model = classifier.train(corpus, "prompt_id")
+    corpus, model = _trained(spark, d)
     compared = validate_sample(corpus, model, dv.normalised(spark, d))
-    known = F.col("equivalent_quality").isNotNull()
     return compared.select(
-        "prompt_id", "true_label", (known == (F.col("predicted") == "small")).alias("compared_if_small")
+        "prompt_id", "true_label", "predicted", F.round("confidence", 6).alias("confidence"),
+        F.col("equivalent_quality").isNotNull().alias("compared"), "equivalent_quality",
     )
 
 
@@ -328,6 +329,12 @@ _CLASS_FIGURES = """(select label, coalesce(hits / nullif(claimed, 0), 0) as pre
    (select count(*) from truths where predicted = label) as claimed
   from (values ('small'), ('medium'), ('large')) v(label)))"""
 _PER_CLASS = f"""(select *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) as f1 from {_CLASS_FIGURES})"""
+_SCORED_CLASSES = """(select *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) as f1 from
+ (select class as label, coalesce(hits / nullif(claimed, 0), 0) as precision, coalesce(hits / nullif(support, 0), 0) as recall, support from
+  (select class, (select count(*) from scored where not train and complexity_label = class and predicted = class) as hits,
+   (select count(*) from scored where not train and predicted = class) as claimed,
+   (select count(*) from scored where not train and complexity_label = class) as support
+   from (values ('small'), ('medium'), ('large')) v(class))))"""
 _ACCURACY = "(select avg((true_label = predicted)::int) as accuracy, count(*) as n from truths)"
 _RULE_NAMES = ", ".join(f"({i}, {q.text(n)})" for i, n in enumerate(rules.RULES, 1))
 
@@ -362,20 +369,30 @@ QUERIES = {
         split_report,
         "select split, complexity_label, count(*) as n from split group by split, complexity_label",
     ),
+    "training_passes": (
+        training_passes,
+        trained("""select pass, round(train_loss, 6) as train_loss, round(val_loss, 6) as val_loss, round(accuracy, 6) as accuracy,
+ round(f1_macro, 6) as f1_macro, round(f1_weighted, 6) as f1_weighted, best from passes"""),
+    ),
     "classifier_scores": (
         classifier_scores,
-        """select prompt_id, true as label_known, true as label_likeliest, true as confidence_of_label,
- true as shares_add_up from workload""",
+        trained("""select prompt_id, predicted, round(confidence, 6) as confidence, round(p0, 6) as share_small,
+ round(p1, 6) as share_medium, round(p2, 6) as share_large from scored"""),
     ),
     "classifier_evaluation": (
         classifier_evaluation,
-        "select ceil(count(*) * 0.2::double)::bigint as n, true as accurate, true as fair_to_classes from workload",
+        trained(f"""select n, round(accuracy, 6) as accuracy, round(f1_macro, 6) as f1_macro, round(f1_weighted, 6) as f1_weighted, label,
+ round(precision, 6) as precision, round(recall, 6) as recall, round(f1, 6) as f1, support from
+ (select count(*) as n, avg((complexity_label = predicted)::int) as accuracy from scored where not train),
+ (select avg(f1) as f1_macro, sum(f1 * support) / sum(support) as f1_weighted from {_SCORED_CLASSES}), {_SCORED_CLASSES}"""),
     ),
     "sampled_validation": (
         sampled_validation,
-        f"""select prompt_id, complexity_label as true_label, true as compared_if_small from (select *, row_number() over (
- partition by complexity_label order by md5('42|' || prompt_id), prompt_id) as place from
- {q.labelled('workload', MAIN, q.MAIN_LABEL)}) where place <= 20""",
+        trained(f"""select prompt_id, complexity_label as true_label, predicted, round(confidence, 6) as confidence,
+ predicted = 'small' and equivalent_quality is not null as compared,
+ case when predicted = 'small' then equivalent_quality end as equivalent_quality from
+ (select *, row_number() over (partition by complexity_label order by md5('42|' || prompt_id), prompt_id) as place from scored)
+ left join {PAIRS} using (prompt_id) where place <= 20"""),
     ),
     "rule_layer": (
         rule_layer,

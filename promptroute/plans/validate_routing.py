@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promptroute.operators.classifier import score
+from promptroute.operators.passes import LinearModel, score
 from promptroute.operators.responses import compare_pair
 from promptroute.operators.rules import apply_rules
 from promptroute.operators.sampling import sample_per_class
@@ -41,7 +40,7 @@ def validate_routing(
 
 def validate_sample(
     corpus: DataFrame,
-    model: PipelineModel,
+    model: LinearModel,
     responses: DataFrame,
     k: int = SAMPLE_PER_CLASS,
     small: str = SMALLEST_MODEL,

@@ -1,10 +1,10 @@
-"""Training finds a learnable rule, scores are probabilities, and a saved model scores alike."""
+"""Training finds a learnable rule, scores are probabilities, and a saved model scores alike, in passes and by Spark ML."""
 
 import pytest
 
 from pyspark.sql import functions as F
 
-from promptroute.operators import classifier, routing
+from promptroute.operators import classifier, passes, routing
 from promptroute.operators.evaluation import confusion, metrics
 from promptroute.operators.responses import normalise_responses
 from promptroute.plans.train_model import train_and_evaluate
@@ -29,12 +29,13 @@ def test_train_score_save(spark, corpus, tmp_path):
     model, report = train_and_evaluate(corpus, folder=str(tmp_path))
     row = report.first()
     assert row.accuracy > 0.9 and row.n == 24 and len(row.confusion_matrix) == 9
-    scored = classifier.score(corpus, model)
+    scored = passes.score(corpus, model)
     for r in scored.collect():
         assert set(r.all_probs) == {"small", "medium", "large"}
         assert abs(sum(r.all_probs.values()) - 1) < 1e-9
         assert r.confidence == max(r.all_probs.values()) == r.all_probs[r.predicted]
-    again = classifier.score(corpus, classifier.load_model(f"{tmp_path}/model"))
+    assert spark.read.json(f"{tmp_path}/training").where("best").count() == 1
+    again = passes.score(corpus, passes.load_model(spark, f"{tmp_path}/model"))
     columns = ["row_key", "predicted", "confidence"]
     assert again.select(*columns).exceptAll(scored.select(*columns)).count() == 0
     assert metrics(confusion(again)).first() == metrics(confusion(scored)).first()
@@ -60,6 +61,17 @@ def test_train_score_save(spark, corpus, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "v" / "results")).count() == 15
 
 
+def test_spark_ml_finds_the_rule_as_well(spark, corpus, tmp_path):
+    model = classifier.train(corpus, candidates=(0.003,), max_iter=15)
+    scored = classifier.score(corpus, model)
+    for r in scored.collect():
+        assert abs(sum(r.all_probs.values()) - 1) < 1e-9 and r.confidence == r.all_probs[r.predicted]
+    assert metrics(confusion(scored)).first().accuracy > 0.9
+    classifier.save_model(model, f"{tmp_path}/model")
+    again = classifier.score(corpus, classifier.load_model(f"{tmp_path}/model"))
+    assert metrics(confusion(again)).first() == metrics(confusion(scored)).first()
+
+
 def test_only_the_first_tokens_count(spark, corpus):
     fitted = classifier.feature_pipeline(max_tokens=2).fit(classifier.with_text_features(corpus))
     df = spark.createDataFrame([("a b c d", "a b x y")], "x string, y string")
