@@ -4,7 +4,8 @@ The probability of a word is that of its class after the class before, times tha
 class.  Every word that stands ``LEAST`` times or more in training texts is put into one of ``CLASSES`` classes by
 exchange: a word moves to the class where the likelihood of the class bigrams is highest.  The ``FREQUENT`` most
 frequent words do so round by round, until the likelihood no longer rises; these rounds read a table of their
-neighbours only, whose size has a bound.  Then all others go to their best class, in ``PLACINGS`` passes over the texts.
+neighbours only, whose size has a bound.  Then all others go to their best class, in passes over the texts of which there are
+``PLACINGS``, and more while the likelihood still rises a good deal.
 Rarer words are in classes by their shape, and the end of a text is a class of its own.
 Both factors are smoothed, and a small share of the add-one word frequencies is mixed in.
 
@@ -40,8 +41,9 @@ from promptroute.session import materialise
 
 #: Occurrences from which a word is clustered, the classes, and the least rise of the log likelihood a token in two rounds.
 LEAST, CLASSES, RISE = 10, 48, 1e-4
-#: Words that exchange round by round, and passes in which the others go to their best class.
-FREQUENT, PLACINGS = 4096, 2
+#: Words that exchange round by round; passes in which the others go to their best class, and the rise of the log likelihood
+#: a token for which there are more.
+FREQUENT, PLACINGS, PLACED = 4096, 2, 0.02
 #: Rows of a block, and the entries a task counts before it passes them on.
 BLOCK_ROWS, HELD = 8192, 1_000_000
 #: Links of clustered words in a row of their table.
@@ -124,18 +126,20 @@ def _block_words(rows: DataFrame) -> DataFrame:
 
 
 def numbered(counts: DataFrame) -> tuple[DataFrame, int]:
-    """``word``, ``n`` and ``symbol`` of all words, and how many are clustered: theirs are 0, 1, ..., others have -1."""
-    schema = "word binary, n long, part int, place int"
+    """``word``, ``n``, ``symbol`` and ``shape`` of all words, and how many are clustered: theirs are 0, 1, ..., others have -1."""
+    schema = "word binary, n long, part int, place int, shape int"
     kinds = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, found = TaskContext.get().partitionId(), 0
         for batch in batches:
+            words = batch.column("word").to_pylist()
             often = batch.column("n").to_numpy() >= LEAST
-            often &= np.array([w != END for w in batch.column("word").to_pylist()], bool)
+            often &= np.array([w != END for w in words], bool)
             place = np.where(often, found + np.cumsum(often) - 1, -1).astype(np.int32)
             found += int(often.sum())
             columns = [batch.column("word"), batch.column("n"), pa.array(np.full(len(place), part, np.int32)), pa.array(place)]
+            columns.append(pa.array([SHAPES if w == END else shape(w) for w in words], pa.int32()))
             yield pa.RecordBatch.from_arrays(columns, schema=kinds)
 
     placed = materialise(counts.select("word", "n").mapInArrow(run, schema), "counts")
@@ -143,7 +147,7 @@ def numbered(counts: DataFrame) -> tuple[DataFrame, int]:
     firsts = [(part, sum(n for _, n in sizes[:i])) for i, (part, _) in enumerate(sizes)]
     first = counts.sparkSession.createDataFrame(firsts, "part int, first int")
     symbol = F.when(F.col("place") < 0, -1).otherwise(F.col("first") + F.col("place")).alias("symbol")
-    return placed.join(first, "part").select("word", "n", symbol), sum(n for _, n in sizes)
+    return placed.join(first, "part").select("word", "n", symbol, "shape"), sum(n for _, n in sizes)
 
 
 ENCODED = "held_out boolean, codes array<int>"
@@ -157,11 +161,13 @@ def _keyed(rows: DataFrame, rest: str) -> tuple[T.StructType, pa.Schema]:
 
 def encode(rows: DataFrame, of_blocks: DataFrame, words: DataFrame) -> DataFrame:
     """Every text as codes of its words: the symbol, or -1, -2, ... by shape and count of a word that has none."""
-    lookups = of_blocks.where(F.col("word") != F.lit(END)).select("block", "word").distinct().join(words, "word")
-    nothing = {"word": F.lit(None).cast("binary"), "n": F.lit(None).cast("long"), "symbol": F.lit(None).cast("int")}
+    rare = -1 - LEAST * F.col("shape") - F.col("n").cast("int")
+    coded = words.where(F.col("word") != F.lit(END)).select("word", F.when(F.col("symbol") < 0, rare).otherwise(F.col("symbol")).alias("code"))
+    lookups = of_blocks.select("block", "word").distinct().join(coded, "word")
+    nothing = {"word": F.lit(None).cast("binary"), "code": F.lit(None).cast("int")}
     schema, kinds = _keyed(rows, ENCODED)
     line = lookups.select("block", F.lit(None).cast(schema["id"].dataType).alias("id"), F.lit(None).cast("string").alias("text"),
-                          F.lit(None).cast("boolean").alias("held_out"), "word", "n", "symbol", F.lit(0).alias("kind"))
+                          F.lit(None).cast("boolean").alias("held_out"), "word", "code", F.lit(0).alias("kind"))
     line = line.unionByName(rows.withColumns(nothing).withColumn("kind", F.lit(1)))
     line = line.repartition("block").sortWithinPartitions("block", "kind")
 
@@ -182,8 +188,7 @@ def encode(rows: DataFrame, of_blocks: DataFrame, words: DataFrame) -> DataFrame
                 if block is None or of[low] != block:
                     codes, block = {}, of[low]
                 if words[low]:
-                    told = zip(*(part.column(c).to_pylist() for c in ("word", "n", "symbol")))
-                    codes.update((w, s if s >= 0 else -1 - LEAST * shape(w) - n) for w, n, s in told)
+                    codes.update(zip(part.column("word").to_pylist(), part.column("code").to_pylist()))
                     continue
                 for i, out, value in zip(part.column("id").to_pylist(), part.column("held_out").to_pylist(), texts(part, "text")):
                     made.append((i, out, np.array([*map(codes.__getitem__, tokens(value))], np.int32)))
@@ -194,7 +199,7 @@ def encode(rows: DataFrame, of_blocks: DataFrame, words: DataFrame) -> DataFrame
         if made:
             yield flush()
 
-    found = line.select("block", "kind", "word", "n", "symbol", "id", "text", "held_out").mapInArrow(run, schema)
+    found = line.select("block", "kind", "word", "code", "id", "text", "held_out").mapInArrow(run, schema)
     return materialise(found, "encoded")
 
 
@@ -218,7 +223,7 @@ def _links(encoded: DataFrame, top: np.ndarray, size: int) -> DataFrame:
     Words are known by their place in ``top``; the shapes, the end and the rest of the words follow them.  Only the first and the
     last of a row may have links in other rows, however many links a word has.
     """
-    schema, packed = "own int, link long, n long", "own array<int>, link array<long>, n array<long>"
+    schema, packed = "pair long, n long", "own array<int>, link array<long>, n array<long>"
     pair_kinds, kinds, n_symbols = arrow_schema(schema), arrow_schema(packed), len(top) + SHAPES + 2
     most, sent = LINKS, share(encoded.sparkSession, top)
 
@@ -230,10 +235,7 @@ def _links(encoded: DataFrame, top: np.ndarray, size: int) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             found, n = np.unique(np.concatenate(held), return_counts=True)
-            a, b = found // n_symbols, found % n_symbols
-            for own, link in ((a, 2 * b), (b, 2 * a + 1)):
-                columns = [own.astype(np.int32), link, n.astype(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=pair_kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], schema=pair_kinds)
 
         for whole in batches:
             for low in range(0, whole.num_rows, ROWS):
@@ -264,7 +266,12 @@ def _links(encoded: DataFrame, top: np.ndarray, size: int) -> DataFrame:
             yield flush()
 
     found = encoded.where(~F.col("held_out")).select("codes").mapInArrow(pairs, schema)
-    ranged = found.repartitionByRange("own", "link").sortWithinPartitions("own", "link")
+    summed = found.groupBy("pair").agg(F.sum("n").alias("n"))
+    a, b = F.floor(F.col("pair") / n_symbols), F.col("pair") % n_symbols
+    ends = F.array(F.struct(a.cast("int").alias("own"), (2 * b).alias("link")), F.struct(b.cast("int").alias("own"), (2 * a + 1).alias("link")))
+    # Written: ranging it reads it twice.
+    linked = materialise(summed.select(F.inline(ends), "n"), "pairs")
+    ranged = linked.repartitionByRange("own", "link").sortWithinPartitions("own", "link")
     return materialise(ranged.mapInArrow(pack, packed), "links")
 
 
@@ -476,8 +483,11 @@ def sparse_best_classes(
     return np.where((own >= n_classes) | (enter[np.arange(len(own)), best] + leave > 1e-9), best, own)
 
 
-def _placed(neighbours: DataFrame, classes: np.ndarray, matrix: np.ndarray, n_classes: int) -> np.ndarray:
-    """The classes after all words of ``neighbours`` have gone to their best class."""
+def _placed(neighbours: DataFrame, classes: np.ndarray, matrix: np.ndarray, n_classes: int, turn: int) -> np.ndarray:
+    """The classes after the words of ``neighbours`` have gone to their best class, the others staying.
+
+    Words without a class all go, of the others every second one, since words that move at once miss one another.
+    """
     schema = "own int, to int"
     kinds, k, sent = arrow_schema(schema), len(matrix), share(neighbours.sparkSession, (classes, matrix))
 
@@ -508,29 +518,38 @@ def _placed(neighbours: DataFrame, classes: np.ndarray, matrix: np.ndarray, n_cl
             yield decide(*held)
 
     moved = classes.copy()
-    ordered = neighbours.where("own >= 0").repartition("own").sortWithinPartitions("own")
-    found = ordered.mapInArrow(run, schema).toPandas()
+    chosen = neighbours.where("own >= 0" if turn == 0 else f"own >= 0 and own % 2 = {turn % 2}")
+    found = chosen.repartition("own").sortWithinPartitions("own").mapInArrow(run, schema).toPandas()
     moved[found["own"].to_numpy(np.int64)] = found["to"].to_numpy()
     return moved
 
 
 def _place_all(encoded: DataFrame, classes: np.ndarray, top: np.ndarray, size: int, n_classes: int) -> tuple[np.ndarray, np.ndarray]:
     """Classes of all symbols, and the counts of class pairs, once words in none of the first classes have one."""
-    k, best = n_classes + SHAPES + 2, None
-    for turn in range(PLACINGS + 1):
-        last = turn == PLACINGS
-        found = _class_neighbours(encoded, classes, None if last else top, size, k)
-        found = found if last else materialise(found, "neighbours")
+    k = n_classes + SHAPES + 2
+
+    def counted(found: DataFrame) -> tuple[np.ndarray, float]:
         matrix = np.zeros(k * k)
         for r in found.where("own = -1").groupBy("place").agg(F.sum("n").alias("n")).collect():
             matrix[r["place"]] = r["n"]
-        matrix = matrix.reshape(k, k)
-        value = likelihood(matrix)
+        return matrix.reshape(k, k), likelihood(matrix.reshape(k, k))
+
+    best, turn = None, 0
+    while True:
+        # The counts of the last pass are all that it is for, so its neighbours are only looked at if it was not the last.
+        if turn >= PLACINGS:
+            matrix, value = counted(_class_neighbours(encoded, classes, None, size, k))
+            risen = value - best[0]
+            if risen > 0:
+                best = value, classes, matrix
+            if risen < PLACED * matrix.sum():
+                return best[1:]
+        neighbours = materialise(_class_neighbours(encoded, classes, top, size, k), "neighbours")
+        matrix, value = counted(neighbours)
         if turn and (best is None or value > best[0]):
             best = value, classes, matrix
-        if not last:
-            classes = _placed(found, classes, matrix, n_classes)
-    return best[1:]
+        classes = _placed(neighbours, classes, matrix, n_classes, turn)
+        turn += 1
 
 
 def fit(rows: DataFrame, counts: DataFrame) -> Model:
@@ -554,18 +573,10 @@ def learn(encoded: DataFrame, words: DataFrame, size: int) -> Model:
     if size > len(top):
         classes, matrix = _place_all(encoded, classes, top, size, n_classes)
     matrix = matrix[:-1, :-1]
-    kinds = arrow_schema("kind int, n long")
-
-    def kind(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shape(w) for w in batch.column("word").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), batch.column("n")], schema=kinds)
-
     rare = words.where((F.col("n") > 0) & (F.col("symbol") < 0) & (F.col("word") != F.lit(END)))
-    shaped = rare.select("word", "n").mapInArrow(kind, "kind int, n long")
     class_tokens, class_words = np.zeros(len(matrix)), np.zeros(len(matrix))
-    for r in shaped.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
-        at = classes[size + r["kind"]]
+    for r in rare.groupBy("shape").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
+        at = classes[size + r["shape"]]
         class_tokens[at], class_words[at] = r["n"], r["v"]
     np.add.at(class_tokens, classes[:size], often)
     np.add.at(class_words, classes[:size], 1)

@@ -75,7 +75,9 @@ def test_probabilities_of_all_words_sum_to_one_at_most(spark):
         assert own <= 1 + 1e-9
 
 
-def test_every_word_of_ten_or_more_is_clustered_however_many_words_there_are(spark, monkeypatch):
+@pytest.mark.parametrize("frequent", [30_000, 4096])
+def test_every_word_of_ten_or_more_is_clustered_however_many_words_there_are(spark, monkeypatch, frequent):
+    monkeypatch.setattr(lm, "FREQUENT", frequent)
     # 25,000 words of ten each: none makes up a 20,000th of all tokens.  Those of each half follow one another.
     monkeypatch.setattr(lm, "LINKS", 5_000)
     rng = np.random.default_rng(4)
@@ -89,7 +91,9 @@ def test_every_word_of_ten_or_more_is_clustered_however_many_words_there_are(spa
     assert model.class_words[:-lm.SHAPES - 1].sum() == 25_000 and len(matrix) == lm.CLASSES + lm.SHAPES + 1
     names = [f"x{i}".encode() for i in range(0, 12_500, 500)] + [f"y{i}".encode() for i in range(12_500, 25_000, 500)]
     found = model.classes_of(names)
-    assert max(found) < lm.CLASSES and not set(found[:25]) & set(found[25:])
+    assert max(found) < lm.CLASSES
+    # Where all exchange round by round the halves part; a sixth of words none of which is frequent says too little for that.
+    assert frequent < 25_000 or not set(found[:25]) & set(found[25:])
 
 
 def _plain(texts, classes, k):
@@ -159,7 +163,7 @@ def test_a_round_of_moves_equals_brute_force(spark, monkeypatch):
         found = lm._class_neighbours(encoded, classes, top[:8], size, k)
         pairs = {r.place: r.n for r in found.where("own = -1").groupBy("place").agg(F.sum("n").alias("n")).collect()}
         assert all(pairs.get(i, 0) == x for i, x in enumerate(matrix.ravel()))
-        placed = lm._placed(found, classes, matrix, n)
+        placed = lm._placed(found, classes, matrix, n, 0)
         for word, s in symbols.items():
             gains = _plain_gains(word, named, matrix, after, before, n)
             if s < 8:
@@ -201,7 +205,7 @@ def test_scores_equal_brute_force_and_classes_raise_the_likelihood(spark, monkey
     k = len(model.log_transition)
     assert model.counts.sum() == sum(n for w, n in counts.items() if n >= 10 and w != "\n")
     matrix = _plain([t for t, h in zip(texts, held) if not h], classes, k)[0]
-    plain = {w: i % min(lm.CLASSES, len(model.counts)) if counts[w] >= 10 and w != "\n" else classes[w] for i, w in enumerate(names)}
+    plain = {w: i % (k - lm.SHAPES - 1) if counts[w] >= 10 and w != "\n" else classes[w] for i, w in enumerate(names)}
     first = _plain([t for t, h in zip(texts, held) if not h], plain | {"\n": classes["\n"]}, k)[0]
     assert lm.likelihood(matrix) > lm.likelihood(first)
     into = matrix.sum(axis=0) + 1
