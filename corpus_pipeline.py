@@ -14,6 +14,10 @@ from promptroute.llm.queries import vocabulary_path
 from promptroute.session import materialise
 
 
+#: Bytes of a passage that is removed where it repeats, fewer than those of 50 short words, and of its anchor.
+PASSAGE_BYTES, ANCHOR_BYTES = 250, 64
+
+
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, fitted on all labelled ones among them, does not reject."""
     described = quality.with_statistics(docs.select("doc_id", "text")).select("doc_id", "statistics")
@@ -30,7 +34,7 @@ def unique_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the long strings that stand in several places."""
-    return _recounted(repeats.remove(docs))
+    return _recounted(repeats.remove(docs, length=PASSAGE_BYTES, anchor=ANCHOR_BYTES))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
