@@ -47,9 +47,9 @@ def pair_comparison(spark: SparkSession, d: str) -> DataFrame:
     return rs.compare_pair(dv.normalised(spark, d), SMALLEST_MODEL, BASELINE_MODEL)
 
 
-def _table(spark: SparkSession, d: str, use_rules: bool = False) -> DataFrame:
+def _table(spark: SparkSession, d: str, use_rules: bool = False, texts: bool = True) -> DataFrame:
     return validate_routing(
-        dv.labelled_predictions(spark, d), dv.normalised(spark, d), use_rules=use_rules
+        dv.labelled_predictions(spark, d), dv.normalised(spark, d), use_rules=use_rules, texts=texts
     )
 
 
@@ -62,7 +62,7 @@ def validation_table_after_rules(spark: SparkSession, d: str) -> DataFrame:
 
 
 def validation_report(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(report_of(_table(spark, d)))
+    return _rounded(report_of(_table(spark, d, texts=False)))
 
 
 def leaderboard(spark: SparkSession, d: str) -> DataFrame:
@@ -149,7 +149,7 @@ def stream_response_match(spark: SparkSession, d: str) -> DataFrame:
     longest = online.longest_timeout(routing.model_registry(spark))
     asked, answered = (online.read_stream(spark, folder, given.schema, pattern) for _ in range(2))
     matched = _run(online.match_responses(_asked(asked), _answered(answered), longest))
-    settled = online.settle_matches(matched, _asked(given), longest)
+    settled = online.settle_matches(matched, _asked(given), _answered(given), longest)
     return settled.drop("request_ts", "response_ts")
 
 

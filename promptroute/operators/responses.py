@@ -62,15 +62,19 @@ def parse_replies(replies: DataFrame, reply: str = "raw_response") -> DataFrame:
 
 
 def _rank(responses: DataFrame) -> list:
-    """What makes a response count before others of its prompt and model: success, then being later."""
+    """What makes a response count before others of its prompt and model: success, then being later.
+
+    A hash settles the rest, so that texts need not travel where only the verdict on them is asked for.
+    """
     attempt = F.col("attempt") if "attempt" in responses.columns else F.lit(0)
-    return [F.col("error").isNull().alias("_good"), attempt.alias("_attempt")]
+    tie = F.xxhash64("raw_response", "error", "latency_ms")
+    return [F.col("error").isNull().alias("_good"), attempt.alias("_attempt"), tie.alias("_tie")]
 
 
 def settle_attempts(responses: DataFrame) -> DataFrame:
     """One response per prompt and model: the latest (by ``attempt``) without an error, else the latest.
 
-    Retries are usual in a log.  Of responses that are alike in this, the largest row counts.  Combined
+    Retries are usual in a log.  Of responses that are alike in this, that with the largest hash counts.  Combined
     before the shuffle, so a prompt tried many times is not hot.
     """
     keys = ("prompt_id", "model")
@@ -146,18 +150,27 @@ def side_by_side(responses: DataFrame, panels: Sequence[str]) -> DataFrame:
     return wide.select("prompt_id", *columns)
 
 
-def compare_pair(responses: DataFrame, small: str, large: str) -> DataFrame:
+def compare_pair(
+    responses: DataFrame, small: str, large: str, wanted: DataFrame | None = None, texts: bool = True
+) -> DataFrame:
     """A small and a large model on the same prompts, from normalised responses.
 
     One scan and one shuffle: both models' responses to a prompt are brought together by an
-    aggregate, which takes the attempt that ``settle_attempts`` would.
+    aggregate, which takes the attempt that ``settle_attempts`` would.  ``wanted`` holds the ``prompt_id`` of the prompts to
+    compare, if not all: written, so that others are left out before the shuffle where it is small enough to be
+    broadcast, and in the one shuffle that the aggregate needs anyway where it is not.  Without ``texts`` the two
+    responses are left out, and do not travel.
     """
+    if wanted is not None:
+        responses = responses.join(wanted.select("prompt_id"), "prompt_id", "left_semi")
+    shown_text = [F.coalesce("raw_response", F.lit("")).alias("response")] if texts else []
+    columns = [*(["response"] if texts else []), "error", "latency", "energy", "success"]
     good = F.col("error").isNull() & (
         F.length(F.coalesce("raw_response", F.lit(""))) > MIN_RESPONSE_CHARS
     )
     shown = F.struct(
         *_rank(responses),
-        F.coalesce("raw_response", F.lit("")).alias("response"),
+        *shown_text,
         "error",
         F.col("latency_ms").alias("latency"),
         F.col("energy_kwh").alias("energy"),
@@ -179,7 +192,7 @@ def compare_pair(responses: DataFrame, small: str, large: str) -> DataFrame:
                 F.lit(model).alias(f"{side}_model"),
                 *[
                     F.col(f"_{side}.{c}").alias(f"{side}_{c}")
-                    for c in ("response", "error", "latency", "energy", "success")
+                    for c in columns
                 ],
             )
         ],

@@ -162,7 +162,13 @@ def route_and_account(
         )
         energy = en.energy_kwh(F.col("size_gb"))
     else:
-        answers = settle_attempts(responses).select(
+        # A class has one model, so the replies of most are not asked for: they are left out before they travel.
+        possible = tiers.select(F.try_element_at("recommended", F.lit(1)).alias("model"))
+        if overrides:
+            named = F.array(*[F.lit(model) for model in overrides.values()])
+            possible = possible.union(df.sparkSession.range(1).select(F.explode(named)))
+        asked = responses.join(possible.distinct(), "model", "left_semi")
+        answers = settle_attempts(asked).select(
             "prompt_id",
             F.col("model").alias("routed_model"),
             F.coalesce("raw_response", F.lit("")).alias("response"),

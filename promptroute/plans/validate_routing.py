@@ -11,7 +11,7 @@ from promptroute.operators.rules import apply_rules
 from promptroute.operators.sampling import sample_per_class
 from promptroute.operators.validation import validation_report, validation_table
 from promptroute.session import materialise
-from promptroute.settings import BASELINE_MODEL, SMALLEST_MODEL
+from promptroute.settings import BASELINE_MODEL, SMALL, SMALLEST_MODEL
 from promptroute.sources.sinks import write_csv, write_json
 
 SAMPLE_PER_CLASS = 20
@@ -23,11 +23,13 @@ def validate_routing(
     small: str = SMALLEST_MODEL,
     large: str = BASELINE_MODEL,
     use_rules: bool = False,
+    texts: bool = True,
 ) -> DataFrame:
     """Validation table of ``(prompt_id, prompt, complexity_label, predicted, confidence, ...)``.
 
     The model's label is judged as it is; with ``use_rules`` the label after the rules.
-    ``responses`` are normalised.
+    ``responses`` are normalised; only those to prompts predicted small are compared.  Without ``texts`` the replies
+    are left out, as for ``validation_report``, which shows none.
     """
     rows = predictions
     if use_rules:
@@ -35,7 +37,8 @@ def validate_routing(
     labelled = rows.select(
         "prompt_id", F.col("complexity_label").alias("true_label"), "predicted", "confidence"
     )
-    return validation_table(labelled, compare_pair(responses, small, large))
+    wanted = materialise(labelled.where(F.col("predicted") == SMALL).select("prompt_id"), "wanted")
+    return validation_table(labelled, compare_pair(responses, small, large, wanted, texts))
 
 
 def validate_sample(

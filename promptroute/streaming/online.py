@@ -10,8 +10,11 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
 from promptroute.operators.routing import route_and_account, with_size
+from promptroute.session import delete, folders
 from promptroute.settings import ERROR_TIMEOUT, ERROR_UNBOUNDED
 
+#: Batches after which a stream's totals become the base.
+COMPACTED = 16
 REQUEST = ("prompt_id", "model", "request_ts")
 
 
@@ -79,15 +82,16 @@ def longest_timeout(models: DataFrame) -> int:
 def match_responses(
     requests: DataFrame, responses: DataFrame, longest_timeout_s: int, delay: str = "1 minute"
 ) -> DataFrame:
-    """Requests with the response that came within their own timeout.
+    """Requests, each once, with the first response that came within their own timeout.
 
     ``requests``: (prompt_id, model, timeout_s, request_ts);
     ``responses``: (prompt_id, model, response_ts, raw_response, error).
     A request left unanswered comes out with the timeout error once the watermark has passed
     its deadline.  ``longest_timeout_s``, that of the registry in use, bounds the state of the join;
-    the request's own timeout decides the match.  A request with a longer one is not
-    cut short: it comes out with an error of its own.
-    A request that is answered twice comes out twice; ``settle_matches`` keeps the first answer.
+    the request's own timeout decides the match.  A request with a longer one has its answer if that came within the
+    bound, and otherwise an error of its own, since nothing is known of later ones.
+    A request comes out when the watermark rules out any other answer, so the first by time counts, whatever the
+    order of arrival; open requests are the state.
     """
     asked = requests.withWatermark("request_ts", delay).alias("q")
     answered = responses.withWatermark("response_ts", delay).alias("a")
@@ -99,39 +103,43 @@ def match_responses(
         & (F.col("q.model") == F.col("a.model"))
         & (F.col("response_ts") >= F.col("request_ts"))
         & (F.col("response_ts") <= F.col("request_ts") + F.expr(f"INTERVAL {longest_timeout_s} SECONDS"))
-        & (F.col("response_ts") <= deadline)
-        & bounded,
+        & (F.col("response_ts") <= deadline),
         "left_outer",
     )
     unanswered = F.col("response_ts").isNull()
     missing = F.when(bounded, ERROR_TIMEOUT).otherwise(ERROR_UNBOUNDED)
-    return matched.select(
+    rows = matched.select(
         F.col("q.prompt_id").alias("prompt_id"),
         F.col("q.model").alias("model"),
         "request_ts",
-        "response_ts",
-        F.when(~unanswered, F.col("raw_response")).alias("raw_response"),
-        F.when(unanswered, missing).otherwise(F.col("error")).alias("error"),
-        (
-            (F.unix_micros("response_ts") - F.unix_micros("request_ts")) / 1000
-        ).alias("latency_ms"),
+        F.struct(
+            unanswered.alias("unanswered"),
+            "response_ts",
+            F.when(~unanswered, F.col("raw_response")).alias("raw_response"),
+            F.when(unanswered, missing).otherwise(F.col("error")).alias("error"),
+        ).alias("answer"),
+    )
+    first = rows.groupBy(*REQUEST).agg(F.min("answer").alias("answer"))
+    told = F.col("answer.response_ts")
+    return first.select(
+        *REQUEST,
+        told.alias("response_ts"),
+        "answer.raw_response",
+        "answer.error",
+        ((F.unix_micros(told) - F.unix_micros("request_ts")) / 1000).alias("latency_ms"),
     )
 
 
-def settle_matches(matched: DataFrame, requests: DataFrame, longest_timeout_s: int) -> DataFrame:
+def settle_matches(
+    matched: DataFrame, requests: DataFrame, responses: DataFrame, longest_timeout_s: int
+) -> DataFrame:
     """The table of a finished match: one row for every request.
 
-    The first response counts.  Requests still open when the input ended stay unanswered; a stream holds
-    them back until its watermark passes their deadline.  Both tables are batch tables.
+    A stream holds requests back until its watermark passes their deadline.  Those still open when the input ended
+    are matched here, with the ``responses`` that there are.  All are batch tables.
     """
-    rest = [c for c in matched.columns if c not in REQUEST]
-    first = matched.groupBy(*REQUEST).agg(
-        F.min(F.struct(F.col("response_ts").isNull(), *rest)).alias("_first")
-    ).select(*REQUEST, F.lit(True).alias("_settled"), *[F.col(f"_first.{c}") for c in rest])
-    asked = requests.groupBy(*REQUEST).agg(F.max("timeout_s").alias("_timeout"))
-    missing = F.when(F.col("_timeout") <= longest_timeout_s, ERROR_TIMEOUT).otherwise(ERROR_UNBOUNDED)
-    error = F.when(F.col("_settled"), F.col("error")).otherwise(missing)
-    return asked.join(first, list(REQUEST), "left").withColumn("error", error).select(*matched.columns)
+    still_open = requests.join(matched.select(*REQUEST), list(REQUEST), "left_anti").select(*requests.columns)
+    return matched.unionByName(match_responses(still_open, responses, longest_timeout_s).select(*matched.columns))
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
@@ -152,10 +160,14 @@ def run_totals_to_table(
 
     A batch has a folder of its own, named after its number.  One that is run again
     replaces that folder, so nothing is counted twice, and no reader sees half of it as the latest.
+    Every ``COMPACTED`` batches the totals so far become the base, and the folders of older batches go.
     """
+    schema = stream.schema
 
     def upsert(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        if number % COMPACTED == COMPACTED - 1:
+            compact_totals(batch.sparkSession, path, schema, keys)
 
     _all_there_is(stream.writeStream.outputMode("update").foreachBatch(upsert), checkpoint).start().awaitTermination()
     return latest_totals(stream.sparkSession, path, stream.schema, keys)
@@ -164,13 +176,53 @@ def run_totals_to_table(
 def latest_totals(
     spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str] = ("window_start", "complexity")
 ) -> DataFrame:
-    """The totals as of the last batch in ``path``."""
+    """The totals as of the last batch in ``path``: the base, and the batches after it."""
     numbered = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
     rest = [f.name for f in schema.fields if f.name not in keys]
+    upto = max(_bases(spark, path), default=None)
     rows = spark.read.schema(numbered).parquet(path)
+    if upto is not None:
+        base = spark.read.schema(schema).parquet(_base(path, upto)).withColumn("batch", F.lit(upto).cast("long"))
+        rows = rows.where(F.col("batch") > upto).unionByName(base)
     last = rows.groupBy(*keys).agg(F.max(F.struct("batch", *rest)).alias("_last"))
     return last.select(*keys, *[F.col(f"_last.{c}") for c in rest]).select(*schema.names)
 
 
+def _base(path: str, upto: int) -> str:
+    # Spark takes no folder with a leading stroke for a part of a table.
+    return f"{path}/_base/upto-{upto}"
+
+
+def _bases(spark: SparkSession, path: str) -> list[int]:
+    """The last batch of every base that was written to the end: its mark is written last."""
+    found = folders(spark, f"{path}/_base")
+    return [int(f.removeprefix("upto-")) for f in found if "_SUCCESS" in folders(spark, f"{path}/_base/{f}")]
+
+
+def compact_totals(
+    spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str] = ("window_start", "complexity")
+) -> None:
+    """Make the totals as of the last batch in ``path`` its base.
+
+    The base counts from the moment its mark is there, so a failure on the way changes nothing.  The base before and the
+    batches after that one stay for those who are still reading them; what is older is deleted.  Reading
+    then costs the base and the batches since, not all there ever were.
+    """
+    batches = [int(f.removeprefix("batch=")) for f in folders(spark, path) if f.startswith("batch=")]
+    before = max(_bases(spark, path), default=None)
+    upto = max(batches, default=None)
+    if upto is None or (before is not None and upto <= before):
+        return
+    latest_totals(spark, path, schema, keys).write.mode("overwrite").parquet(_base(path, upto))
+    if before is None:
+        return
+    for number in batches:
+        if number <= before:
+            delete(spark, f"{path}/batch={number}")
+    for number in _bases(spark, path):
+        if number < before:
+            delete(spark, _base(path, number))
+
+
 def _all_there_is(writer: DataStreamWriter, checkpoint: str) -> DataStreamWriter:
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True)
