@@ -10,10 +10,10 @@ from promptroute.catalog import sql as q
 from promptroute.catalog.corpus_queries import _rounded
 from promptroute.functions.wording import SENTIMENT_TEMPLATE
 from promptroute.operators import responses as rs
-from promptroute.operators import routing
+from promptroute.operators import routing, sketches
 from promptroute.operators.validation import validation_report as report_of
 from promptroute.plans.validate_routing import validate_routing
-from promptroute.session import new_path
+from promptroute.session import materialise, new_path
 from promptroute.settings import BASELINE_MODEL, SMALLEST_MODEL
 from promptroute.streaming import online
 
@@ -73,6 +73,15 @@ def model_summary(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(rs.model_summary(dv.normalised(spark, d)), 12)
 
 
+def latency_quantiles(spark: SparkSession, d: str) -> DataFrame:
+    """Quantiles of latency per model, from stored sketches of every tenth part of the prompts."""
+    log = dv.normalised(spark, d).withColumn("part", F.col("prompt_id") % 10)
+    stored = materialise(sketches.latency_sketches(log, ["part", "model"]), "sketches")
+    shares = {"p25": 0.25, "p50": 0.5, "p95": 0.95}
+    found = sketches.merged(stored, ["model"])
+    return found.select("model", "n", *(F.round(sketches.quantile(q), 6).alias(c) for c, q in shares.items()), F.round("most", 6).alias("most"))
+
+
 # ------------------------------------------------------------------ streams
 def _event_stream(spark: SparkSession, d: str) -> DataFrame:
     folder, pattern = dv.stream_folder(d, "events")
@@ -229,6 +238,12 @@ QUERIES = {
  round(avg(latency_ms), 12) as mean_latency_ms,
  round(quantile_disc(latency_ms, 0.95), 12) as p95_latency_ms, round(sum(energy_kwh), 12) as energy_kwh, round(sum(co2_kg), 12) as co2_kg
  from normalised group by model""",
+    ),
+    "latency_quantiles": (
+        latency_quantiles,
+        # Up to as many values as a sketch holds, its quantiles are exact.
+        """select model, count(latency_ms) as n, round(quantile_disc(latency_ms, 0.25), 6) as p25, round(quantile_disc(latency_ms, 0.5), 6) as p50,
+ round(quantile_disc(latency_ms, 0.95), 6) as p95, round(max(latency_ms), 6) as most from normalised group by model""",
     ),
     "stream_scores": (
         stream_scores,

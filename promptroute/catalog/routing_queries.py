@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from importlib.util import find_spec
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,8 +12,8 @@ from promptroute.catalog import sql as q
 from promptroute.catalog.corpus_queries import _keys as corpus_keys
 from promptroute.catalog.corpus_queries import _rounded
 from promptroute.catalog.response_queries import _PAIR as PAIRS
-from promptroute.catalog.training_sql import trained
-from promptroute.operators import energy, evaluation, passes, routing, rules
+from promptroute.catalog.training_sql import cut_into_pieces, trained
+from promptroute.operators import energy, evaluation, passes, routing, rules, subwords
 from promptroute.operators.corpus import label_corpus
 from promptroute.operators.sampling import stratified_split
 from promptroute.functions.energy import energy_report
@@ -81,11 +83,36 @@ def training_passes(spark: SparkSession, d: str) -> DataFrame:
 def classifier_scores(spark: SparkSession, d: str) -> DataFrame:
     """Label, confidence and the share of every class, of every prompt."""
     rows, model = _trained(spark, d)
-    scored = passes.score(rows, model)
+    return _shown(passes.score(rows, model))
+
+
+def _shown(scored: DataFrame) -> DataFrame:
     shares = [F.round(F.col("all_probs")[name], 6).alias(f"share_{name}") for name in LABELS]
     return scored.select("prompt_id", "predicted", F.round("confidence", 6).alias("confidence"), *shares)
 
 
+def vocabulary_path() -> str:
+    """The file of a public tokenizer whose pieces prompts are cut into."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def subword_slices(spark: SparkSession, d: str) -> DataFrame:
+    """The sub-words of every prompt that a model of so many tokens sees."""
+    vocabulary = subwords.read_vocabulary(vocabulary_path())
+    cut = subwords.with_pieces(dv.workload(spark, d), vocabulary, passes.MAX_TOKENS)
+    digest = F.md5(F.array_join("pieces", " ")).alias("pieces_md5")
+    return cut.select("prompt_id", F.size("pieces").alias("n_pieces"), digest)
+
+
+def subword_classifier_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Label, confidence and shares of every prompt, by a classifier of sub-words."""
+    rows = labelled_workload(spark, d)
+    model = passes.train(rows, "prompt_id", vocabulary=subwords.read_vocabulary(vocabulary_path()))
+    return _shown(passes.score(rows, model))
+
+
 def classifier_evaluation(spark: SparkSession, d: str) -> DataFrame:
     """Figures of the kept weights on the validation prompts, a row for every class."""
     report = train_and_evaluate(labelled_workload(spark, d), "prompt_id")[1]
@@ -329,6 +356,8 @@ _CLASS_FIGURES = """(select label, coalesce(hits / nullif(claimed, 0), 0) as pre
    (select count(*) from truths where predicted = label) as claimed
   from (values ('small'), ('medium'), ('large')) v(label)))"""
 _PER_CLASS = f"""(select *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) as f1 from {_CLASS_FIGURES})"""
+_SHARES = """select prompt_id, predicted, round(confidence, 6) as confidence, round(p0, 6) as share_small,
+ round(p1, 6) as share_medium, round(p2, 6) as share_large from scored"""
 _SCORED_CLASSES = """(select *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) as f1 from
  (select class as label, coalesce(hits / nullif(claimed, 0), 0) as precision, coalesce(hits / nullif(support, 0), 0) as recall, support from
   (select class, (select count(*) from scored where not train and complexity_label = class and predicted = class) as hits,
@@ -376,8 +405,7 @@ QUERIES = {
     ),
     "classifier_scores": (
         classifier_scores,
-        trained("""select prompt_id, predicted, round(confidence, 6) as confidence, round(p0, 6) as share_small,
- round(p1, 6) as share_medium, round(p2, 6) as share_large from scored"""),
+        trained(_SHARES),
     ),
     "classifier_evaluation": (
         classifier_evaluation,
@@ -513,3 +541,10 @@ QUERIES = {
  (select strftime(ts, '%Y-%m-%d') as day, {_FIGURES} from event_routed group by 1)""",
     ),
 }
+
+# Where there are files of public tokenizers.
+if find_spec("public_tokenizers") is not None:
+    QUERIES |= {
+        "subword_slices": (subword_slices, cut_into_pieces(vocabulary_path())),
+        "subword_classifier_scores": (subword_classifier_scores, trained(_SHARES, vocabulary=vocabulary_path())),
+    }

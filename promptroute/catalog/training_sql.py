@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from promptroute.catalog import sql as q
 from promptroute.operators import passes as ps
+from promptroute.operators import subwords as sw
 from promptroute.settings import LABELS, MAIN
 
 CLASSES = range(ps.CLASSES)
@@ -29,6 +30,24 @@ def _each(form: str, between: str = ", ") -> str:
     return between.join(form.format(c=c) for c in CLASSES)
 
 
+def pieces(path: str) -> list[str]:
+    """The longest pieces of a vocabulary in the words of every prompt, as ``cut_prompts`` (prompt_id, words)."""
+    last = f"case when spot + n > length(line) then {q.text(sw.END)} else '' end"
+    return [
+        f"vocabulary as materialized (select unnest(json_keys(content::json, '$.model.vocab')) as piece from read_text({q.text(path)}))",
+        f"""spread as materialized (select prompt_id, generate_subscripts(words, 1) as place, unnest(words) as word from (select prompt_id,
+ list_filter(regexp_split_to_array(lower(prompt), '{ps.GAPS}'), lambda w: w <> '')[1:{ps.MAX_TOKENS}] as words from workload))""",
+        f"""spelt as materialized (select word, array_to_string(list_transform(range(octet_length(encode(word))),
+ lambda i: {q.listing(sw.letters())}[('0x' || substr(hex(encode(word)), 2 * i + 1, 2))::int + 1]), '') as line from (select distinct word from spread))""",
+        f"""cut as (select word, line, 1 as spot, []::varchar[] as found from spelt union all
+ select word, any_value(line), any_value(spot) + max(n), list_append(any_value(found), max_by(piece, n)) from
+ (select word, line, spot, found, n, piece from (select *, unnest(range(1, 1 + least(40, length(line) - spot + 1))) as n from cut where spot <= length(line))
+  join vocabulary on piece = substr(line, spot, n) || {last}) group by word)""",
+        f"""cut_prompts as materialized (select prompt_id, coalesce(list_slice(flatten(list(found order by place)), 1, {ps.MAX_TOKENS}), []) as words from workload
+ left join spread using (prompt_id) left join (select word, found from cut where spot > length(line)) using (word) group by prompt_id)""",
+    ]
+
+
 def _numbers() -> list[str]:
     """Prompts with label and split, and their numbers as (prompt_id, place, x)."""
     band = " + ".join(f"(token_count >= {edge})::int" for edge in ps.BANDS)
@@ -93,16 +112,30 @@ def _figures(number: int) -> str:
   from (select *, {_CLASS} as said from p{number} join prompts using (prompt_id)))"""
 
 
-def trained(body: str, passes: int = ps.PASSES) -> str:
+def trained(body: str, passes: int = ps.PASSES, vocabulary: str | None = None) -> str:
     """``body`` over ``prompts``, ``p1`` ... (shares after every pass), ``passes`` and ``scored`` (shares of the best)."""
+    prompts, numbers = _numbers()
+    before = []
+    if vocabulary is not None:
+        before = pieces(vocabulary)
+        prompts = prompts.replace("prompts as materialized (", "worded as materialized (")
+        prompts = [prompts, "prompts as materialized (select worded.* exclude (words), cut_prompts.words from worded join cut_prompts using (prompt_id))"]
+    else:
+        prompts = [prompts]
     zero = f"w0 as materialized (select distinct place, {_each('0::double as m{c}, 0::double as s{c}, 0::double as w{c}')} from numbers where train)"
     steps = [s for n in range(1, passes + 1) for s in _step(n, passes)]
     figures = " union all ".join(map(_figures, range(1, passes + 1)))
     every = " union all ".join(f"select {n} as pass, * from p{n}" for n in range(1, passes + 1))
     parts = [
-        *_numbers(), zero, _shares(0), *steps,
+        *before, *prompts, numbers, zero, _shares(0), *steps,
         f"passes as materialized (select *, row_number() over (order by f1_macro desc, pass) = 1 as best from ({figures}))",
         f"""scored as materialized (select prompts.*, said, {_each('p{c}')}, {q.listing(LABELS)}[said + 1] as predicted, greatest(p0, p1, p2) as confidence
  from (select *, {_CLASS} as said from ({every}) where pass = (select pass from passes where best)) join prompts using (prompt_id))""",
     ]
-    return f"select * from (with {', '.join(parts)} {body})"
+    return f"select * from (with recursive {', '.join(parts)} {body})"
+
+
+def cut_into_pieces(vocabulary: str) -> str:
+    """Number and digest of the pieces of every prompt."""
+    return f"""select * from (with recursive {', '.join(pieces(vocabulary))}
+ select prompt_id, len(words)::int as n_pieces, md5(array_to_string(words, ' ')) as pieces_md5 from cut_prompts)"""

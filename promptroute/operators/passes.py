@@ -1,7 +1,7 @@
 """The three-class classifier trained in passes: gradients that tasks sum, a score after every pass, the best kept.
 
-A prompt is a sparse row of numbers: its first ``MAX_TOKENS`` words, hashed into ``BUCKETS`` columns and weighted by one over the
-root of their number; a constant; its length band; its yes/no features; and each of these within its band.  The rows
+A prompt is a sparse row of numbers: its first ``MAX_TOKENS`` words, or sub-words if a vocabulary is given, hashed into
+``BUCKETS`` columns and weighted by one over the root of their number; a constant; its length band; its yes/no features; and each of these within its band.  The rows
 are written once.  In a pass every task goes over its rows in Arrow batches, adds up the gradient of the training rows and counts
 the validation rows by true and predicted class; the sums, cut into blocks of columns, meet by block.  Three weights a
 column go to the tasks and back to the driver, however many rows there are.  The driver then steps the weights (Adam
@@ -13,7 +13,7 @@ The weights after every pass can be written to a folder; training goes on from t
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 from operator import add
 
@@ -29,7 +29,8 @@ from promptroute.functions.text import present
 from promptroute.operators.corpus import encode_labels, heuristic_features
 from promptroute.operators.once import with_computed_once
 from promptroute.operators.sampling import stratified_split
-from promptroute.session import materialise
+from promptroute.operators.subwords import with_pieces
+from promptroute.session import delete, folders, materialise
 from promptroute.settings import LABELS
 
 MAX_TOKENS = 256
@@ -65,9 +66,10 @@ def bucket(word: Column) -> Column:
     return (F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("long") % BUCKETS).cast("int")
 
 
-def with_columns(df: DataFrame) -> DataFrame:
-    """``df`` with ``n_tokens`` and ``columns``: the buckets of so many words, then the columns that count one.
+def with_columns(df: DataFrame, vocabulary: frozenset[str] | None = None) -> DataFrame:
+    """``df`` with ``n_tokens`` and ``columns``: the buckets of so many tokens, then the columns that count one.
 
+    Tokens are words, or pieces of the ``vocabulary``.
     Columns of ``df`` with these names, or with that of a feature, are left out.
     """
     df = df.drop("n_tokens", "columns")
@@ -78,7 +80,10 @@ def with_columns(df: DataFrame) -> DataFrame:
     band = reduce(add, [(F.col("token_count") >= edge).cast("int") for edge in BANDS])
     held = [F.when(flag, F.lit(FIRST_FLAG + i)) for i, flag in enumerate(flags)]
     banded = [F.when(flag, FIRST_BANDED + F.col("_band") * len(FLAGS) + i) for i, flag in enumerate(flags)]
-    made = with_computed_once(made, {"_tokens": F.transform(words(F.col("prompt")), bucket), "_band": band})
+    tokens = words(F.col("prompt"))
+    if vocabulary is not None:
+        made, tokens = with_pieces(made, vocabulary, MAX_TOKENS, to="_pieces"), F.col("_pieces")
+    made = with_computed_once(made, {"_tokens": F.transform(tokens, bucket), "_band": band})
     ones = F.array(F.lit(CONSTANT), FIRST_BAND + F.col("_band"), *held, *banded)
     return made.select(
         *df.columns, F.size("_tokens").alias("n_tokens"),
@@ -88,10 +93,11 @@ def with_columns(df: DataFrame) -> DataFrame:
 
 @dataclass
 class LinearModel:
-    """Weights by column and class, and figures of the passes that led to them."""
+    """Weights by column and class, figures of the passes that led to them, and the vocabulary of sub-words, if any."""
 
     weights: np.ndarray
     figures: list[dict]
+    vocabulary: frozenset[str] | None = None
 
     @property
     def best_pass(self) -> int:
@@ -196,14 +202,14 @@ def _figures(told: np.ndarray) -> dict:
 FIGURES = "pass int, train_loss double, val_loss double, accuracy double, f1_macro double, f1_weighted double, best boolean"
 
 
-def prepare(df: DataFrame, key: str) -> DataFrame:
+def prepare(df: DataFrame, key: str, vocabulary: frozenset[str] | None = None) -> DataFrame:
     """The written rows of the labelled prompts of ``df``: ``columns``, ``n_tokens``, ``label``, ``train``.
 
     ``df`` needs ``prompt``, ``source_dataset`` and ``complexity_label``; it is split here unless it has a ``split`` column.
     """
     if "split" not in df.columns:
         df = stratified_split(df, key)
-    rows = encode_labels(with_columns(df)).where("label is not null")
+    rows = encode_labels(with_columns(df, vocabulary)).where("label is not null")
     return materialise(rows.select("columns", "n_tokens", F.col("label").cast("int").alias("label"), (F.col("split") == "train").alias("train")), "rows")
 
 
@@ -228,8 +234,10 @@ def fit(rows: DataFrame, passes: int = PASSES, folder: str | None = None) -> Lin
     return LinearModel(best[2], [f | {"best": f["pass"] == best[1]} for f in figures])
 
 
-def train(df: DataFrame, key: str = "row_key", passes: int = PASSES, folder: str | None = None) -> LinearModel:
-    return fit(prepare(df, key), passes, folder)
+def train(
+    df: DataFrame, key: str = "row_key", passes: int = PASSES, folder: str | None = None, vocabulary: frozenset[str] | None = None
+) -> LinearModel:
+    return replace(fit(prepare(df, key, vocabulary), passes, folder), vocabulary=vocabulary)
 
 
 def pass_figures(spark: SparkSession, model: LinearModel) -> DataFrame:
@@ -270,7 +278,7 @@ def _read_pass(spark: SparkSession, folder: str, number: int, passes: int) -> tu
 
 def score(df: DataFrame, model: LinearModel) -> DataFrame:
     """``df`` with the model's label, its probability, and the probability of each class."""
-    made = with_columns(df.drop("predicted", "confidence", "all_probs"))
+    made = with_columns(df.drop("predicted", "confidence", "all_probs"), model.vocabulary)
     kept = [c for c in made.columns if c not in ("columns", "n_tokens")]
     schema = T.StructType([*made.select(*kept).schema.fields, T.StructField("_shares", T.ArrayType(T.DoubleType()))])
     sent = df.sparkSession.sparkContext.broadcast(model.weights)
@@ -300,9 +308,16 @@ def save_model(spark: SparkSession, model: LinearModel, path: str) -> None:
     table = pa.table([pa.array(c, k.type) for c, k in zip(columns, kinds)], schema=kinds)
     spark.createDataFrame(table).coalesce(1).write.mode("overwrite").parquet(f"{path}/weights")
     pass_figures(spark, model).coalesce(1).write.mode("overwrite").parquet(f"{path}/passes")
+    delete(spark, f"{path}/vocabulary")
+    if model.vocabulary is not None:
+        pieces = spark.createDataFrame(pa.table({"piece": sorted(model.vocabulary)}))
+        pieces.coalesce(1).write.parquet(f"{path}/vocabulary")
 
 
 def load_model(spark: SparkSession, path: str) -> LinearModel:
     table = spark.read.parquet(f"{path}/weights").toPandas().sort_values(["column", "class"])
     figures = [r.asDict() for r in spark.read.parquet(f"{path}/passes").orderBy("pass").collect()]
-    return LinearModel(table["weight"].to_numpy(float).reshape(COLUMNS, CLASSES), figures)
+    vocabulary = None
+    if "vocabulary" in folders(spark, path):
+        vocabulary = frozenset(r["piece"] for r in spark.read.parquet(f"{path}/vocabulary").collect())
+    return LinearModel(table["weight"].to_numpy(float).reshape(COLUMNS, CLASSES), figures, vocabulary)

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 WORK_DIR_SETTING = "spark.checkpoint.dir"
 _local_work_dir: str | None = None
+_runs: list[str] = []
 
 
 def session(app: str = "promptroute", **conf: object) -> SparkSession:
@@ -47,7 +50,22 @@ def work_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{_runs[-1] if _runs else work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def run_folder(spark: SparkSession, name: str = "run") -> Iterator[str]:
+    """Within it intermediate tables go to a folder of their own, which is deleted when the block ends well.
+
+    Results have to be written inside, since they read those tables.  After a failure the folder stays, to be looked at.
+    """
+    path = new_path(spark, name)
+    _runs.append(path)
+    try:
+        yield path
+    finally:
+        _runs.pop()
+    delete(spark, path)
 
 
 def file_system(spark: SparkSession, path: str):

@@ -1,6 +1,7 @@
 """Sources, sinks and the end-to-end jobs."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,9 +10,11 @@ from promptroute import schemas
 from promptroute.catalog import derived as dv
 from promptroute.operators import routing
 from promptroute.operators.validation import validation_report
-from promptroute.plans.corpus_build import build_corpus
+from promptroute.plans import corpus_build
+from promptroute.plans.corpus_build import build_corpus, latest_release, releases
 from promptroute.plans.route_workload import route_workload
 from promptroute.plans.validate_routing import validate_routing
+from promptroute.session import materialise, run_folder, work_dir
 from promptroute.sources import corpora, sinks
 
 
@@ -99,6 +102,49 @@ def test_corpus_build(spark, sf_dir, tmp_path):
     assert spark.read.parquet(str(tmp_path / "evaluation")).filter("llm_judge_label is not null").count() == 0
 
 
+def test_a_release_is_seen_whole_or_not_at_all(spark, sf_dir, tmp_path, monkeypatch):
+    corpora_of = (dv.gold_corpus(spark, sf_dir), dv.chat_corpus(spark, sf_dir), dv.math_corpus(spark, sf_dir))
+    built, folder = build_corpus(*corpora_of, sample_size=30), str(tmp_path / "corpus")
+    assert latest_release(spark, folder) is None
+    assert built.release(folder) == 1
+    first = latest_release(spark, folder)
+    whole = spark.read.parquet(f"{first}/labeled").count()
+
+    def fails(*_, **__):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as broken:
+        broken.setattr(corpus_build, "write_json", fails)
+        with pytest.raises(RuntimeError):
+            built.release(folder)
+    # Half of version 2 is there, and nobody is sent to it.
+    assert os.path.isdir(f"{folder}/version-2/labeled") and latest_release(spark, folder) == first
+    assert [built.release(folder) for _ in range(2)] == [2, 3]
+    assert releases(spark, folder) == [2, 3]
+    listed = {r.output: r.n for r in spark.read.json(f"{latest_release(spark, folder)}/manifest").collect()}
+    assert listed == {"labeled": whole, "evaluation": 30}
+
+
+def test_a_run_leaves_no_intermediate_tables(spark, sf_dir, tmp_path):
+    def run(out):
+        with run_folder(spark, "run") as folder:
+            balanced = build_corpus(
+                dv.gold_corpus(spark, sf_dir), dv.chat_corpus(spark, sf_dir), dv.math_corpus(spark, sf_dir), sample_size=5
+            ).balanced
+            assert os.listdir(folder)
+            balanced.write.parquet(out)
+
+    before = sorted(os.listdir(work_dir(spark)))
+    for i in range(2):
+        run(f"{tmp_path}/{i}")
+        assert sorted(os.listdir(work_dir(spark))) == before
+    assert spark.read.parquet(f"{tmp_path}/1").count() > 0
+    with pytest.raises(ZeroDivisionError), run_folder(spark, "run") as folder:
+        materialise(spark.range(1), "kept")
+        1 / 0
+    assert os.listdir(folder)
+
+
 def test_routing_pass_is_narrow(spark, sf_dir):
     routed = route_workload(dv.predictions(spark, sf_dir).coalesce(1))
     events = route_workload(dv.event_predictions(dv.table(spark, sf_dir, "events")))
