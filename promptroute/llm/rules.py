@@ -24,9 +24,9 @@ BUCKETS = 8192
 #: Trusted documents, the first in hash order, from which the target multinomial is counted.
 TRUSTED_ROWS = 10_000
 #: Least mean log ratio of a document that is kept.
-THRESHOLD = -0.045
+THRESHOLD = -0.02
 #: N-grams spread as in the corpus that are added to the target's, as a share of these: a bucket without any says little.
-PRIOR = 0.25
+PRIOR = 2.0
 #: Consecutive words of a repeat, and the base rules' limits.
 REPEAT_WORDS = 8
 LEAST_WORDS = 20

@@ -44,6 +44,13 @@ def test_what_belongs_to_the_text(spark):
         _page(f"<article><p>{long}<!-- <p>gone</p> --><br>b</p></article>"): f"{want} b",
         f"<article><p>{long}</p><p>cut of": f"{want} cut of",
         f"<article><div class='sidebar'><p>{long}</p></article>": want,
+        f"<div class='content has-sidebar'><p>{long}</p></div>": want,
+        f"<section id='social-policy'><p>{long}</p></section>": want,
+        f"<div class='post no-comments'><p>{long}</p></div>": want,
+        f"<div class='postHeader'>Menu of it</div><div class='mainSidebar'>More of it</div><article><p>{long}</p></article>": want,
+        f"<article><p>{long}</p><figure><img src='x'><figcaption>What it shows</figcaption></figure></article>": f"{want} What it shows",
+        f"<article><p>{long}</p><p><a title=\"x>link text</a> end</p></article>": f"{want} link text end",
+        f"<div class='widget'><h1>Title</h1><p>{long}</p></div><p>b</p>": f"Title {want} b",
         "": "",
         "   ": "",
         MENU: "",
@@ -53,6 +60,14 @@ def test_what_belongs_to_the_text(spark):
         assert html_text.main_text(page, weights) == text, page
 
 
+def test_a_long_page_is_read_in_time_and_whole():
+    parts = [f"<p class='c{i}'>word{i} <b>and</b> more</p><div class='ad'>buy</div><a title=\"open{i}>x</a>" for i in range(12_000)]
+    page = f"<body>{MENU}<article>{''.join(parts)}</article>{FOOT}</body>"
+    assert len(page) > 1_000_000
+    text = html_text.main_text(page, {})
+    assert text.startswith("word0 and more") and "buy" not in text and "reserved" not in text
+
+
 def test_scan_finds_the_best_region():
     rng = random.Random(2)
     for _ in range(300):

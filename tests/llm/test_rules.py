@@ -55,7 +55,7 @@ def test_ratio_is_that_of_the_two_multinomials(spark):
         each = []
         for g in own:
             p = (corpus.count(g) + 1) / (len(corpus) + rules.BUCKETS)
-            t = (target.count(g) + rules.PRIOR * p) / (len(target) + rules.PRIOR)
+            t = (target.count(g) + rules.PRIOR * len(target) * p) / (len(target) * (1 + rules.PRIOR))
             each.append(math.log(t / p))
         assert math.isclose(out[i].log_ratio, sum(each) / max(1, len(each)), abs_tol=1e-9)
     assert max(map(abs, rules.fit_ratio(docs.limit(0), trusted.limit(0)))) < 1e-9

@@ -6,6 +6,37 @@ from promptroute.llm.queries import BLOCKED_GLOBS, SITE_RULES
 from tests.llm.helpers import by_id, frame
 
 
+def test_long_urls_take_little_memory_and_end_where_they_end():
+    import tracemalloc
+
+    rng = random.Random(3)
+    globs = ["a*b?c*", "*x", "ab*", "*?*zz*", "*" + "q" * 70 + "*"]
+    automaton = urls.GlobAutomaton(globs)
+    texts = ["".join(rng.choice("abcxz?q") for _ in range(rng.choice([0, 1, 30, 2047, 2048, 2049, 5000]))) for _ in range(60)]
+    texts += ["ab" + "z" * 300_000 + "x", "a" + "q" * 100_000 + "b?c"]
+
+    def plain(glob, text):
+        at, parts = 0, glob.split("*")
+        if not text.startswith(parts[0]) or (len(parts) == 1 and text != glob):
+            return False
+        at = len(parts[0])
+        for part in parts[1:-1]:
+            at = text.find(part, at)
+            if at < 0:
+                return False
+            at += len(part)
+        return len(text) - at >= len(parts[-1]) and text.endswith(parts[-1])
+
+    found = automaton.match([t.encode() for t in texts])
+    assert found.tolist() == [[plain(g, t) for g in globs] for t in texts]
+    few = [b"ab"] * 1023 + [b"a" * 2_000_000]
+    tracemalloc.start()
+    assert automaton.match(few)[:, 2].tolist() == [True] * 1023 + [False]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20_000_000
+
+
 def test_automaton_matches_as_globs_do():
     rng = random.Random(5)
     globs = ["".join(rng.choice("ab/*") for _ in range(rng.randint(1, 9))) for _ in range(60)]
