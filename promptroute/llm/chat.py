@@ -152,7 +152,7 @@ def format_chats(df: DataFrame, budget: Budget = Budget()) -> DataFrame:
 
     Columns: conv_id, window, formatted, n_repeated (turns at the start that stood in an earlier
     window), n_turns (new turns), n_tokens, and loss (spans of ``formatted`` in code points).
-    The windows of a conversation are next to each other, in order, in one partition.
+    ``conv_id`` is a whole number or null.  The windows of a conversation are next to each other, in order, in one partition.
     Tokens of a turn: its words and the four of its markup.
     """
     role = F.coalesce(F.col("role").cast("string"), F.lit(""))
