@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from promptroute.functions.text import truncated
-from promptroute.operators.sampling import LABEL, SOURCE, hash_order, keep_within
+from promptroute.operators.sampling import LABEL, SOURCE, first_of_each, hash_order, rows_of
 from promptroute.settings import SEED
 
 QUARTILES = (0.25, 0.5, 0.75)
@@ -189,10 +189,7 @@ def preview(
     if by is None:
         # Cut first: the rows that travel to the final sort are short.
         return df.withColumn(prompt, shown).orderBy(key).limit(k)
-    quota = F.least(F.col("total"), F.lit(k).cast("long"))
-    picks = keep_within(df if keys is None else keys, key, [by], lambda t: t.withColumn("quota", quota), seed)
-    if keys is not None:
-        picks = df.join(picks.select(key), key, "left_semi")
+    picks = rows_of(df, key, first_of_each(df if keys is None else keys, key, [by], k, seed))
     order = Window.partitionBy(by).orderBy(hash_order(F.col(key), seed), key)
     return picks.select(
         F.row_number().over(order).alias("position"),

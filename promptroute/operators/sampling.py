@@ -32,6 +32,8 @@ from promptroute.settings import (
 )
 
 PREFIX_DIGITS = 3  # hexadecimal: 16 ** 3 = 4096 prefixes
+# Rows of a stratum up to which a rank is cheaper than a cut: the planner lets every task pass on so many at most.
+FEW = 1000
 LABEL, SOURCE = "complexity_label", "source_dataset"
 
 Quotas = Callable[[DataFrame], DataFrame]
@@ -120,6 +122,22 @@ def first_by_hash(df: DataFrame, key: str, limit: int, seed: int = SEED) -> Data
     ).select(*df.columns)
 
 
+def first_of_each(df: DataFrame, key: str, strata: Sequence[str], most: int, seed: int = SEED) -> DataFrame:
+    """``(strata..., _key, _hash, _rank)`` of the first ``most`` rows of each stratum, for few of them.
+
+    One scan of keys: every task ranks its own rows and passes on no more than ``most`` of a stratum.
+    """
+    narrow = df.select(*strata, F.col(key).alias("_key"), hash_order(F.col(key), seed).alias("_hash"))
+    order = Window.partitionBy(*strata).orderBy("_hash", "_key")
+    return narrow.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= most)
+
+
+def rows_of(df: DataFrame, key: str, chosen: DataFrame) -> DataFrame:
+    """The rows of ``df`` with the keys ``_key`` of the few rows of ``chosen``, which are written, so their size is known."""
+    keys = materialise(chosen.select("_key"), "chosen")
+    return df.join(keys, F.col(key).eqNullSafe(F.col("_key")), "left_semi")
+
+
 def balance(
     df: DataFrame,
     key: str,
@@ -165,8 +183,13 @@ def judge_sample(
         )
 
     known = df.filter(F.col(LABEL).isin(*LABELS) & F.col(SOURCE).isNotNull())
-    picked = keep_within(known, key, [SOURCE, LABEL], quotas, seed)
-    return first_by_hash(picked, key, size, seed).select(*df.columns)
+    if size > FEW:
+        picked = keep_within(known, key, [SOURCE, LABEL], quotas, seed)
+        return first_by_hash(picked, key, size, seed).select(*df.columns)
+    totals = quotas(known.groupBy(SOURCE, LABEL).agg(F.count("*").alias("total")))
+    ranked = first_of_each(known, key, [SOURCE, LABEL], size, seed).join(totals, [SOURCE, LABEL])
+    chosen = ranked.filter(F.col("_rank") <= F.col("quota")).orderBy("_hash", "_key").limit(size)
+    return rows_of(known, key, chosen).select(*df.columns)
 
 
 def stratified_split(
@@ -225,6 +248,8 @@ def stratified_split(
 def sample_per_class(df: DataFrame, key: str, k: int, seed: int = SEED) -> DataFrame:
     """``k`` rows of each class, or all rows of a smaller class."""
     known = df.filter(F.col(LABEL).isin(*LABELS))
+    if k <= FEW:
+        return rows_of(known, key, first_of_each(known, key, [LABEL], k, seed)).select(*df.columns)
     return keep_within(
         known,
         key,

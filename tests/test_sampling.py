@@ -48,6 +48,22 @@ def first_per_group(rows, group, quota):
     return sorted(k for g, ks in groups.items() for k in sorted(ks, key=position)[: quota(g, len(ks))])
 
 
+def test_small_quotas_are_ranked_in_one_scan_and_equal_the_cuts(spark, monkeypatch):
+    df = spark.range(4000).select(
+        F.concat(F.lit("k"), "id").alias("row_key"), F.element_at(F.array(*map(F.lit, ("small", "medium", "large", "odd"))), (F.col("id") % 7 % 4 + 1).cast("int")).alias("complexity_label"),
+        F.when(F.col("id") % 50 > 0, F.element_at(F.array(*map(F.lit, ("a", "b"))), (F.col("id") % 3 % 2 + 1).cast("int"))).alias("source_dataset"), F.lit("text").alias("prompt"),
+    )
+    few = [sp.sample_per_class(df, "row_key", 20), sp.judge_sample(df, "row_key", 150)]
+    plan = sp.first_of_each(df, "row_key", ["complexity_label"], 20)._jdf.queryExecution().executedPlan().toString()
+    # The limit of every task stands below the shuffle.
+    assert plan.index("Exchange") < plan.rindex("WindowGroupLimit") and "Partial" in plan[plan.index("Exchange"):]
+    assert "BroadcastHashJoin" in few[0]._jdf.queryExecution().executedPlan().toString()
+    found = [sorted(map(tuple, x.collect())) for x in few]
+    monkeypatch.setattr(sp, "FEW", 0)
+    many = [sp.sample_per_class(df, "row_key", 20), sp.judge_sample(df, "row_key", 150)]
+    assert found == [sorted(map(tuple, x.collect())) for x in many] and len(found[0]) == 60 and len(found[1]) == 150
+
+
 def test_sample_per_class(skewed):
     df, rows = skewed
     for k in (1, 20, 500, 10**6):
