@@ -50,7 +50,9 @@ def cutoffs(
     """Per stratum: ``total``, ``quota`` and the last row within the quota.
 
     ``quotas`` maps ``(strata..., total)`` to ``(strata..., total, quota)``.  ``cut_hash`` and
-    ``cut_key`` are NULL where the quota takes all rows or none.
+    ``cut_key`` are NULL where the quota takes all rows or none.  The table is written: the planner
+    then knows that it is small and sends it to the rows, which would otherwise be dealt out by
+    stratum, all rows of one to one task.
     """
     narrow = df.select(
         *strata, F.col(key).alias("_key"), hash_order(F.col(key), seed).alias("_hash")
@@ -67,7 +69,7 @@ def cutoffs(
         .filter(F.col("_rank") == F.col("_rest"))
         .select(*strata, F.col("_hash").alias("cut_hash"), F.col("_key").alias("cut_key"))
     )
-    return bounds.select(*strata, "total", "quota").join(last, list(strata), "left")
+    return materialise(bounds.select(*strata, "total", "quota").join(last, list(strata), "left"), "cuts")
 
 
 def quota_bounds(histogram: DataFrame, strata: Sequence[str], quotas: Quotas) -> DataFrame:

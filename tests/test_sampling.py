@@ -158,6 +158,17 @@ def test_no_class_is_ranked_whole(skewed, monkeypatch):
     assert cut.count() == 3
 
 
+def test_rows_are_not_dealt_out_by_stratum(skewed):
+    """Cuts go to the rows: a few strata would otherwise put all rows into as few tasks."""
+    df, _ = skewed
+    whole = df.withColumn("_whole", F.lit("").cast("string"))
+    marked = [sp.stratified_split(df, "row_key"), sp.balance(df, "row_key"), sp.first_by_hash(whole, "row_key", 777)]
+    for out in marked:
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+        assert out.rdd.getNumPartitions() == df.rdd.getNumPartitions()
+
+
 def test_rows_without_label_are_not_lost_by_the_split(spark):
     df, rows = corpus(spark, {("a", "large"): 50, ("a", "small"): 50})
     extra = spark.createDataFrame([("x", "p", None, None)], df.schema)
