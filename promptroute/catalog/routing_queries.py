@@ -80,10 +80,17 @@ def training_passes(spark: SparkSession, d: str) -> DataFrame:
     return figures.select("pass", *(F.round(c, 6).alias(c) for c in figures.columns[1:-1]), "best")
 
 
+def _trained_and_scored(spark: SparkSession, d: str, vocabulary: frozenset[str] | None = None) -> DataFrame:
+    """Every prompt scored by the classifier trained on the labelled workload; its numbers are made and written once for both."""
+    made = passes.with_columns(labelled_workload(spark, d), vocabulary).drop("prompt")
+    rows = materialise(made, "numbered")
+    model = passes.train(rows, "prompt_id", vocabulary=vocabulary, numbered=True)
+    return passes.score(rows.select("prompt_id", "columns", "n_tokens"), model, numbered=True)
+
+
 def classifier_scores(spark: SparkSession, d: str) -> DataFrame:
     """Label, confidence and the share of every class, of every prompt."""
-    rows, model = _trained(spark, d)
-    return _shown(passes.score(rows, model))
+    return _shown(_trained_and_scored(spark, d))
 
 
 def _shown(scored: DataFrame) -> DataFrame:
@@ -108,9 +115,7 @@ def subword_slices(spark: SparkSession, d: str) -> DataFrame:
 
 def subword_classifier_scores(spark: SparkSession, d: str) -> DataFrame:
     """Label, confidence and shares of every prompt, by a classifier of sub-words."""
-    rows = labelled_workload(spark, d)
-    model = passes.train(rows, "prompt_id", vocabulary=subwords.read_vocabulary(vocabulary_path()))
-    return _shown(passes.score(rows, model))
+    return _shown(_trained_and_scored(spark, d, subwords.read_vocabulary(vocabulary_path())))
 
 
 def classifier_evaluation(spark: SparkSession, d: str) -> DataFrame:

@@ -202,14 +202,15 @@ def _figures(told: np.ndarray) -> dict:
 FIGURES = "pass int, train_loss double, val_loss double, accuracy double, f1_macro double, f1_weighted double, best boolean"
 
 
-def prepare(df: DataFrame, key: str, vocabulary: frozenset[str] | None = None) -> DataFrame:
+def prepare(df: DataFrame, key: str, vocabulary: frozenset[str] | None = None, numbered: bool = False) -> DataFrame:
     """The written rows of the labelled prompts of ``df``: ``columns``, ``n_tokens``, ``label``, ``train``.
 
     ``df`` needs ``prompt``, ``source_dataset`` and ``complexity_label``; it is split here unless it has a ``split`` column.
+    If it is ``numbered``, it has what ``with_columns`` makes, and the prompt is not looked at.
     """
     if "split" not in df.columns:
         df = stratified_split(df, key)
-    rows = encode_labels(with_columns(df, vocabulary)).where("label is not null")
+    rows = encode_labels(df if numbered else with_columns(df, vocabulary)).where("label is not null")
     return materialise(rows.select("columns", "n_tokens", F.col("label").cast("int").alias("label"), (F.col("split") == "train").alias("train")), "rows")
 
 
@@ -235,9 +236,10 @@ def fit(rows: DataFrame, passes: int = PASSES, folder: str | None = None) -> Lin
 
 
 def train(
-    df: DataFrame, key: str = "row_key", passes: int = PASSES, folder: str | None = None, vocabulary: frozenset[str] | None = None
+    df: DataFrame, key: str = "row_key", passes: int = PASSES, folder: str | None = None, vocabulary: frozenset[str] | None = None,
+    numbered: bool = False,
 ) -> LinearModel:
-    return replace(fit(prepare(df, key, vocabulary), passes, folder), vocabulary=vocabulary)
+    return replace(fit(prepare(df, key, vocabulary, numbered), passes, folder), vocabulary=vocabulary)
 
 
 def pass_figures(spark: SparkSession, model: LinearModel) -> DataFrame:
@@ -276,9 +278,14 @@ def _read_pass(spark: SparkSession, folder: str, number: int, passes: int) -> tu
     return state, {name: float(value) for name, value in told.items()}
 
 
-def score(df: DataFrame, model: LinearModel) -> DataFrame:
-    """``df`` with the model's label, its probability, and the probability of each class."""
-    made = with_columns(df.drop("predicted", "confidence", "all_probs"), model.vocabulary)
+def score(df: DataFrame, model: LinearModel, numbered: bool = False) -> DataFrame:
+    """``df`` with the model's label, its probability, and the probability of each class.
+
+    If it is ``numbered``, it has what ``with_columns`` makes of the model's vocabulary; that is left out.
+    """
+    made = df.drop("predicted", "confidence", "all_probs")
+    if not numbered:
+        made = with_columns(made, model.vocabulary)
     kept = [c for c in made.columns if c not in ("columns", "n_tokens")]
     schema = T.StructType([*made.select(*kept).schema.fields, T.StructField("_shares", T.ArrayType(T.DoubleType()))])
     sent = df.sparkSession.sparkContext.broadcast(model.weights)

@@ -123,6 +123,32 @@ def test_scores_are_shares_and_a_saved_model_scores_alike(spark, corpus, tmp_pat
     assert ps.score(corpus.limit(0), model).count() == 0
 
 
+def test_numbers_are_made_once_for_training_and_scoring(spark, corpus, monkeypatch):
+    """Numbered rows train and score like prompts, without a look at the prompt."""
+    expected = ps.train(corpus, passes=4)
+    shares = {r.row_key: r for r in ps.score(corpus, expected).collect()}
+    numbered = ps.with_columns(corpus).drop("prompt")
+    monkeypatch.setattr(ps, "with_columns", None)
+    model = ps.train(numbered, passes=4, numbered=True)
+    assert np.allclose(model.weights, expected.weights, atol=1e-9) and model.best_pass == expected.best_pass
+    scored = ps.score(numbered.withColumn("predicted", F.lit("mine")), model, numbered=True)
+    assert scored.columns == [*(c for c in corpus.columns if c != "prompt"), "predicted", "confidence", "all_probs"]
+    rows = scored.collect()
+    assert len(rows) == len(shares) == 150
+    for r in rows:
+        assert r.predicted == shares[r.row_key].predicted
+        assert all(abs(p - shares[r.row_key].all_probs[c]) < 1e-9 for c, p in r.all_probs.items())
+
+
+def test_the_query_of_scores_numbers_prompts_once(spark, sf_dir, monkeypatch):
+    from promptroute.catalog import routing_queries as rq
+
+    real, calls = ps.with_columns, []
+    monkeypatch.setattr(ps, "with_columns", lambda *args: calls.append(1) or real(*args))
+    assert rq.classifier_scores(spark, sf_dir).count() == rq.labelled_workload(spark, sf_dir).count()
+    assert len(calls) == 1
+
+
 def test_words_are_cut_before_they_are_split(spark):
     rows = ["a b c d", " a,b -x y", "", None, "...", "A_b", "a" + " " * 50 + "b c"]
     df = spark.createDataFrame([(r,) for r in rows], "prompt string").select(ps.words(F.col("prompt"), 2).alias("w"))
