@@ -52,6 +52,8 @@ BETA_1, BETA_2, EPSILON = 0.9, 0.999, 1e-8
 #: Columns of a block of sums.
 BLOCK = 1024
 CLASSES = len(LABELS)
+#: Rows a task works on at a time: their numbers fit into a core's cache.
+SLICE = 1024
 #: Words are runs of letters and digits.
 GAPS = r"[^\p{L}\p{N}]+"
 
@@ -126,18 +128,19 @@ class _State:
 
 
 def _rows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, column and value of every number of a batch."""
+    """How many numbers every row of a batch has, and column and value of each.  No row is without the constant."""
     sizes = batch.column("columns").value_lengths().to_numpy()
-    row = np.repeat(np.arange(len(sizes)), sizes)
     tokens = batch.column("n_tokens").to_numpy()
-    place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    value = np.where(place < tokens[row], 1 / np.sqrt(np.maximum(tokens, 1))[row], 1.0)
-    return row, batch.column("columns").flatten().to_numpy(), value
+    kinds = np.stack([1 / np.sqrt(np.maximum(tokens, 1)), np.ones(len(tokens))], axis=1)
+    value = np.repeat(kinds.ravel(), np.stack([tokens, sizes - tokens], axis=1).ravel())
+    return sizes, batch.column("columns").flatten().to_numpy().astype(np.intp), value
 
 
 def probabilities(batch: pa.RecordBatch, weights: np.ndarray) -> tuple[np.ndarray, tuple]:
-    row, column, value = numbers = _rows(batch)
-    scores = np.stack([np.bincount(row, value * weights[column, c], batch.num_rows) for c in range(CLASSES)], axis=1)
+    """The share of every class in every row of a batch; ``weights`` by class and column."""
+    sizes, column, value = numbers = _rows(batch)
+    first = np.cumsum(sizes, dtype=np.intp) - sizes
+    scores = np.stack([np.add.reduceat(value * weights[c].take(column), first) for c in range(CLASSES)], axis=1)
     scores = np.exp(scores - scores.max(axis=1, keepdims=True))
     return scores / scores.sum(axis=1, keepdims=True), numbers
 
@@ -147,16 +150,16 @@ SUMS = "block int, sums array<double>"
 
 def one_pass(rows: DataFrame, weights: np.ndarray) -> tuple[np.ndarray, dict]:
     """The mean gradient over the training rows, and losses and counts of validation rows by true and predicted class."""
-    sent = rows.sparkSession.sparkContext.broadcast(weights)
+    sent = rows.sparkSession.sparkContext.broadcast(np.ascontiguousarray(weights.T))
     kinds = pa.schema([("block", pa.int32()), ("sums", pa.list_(pa.float64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gradient = np.zeros((CLASSES, -(-COLUMNS // BLOCK) * BLOCK))
         told = np.zeros(4 + CLASSES**2)  # training rows and their loss, validation rows and theirs, and their cells
         for whole in batches:
-            for low in range(0, whole.num_rows, 4096):
-                batch = whole.slice(low, 4096)
-                share, (row, column, value) = probabilities(batch, sent.value)
+            for low in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(low, SLICE)
+                share, (sizes, column, value) = probabilities(batch, sent.value)
                 label = batch.column("label").to_numpy()
                 train = batch.column("train").to_numpy(zero_copy_only=False)
                 loss = -np.log(np.maximum(share[np.arange(len(label)), label], 1e-300))
@@ -165,7 +168,7 @@ def one_pass(rows: DataFrame, weights: np.ndarray) -> tuple[np.ndarray, dict]:
                 share[np.arange(len(label)), label] -= 1
                 share[~train] = 0
                 for c in range(CLASSES):
-                    gradient[c] += np.bincount(column, value * share[row, c], gradient.shape[1])
+                    gradient[c] += np.bincount(column, value * np.repeat(share[:, c], sizes), gradient.shape[1])
         blocks = gradient.reshape(CLASSES, -1, BLOCK).transpose(1, 0, 2).reshape(-1, CLASSES * BLOCK)
         some = np.flatnonzero(blocks.any(axis=1))
         columns = [pa.array([-1, *some.tolist()], pa.int32()), pa.array([told.tolist(), *blocks[some].tolist()], kinds.field("sums").type)]
@@ -288,12 +291,12 @@ def score(df: DataFrame, model: LinearModel, numbered: bool = False) -> DataFram
         made = with_columns(made, model.vocabulary)
     kept = [c for c in made.columns if c not in ("columns", "n_tokens")]
     schema = T.StructType([*made.select(*kept).schema.fields, T.StructField("_shares", T.ArrayType(T.DoubleType()))])
-    sent = df.sparkSession.sparkContext.broadcast(model.weights)
+    sent = df.sparkSession.sparkContext.broadcast(np.ascontiguousarray(model.weights.T))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for low in range(0, whole.num_rows, 4096):
-                batch = whole.slice(low, 4096)
+            for low in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(low, SLICE)
                 share, _ = probabilities(batch, sent.value)
                 ends = pa.array(np.arange(0, share.size + 1, CLASSES), pa.int32())
                 lists = pa.ListArray.from_arrays(ends, pa.array(share.ravel()))
