@@ -158,7 +158,8 @@ def _merged(found: DataFrame) -> DataFrame:
 
 def _shared_parts(docs: DataFrame, key: str, text: str, kinds: DataFrame, length: int) -> DataFrame:
     """Repeated stretches of the pieces whose anchor has several contents."""
-    contents = kinds.groupBy("anchor").agg(F.count("*").alias("contents")).where("contents > 1")
+    # Written as well: with the aggregate in its stage the join could not split the pieces of an anchor.
+    contents = materialise(kinds.groupBy("anchor").agg(F.count("*").alias("contents")).where("contents > 1"), "contents")
     open_pieces = materialise(kinds.join(contents, "anchor"), "open")
     size = open_pieces.agg(
         F.count("*").alias("n"),

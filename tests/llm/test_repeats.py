@@ -81,6 +81,20 @@ def test_null_ids_repeated_rows_and_no_rows(spark):
     assert repeats.cut(none, repeats.repeated_spans(none)).count() == 0
 
 
+def test_joins_by_anchor_read_written_tables(spark, monkeypatch):
+    """Only joins of plain shuffles are split at run time; an aggregate in their stage leaves a hot anchor to one task."""
+    plans, real = {}, repeats.materialise
+
+    def spied(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return real(df, name)
+
+    monkeypatch.setattr(repeats, "materialise", spied)
+    repeats.repeated_spans(documents(spark, _texts())).count()
+    for name in ("occurrences", "open"):
+        assert "Join" in plans[name] and "Aggregate" not in plans[name], name
+
+
 def test_spans_without_parts_of_characters():
     raw = "aéé漢b".encode()
     for start in range(len(raw)):
