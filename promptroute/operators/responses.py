@@ -65,9 +65,10 @@ def _rank(responses: DataFrame) -> list:
     """What makes a response count before others of its prompt and model: success, then being later.
 
     A hash settles the rest, so that texts need not travel where only the verdict on them is asked for.
+    Responses may come without their text.
     """
     attempt = F.col("attempt") if "attempt" in responses.columns else F.lit(0)
-    tie = F.xxhash64("raw_response", "error", "latency_ms")
+    tie = F.xxhash64(*[c for c in ("raw_response", "error", "latency_ms") if c in responses.columns])
     return [F.col("error").isNull().alias("_good"), attempt.alias("_attempt"), tie.alias("_tie")]
 
 
