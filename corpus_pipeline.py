@@ -14,8 +14,8 @@ from promptroute.llm.queries import vocabulary_path
 from promptroute.session import materialise
 
 
-#: Bytes of a passage that is removed where it repeats, fewer than those of 50 short words, and of its anchor.
-PASSAGE_BYTES, ANCHOR_BYTES = 250, 64
+#: Bytes of a passage that is removed where it repeats, and of its anchor.
+PASSAGE_BYTES, ANCHOR_BYTES = repeats.PASSAGE, repeats.PASSAGE_ANCHOR
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,13 +34,20 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is left of every document without the bytes of repeated 400-byte strings."""
+    """What is left of every document without the bytes of repeated 400-byte strings.
+
+    The last columns say the same of passages of over 50 words, that is of strings of fewer bytes.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    kept = repeats.cut(docs, repeats.repeated_spans(docs))
+    spans = repeats.repeated_spans(
+        docs, length=repeats.PASSAGE, anchor=repeats.PASSAGE_ANCHOR, longer=repeats.LENGTH
+    )
+    kept = repeats.cut(docs, spans)
     digest = F.sha2("kept", 256).alias("kept_sha256")
     # What a cut leaves of a character comes out as a replacement character in the text, as the digest has it in bytes.
     left = F.make_valid_utf8(F.col("kept").cast("string")).alias("text")
-    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", digest, left)
+    passages = ["n_passage_bytes", "n_passages", "passages_cut"]
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", digest, left, *passages)
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

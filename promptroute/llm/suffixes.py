@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+#: Stands for the place before a suffix that is not among those in order.
+NO_SUFFIX = -2
 _BYTE_STEPS = np.uint64(1) << np.arange(8, 64, 8, dtype=np.uint64)
 
 
@@ -74,8 +76,9 @@ def common_prefixes(
     """Common prefix, up to ``most`` bytes, of a suffix and the one ``before`` it in suffix order, after Kasai.
 
     ``before`` holds that other suffix's place for every place, or -1.  A run of places is gone through
-    from left to right: the next place shares at least one byte less than the last did.  All runs
-    (from ``starts``, of ``counts`` places) advance side by side, each by eight bytes or to its next place.
+    from left to right: the next place shares at least one byte less than the last did, if the place next to the other
+    suffix is in order too.  All runs (from ``starts``, of ``counts`` places) advance side by side, each by eight bytes
+    or to its next place.
     """
     n = len(words)
     out = np.zeros(n, np.int64)
@@ -93,7 +96,7 @@ def common_prefixes(
         here, there = at[done], other[done]
         found = np.minimum(known[done], np.minimum(most, n - np.maximum(here, there)))
         out[here] = found = np.where(there >= 0, found, 0)
-        known[done] = np.maximum(found - 1, 0)
+        known[done] = np.where(before[np.minimum(there + 1, n - 1)] > NO_SUFFIX, np.maximum(found - 1, 0), 0)
         at[done] += 1
         if (at == end).any():
             more = at < end

@@ -102,3 +102,50 @@ def test_spans_without_parts_of_characters():
             for a, b in repeats.whole_characters(raw, [(start, stop)]):
                 assert start <= a < b <= stop
                 (raw[:a] + raw[b:]).decode()
+
+
+def _repeated(raws, size):
+    seen = Counter(r[i : i + size] for r in raws for i in range(len(r) - size + 1))
+    for raw in raws:
+        hit = np.zeros(len(raw), bool)
+        for i in range(len(raw) - size + 1):
+            if seen[raw[i : i + size]] > 1:
+                hit[i : i + size] = True
+        yield hit
+
+
+@pytest.mark.parametrize("shard, merged", [(3000, 200_000), (3, 40)])
+def test_spans_of_two_lengths_equal_brute_force(spark, monkeypatch, shard, merged):
+    monkeypatch.setattr(repeats, "SHARD", shard)
+    monkeypatch.setattr(repeats, "MERGED", merged)
+    texts = _texts(2)
+    raws = [(t or "").encode() for t in texts]
+    docs = documents(spark, texts).select("doc_id", "text")
+    keys = {r.row: r.doc_id for r in docs.select("doc_id", repeats.row_key("doc_id", "text").alias("row")).collect()}
+    found = {keys[r.row]: r for r in repeats.repeated_spans(docs, length=250, anchor=64, longer=400).collect()}
+    for name, size in (("spans", 250), ("longer", 400)):
+        for i, want in enumerate(_repeated(raws, size)):
+            got = np.zeros(len(want), bool)
+            for a, b in found[i][name] if i in found else ():
+                assert not got[max(a - 1, 0) : b + 1].any()
+                got[a:b] = True
+            assert (got == want).all(), (name, i)
+
+
+def test_passages_of_over_fifty_words_that_the_contract_leaves(spark, tmp_path):
+    rng = random.Random(9)
+    say = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(4, 6))) for _ in range(n))
+    passages = [say(n) for n in (51, 55, 60, 64)]
+    assert all(250 < len(p) < 400 for p in passages)
+    texts = [say(80) for _ in range(6)] + [f"{say(40)} {p} {say(40)}" for p in passages for _ in range(2)] + [None]
+    documents(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    out = by_id(op2_repeats(spark, str(tmp_path)))
+    for i, text in enumerate(texts):
+        r, raw = out[i], text or ""
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.text) == (len(raw), 0, 0, raw)
+        if i < 6 or text is None:
+            assert (r.n_passage_bytes, r.n_passages, r.passages_cut) == (0, 0, raw)
+        else:
+            passage = passages[(i - 6) // 2]
+            assert len(passage) <= r.n_passage_bytes <= len(passage) + 6 and r.n_passages == 1
+            assert len(r.passages_cut) == len(raw) - r.n_passage_bytes and passage[3:-3] not in r.passages_cut
